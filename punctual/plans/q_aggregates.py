@@ -8,7 +8,7 @@ from punctual.functions import features as fx
 from punctual.operators import aggregates as A
 from punctual.operators import filters as P
 from punctual.plans.catalog import features, register
-from punctual.plans.sql import q, r6
+from punctual.plans.sql import duration_sql, q, r6
 from punctual.schema import DELAY_CATEGORIES, LATE_CATEGORIES
 from punctual.sources.flights import flights
 
@@ -385,20 +385,12 @@ def delay_categories(spark, sf_dir):
         F.count(F.lit(1)).alias("flights"), F.min("minutes").alias("min_delay"), F.max("minutes").alias("max_delay"))
 
 
-_MIN = "(({c} // 100) * 60 + {c} % 100)"
-
-
-def _dur_sql(a: str, b: str) -> str:
-    d = f"({_MIN.format(c=b)} - {_MIN.format(c=a)})"
-    return f"CAST(CASE WHEN {d} < 0 THEN {d} + 1440 ELSE {d} END AS INT)"
-
-
 @register("features_duration", q(f"""
 SELECT Origin, Dest, {r6('avg(ScheduledDuration)', 'avg_scheduled_duration')},
        {r6('avg(ActualDuration)', 'avg_actual_duration')}, count(ActualDuration) AS actual_count,
        min(ScheduledDuration) AS min_scheduled_duration, max(ScheduledDuration) AS max_scheduled_duration
-FROM (SELECT *, {_dur_sql('CRSDepTime', 'CRSArrTime')} AS ScheduledDuration,
-             {_dur_sql('DepTime', 'ArrTime')} AS ActualDuration FROM features)
+FROM (SELECT *, {duration_sql('CRSDepTime', 'CRSArrTime')} AS ScheduledDuration,
+             {duration_sql('DepTime', 'ArrTime')} AS ActualDuration FROM features)
 WHERE Origin IS NOT NULL AND Dest IS NOT NULL GROUP BY Origin, Dest"""))
 def features_duration(spark, sf_dir):
     f = features(spark, sf_dir).withColumns({

@@ -7,6 +7,8 @@ the adapter is integer division (``//`` in DuckDB).
 
 from __future__ import annotations
 
+import math
+
 ADAPTER = """
 WITH b AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS FlightKey,
@@ -77,3 +79,22 @@ def q(body: str) -> str:
 def r6(expr: str, alias: str) -> str:
     """Round a double to 6 places (the Spark side rounds every double column)."""
     return f"ROUND(CAST({expr} AS DOUBLE), 6) AS {alias}"
+
+
+def cut_sql(col: str, edges: list[float], labels: list[str]) -> str:
+    """Right-closed binning (a, b] as a CASE expression."""
+    parts = []
+    for i, lab in enumerate(labels):
+        lo, hi = edges[i], edges[i + 1]
+        cond = f"{col} > {lo}" + ("" if math.isinf(hi) else f" AND {col} <= {hi}")
+        parts.append(f"WHEN {cond} THEN '{lab}'")
+    return "CASE " + " ".join(parts) + " END"
+
+
+_MIN = "(({c} // 100) * 60 + {c} % 100)"
+
+
+def duration_sql(a: str, b: str) -> str:
+    """Minutes from HHMM ``a`` to HHMM ``b``, +1440 across midnight."""
+    d = f"({_MIN.format(c=b)} - {_MIN.format(c=a)})"
+    return f"CAST(CASE WHEN {d} < 0 THEN {d} + 1440 ELSE {d} END AS INT)"
