@@ -48,4 +48,4 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Query modules register themselves on import.
 from punctual.plans import (q_aggregates, q_distribution, q_evaluation,  # noqa: E402,F401
-                            q_modeling, q_reshape, q_sampling)
+                            q_io, q_modeling, q_reshape, q_sampling)
