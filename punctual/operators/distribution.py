@@ -136,9 +136,41 @@ def corr_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> Data
     return df.sparkSession.createDataFrame(rows, "feature_x string, feature_y string, r double")
 
 
+MAX_RANK_TABLE_ROWS = 2_000_000
+
+
 def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Spearman rank correlation matrix (see :func:`corr_matrix`)."""
-    return corr_matrix(df, cols, "spearman")
+    """Spearman rank correlation matrix (listwise-complete rows).
+
+    Average ranks come from (feature, distinct value) counts (see
+    :func:`average_ranks`).  When that table is small enough (checked count) it
+    is broadcast as sorted arrays and every row's values are mapped to ranks
+    with a vectorised binary search inside ``mapInPandas``; the Pearson pass
+    then runs on the rank columns.  Beyond the bound, Spark ML's distributed
+    rank sort is used instead.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from punctual.session import ship_package
+    spark = df.sparkSession
+    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna(how="any")
+    ranks = average_ranks(d, cols)
+    if ranks.limit(MAX_RANK_TABLE_ROWS + 1).count() > MAX_RANK_TABLE_ROWS:
+        return corr_matrix(df, cols, "spearman")
+    pdf = ranks.toPandas()   # bounded by the check above
+    table = {c: (g.sort_values("value")["value"].to_numpy(), g.sort_values("value")["rank"].to_numpy())
+             for c, g in pdf.groupby("feature")}
+    bc = spark.sparkContext.broadcast(table)
+    ship_package(spark)
+
+    def to_ranks(batches):
+        t = bc.value
+        for b in batches:
+            yield pd.DataFrame({c: t[c][1][np.searchsorted(t[c][0], b[c].to_numpy())] for c in cols})
+
+    ranked = d.mapInPandas(to_ranks, ", ".join(f"`{c}` double" for c in cols))
+    return corr_matrix(ranked, cols)
 
 
 def average_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
