@@ -6,6 +6,7 @@ All functions return ``Column`` expressions or add columns with one
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,3 +154,33 @@ def add_delay_flags(df: DataFrame) -> DataFrame:
 def prepare_features(df: DataFrame) -> DataFrame:
     """The feature table every analysis query starts from."""
     return add_delay_flags(add_clock(add_temporal(df)))
+
+
+# --- F26 / F31 / F33 presentation helpers -------------------------------------------
+def format_metric(col, kind: str = "percentage", decimals: int = 1) -> Column:
+    """number -> display text; null -> 'N/A'.
+
+    Display strings must round exactly like Python's format spec (the exact
+    binary value, e.g. 21.45 -> '21.4'); Java's formatter rounds the shortest
+    decimal string half-up instead.  Formatting is applied to result rows only,
+    so it is an Arrow-batched pandas UDF.
+    """
+    spec = {"percentage": f"{{:.{decimals}f}}%", "minutes": f"{{:.{decimals}f}} min",
+            "count": "{:,}", "plain": f"{{:.{decimals}f}}"}[kind]
+
+    @F.pandas_udf("string")
+    def fmt(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: "N/A" if pd.isna(x) else spec.format(int(x) if kind == "count" else float(x)))
+
+    return fmt(_c(col).cast("double"))
+
+
+def risk_level(probability) -> Column:
+    """delay risk band from a probability: < 20 % Low, < 40 % Medium, else High."""
+    pct = _c(probability) * 100
+    return F.when(pct < 20, "Low").when(pct < 40, "Medium").otherwise("High")
+
+
+def outcome_label(flag) -> Column:
+    """1 -> 'Delayed', 0 -> 'On-Time'."""
+    return F.when(_c(flag) == 1, "Delayed").otherwise("On-Time")

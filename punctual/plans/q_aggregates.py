@@ -400,3 +400,22 @@ def features_duration(spark, sf_dir):
         "avg_scheduled_duration": F.avg("ScheduledDuration"), "avg_actual_duration": F.avg("ActualDuration"),
         "actual_count": F.count("ActualDuration"), "min_scheduled_duration": F.min("ScheduledDuration"),
         "max_scheduled_duration": F.max("ScheduledDuration")})
+
+
+@register("kpi_formatted", q("""
+, k AS (SELECT count(*) AS n, avg(ArrDelayMinutes) AS d, avg(IsArrDelayed) * 100 AS r, avg(Cancelled) * 100 AS c,
+               avg(CASE WHEN Airline = 'no such airline' THEN ArrDelayMinutes END) AS missing FROM features)
+SELECT format('{:,}', n) AS total_flights, printf('%.1f min', d) AS avg_arr_delay, printf('%.1f%%', r) AS delay_rate,
+       printf('%.2f%%', c) AS cancel_rate, CASE WHEN missing IS NULL THEN 'N/A' ELSE printf('%.1f', missing) END AS missing_metric
+FROM k""".replace("\n, k AS", ", k AS", 1)))
+def kpi_formatted(spark, sf_dir):
+    """headline KPIs as display strings (null -> 'N/A')."""
+    f = features(spark, sf_dir)
+    k = f.agg(F.count(F.lit(1)).alias("n"), F.avg("ArrDelayMinutes").alias("d"),
+              (F.avg("IsArrDelayed") * 100).alias("r"), (F.avg("Cancelled") * 100).alias("c"),
+              F.avg(F.when(F.col("Airline") == "no such airline", F.col("ArrDelayMinutes"))).alias("missing"))
+    return k.select(fx.format_metric("n", "count").alias("total_flights"),
+                    fx.format_metric("d", "minutes").alias("avg_arr_delay"),
+                    fx.format_metric("r", "percentage").alias("delay_rate"),
+                    fx.format_metric("c", "percentage", 2).alias("cancel_rate"),
+                    fx.format_metric("missing", "plain").alias("missing_metric"))

@@ -140,3 +140,24 @@ def eval_summary(spark, sf_dir):
                       (F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))).alias("delay_rate_test"),
                       d.alias("accuracy_default_thr"), "roc_auc",
                       F.lit(DEFAULT_THRESHOLD).alias("default_threshold"), hr.alias("high_recall_threshold"))
+
+
+@register("risk_bands", q(_SC + f"""
+, b AS (SELECT *, avg(label) OVER () * 100 AS baseline_pct FROM sc)
+SELECT CASE WHEN score * 100 < 20 THEN 'Low' WHEN score * 100 < 40 THEN 'Medium' ELSE 'High' END AS risk_level,
+       CASE WHEN score >= {DEFAULT_THRESHOLD} THEN 'Delayed' ELSE 'On-Time' END AS predicted_label,
+       count(*) AS flights, {r6('avg(score * 100)', 'avg_risk_pct')},
+       {r6('avg(score * 100 - baseline_pct)', 'avg_delta_to_baseline')}, {r6('avg(label)', 'actual_delay_rate')}
+FROM b GROUP BY 1, 2"""))
+def risk_bands(spark, sf_dir):
+    """Risk band and decision label per scored flight, summarised;
+    the baseline is the observed delay rate (not a hard-coded constant)."""
+    from punctual.functions.features import outcome_label, risk_level
+    sc = scored(spark, sf_dir)
+    base = sc.agg(F.avg("label") * 100).scalar()
+    return (sc.select(risk_level("score").alias("risk_level"),
+                      outcome_label((F.col("score") >= DEFAULT_THRESHOLD).cast("int")).alias("predicted_label"),
+                      (F.col("score") * 100).alias("risk_pct"), (F.col("score") * 100 - base).alias("delta"), "label")
+              .groupBy("risk_level", "predicted_label")
+              .agg(F.count(F.lit(1)).alias("flights"), F.avg("risk_pct").alias("avg_risk_pct"),
+                   F.avg("delta").alias("avg_delta_to_baseline"), F.avg("label").alias("actual_delay_rate")))
