@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from punctual.operators.common import checked_broadcast
+from punctual.operators.common import BROADCAST_MAX_ROWS, checked_broadcast
 from punctual.session import checkpoint_dir
 
 MAX_BOUNDARY_ROWS = 1_000_000
@@ -63,24 +63,26 @@ def hash_cut(df: DataFrame, hx: str, ties: list[str], groups: list[str], targets
     bound = todo.checkpoint()
     width = 0
     while True:
-        if bound.isEmpty():
+        # one small job per level: how many groups are still open, and the
+        # largest boundary bucket among them
+        st = bound.agg(F.count(F.lit(1)).alias("g"), F.max("size").alias("m")).first()
+        if st["g"] == 0:
             cut = None
             break
-        max_size = bound.agg(F.max("size")).first()[0]
-        if max_size <= MAX_BOUNDARY_ROWS or width + HEX_STEP > 32:
+        # ``bound`` has one row per open group; its size was just counted
+        bb = F.broadcast(bound) if st["g"] <= BROADCAST_MAX_ROWS else bound
+        if st["m"] <= MAX_BOUNDARY_ROWS or width + HEX_STEP > 32:
             # exact rank inside the (small) boundary bucket of every group
-            rows = slim.join(checked_broadcast(bound), groups) \
-                       .filter(F.substring(hx, 1, width) == F.col("prefix"))
+            rows = slim.join(bb, groups).filter(F.substring(hx, 1, width) == F.col("prefix"))
             w = Window.partitionBy(*groups).orderBy(hx, *ties)
             cut = (rows.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == F.col("need"))
                        .select(*groups, F.struct(F.col(hx), *[F.col(t) for t in ties]).alias("__cut")))
             break
         width += HEX_STEP
-        rows = slim.join(checked_broadcast(bound), groups) \
-                   .filter(F.substring(hx, 1, width - HEX_STEP) == F.col("prefix"))
+        rows = slim.join(bb, groups).filter(F.substring(hx, 1, width - HEX_STEP) == F.col("prefix"))
         hist = rows.groupBy(*groups, F.substring(hx, 1, width).alias("bucket")) \
                    .agg(F.count(F.lit(1)).alias("cnt"))
-        hist = hist.join(checked_broadcast(bound.select(*groups, "need")), groups)
+        hist = hist.join(bb.select(*groups, "need"), groups)
         wc = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("cum", F.sum("cnt").over(wc))
         first = (hist.filter(F.col("cum") >= F.col("need"))

@@ -72,7 +72,7 @@ _KEEP = (f"COALESCE(FlightDate BETWEEN DATE '{_E['date_range'][0]}' AND DATE '{_
 
 @register("explore_filter", q(f"""
 , k AS (SELECT *, {_KEEP} AS keep FROM features)
-SELECT count_if(keep) AS kept_flights, {r6('count_if(keep) / count(*)', 'kept_share')},
+SELECT CAST(count_if(keep) AS BIGINT) AS kept_flights, {r6('count_if(keep) / count(*)', 'kept_share')},
        {r6('avg(CASE WHEN keep THEN ArrDelayMinutes END)', 'avg_arr_delay')},
        {r6('avg(CASE WHEN keep THEN IsArrDelayed END)', 'arr_delay_rate')},
        {r6('avg(CASE WHEN keep THEN Cancelled END)', 'cancel_rate')},
@@ -88,7 +88,7 @@ _ONTIME = {"on_time": "ArrDelayMinutes <= 15", "early": "ArrDelayMinutes < 0", "
 
 
 @register("ontime_summary", q("SELECT count(*) AS total_flights, " + ", ".join(
-    f"count_if({c}) AS {k}_flights, {r6(f'count_if({c}) / count(*)', f'{k}_share')}" for k, c in _ONTIME.items())
+    f"CAST(count_if({c}) AS BIGINT) AS {k}_flights, {r6(f'count_if({c}) / count(*)', f'{k}_share')}" for k, c in _ONTIME.items())
     + " FROM features"))
 def ontime_summary(spark, sf_dir):
     return A.ontime_summary(features(spark, sf_dir))

@@ -72,7 +72,7 @@ SELECT count(*) AS n, {r6('min(x)', '"min"')}, {r6('any_value(q1)', 'q1')}, {r6(
        {r6('any_value(q3)', 'q3')}, {r6('any_value(q3 - q1)', 'iqr')},
        {r6('min(CASE WHEN x >= q1 - 1.5 * (q3 - q1) THEN x END)', 'lower_whisker')},
        {r6('max(CASE WHEN x <= q3 + 1.5 * (q3 - q1) THEN x END)', 'upper_whisker')},
-       count_if(x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outliers, {r6('max(x)', '"max"')}
+       CAST(count_if(x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS BIGINT) AS outliers, {r6('max(x)', '"max"')}
 FROM x, qq"""))
 def delay_boxplot(spark, sf_dir):
     return D.box_stats(features(spark, sf_dir), TARGET)
@@ -121,7 +121,7 @@ def distance_bins_insight(spark, sf_dir):
 # C1-C7
 # ---------------------------------------------------------------------------
 @register("corr_pairs", q(" UNION ALL ".join(
-    f"SELECT '{a}' AS x, '{b}' AS y, count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS n_pairs, "
+    f"SELECT '{a}' AS x, '{b}' AS y, CAST(count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS BIGINT) AS n_pairs, "
     f"{r6(f'corr({a}, {b})', 'pearson')} FROM features" for a, b in CORR_PAIRS)))
 def corr_pairs(spark, sf_dir):
     return D.corr_pairs(features(spark, sf_dir), CORR_PAIRS)

@@ -28,9 +28,10 @@ def _d(a: str, b: str) -> str:
 
 
 def _counts(thr_sql: str) -> str:
-    return (f", t AS ({thr_sql}), cnt AS (SELECT threshold, count_if(score >= threshold AND label = 1) AS tp, "
-            "count_if(score >= threshold AND label = 0) AS fp, count_if(score < threshold AND label = 1) AS fn, "
-            "count_if(score < threshold AND label = 0) AS tn FROM sc, t GROUP BY threshold)")
+    return (f", t AS ({thr_sql}), cnt AS (SELECT threshold, CAST(count_if(score >= threshold AND label = 1) AS BIGINT) AS tp, "
+            "CAST(count_if(score >= threshold AND label = 0) AS BIGINT) AS fp, "
+            "CAST(count_if(score < threshold AND label = 1) AS BIGINT) AS fn, "
+            "CAST(count_if(score < threshold AND label = 0) AS BIGINT) AS tn FROM sc, t GROUP BY threshold)")
 
 
 _SWEEP_T = "SELECT CAST(round(k * 0.05, 2) AS DOUBLE) AS threshold FROM range(2, 19) r(k)"

@@ -29,7 +29,7 @@ def _yearly_csv(spark, sf_dir) -> str:
 @register("load_csv", q("""
 SELECT CAST(year(FlightDate) AS INT) AS Year, count(*) AS rows, min(FlightDate) AS first_date,
        max(FlightDate) AS last_date, CAST(sum(ArrDelayMinutes) AS DOUBLE) AS arr_delay_sum,
-       count_if(Cancelled = 1) AS cancelled
+       CAST(count_if(Cancelled = 1) AS BIGINT) AS cancelled
 FROM flights GROUP BY 1"""))
 def load_csv(spark, sf_dir):
     """Discover the yearly CSV inputs, read them with the fixed schema."""

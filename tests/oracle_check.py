@@ -17,6 +17,10 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN"}
+
+
 def duck(sf_dir):
     import duckdb
     con = duckdb.connect()
@@ -66,9 +70,13 @@ def compare(spark, con, name, fn, sql, sf_dir):
     bad = [(x, y) for x, y in zip(a, b) if x != y]
     if bad:
         return False, f"{name}: {len(bad)} rows differ, e.g. spark={bad[0][0]} duck={bad[0][1]} cols={order}"
-    # type check: numeric families must agree
-    stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
-    dtypes = dict(zip(d_cols, [str(c[1]) for c in res.description]))
+    # column types must agree too (the driver compares schemas)
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in sdf.schema.fields}
+    dtypes = dict(zip(con.sql(sql).columns, [str(t) for t in con.sql(sql).types]))
+    wrong = {c: (stypes[c], dtypes.get(c)) for c in stypes if stypes[c] != dtypes.get(c)}
+    if wrong:
+        return False, f"{name}: TYPES differ {wrong}"
     return True, f"{name}: OK rows={len(a)} spark={ts:.1f}s"
 
 
