@@ -155,10 +155,10 @@ def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     from punctual.session import ship_package
     spark = df.sparkSession
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna(how="any")
-    ranks = average_ranks(d, cols)
-    if ranks.limit(MAX_RANK_TABLE_ROWS + 1).count() > MAX_RANK_TABLE_ROWS:
+    counts = value_counts(d, cols).checkpoint()
+    if counts.limit(MAX_RANK_TABLE_ROWS + 1).count() > MAX_RANK_TABLE_ROWS:
         return corr_matrix(df, cols, "spearman")
-    pdf = ranks.toPandas()   # bounded by the check above
+    pdf = ranks_from_counts(counts).toPandas()   # bounded by the check above
     table = {c: (g.sort_values("value")["value"].to_numpy(), g.sort_values("value")["rank"].to_numpy())
              for c, g in pdf.groupby("feature")}
     bc = spark.sparkContext.broadcast(table)
@@ -173,18 +173,24 @@ def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     return corr_matrix(ranked, cols)
 
 
-def average_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Per column, value -> average rank (ties get the mean of their ranks).
-
-    All columns are stacked, counted per (feature, value), and the running
-    count is a window partitioned by feature over distinct values only.
-    """
+def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, value, cnt) for every column, in one stacked aggregation."""
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     long = df.selectExpr(f"stack({len(cols)}, {pairs}) AS (feature, value)")
-    cnt = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def ranks_from_counts(counts: DataFrame) -> DataFrame:
+    """Average rank of every distinct value: running count per feature over
+    distinct values only (callers bound the table size first)."""
     w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("cnt").over(w), F.lit(0))
-    return cnt.select("feature", "value", (before + (F.col("cnt") + 1) / 2.0).alias("rank"))
+    return counts.select("feature", "value", (before + (F.col("cnt") + 1) / 2.0).alias("rank"))
+
+
+def average_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Per column, value -> average rank (ties get the mean of their ranks)."""
+    return ranks_from_counts(value_counts(df, cols))
 
 
 def corr_with_target(matrix: DataFrame, target: str, k: int = 10) -> DataFrame:

@@ -8,10 +8,11 @@ Scale design:
   and a reverse running sum over those few rows gives TP/FP per threshold.  No
   per-threshold pass and no row x threshold expansion.
 * ROC points and ROC-AUC need running sums over *distinct scores*, whose count
-  can grow with the data.  They use a two-level prefix sum: scores are cut into
-  ``ROC_BUCKETS`` equal-width buckets; bucket totals (bounded) give each
-  bucket's offset, and the running sum inside a bucket is a window
-  partitioned by bucket.  No single-partition window over the data.
+  can grow with the data.  They use a two-level prefix sum: distinct scores are
+  cut into buckets at quantiles of the distinct scores (count sized to the
+  data); bucket totals (bounded) give each bucket's offset, and the running
+  sum inside a bucket is a window partitioned by bucket.  No single-partition
+  window over the data.
 * Zero denominators give 0 (``zero_division=0``), never null or an error.
 """
 
@@ -20,7 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROC_BUCKETS = 4096
+ROC_BUCKETS = 4096            # minimum number of score buckets
+DISTINCT_PER_BUCKET = 50_000  # target distinct scores per bucket
+MAX_ROC_BUCKETS = 1 << 22     # bound on the bucket-offset table
 SWEEP = [round(k * 0.05, 2) for k in range(2, 19)]  # 0.10, 0.15, ..., 0.90
 
 
@@ -139,17 +142,31 @@ def score_counts(scored: DataFrame, label: str = "label", score: str = "score")
 
 
 def roc_table(scored: DataFrame, label: str = "label", score: str = "score",
-              buckets: int = ROC_BUCKETS) -> DataFrame:
-    """Per distinct score s: pos, neg, tps = positives with score >= s, fps likewise."""
+              buckets: int | None = None) -> DataFrame:
+    """Per distinct score s: pos, neg, tps = positives with score >= s, fps likewise.
+
+    Two-level prefix sum.  Distinct scores are cut into buckets whose edges are
+    approximate quantiles *of the distinct scores*, so every bucket holds about
+    the same number of them however skewed the scores are; the bucket count
+    grows with the (approximate) number of distinct scores so that a bucket
+    stays near ``DISTINCT_PER_BUCKET`` values.  Bucket totals (one row per
+    bucket) give the offsets; the running sum inside a bucket is a window
+    partitioned by bucket.
+    """
+    from pyspark.ml.feature import QuantileDiscretizer
     sc = score_counts(scored, label, score).filter(F.col("score").isNotNull())
-    b = F.least(F.greatest(F.floor(F.col("score") * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    sc = sc.withColumn("bucket", b)
+    if buckets is None:
+        distinct = sc.agg(F.approx_count_distinct("score")).first()[0] or 1
+        buckets = int(min(max(ROC_BUCKETS, distinct // DISTINCT_PER_BUCKET + 1), MAX_ROC_BUCKETS))
+    qd = QuantileDiscretizer(inputCol="score", outputCol="__b", numBuckets=buckets,
+                             relativeError=min(0.001, 0.1 / buckets), handleInvalid="keep")
+    sc = qd.fit(sc).transform(sc).withColumn("bucket", F.col("__b").cast("int")).drop("__b")
     tot = sc.groupBy("bucket").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
     wb = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("bucket", F.coalesce(F.sum("bpos").over(wb), F.lit(0)).alias("opos"),
                      F.coalesce(F.sum("bneg").over(wb), F.lit(0)).alias("oneg"))
     wi = Window.partitionBy("bucket").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    # ``off`` has one row per bucket (at most ``buckets`` rows)
+    # ``off`` has one row per bucket (at most MAX_ROC_BUCKETS rows)
     return (sc.join(F.broadcast(off), "bucket")
               .select("score", "pos", "neg",
                       (F.col("opos") + F.sum("pos").over(wi)).cast("long").alias("tps"),

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,6 +131,7 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
 
 
 _MATERIALISED: dict[tuple[int, str], str] = {}
+_LOCK = threading.Lock()
 
 
 def flights(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
@@ -143,6 +145,13 @@ def flights(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataF
     if not materialize:
         return flights_view(spark, sf_dir)
     key = (id(spark.sparkContext), os.path.abspath(sf_dir))
+    with _LOCK:
+        path = _materialise(spark, sf_dir, key)
+    # ``Year`` is the partition column: filters on it prune whole folders.
+    return spark.read.parquet(path)
+
+
+def _materialise(spark: SparkSession, sf_dir: str, key) -> str:
     path = _MATERIALISED.get(key)
     if path is None:
         path = scratch_path(spark, f"flights-{_fingerprint(spark, sf_dir)}")
@@ -154,5 +163,4 @@ def flights(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataF
              .withColumn("Year", F.year("FlightDate"))
              .write.mode("overwrite").partitionBy("Year").parquet(path))
         _MATERIALISED[key] = path
-    # ``Year`` is the partition column: filters on it prune whole folders.
-    return spark.read.parquet(path)
+    return path
