@@ -180,3 +180,18 @@ def model_roundtrip(spark, sf_dir):
     a = t.score(test).select(*KEY, F.col("p_delayed").alias("p_before"))
     b = loaded.score(test).select(*KEY, F.col("p_delayed").alias("p_after"))
     return a.join(b, KEY)
+
+
+@register("attribution_feature_corr")
+def attribution_feature_corr(spark, sf_dir):
+    """Pearson matrix of the ten most important features, in model space,
+    over the explained (test) rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    from punctual.operators.distribution import corr_matrix
+    t = trained(spark, sf_dir)
+    top = [r["feature"] for r in M.feature_importance(t.model, t.pre.features).orderBy("rank").limit(10).collect()]
+    feats = t.pre.features
+    vec = t.pre.transform(PL.test_split(spark, sf_dir)).select(vector_to_array(M.FEATURES_COL).alias("v"))
+    wide = vec.select(*[F.col("v")[feats.index(f)].alias(f) for f in top])
+    return corr_matrix(wide, top)
