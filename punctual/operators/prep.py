@@ -73,8 +73,8 @@ def fit_impute_scale(train: DataFrame, numeric: list[str]) -> DataFrame:
     Two passes over ``train``: medians first (needed to impute), then moments.
     Returns ``(feature, median, mean, std)``.
     """
-    med = train.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in numeric]).first()
-    imputed = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) for c in numeric])
+    med = train.agg(*[F.median(F.col(c).try_cast("double")).alias(c) for c in numeric]).first()
+    imputed = train.select(*[F.coalesce(F.col(c).try_cast("double"), F.lit(med[c])).alias(c) for c in numeric])
     mom = imputed.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(numeric)],
                       *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(numeric)]).first()
     rows = [(c, None if med[c] is None else float(med[c]), mom[f"m_{i}"],
@@ -89,7 +89,7 @@ def apply_impute_scale(df: DataFrame, params: DataFrame, numeric: list[str]) ->
     out = {}
     for c in numeric:
         r = p[c]
-        x = F.coalesce(F.col(c).cast("double"), F.lit(r["median"]))
+        x = F.coalesce(F.col(c).try_cast("double"), F.lit(r["median"]))
         out[c] = F.coalesce((x - F.lit(r["mean"])) / F.lit(r["std"]), F.lit(0.0))
     return df.withColumns(out)
 

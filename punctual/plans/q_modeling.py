@@ -195,3 +195,11 @@ def attribution_feature_corr(spark, sf_dir):
     vec = t.pre.transform(PL.test_split(spark, sf_dir)).select(vector_to_array(M.FEATURES_COL).alias("v"))
     wide = vec.select(*[F.col("v")[feats.index(f)].alias(f) for f in top])
     return corr_matrix(wide, top)
+
+
+@register("surrogate_importance")
+def surrogate_importance(spark, sf_dir):
+    """L17/P-13: split importances of the surrogate tree, positive ones only."""
+    t = trained(spark, sf_dir)
+    tree = M.fit_surrogate(t.pre.transform(PL.balanced_train(spark, sf_dir)))
+    return M.feature_importance(tree, t.pre.features).filter(F.col("importance") > 0)

@@ -81,22 +81,34 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable in executor Python workers.
 
     Operators that run Python on executors (``mapInPandas``) call this once per
-    SparkContext.  It zips the package and registers it with ``addPyFile``, the
-    same mechanism as ``--py-files``; Spark distributes the file to every
-    executor.  When the package is already shipped it does nothing.
+    SparkContext.  The package is zipped in memory, written into the shared
+    checkpoint folder through the Hadoop FileSystem API, and registered with
+    ``addPyFile`` (the mechanism behind ``--py-files``), so every executor --
+    including replacements for lost ones -- fetches the same file.
     """
+    import io
     import zipfile
 
     sc = spark.sparkContext
     if id(sc) in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    zpath = os.path.join(tempfile.mkdtemp(prefix="punctual-pyfiles-"), "punctual.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, names in os.walk(pkg_dir):
-            for n in names:
+            for n in sorted(names):
                 if n.endswith(".py"):
                     full = os.path.join(root, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    sc.addPyFile(zpath)
+    data = buf.getvalue()
+    import hashlib
+    target = scratch_path(spark, f"pyfiles/punctual-{hashlib.sha1(data).hexdigest()[:12]}.zip")
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(id(sc))
