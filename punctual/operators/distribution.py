@@ -144,10 +144,10 @@ def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
     Average ranks come from (feature, distinct value) counts (see
     :func:`average_ranks`).  When that table is small enough (checked count) it
-    is broadcast as sorted arrays and every row's values are mapped to ranks
-    with a vectorised binary search inside ``mapInPandas``; the Pearson pass
-    then runs on the rank columns.  Beyond the bound, Spark ML's distributed
-    rank sort is used instead.
+    is broadcast as sorted arrays; inside ``mapInPandas`` every batch maps its
+    values to ranks with a vectorised binary search and emits the centred
+    co-moment matrix of its ranks (k x k numbers), which Spark sums.  Beyond
+    the bound, Spark ML's distributed rank sort is used instead.
     """
     import numpy as np
     import pandas as pd
@@ -161,16 +161,35 @@ def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     pdf = ranks_from_counts(counts).toPandas()   # bounded by the check above
     table = {c: (g.sort_values("value")["value"].to_numpy(), g.sort_values("value")["rank"].to_numpy())
              for c, g in pdf.groupby("feature")}
+    n_rows = float(pdf[pdf["feature"] == cols[0]]["cnt"].sum())
+    if n_rows == 0:
+        return spark.createDataFrame([(a, b, float("nan")) for a in cols for b in cols],
+                                     "feature_x string, feature_y string, r double")
     bc = spark.sparkContext.broadcast(table)
     ship_package(spark)
+    # average ranks of n rows always have mean (n + 1) / 2, so centred
+    # co-moments can be summed batch by batch and merged by a plain sum
+    mu = (n_rows + 1.0) / 2.0
+    k = len(cols)
 
-    def to_ranks(batches):
+    def comoments(batches):
         t = bc.value
         for b in batches:
-            yield pd.DataFrame({c: t[c][1][np.searchsorted(t[c][0], b[c].to_numpy())] for c in cols})
-
-    ranked = d.mapInPandas(to_ranks, ", ".join(f"`{c}` double" for c in cols))
-    return corr_matrix(ranked, cols)
+            if b.empty:
+                continue
+            r = np.column_stack([t[c][1][np.searchsorted(t[c][0], b[c].to_numpy())] for c in cols]) - mu
+            yield pd.DataFrame({"g": [(r.T @ r).reshape(-1).tolist()]})
+
+    parts = d.mapInPandas(comoments, "g array<double>")
+    sums = (parts.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")))
+    g = np.zeros(k * k)
+    for row in sums.collect():            # k * k values
+        g[row["i"]] = row["v"]
+    g = g.reshape(k, k)
+    dg = np.sqrt(np.diag(g))
+    rows = [(a, b, float(g[i, j] / (dg[i] * dg[j])) if dg[i] > 0 and dg[j] > 0 else float("nan"))
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return spark.createDataFrame(rows, "feature_x string, feature_y string, r double")
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -185,7 +204,7 @@ def ranks_from_counts(counts: DataFrame) -> DataFrame:
     distinct values only (callers bound the table size first)."""
     w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("cnt").over(w), F.lit(0))
-    return counts.select("feature", "value", (before + (F.col("cnt") + 1) / 2.0).alias("rank"))
+    return counts.select("feature", "value", "cnt", (before + (F.col("cnt") + 1) / 2.0).alias("rank"))
 
 
 def average_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
