@@ -1,7 +1,7 @@
 """Histograms, box-plot statistics, binned summaries, correlations.
 
-* Histogram ranges and box-plot quartiles are scalar subqueries: one tiny
-  aggregated value inlined into the per-row expression, no join.
+* Histogram ranges and box-plot quartiles are a few numbers from one small
+  aggregation, inlined into the per-row expressions as literals: no join.
 * Bin counts are a partial + final aggregation over at most ``bins`` keys;
   empty bins come back from a generated (series, bin) grid left-joined with
   that bounded aggregate.
@@ -28,44 +28,64 @@ def histogram(df: DataFrame, col: str, bins: int = 100, series: dict[str, Column
 
     The last bin is closed on the right (numpy semantics).  ``series`` maps a
     fixed set of labels to row predicates (first match wins); one histogram per
-    label is built, each over its own range, in the same pass.
+    label is built, each over its own range.  The ranges of all labels come
+    from one small aggregation (two numbers per label, collected), so the
+    binning itself is a single pass with literal bounds and no join.
     """
-    if series:
-        s = None
-        for lab, cond in series.items():
-            s = F.when(cond, lab) if s is None else s.when(cond, lab)
-    else:
-        s = F.lit("all")
+    spark = df.sparkSession
+    series = series or {"all": F.lit(True)}
+    s = None
+    for lab, cond in series.items():
+        s = F.when(cond, lab) if s is None else s.when(cond, lab)
     x = df.select(s.alias("series"), F.col(col).cast("double").alias("x")) \
           .filter(F.col("x").isNotNull() & F.col("series").isNotNull())
-    # one row per series label: at most len(series) rows, so broadcasting is safe
-    rng = x.groupBy("series").agg(F.min("x").alias("lo"), F.max("x").alias("hi")) \
-           .withColumn("w", (F.col("hi") - F.col("lo")) / bins)
-    b = F.when(F.col("w") == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("x") - F.col("lo")) / F.col("w")), F.lit(bins - 1))).cast("int")
-    counts = (x.join(F.broadcast(rng), "series").select("series", b.alias("bin"))
-               .groupBy("series", "bin").agg(F.count(F.lit(1)).alias("count")))
-    # every (series, bin) cell, generated from the range rows -- no join needed
-    grid = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    out = (grid.join(counts, ["series", "bin"], "left")
-               .select("series", "bin",
-                       (F.col("lo") + F.col("bin") * F.col("w")).alias("bin_lo"),
-                       (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("bin_hi"),
-                       F.coalesce(F.col("count"), F.lit(0)).alias("count")))
-    return out.orderBy("series", "bin")
+    aggs = []
+    for i, lab in enumerate(series):
+        xi = F.when(F.col("series") == lab, F.col("x"))
+        aggs += [F.min(xi).alias(f"lo{i}"), F.max(xi).alias(f"hi{i}")]
+    r = x.agg(*aggs).first()                                # 2 numbers per label
+    rng = {lab: (r[f"lo{i}"], r[f"hi{i}"]) for i, lab in enumerate(series)}
+    b = None
+    for lab, (lo, hi) in rng.items():
+        if lo is None:
+            continue
+        w = (hi - lo) / bins
+        e = F.lit(0) if w == 0 else F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(w)), F.lit(bins - 1))
+        b = F.when(F.col("series") == lab, e) if b is None else b.when(F.col("series") == lab, e)
+    grid = spark.createDataFrame(
+        [(lab, i, lo + i * ((hi - lo) / bins), lo + (i + 1) * ((hi - lo) / bins))
+         for lab, (lo, hi) in rng.items() if lo is not None for i in range(bins)],
+        "series string, bin int, bin_lo double, bin_hi double")
+    if b is None:
+        return grid.withColumn("count", F.lit(0).cast("long"))
+    counts = x.select("series", b.cast("int").alias("bin")).groupBy("series", "bin") \
+              .agg(F.count(F.lit(1)).alias("count"))
+    # the grid has len(series) * bins rows; counts has at most as many
+    return (grid.join(F.broadcast(counts), ["series", "bin"], "left")
+                .withColumn("count", F.coalesce(F.col("count"), F.lit(0).cast("long")))
+                .orderBy("series", "bin"))
 
 
 def box_stats(df: DataFrame, col: str) -> DataFrame:
-    """D3: quartiles (linear), 1.5 IQR whiskers and outlier count of non-null values."""
+    """D3: quartiles (linear), 1.5 IQR whiskers and outlier count of non-null values.
+
+    Two passes: the three quartiles (one aggregation, three numbers collected),
+    then counts / whiskers with the fences as literals.
+    """
     x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    q = x.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q1, med, q3 = (q.select(F.col("q")[i]).scalar() for i in range(3))
-    iqr = q3 - q1
-    lo_f, hi_f = q1 - 1.5 * iqr, q3 + 1.5 * iqr
+    q = x.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).first()["q"]
+    q1, med, q3 = (None, None, None) if q is None else q
     xs = F.col("x")
+    if q1 is None:
+        lo_f = hi_f = F.lit(None).cast("double")
+        iqr = None
+    else:
+        iqr = q3 - q1
+        lo_f, hi_f = F.lit(q1 - 1.5 * iqr), F.lit(q3 + 1.5 * iqr)
+    lit = lambda v: F.lit(v).cast("double")
     return x.agg(
-        F.count(F.lit(1)).alias("n"), F.min(xs).alias("min"), q1.alias("q1"), med.alias("median"),
-        q3.alias("q3"), iqr.alias("iqr"),
+        F.count(F.lit(1)).alias("n"), F.min(xs).alias("min"), lit(q1).alias("q1"), lit(med).alias("median"),
+        lit(q3).alias("q3"), lit(iqr).alias("iqr"),
         F.min(F.when(xs >= lo_f, xs)).alias("lower_whisker"),
         F.max(F.when(xs <= hi_f, xs)).alias("upper_whisker"),
         F.count_if((xs < lo_f) | (xs > hi_f)).alias("outliers"), F.max(xs).alias("max"))

@@ -142,22 +142,31 @@ def score_counts(scored: DataFrame, label: str = "label", score: str = "score")
 
 
 def roc_table(scored: DataFrame, label: str = "label", score: str = "score",
-              buckets: int | None = None) -> DataFrame:
-    """Per distinct score s: pos, neg, tps = positives with score >= s, fps likewise.
-
-    Two-level prefix sum.  Distinct scores are cut into buckets whose edges are
-    approximate quantiles *of the distinct scores*, so every bucket holds about
-    the same number of them however skewed the scores are; the bucket count
-    grows with the (approximate) number of distinct scores so that a bucket
-    stays near ``DISTINCT_PER_BUCKET`` values.  Bucket totals (one row per
-    bucket) give the offsets; the running sum inside a bucket is a window
-    partitioned by bucket.
+              buckets: int | None = None) -> tuple[DataFrame, int, int]:
+    """Per distinct score s: pos, neg, tps = positives with score >= s, fps
+    likewise; plus the totals P and N.
+
+    Two-level prefix sum.  The distinct-score table is an aggregate of the data
+    and is checkpointed once; its row count and the class totals come from one
+    small job.  When there are more distinct scores than one bucket should hold
+    (``DISTINCT_PER_BUCKET``), they are cut into buckets at quantiles *of the
+    distinct scores* (so skewed scores still spread evenly); bucket totals (one
+    row per bucket) give the offsets and the running sum inside a bucket is a
+    window partitioned by bucket.
     """
     from pyspark.ml.feature import QuantileDiscretizer
-    sc = score_counts(scored, label, score).filter(F.col("score").isNotNull())
+    sc = score_counts(scored, label, score).filter(F.col("score").isNotNull()).checkpoint()
+    st = sc.agg(F.count(F.lit(1)).alias("d"), F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    distinct, P, N = st["d"], int(st["P"] or 0), int(st["N"] or 0)
     if buckets is None:
-        distinct = sc.agg(F.approx_count_distinct("score")).first()[0] or 1
-        buckets = int(min(max(ROC_BUCKETS, distinct // DISTINCT_PER_BUCKET + 1), MAX_ROC_BUCKETS))
+        buckets = 1 if distinct <= DISTINCT_PER_BUCKET else int(
+            min(max(ROC_BUCKETS, distinct // DISTINCT_PER_BUCKET + 1), MAX_ROC_BUCKETS))
+    if buckets <= 1:
+        # at most DISTINCT_PER_BUCKET distinct scores: one running sum
+        w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        table = sc.select("score", "pos", "neg", F.sum("pos").over(w).cast("long").alias("tps"),
+                          F.sum("neg").over(w).cast("long").alias("fps"))
+        return table, P, N
     qd = QuantileDiscretizer(inputCol="score", outputCol="__b", numBuckets=buckets,
                              relativeError=min(0.001, 0.1 / buckets), handleInvalid="keep")
     sc = qd.fit(sc).transform(sc).withColumn("bucket", F.col("__b").cast("int")).drop("__b")
@@ -167,30 +176,28 @@ def roc_table(scored: DataFrame, label: str = "label", score: str = "score",
                      F.coalesce(F.sum("bneg").over(wb), F.lit(0)).alias("oneg"))
     wi = Window.partitionBy("bucket").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     # ``off`` has one row per bucket (at most MAX_ROC_BUCKETS rows)
-    return (sc.join(F.broadcast(off), "bucket")
-              .select("score", "pos", "neg",
-                      (F.col("opos") + F.sum("pos").over(wi)).cast("long").alias("tps"),
-                      (F.col("oneg") + F.sum("neg").over(wi)).cast("long").alias("fps")))
+    table = (sc.join(F.broadcast(off), "bucket")
+               .select("score", "pos", "neg",
+                       (F.col("opos") + F.sum("pos").over(wi)).cast("long").alias("tps"),
+                       (F.col("oneg") + F.sum("neg").over(wi)).cast("long").alias("fps")))
+    return table, P, N
 
 
 def roc_curve(scored: DataFrame, **kw) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, plus the (0, 0) start
     point with a null threshold.  All points are kept (no collinear dropping)."""
-    t = roc_table(scored, **kw)
-    P, N = t.agg(F.sum("pos")).scalar(), t.agg(F.sum("neg")).scalar()  # scalar subqueries
-    curve = t.select(F.col("score").alias("threshold"), _div0(F.col("fps"), N).alias("fpr"),
-                     _div0(F.col("tps"), P).alias("tpr"), "tps", "fps")
+    t, P, N = roc_table(scored, **kw)
+    curve = t.select(F.col("score").alias("threshold"), _div0(F.col("fps"), F.lit(N)).alias("fpr"),
+                     _div0(F.col("tps"), F.lit(P)).alias("tpr"), "tps", "fps")
     start = scored.sparkSession.createDataFrame([(None, 0.0, 0.0, 0, 0)],
                                                 "threshold double, fpr double, tpr double, tps long, fps long")
     return start.unionByName(curve).orderBy(F.col("threshold").desc_nulls_first())
 
 
 def roc_auc(scored: DataFrame, **kw) -> DataFrame:
-    """ROC-AUC by the rank-sum rule (tied scores count one half)."""
-    t = roc_table(scored, **kw)
-    agg = t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                F.sum(F.col("pos") * (F.col("fps") * -1.0 + 0.5 * F.col("neg"))).alias("__a"),
-                F.sum(F.col("pos").cast("double")).alias("__p"))
-    # sum pos*(N - fps + neg/2) = N*P + sum pos*(-fps + neg/2)
-    return agg.select(_div0(F.col("N") * F.col("P") + F.col("__a"), F.col("P") * F.col("N")).alias("roc_auc"),
-                      F.col("P").cast("long").alias("n_pos"), F.col("N").cast("long").alias("n_neg"))
+    """ROC-AUC by the rank-sum rule (tied scores count one half):
+    AUC = sum_s pos_s * (N - fps_s + neg_s / 2) / (P * N)."""
+    t, P, N = roc_table(scored, **kw)
+    s = t.agg(F.sum(F.col("pos") * (F.lit(float(N)) - F.col("fps") + 0.5 * F.col("neg"))).alias("__s"))
+    return s.select(_div0(F.col("__s"), F.lit(float(P) * float(N))).alias("roc_auc"),
+                    F.lit(P).cast("long").alias("n_pos"), F.lit(N).cast("long").alias("n_neg"))

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from punctual.operators.common import BROADCAST_MAX_ROWS, checked_broadcast
+from punctual.operators.common import BROADCAST_MAX_ROWS
 from punctual.session import checkpoint_dir
 
 MAX_BOUNDARY_ROWS = 1_000_000
@@ -40,10 +40,17 @@ def hash_hex(key: str | Column, seed: int = 42) -> Column:
     return F.md5(F.concat(k.cast("string"), F.lit(f":{seed}")))
 
 
-def _with_groups(df: DataFrame, groups: list[str]) -> tuple[DataFrame, list[str]]:
+def _attach(df: DataFrame, small: DataFrame, groups: list[str], n_small: int, how: str = "inner") -> DataFrame:
+    """Attach a small per-group table to ``df``.
+
+    With group columns it is an equi-join, broadcast when ``n_small`` (already
+    counted) is within the broadcast bound.  Without groups the small table has
+    at most one row and its columns become scalar subqueries -- no join.
+    """
     if groups:
-        return df, groups
-    return df.withColumn("__g", F.lit(0)), ["__g"]
+        side = F.broadcast(small) if n_small <= BROADCAST_MAX_ROWS else small
+        return df.join(side, groups, how)
+    return df.select("*", *[small.select(c).scalar().alias(c) for c in small.columns])
 
 
 def hash_cut(df: DataFrame, hx: str, ties: list[str], groups: list[str], targets: DataFrame) -> DataFrame:
@@ -70,19 +77,18 @@ def hash_cut(df: DataFrame, hx: str, ties: list[str], groups: list[str], targets
             cut = None
             break
         # ``bound`` has one row per open group; its size was just counted
-        bb = F.broadcast(bound) if st["g"] <= BROADCAST_MAX_ROWS else bound
         if st["m"] <= MAX_BOUNDARY_ROWS or width + HEX_STEP > 32:
             # exact rank inside the (small) boundary bucket of every group
-            rows = slim.join(bb, groups).filter(F.substring(hx, 1, width) == F.col("prefix"))
+            rows = _attach(slim, bound, groups, st["g"]).filter(F.substring(hx, 1, width) == F.col("prefix"))
             w = Window.partitionBy(*groups).orderBy(hx, *ties)
             cut = (rows.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == F.col("need"))
                        .select(*groups, F.struct(F.col(hx), *[F.col(t) for t in ties]).alias("__cut")))
             break
         width += HEX_STEP
-        rows = slim.join(bb, groups).filter(F.substring(hx, 1, width - HEX_STEP) == F.col("prefix"))
+        rows = _attach(slim, bound, groups, st["g"]).filter(F.substring(hx, 1, width - HEX_STEP) == F.col("prefix"))
         hist = rows.groupBy(*groups, F.substring(hx, 1, width).alias("bucket")) \
                    .agg(F.count(F.lit(1)).alias("cnt"))
-        hist = hist.join(bb.select(*groups, "need"), groups)
+        hist = _attach(hist, bound.select(*groups, "need"), groups, st["g"])
         wc = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("cum", F.sum("cnt").over(wc))
         first = (hist.filter(F.col("cum") >= F.col("need"))
@@ -112,22 +118,21 @@ def smallest_by_hash(df: DataFrame, key: str, ties: list[str], k: int | None = N
     is returned with a boolean column ``flag`` instead of filtering.
     """
     checkpoint_dir(df.sparkSession)
-    df, groups = _with_groups(df, list(groups or []))
+    groups = list(groups or [])
     hx = "__hx"
     d = df.withColumn(hx, hash_hex(key, seed))
     counts = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
     kcol = F.lit(int(k)) if k is not None else F.round(F.col("n") * F.lit(float(fraction))).cast("long")
     targets = counts.select(*groups, "n", F.least(kcol, F.col("n")).alias("k")).checkpoint()
     cut = hash_cut(d, hx, ties, groups, targets)
-    j = d.join(checked_broadcast(cut), groups, "left")
+    j = _attach(d, cut, groups, cut.count(), "left")
     inside = F.coalesce(F.col("__all"), F.lit(False)) | \
         F.coalesce(F.struct(F.col(hx), *[F.col(t) for t in ties]) <= F.col("__cut"), F.lit(False))
     if flag:
         out = j.withColumn(flag, inside)
     else:
         out = j.filter(inside)
-    drop = [hx, "__all", "__cut"] + (["__g"] if groups == ["__g"] else [])
-    return out.drop(*drop)
+    return out.drop(hx, "__all", "__cut")
 
 
 # ---------------------------------------------------------------------------

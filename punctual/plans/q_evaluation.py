@@ -135,12 +135,13 @@ def eval_summary(spark, sf_dir):
     sc = scored(spark, sf_dir)
     sw = E.threshold_sweep(sc)
     auc = E.roc_auc(sc)
-    d = sw.filter(F.col("threshold") == DEFAULT_THRESHOLD).select("accuracy").scalar()
-    hr = E.operating_point(sw, HIGH_RECALL_FLOOR).select("threshold").scalar()
+    d = sw.filter(F.col("threshold") == DEFAULT_THRESHOLD).select("accuracy").first()[0]   # sweep: 17 rows
+    hr = E.operating_point(sw, HIGH_RECALL_FLOOR).select("threshold").first()[0]
     return auc.select((F.col("n_pos") + F.col("n_neg")).alias("n_test"),
                       (F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))).alias("delay_rate_test"),
-                      d.alias("accuracy_default_thr"), "roc_auc",
-                      F.lit(DEFAULT_THRESHOLD).alias("default_threshold"), hr.alias("high_recall_threshold"))
+                      F.lit(d).cast("double").alias("accuracy_default_thr"), "roc_auc",
+                      F.lit(DEFAULT_THRESHOLD).alias("default_threshold"),
+                      F.lit(hr).cast("double").alias("high_recall_threshold"))
 
 
 @register("risk_bands", q(_SC + f"""

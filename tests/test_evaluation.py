@@ -57,3 +57,13 @@ def test_operating_point_prefers_recall_floor(spark):
     assert E.operating_point(sw, 0.75).first().threshold == 0.2
     assert E.operating_point(sw, 0.95).first().threshold == 0.1   # none qualifies -> best recall
     assert E.nearest_threshold(sw, 0.26).first().threshold == 0.3
+
+
+def test_roc_bucketed_prefix_sums_match_single_bucket(spark):
+    df = spark.range(4000).selectExpr("CAST(id % 3 = 0 AS INT) AS label",
+                                      "round(pow((id * 7919 % 1000) / 1000.0, 3), 4) AS score")
+    one, P, N = E.roc_table(df, buckets=1)
+    many, P2, N2 = E.roc_table(df, buckets=37)   # skewed scores, quantile buckets
+    a = {r.score: (r.tps, r.fps) for r in one.collect()}
+    b = {r.score: (r.tps, r.fps) for r in many.collect()}
+    assert (P, N) == (P2, N2) and a == b
