@@ -68,3 +68,19 @@ def balanced_train(spark: SparkSession, sf_dir: str, exclude_test: bool = True)
 
 def test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(spark, sf_dir).filter(F.col("split") == "test").drop("split")
+
+
+def write_sample(spark: SparkSession, sf_dir: str, out_dir: str, k: int = SAMPLE_PER_YEAR) -> str:
+    """E-1 build step: the per-year sample written as one CSV dataset."""
+    from punctual.sources.files import SAMPLED_NAME, write_table
+    path = f"{out_dir.rstrip('/')}/{SAMPLED_NAME}.csv"
+    return write_table(sampled_flights(spark, sf_dir, k).drop("Year"), path, fmt="csv", partition_by=())
+
+
+def write_datasets(spark: SparkSession, sf_dir: str, out_dir: str, fmt: str = "parquet") -> dict[str, str]:
+    """E-2 build step: balanced train set and real-distribution test set."""
+    from punctual.sources.files import write_table
+    out = {"train": f"{out_dir.rstrip('/')}/train", "test": f"{out_dir.rstrip('/')}/test"}
+    write_table(balanced_train(spark, sf_dir), out["train"], fmt=fmt, partition_by=())
+    write_table(test_split(spark, sf_dir), out["test"], fmt=fmt, partition_by=())
+    return out
