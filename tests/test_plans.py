@@ -34,3 +34,10 @@ def test_year_filter_prunes_partitions_and_columns(spark):
 def test_aggregations_are_partial_before_the_shuffle(spark):
     plan = _plan(E.queries()["airline_performance"](spark, SF_SMALL))
     assert "partial_percentile" in plan and "partial_avg" in plan
+
+
+def test_fact_table_is_never_the_broadcast_side(spark):
+    from punctual.sources.flights import flights_view
+    plan = _plan(flights_view(spark, SF_SMALL))
+    assert "BuildLeft" not in plan          # every join probes with the lineitem stream
+    assert plan.count("BroadcastHashJoin") + plan.count("SortMergeJoin") >= 6
