@@ -44,7 +44,7 @@ def model_table(spark: SparkSession, sf_dir: str, sampled: bool = True) -> DataF
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: model table with a ``split`` column ('train' / 'test'), checkpointed."""
-    key = ("split", id(spark.sparkContext), sf_dir)
+    key = ("split", spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         s = sampling.stratified_split(model_table(spark, sf_dir), TARGET, TRAIN_FRACTION,
                                       "FlightKey", ROW_KEY, seed=SPLIT_SEED)
@@ -55,7 +55,7 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def balanced_train(spark: SparkSession, sf_dir: str, exclude_test: bool = True) -> DataFrame:
     """M5: train split + extra delayed rows drawn from all flights; ``source``
     tells 'base' from 'extra' rows."""
-    key = ("balanced", id(spark.sparkContext), sf_dir, exclude_test)
+    key = ("balanced", spark.sparkContext.applicationId, sf_dir, exclude_test)
     if key not in _CACHE:
         s = split(spark, sf_dir)
         train = s.filter(F.col("split") == "train").drop("split").withColumn("source", F.lit("base"))

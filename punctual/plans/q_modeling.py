@@ -28,7 +28,7 @@ _MODELS: dict[tuple, M.TrainedModel] = {}
 
 def trained(spark, sf_dir, grid=None) -> M.TrainedModel:
     """Fit (once per session and input) on the balanced train set."""
-    k = (id(spark.sparkContext), sf_dir)
+    k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _MODELS:
         _MODELS[k] = M.train(PL.balanced_train(spark, sf_dir), grid or M.SMALL_GRID, "FlightKey", KEY)
     return _MODELS[k]
@@ -97,7 +97,7 @@ _ATTR: dict[tuple, object] = {}
 
 def attribution_table(spark, sf_dir):
     """X1 over the whole test split, written once to the checkpoint folder."""
-    k = (id(spark.sparkContext), sf_dir)
+    k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _ATTR:
         t = trained(spark, sf_dir)
         a = X.attributions(t, PL.test_split(spark, sf_dir), KEY, _model_dir(spark, "explained"))

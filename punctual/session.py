@@ -42,7 +42,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
-_LOCAL_DIRS: dict[int, str] = {}
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -60,10 +60,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover - conf lookup differences
             d = None
     if not d:
-        d = _LOCAL_DIRS.get(id(sc))
+        d = _LOCAL_DIRS.get(sc.applicationId)
     if not d:
         d = tempfile.mkdtemp(prefix="punctual-ckpt-")
-        _LOCAL_DIRS[id(sc)] = d
+        _LOCAL_DIRS[sc.applicationId] = d
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
@@ -74,7 +74,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -90,7 +90,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     buf = io.BytesIO()
@@ -111,4 +111,4 @@ def ship_package(spark: SparkSession) -> None:
         out.write(bytearray(data))
         out.close()
     sc.addPyFile(target)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)

@@ -148,7 +148,7 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha1("\n".join(sorted(parts)).encode()).hexdigest()[:16]
 
 
-_MATERIALISED: dict[tuple[int, str], str] = {}
+_MATERIALISED: dict[tuple[str, str], str] = {}
 _LOCK = threading.Lock()
 
 
@@ -162,7 +162,7 @@ def flights(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataF
     """
     if not materialize:
         return flights_view(spark, sf_dir)
-    key = (id(spark.sparkContext), os.path.abspath(sf_dir))
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     with _LOCK:
         path = _materialise(spark, sf_dir, key)
     # ``Year`` is the partition column: filters on it prune whole folders.
