@@ -6,8 +6,10 @@
   empty bins come back from a generated (series, bin) grid left-joined with
   that bounded aggregate.
 * Correlation pairs are ``corr`` aggregates (co-moment state merged
-  map-side); full matrices use Spark ML's ``Correlation`` (Gramian
-  tree-aggregate; distributed rank sort for Spearman).
+  map-side); Pearson matrices use Spark ML's ``Correlation`` (Gramian
+  tree-aggregate); Spearman matrices sum per-batch centred co-moments of
+  ranks (k x k numbers per Arrow batch), with ML's distributed rank sort as
+  the fallback beyond the rank-table bound.
 * Average ranks for a single column are computed on (feature, distinct value)
   counts -- the window runs per feature over distinct values only.
 """
@@ -138,15 +140,9 @@ def corr_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def corr_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> DataFrame:
-    """Full correlation matrix (long: feature_x, feature_y, r) over rows
-    with no null in ``cols`` (listwise deletion).
-
-    Uses Spark ML's ``Correlation``: Pearson is one tree-aggregated Gramian
-    pass; Spearman ranks every column with a distributed sort (ties get their
-    average rank) before the same Pearson pass.  The result is a |cols| x |cols|
-    matrix -- bounded by the column count, not the data -- turned into rows.
-    """
+def _ml_corr(df: DataFrame, cols: list[str], method: str) -> DataFrame:
+    """Spark ML ``Correlation`` (Gramian tree-aggregate; distributed rank sort
+    for Spearman), for inputs beyond the bounds of the co-moment path."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna(how="any")
@@ -156,6 +152,55 @@ def corr_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> Data
     return df.sparkSession.createDataFrame(rows, "feature_x string, feature_y string, r double")
 
 
+def _matrix_rows(spark, cols: list[str], g) -> DataFrame:
+    import numpy as np
+    dg = np.sqrt(np.diag(g))
+    rows = [(a, b, float(g[i, j] / (dg[i] * dg[j])) if dg[i] > 0 and dg[j] > 0 else float("nan"))
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return spark.createDataFrame(rows, "feature_x string, feature_y string, r double")
+
+
+def _comoment_matrix(d: DataFrame, cols: list[str], centre, to_values=None):
+    """Sum over rows of (x - centre)(x - centre)^T, computed per Arrow batch in
+    numpy (k x k numbers per batch) and added up by Spark."""
+    import numpy as np
+    import pandas as pd
+
+    from punctual.session import ship_package
+    ship_package(d.sparkSession)
+    k = len(cols)
+    mu = np.asarray(centre, dtype=float)
+
+    def comoments(batches):
+        for b in batches:
+            if b.empty:
+                continue
+            x = to_values(b) if to_values else b[cols].to_numpy(dtype=float)
+            r = x - mu
+            yield pd.DataFrame({"g": [(r.T @ r).reshape(-1).tolist()]})
+
+    parts = d.mapInPandas(comoments, "g array<double>")
+    sums = parts.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    g = np.zeros(k * k)
+    for row in sums.collect():            # k * k values
+        g[row["i"]] = row["v"]
+    return g.reshape(k, k)
+
+
+def corr_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> DataFrame:
+    """Full correlation matrix (long: feature_x, feature_y, r) over rows
+    with no null in ``cols`` (listwise deletion).
+
+    Pearson uses Spark ML's ``Correlation`` (one tree-aggregated Gramian pass,
+    measured faster here than a two-pass centred co-moment job); Spearman uses
+    :func:`spearman_matrix`.  The result is |cols| x |cols| rows -- bounded by
+    the column count, not the data.
+    """
+    if method == "spearman":
+        return spearman_matrix(df, cols)
+    return _ml_corr(df, cols, "pearson")
+
+
 MAX_RANK_TABLE_ROWS = 2_000_000
 
 
@@ -166,50 +211,32 @@ def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     :func:`average_ranks`).  When that table is small enough (checked count) it
     is broadcast as sorted arrays; inside ``mapInPandas`` every batch maps its
     values to ranks with a vectorised binary search and emits the centred
-    co-moment matrix of its ranks (k x k numbers), which Spark sums.  Beyond
-    the bound, Spark ML's distributed rank sort is used instead.
+    co-moment matrix of its ranks (average ranks of n rows have mean
+    (n + 1) / 2 exactly), which Spark sums.  Beyond the bound, Spark ML's
+    distributed rank sort is used instead.
     """
     import numpy as np
-    import pandas as pd
 
-    from punctual.session import ship_package
     spark = df.sparkSession
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna(how="any")
     counts = value_counts(d, cols).checkpoint()
     if counts.limit(MAX_RANK_TABLE_ROWS + 1).count() > MAX_RANK_TABLE_ROWS:
-        return corr_matrix(df, cols, "spearman")
+        return _ml_corr(df, cols, "spearman")
     pdf = ranks_from_counts(counts).toPandas()   # bounded by the check above
-    table = {c: (g.sort_values("value")["value"].to_numpy(), g.sort_values("value")["rank"].to_numpy())
-             for c, g in pdf.groupby("feature")}
     n_rows = float(pdf[pdf["feature"] == cols[0]]["cnt"].sum())
     if n_rows == 0:
         return spark.createDataFrame([(a, b, float("nan")) for a in cols for b in cols],
                                      "feature_x string, feature_y string, r double")
+    table = {c: (g.sort_values("value")["value"].to_numpy(), g.sort_values("value")["rank"].to_numpy())
+             for c, g in pdf.groupby("feature")}
     bc = spark.sparkContext.broadcast(table)
-    ship_package(spark)
-    # average ranks of n rows always have mean (n + 1) / 2, so centred
-    # co-moments can be summed batch by batch and merged by a plain sum
-    mu = (n_rows + 1.0) / 2.0
-    k = len(cols)
 
-    def comoments(batches):
+    def to_ranks(b):
         t = bc.value
-        for b in batches:
-            if b.empty:
-                continue
-            r = np.column_stack([t[c][1][np.searchsorted(t[c][0], b[c].to_numpy())] for c in cols]) - mu
-            yield pd.DataFrame({"g": [(r.T @ r).reshape(-1).tolist()]})
+        return np.column_stack([t[c][1][np.searchsorted(t[c][0], b[c].to_numpy())] for c in cols])
 
-    parts = d.mapInPandas(comoments, "g array<double>")
-    sums = (parts.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")))
-    g = np.zeros(k * k)
-    for row in sums.collect():            # k * k values
-        g[row["i"]] = row["v"]
-    g = g.reshape(k, k)
-    dg = np.sqrt(np.diag(g))
-    rows = [(a, b, float(g[i, j] / (dg[i] * dg[j])) if dg[i] > 0 and dg[j] > 0 else float("nan"))
-            for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return spark.createDataFrame(rows, "feature_x string, feature_y string, r double")
+    mu = [(n_rows + 1.0) / 2.0] * len(cols)
+    return _matrix_rows(spark, cols, _comoment_matrix(d, cols, mu, to_ranks))
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
