@@ -219,10 +219,14 @@ def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
     spark = df.sparkSession
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna(how="any")
-    counts = value_counts(d, cols).checkpoint()
-    if counts.limit(MAX_RANK_TABLE_ROWS + 1).count() > MAX_RANK_TABLE_ROWS:
+    # one job: the distinct-value counts, fetched only up to the bound
+    pdf = value_counts(d, cols).limit(MAX_RANK_TABLE_ROWS + 1).toPandas()
+    if len(pdf) > MAX_RANK_TABLE_ROWS:
         return _ml_corr(df, cols, "spearman")
-    pdf = ranks_from_counts(counts).toPandas()   # bounded by the check above
+    # average rank = values strictly below + (ties + 1) / 2, per feature
+    pdf = pdf.sort_values(["feature", "value"])
+    below = pdf.groupby("feature")["cnt"].cumsum() - pdf["cnt"]
+    pdf["rank"] = below + (pdf["cnt"] + 1) / 2.0
     n_rows = float(pdf[pdf["feature"] == cols[0]]["cnt"].sum())
     if n_rows == 0:
         return spark.createDataFrame([(a, b, float("nan")) for a in cols for b in cols],
