@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm import bpe, decontamination
+from punctual.llm import (bpe, decontamination, language_model, ngram_join, pii, simhash,
+                          substring_dedup, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -68,3 +69,89 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of every document through the 50k byte-level vocabulary."""
     ranks, pattern = byte_bpe()
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, pattern)
+
+
+@register("op1_pii")
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base spans, and all spans."""
+    count = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}")
+             for i, k in enumerate(pii.KINDS)]
+    return pii.find(table(spark, sf_dir, "documents")).select(
+        "doc_id", *count, F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+
+
+@register("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return simhash.edited_fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", "edited_sha256", simhash.spelled(F.col("fingerprint")).alias("fingerprint"),
+        simhash.spelled(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP2_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + least(len(w), 3) - 1], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+      GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@register("op2_ngram_join", _OP2_SQL)
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have Jaccard 0.9 or more."""
+    return ngram_join.components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@register("op3_language_model")
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and bigram log10 scores of every document; a seventh of the ids is held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return language_model.score(table(spark, sf_dir, "documents"), held_out)
+
+
+_OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+f AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+h AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM g JOIN f USING (g) WHERE least < doc_id),
+k AS (SELECT doc_id, list(q) AS gone FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w
+              ELSE [x.w FOR x IN list_filter(list_transform(w, lambda v, i: {'w': v, 'i': i}),
+                                             lambda z: NOT list_contains(gone, z.i))] END, ' ')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@register("op8_substring_dedup", _OP8_SQL)
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that repeat 13-word passages of documents with smaller ids."""
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False) \
+        .withColumnRenamed("kept", "kept_sha256")
+
+
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that may be learned: four fifths of the ids."""
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    return table(spark, sf_dir, "labels").where(learn).select("doc_id", F.col("toxic").alias("label"))
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document after deobfuscation."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxic_labels(spark, sf_dir))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
