@@ -6,8 +6,9 @@ bytes exactly when every adjacent pair is, so the last token of each prefix
 follows from the last tokens of shorter prefixes.  A state is the last token
 that is certain plus the bytes read since; a token is emitted as soon as no
 continuation can change it, which is after fewer bytes than the longest token
-has.  States and arcs are made when first needed (lazy determinisation) and
-the tables are emptied when they reach a fixed size.
+has.  States and arcs are made when first needed (lazy determinisation): a
+pre-token that leaves the part built so far adds the arc that it lacked, and a
+search over compatible tokens finishes its bytes.
 
 Decoding: token bytes are streamed through an incremental UTF-8 machine that
 holds back at most three bytes of an unfinished character.
@@ -35,8 +36,8 @@ from pyspark.sql import types as T
 
 from punctual.session import ship_package
 
-#: Entries of the lazily filled tables before they start anew (bounds a worker's memory, not the result).
-MAX_ARCS, MAX_PIECES = 400_000, 300_000
+#: Bounds of a worker's tables (memory, not the result): arcs of the machine, remembered pre-tokens and pairs.
+MAX_ARCS, MAX_PIECES, MAX_PAIRS = 60_000, 800_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -130,11 +131,9 @@ class Transducer:
     def _arc(self, s: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         text = s.pending + bytes([byte])
         n, last, ranks, starts = len(text), [*s.last, 0], self.ranks, self.starts
-        for j in range(n - 1, max(-1, n - 1 - self.longest), -1):
-            if j and not last[j]:
-                continue
+        for j in range(max(0, n - self.longest), n):
             token = text[j:]
-            if token in ranks:
+            if token in ranks and (j == 0 or last[j]):
                 left = text[j - last[j]:j] if j else s.prev
                 if left is None or self._pair(left, token):
                     last[n] = n - j
@@ -166,13 +165,42 @@ class Transducer:
         b = self._boundaries(s.last, n)
         return [self.ranks[s.pending[i:j]] for i, j in zip(b, b[1:])]
 
+    def _finish(self, s: _State, more: bytes) -> list[int]:
+        """Ids of the pending bytes and ``more``, the end of the pre-token: longest tokens first, one step back
+        where no compatible token follows.  A place that led nowhere is not tried again, as only one sequence of
+        compatible tokens leads to it."""
+        text, ranks, prev = s.pending + more, self.ranks, s.prev
+        end, at, path, dead = len(text), 0, [], set()
+        stop = min(end, self.longest)
+        while at < end:
+            left = path[-1] if path else prev
+            while stop > at:
+                token = text[at:stop]
+                if token in ranks and stop not in dead and (left is None or self._pair(left, token)):
+                    break
+                stop -= 1
+            if stop > at:
+                path.append(token)
+                at = stop
+                stop = min(end, at + self.longest)
+            else:
+                dead.add(at)
+                stop = at - 1
+                at -= len(path.pop())
+        return [ranks[t] for t in path]
+
     def feed(self, data: bytes) -> list[int]:
         """Ids of one pre-token; each arc carries those that its byte makes certain."""
-        if self.n_arcs > MAX_ARCS:
-            self._reset()
+        if len(self.pairs) > MAX_PAIRS:
+            self.pairs.clear()
         s, out = self.start, []
-        for byte in data:
-            arc = s.arcs.get(byte) or self._arc(s, byte)
+        for i, byte in enumerate(data):
+            arc = s.arcs.get(byte)
+            if arc is None:
+                if self.n_arcs >= MAX_ARCS:
+                    return out + self._finish(s, data[i:])
+                arc = self._arc(s, byte)
+                return out + list(arc[1]) + self._finish(arc[0], data[i + 1:])
             s = arc[0]
             if arc[1]:
                 out += arc[1]

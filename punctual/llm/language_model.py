@@ -118,10 +118,7 @@ class Setting:
     shards: int
     table: np.ndarray
     counts: np.ndarray
-
-    @property
-    def mass(self) -> float:
-        return max(1.0, self.n / (4 * FREQUENT))
+    mass: float
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Count of frequent tokens and of the begin mark, 0 for all others."""
@@ -155,7 +152,8 @@ def setting(docs: DataFrame) -> Setting:
     words = often.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
     return Setting(int(total["n"]), int(total["v"]), int(total["docs"]), max(4, -(-int(total["n"]) // SHARD_TOKENS)),
-                   words[order], often.column("n").to_numpy()[order])
+                   words[order], often.column("n").to_numpy()[order],
+                   max(1.0, int(total["n"]) / (4 * FREQUENT)))
 
 
 _REQUEST = "part int, slice long, token binary, run binary, before binary, doc binary"

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm import (bpe, decontamination, language_model, ngram_join, pii, simhash,
-                          substring_dedup, toxicity)
+from punctual.llm import (bpe, decontamination, language_model, ngram_join, pii, quality, simhash,
+                          substring_dedup, token_counts, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -155,3 +155,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return toxicity.score(docs, model).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@register("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, truncations and tokens left for every context limit that is some document's length."""
+    ranks, pattern = byte_bpe()
+    return token_counts.curve(token_counts.histogram(
+        token_counts.lengths(table(spark, sf_dir, "documents"), ranks, pattern)))
+
+
+@register("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a fifth of the ids is held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    return quality.score(docs, quality.fit(docs, labels)).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
