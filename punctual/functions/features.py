@@ -6,7 +6,6 @@ All functions return ``Column`` expressions or add columns with one
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,21 +157,13 @@ def prepare_features(df: DataFrame) -> DataFrame:
 
 # --- F26 / F31 / F33 presentation helpers -------------------------------------------
 def format_metric(col, kind: str = "percentage", decimals: int = 1) -> Column:
-    """number -> display text; null -> 'N/A'.
-
-    Display strings must round exactly like Python's format spec (the exact
-    binary value, e.g. 21.45 -> '21.4'); Java's formatter rounds the shortest
-    decimal string half-up instead.  Formatting is applied to result rows only,
-    so it is an Arrow-batched pandas UDF.
-    """
-    spec = {"percentage": f"{{:.{decimals}f}}%", "minutes": f"{{:.{decimals}f}} min",
-            "count": "{:,}", "plain": f"{{:.{decimals}f}}"}[kind]
-
-    @F.pandas_udf("string")
-    def fmt(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: "N/A" if pd.isna(x) else spec.format(int(x) if kind == "count" else float(x)))
-
-    return fmt(_c(col).cast("double"))
+    """number -> display text, rounded half-even as the exact binary value says; null or NaN -> 'N/A'."""
+    zeros = "0" + ("." + "0" * decimals if decimals else "")
+    pattern, unit = {"percentage": (zeros, "%"), "minutes": (zeros, " min"), "count": ("#,##0", ""),
+                     "plain": (zeros, "")}[kind]
+    v = _c(col).cast("double")
+    text = F.call_function("format_number", v, F.lit(pattern))
+    return F.when(v.isNull() | F.isnan(v), "N/A").otherwise(F.concat(text, F.lit(unit)))
 
 
 def risk_level(probability) -> Column:

@@ -172,12 +172,9 @@ def dataset_extent(feat: DataFrame) -> DataFrame:
 
 def dimension_values(feat: DataFrame, dims=("Airline", "Origin", "Dest")) -> DataFrame:
     """Sorted distinct values of each dimension (long form)."""
-    out = None
-    for d in dims:
-        part = (feat.select(F.lit(d).alias("dimension"), F.col(d).alias("value"))
-                    .filter(F.col("value").isNotNull()).distinct())
-        out = part if out is None else out.unionByName(part)
-    return out.orderBy("dimension", "value")
+    pairs = ", ".join(f"'{d}', CAST(`{d}` AS STRING)" for d in dims)
+    return (feat.selectExpr(f"stack({len(dims)}, {pairs}) AS (dimension, value)")
+                .filter(F.col("value").isNotNull()).distinct().orderBy("dimension", "value"))
 
 
 def feature_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -315,16 +312,19 @@ def monthly_from_daily(daily: DataFrame, cols=("avg_arr_delay", "arr_delay_rate"
 
 
 def category_distribution(feat: DataFrame, by: str, category_col: str = "ArrDelayCategory",
-                          categories: list[str] = DELAY_CATEGORIES, drop: tuple[str, ...] = ()) -> DataFrame:
+                          categories: list[str] = DELAY_CATEGORIES, drop: tuple[str, ...] = (),
+                          min_rows: int = 1) -> DataFrame:
     """Percent of each delay category within each group, pivoted.
 
     Written as conditional aggregation: one pass, one shuffle, no window and no
     pivot job (the category list is fixed).  Absent categories are 0; ``drop``
-    removes columns after the shares are computed (so rows may not sum to 100).
+    removes columns after the shares are computed (so rows may not sum to 100);
+    groups below ``min_rows`` rows go.
     """
     n = size()
     cols = [(F.count_if(F.col(category_col) == c) * 100.0 / n).alias(c) for c in categories if c not in drop]
-    return _keys_not_null(feat, [by]).groupBy(by).agg(*cols)
+    out = _keys_not_null(feat, [by]).groupBy(by).agg(*cols, n.alias("__rows"))
+    return out.filter(F.col("__rows") >= min_rows).drop("__rows")
 
 
 def period_compare(feat: DataFrame, periods: dict[str, list[int]]) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.functions.bins import cut
+from punctual.operators.common import prefix_sums
 
 
 # ---------------------------------------------------------------------------
@@ -142,7 +143,7 @@ def corr_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def _ml_corr(df: DataFrame, cols: list[str], method: str) -> DataFrame:
     """Spark ML ``Correlation`` (Gramian tree-aggregate; distributed rank sort
-    for Spearman), for inputs beyond the bounds of the co-moment path."""
+    for Spearman)."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna(how="any")
@@ -152,47 +153,11 @@ def _ml_corr(df: DataFrame, cols: list[str], method: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature_x string, feature_y string, r double")
 
 
-def _matrix_rows(spark, cols: list[str], g) -> DataFrame:
-    import numpy as np
-    dg = np.sqrt(np.diag(g))
-    rows = [(a, b, float(g[i, j] / (dg[i] * dg[j])) if dg[i] > 0 and dg[j] > 0 else float("nan"))
-            for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return spark.createDataFrame(rows, "feature_x string, feature_y string, r double")
-
-
-def _comoment_matrix(d: DataFrame, cols: list[str], centre, to_values=None):
-    """Sum over rows of (x - centre)(x - centre)^T, computed per Arrow batch in
-    numpy (k x k numbers per batch) and added up by Spark."""
-    import numpy as np
-    import pandas as pd
-
-    from punctual.session import ship_package
-    ship_package(d.sparkSession)
-    k = len(cols)
-    mu = np.asarray(centre, dtype=float)
-
-    def comoments(batches):
-        for b in batches:
-            if b.empty:
-                continue
-            x = to_values(b) if to_values else b[cols].to_numpy(dtype=float)
-            r = x - mu
-            yield pd.DataFrame({"g": [(r.T @ r).reshape(-1).tolist()]})
-
-    parts = d.mapInPandas(comoments, "g array<double>")
-    sums = parts.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-    g = np.zeros(k * k)
-    for row in sums.collect():            # k * k values
-        g[row["i"]] = row["v"]
-    return g.reshape(k, k)
-
-
 def corr_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> DataFrame:
     """Full correlation matrix (long: feature_x, feature_y, r) over rows
     with no null in ``cols`` (listwise deletion).
 
-    Pearson uses Spark ML's ``Correlation`` (one tree-aggregated Gramian pass,
-    measured faster here than a two-pass centred co-moment job); Spearman uses
+    Pearson uses Spark ML's ``Correlation`` (one tree-aggregated Gramian pass); Spearman uses
     :func:`spearman_matrix`.  The result is |cols| x |cols| rows -- bounded by
     the column count, not the data.
     """
@@ -201,46 +166,9 @@ def corr_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> Data
     return _ml_corr(df, cols, "pearson")
 
 
-MAX_RANK_TABLE_ROWS = 2_000_000
-
-
 def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Spearman rank correlation matrix (listwise-complete rows).
-
-    Average ranks come from (feature, distinct value) counts (see
-    :func:`average_ranks`).  When that table is small enough (checked count) it
-    is broadcast as sorted arrays; inside ``mapInPandas`` every batch maps its
-    values to ranks with a vectorised binary search and emits the centred
-    co-moment matrix of its ranks (average ranks of n rows have mean
-    (n + 1) / 2 exactly), which Spark sums.  Beyond the bound, Spark ML's
-    distributed rank sort is used instead.
-    """
-    import numpy as np
-
-    spark = df.sparkSession
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna(how="any")
-    # one job: the distinct-value counts, fetched only up to the bound
-    pdf = value_counts(d, cols).limit(MAX_RANK_TABLE_ROWS + 1).toPandas()
-    if len(pdf) > MAX_RANK_TABLE_ROWS:
-        return _ml_corr(df, cols, "spearman")
-    # average rank = values strictly below + (ties + 1) / 2, per feature
-    pdf = pdf.sort_values(["feature", "value"])
-    below = pdf.groupby("feature")["cnt"].cumsum() - pdf["cnt"]
-    pdf["rank"] = below + (pdf["cnt"] + 1) / 2.0
-    n_rows = float(pdf[pdf["feature"] == cols[0]]["cnt"].sum())
-    if n_rows == 0:
-        return spark.createDataFrame([(a, b, float("nan")) for a in cols for b in cols],
-                                     "feature_x string, feature_y string, r double")
-    table = {c: (g.sort_values("value")["value"].to_numpy(), g.sort_values("value")["rank"].to_numpy())
-             for c, g in pdf.groupby("feature")}
-    bc = spark.sparkContext.broadcast(table)
-
-    def to_ranks(b):
-        t = bc.value
-        return np.column_stack([t[c][1][np.searchsorted(t[c][0], b[c].to_numpy())] for c in cols])
-
-    mu = [(n_rows + 1.0) / 2.0] * len(cols)
-    return _matrix_rows(spark, cols, _comoment_matrix(d, cols, mu, to_ranks))
+    """Spearman rank correlation matrix (listwise-complete rows), by Spark ML's distributed rank sort."""
+    return _ml_corr(df, cols, "spearman")
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -250,17 +178,11 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def ranks_from_counts(counts: DataFrame) -> DataFrame:
-    """Average rank of every distinct value: running count per feature over
-    distinct values only (callers bound the table size first)."""
-    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("cnt").over(w), F.lit(0))
-    return counts.select("feature", "value", "cnt", (before + (F.col("cnt") + 1) / 2.0).alias("rank"))
-
-
 def average_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Per column, value -> average rank (ties get the mean of their ranks)."""
-    return ranks_from_counts(value_counts(df, cols))
+    """(feature, value, cnt, rank): average rank of every distinct value (ties get the mean of their ranks)."""
+    sums = prefix_sums(value_counts(df, cols).filter(F.col("value").isNotNull()), ["feature", "value"], ["cnt"],
+                       ("feature",))
+    return sums.select("feature", "value", "cnt", (F.col("cum_cnt") - (F.col("cnt") - 1) / 2.0).alias("rank"))
 
 
 def corr_with_target(matrix: DataFrame, target: str, k: int = 10) -> DataFrame:

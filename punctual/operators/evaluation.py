@@ -8,11 +8,9 @@ Scale design:
   and a reverse running sum over those few rows gives TP/FP per threshold.  No
   per-threshold pass and no row x threshold expansion.
 * ROC points and ROC-AUC need running sums over *distinct scores*, whose count
-  can grow with the data.  They use a two-level prefix sum: distinct scores are
-  cut into buckets at quantiles of the distinct scores (count sized to the
-  data); bucket totals (bounded) give each bucket's offset, and the running
-  sum inside a bucket is a window partitioned by bucket.  No single-partition
-  window over the data.
+  can grow with the data: ``common.prefix_sums`` cuts them into ranges, sums
+  inside each and adds what lies before it -- one path at every size, no
+  single-partition window.
 * Zero denominators give 0 (``zero_division=0``), never null or an error.
 """
 
@@ -21,9 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROC_BUCKETS = 4096            # minimum number of score buckets
-DISTINCT_PER_BUCKET = 50_000  # target distinct scores per bucket
-MAX_ROC_BUCKETS = 1 << 22     # bound on the bucket-offset table
+from punctual.operators.common import prefix_sums
+
 SWEEP = [round(k * 0.05, 2) for k in range(2, 19)]  # 0.10, 0.15, ..., 0.90
 
 
@@ -144,43 +141,14 @@ def score_counts(scored: DataFrame, label: str = "label", score: str = "score")
 def roc_table(scored: DataFrame, label: str = "label", score: str = "score",
               buckets: int | None = None) -> tuple[DataFrame, int, int]:
     """Per distinct score s: pos, neg, tps = positives with score >= s, fps
-    likewise; plus the totals P and N.
-
-    Two-level prefix sum.  The distinct-score table is an aggregate of the data
-    and is checkpointed once; its row count and the class totals come from one
-    small job.  When there are more distinct scores than one bucket should hold
-    (``DISTINCT_PER_BUCKET``), they are cut into buckets at quantiles *of the
-    distinct scores* (so skewed scores still spread evenly); bucket totals (one
-    row per bucket) give the offsets and the running sum inside a bucket is a
-    window partitioned by bucket.
-    """
-    from pyspark.ml.feature import QuantileDiscretizer
-    sc = score_counts(scored, label, score).filter(F.col("score").isNotNull()).checkpoint()
-    st = sc.agg(F.count(F.lit(1)).alias("d"), F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-    distinct, P, N = st["d"], int(st["P"] or 0), int(st["N"] or 0)
-    if buckets is None:
-        buckets = 1 if distinct <= DISTINCT_PER_BUCKET else int(
-            min(max(ROC_BUCKETS, distinct // DISTINCT_PER_BUCKET + 1), MAX_ROC_BUCKETS))
-    if buckets <= 1:
-        # at most DISTINCT_PER_BUCKET distinct scores: one running sum
-        w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        table = sc.select("score", "pos", "neg", F.sum("pos").over(w).cast("long").alias("tps"),
-                          F.sum("neg").over(w).cast("long").alias("fps"))
-        return table, P, N
-    qd = QuantileDiscretizer(inputCol="score", outputCol="__b", numBuckets=buckets,
-                             relativeError=min(0.001, 0.1 / buckets), handleInvalid="keep")
-    sc = qd.fit(sc).transform(sc).withColumn("bucket", F.col("__b").cast("int")).drop("__b")
-    tot = sc.groupBy("bucket").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
-    wb = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("bucket", F.coalesce(F.sum("bpos").over(wb), F.lit(0)).alias("opos"),
-                     F.coalesce(F.sum("bneg").over(wb), F.lit(0)).alias("oneg"))
-    wi = Window.partitionBy("bucket").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    # ``off`` has one row per bucket (at most MAX_ROC_BUCKETS rows)
-    table = (sc.join(F.broadcast(off), "bucket")
-               .select("score", "pos", "neg",
-                       (F.col("opos") + F.sum("pos").over(wi)).cast("long").alias("tps"),
-                       (F.col("oneg") + F.sum("neg").over(wi)).cast("long").alias("fps")))
-    return table, P, N
+    likewise; plus the totals P and N.  ``buckets``: ranges of the running sum
+    (default ``spark.sql.shuffle.partitions``)."""
+    counts = score_counts(scored, label, score).filter(F.col("score").isNotNull())
+    sums = prefix_sums(counts, [F.col("score").desc()], ["pos", "neg"], parts=buckets)
+    table = sums.select("score", "pos", "neg", F.col("cum_pos").cast("long").alias("tps"),
+                        F.col("cum_neg").cast("long").alias("fps")).checkpoint()
+    st = table.agg(F.max("tps").alias("P"), F.max("fps").alias("N")).first()
+    return table, int(st["P"] or 0), int(st["N"] or 0)
 
 
 def roc_curve(scored: DataFrame, **kw) -> DataFrame:

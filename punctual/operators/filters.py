@@ -25,10 +25,12 @@ def explore_predicate(date_range: tuple | None = None, airlines: list[str] | Non
     """
     conds: list[Column] = []
     if date_range:
+        # the year bounds say nothing new, but Year is the partition column: they prune whole folders
         lo = _as_date(date_range[0])
-        conds.append(F.col("FlightDate") >= F.lit(lo))
+        conds += [F.col("FlightDate") >= F.lit(lo), F.col("Year") >= F.lit(lo.year)]
         if len(date_range) > 1 and date_range[1] is not None:
-            conds.append(F.col("FlightDate") <= F.lit(_as_date(date_range[1])))
+            hi = _as_date(date_range[1])
+            conds += [F.col("FlightDate") <= F.lit(hi), F.col("Year") <= F.lit(hi.year)]
     if airlines:
         conds.append(F.col("Airline").isin(list(airlines)))
     if weekdays:
@@ -55,24 +57,23 @@ def apply_filter(feat: DataFrame, pred: Column) -> DataFrame:
 
 
 def filtered_kpis(feat: DataFrame, pred: Column) -> DataFrame:
-    """P-4 + A1 on the filtered rows, in a single pass over the table.
+    """P-4 + A1 on the filtered rows.
 
-    The share of rows kept needs the unfiltered count too, so instead of two
-    scans (filtered + total) every KPI is a conditional aggregate.  An empty
+    The filter reaches the scan (pruned folders, pushed predicates); the share
+    of rows kept takes the total from a count that reads no column.  An empty
     selection yields null rates, not an error.
     """
-    keep = F.coalesce(pred, F.lit(False))
     arr = F.col("ArrDelayMinutes")
-    kept = F.count_if(keep)
-    return feat.agg(
+    total = feat.agg(F.count(F.lit(1))).scalar()
+    kept = F.count(F.lit(1))
+    return apply_filter(feat, pred).agg(
         kept.alias("kept_flights"),
-        (kept / F.count(F.lit(1))).alias("kept_share"),
-        F.avg(F.when(keep, arr)).alias("avg_arr_delay"),
-        F.avg(F.when(keep, F.col("IsArrDelayed").cast("double"))).alias("arr_delay_rate"),
-        F.avg(F.when(keep, F.col("Cancelled").cast("double"))).alias("cancel_rate"),
-        F.avg(F.when(keep, F.col("Diverted").cast("double"))).alias("divert_rate"),
-        F.try_divide(F.count_if(keep & F.coalesce(arr <= 15, F.lit(False))), kept).alias("on_time_rate"),
-    )
+        F.avg(arr).alias("avg_arr_delay"),
+        F.avg(F.col("IsArrDelayed").cast("double")).alias("arr_delay_rate"),
+        F.avg(F.col("Cancelled").cast("double")).alias("cancel_rate"),
+        F.avg(F.col("Diverted").cast("double")).alias("divert_rate"),
+        F.try_divide(F.count_if(F.coalesce(arr <= 15, F.lit(False))), kept).alias("on_time_rate"),
+    ).withColumn("kept_share", F.col("kept_flights") / total)
 
 
 def exclude_cancelled_diverted(df: DataFrame) -> DataFrame:
@@ -83,16 +84,6 @@ def exclude_cancelled_diverted(df: DataFrame) -> DataFrame:
     return df
 
 
-def drop_nulls(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
-    """P-8 (subset) / P-9 (all columns)."""
-    return df.dropna(how="any", subset=subset)
-
-
-def min_group_size(agg: DataFrame, count_col: str, n: int) -> DataFrame:
-    """P-11: HAVING count >= n."""
-    return agg.filter(F.col(count_col) >= n)
-
-
 def above_quantiles(agg: DataFrame, cols: list[str], q: float = 0.75) -> DataFrame:
     """P-15: keep rows strictly above the q-quantile of every column in ``cols``.
 

@@ -32,19 +32,22 @@ from punctual.schema import MODEL_FEATURES, TARGET
 FEATURES_COL = "features"
 WEIGHT_COL = "class_weight"
 
-# The reference's candidate grid (six boosted, two forests).
-FULL_GRID = (
-    [{"name": f"gbt_d{d}_lr{lr}", "type": "gbt", "maxDepth": d, "stepSize": lr, "maxIter": 300}
-     for d in (4, 6, 8) for lr in (0.1, 0.05)]
-    + [{"name": "rf_300_d20", "type": "rf", "numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 5},
-       {"name": "rf_500_d30", "type": "rf", "numTrees": 500, "maxDepth": 30, "minInstancesPerNode": 4}]
-)
-# Same families, sized for tests and the registered example queries.
-SMALL_GRID = (
-    [{"name": f"gbt_d{d}_lr{lr}", "type": "gbt", "maxDepth": d, "stepSize": lr, "maxIter": 20}
-     for d in (4, 6) for lr in (0.1,)]
-    + [{"name": "rf_20_d8", "type": "rf", "numTrees": 20, "maxDepth": 8, "minInstancesPerNode": 5}]
-)
+#: Default number of bins of a feature: more than any code of the model table has today.
+MAX_BINS = 256
+
+
+def candidate_grid(rounds: int = 300, trees: tuple[int, int] = (300, 500)) -> list[dict]:
+    """The eight candidates: six boosted ensembles of ``rounds`` trees, two forests of ``trees`` trees."""
+    boosted = [{"name": f"gbt_d{d}_lr{lr}", "type": "gbt", "maxDepth": d, "stepSize": lr, "maxIter": rounds}
+               for d in (4, 6, 8) for lr in (0.1, 0.05)]
+    forests = [{"name": f"rf_d{d}", "type": "rf", "numTrees": n, "maxDepth": d, "minInstancesPerNode": least}
+               for n, d, least in zip(trees, (20, 30), (5, 4))]
+    return boosted + forests
+
+
+FULL_GRID = candidate_grid()
+# All eight candidates with fewer rounds and trees, for tests and the registered example queries.
+SMALL_GRID = candidate_grid(rounds=10, trees=(10, 10))
 
 
 # ---------------------------------------------------------------------------
@@ -105,16 +108,18 @@ def with_class_weights(df: DataFrame, label: str = TARGET) -> DataFrame:
 # ---------------------------------------------------------------------------
 # candidates, selection, refit
 # ---------------------------------------------------------------------------
-def build_estimator(cand: dict, label: str = TARGET, seed: int = 42):
+def build_estimator(cand: dict, label: str = TARGET, seed: int = 42, max_bins: int = MAX_BINS):
+    if cand["maxDepth"] > 30:
+        raise ValueError(f"{cand['name']}: trees deeper than 30 are not supported")
     if cand["type"] == "gbt":
         return GBTClassifier(featuresCol=FEATURES_COL, labelCol=label, weightCol=WEIGHT_COL,
                              maxIter=cand["maxIter"], maxDepth=cand["maxDepth"], stepSize=cand["stepSize"],
-                             subsamplingRate=0.8, featureSubsetStrategy="0.8", maxBins=64,
+                             subsamplingRate=0.8, featureSubsetStrategy="0.8", maxBins=max_bins,
                              checkpointInterval=10, seed=seed)
     if cand["type"] == "rf":
         return RandomForestClassifier(featuresCol=FEATURES_COL, labelCol=label, weightCol=WEIGHT_COL,
-                                      numTrees=cand["numTrees"], maxDepth=min(cand["maxDepth"], 30),
-                                      minInstancesPerNode=cand["minInstancesPerNode"], maxBins=64,
+                                      numTrees=cand["numTrees"], maxDepth=cand["maxDepth"],
+                                      minInstancesPerNode=cand["minInstancesPerNode"], maxBins=max_bins,
                                       subsamplingRate=1.0, seed=seed)
     raise ValueError(f"unknown candidate type {cand['type']}")
 
@@ -206,7 +211,7 @@ def fit_surrogate(vec: DataFrame, label: str = TARGET, fit_on: str = "label", ma
     target = label if fit_on == "label" else "predicted"
     d = with_class_weights(vec.withColumn("__y", F.col(target).cast("double")), "__y")
     return DecisionTreeClassifier(featuresCol=FEATURES_COL, labelCol="__y", weightCol=WEIGHT_COL,
-                                  maxDepth=max_depth, maxBins=64, seed=seed).fit(d)
+                                  maxDepth=max_depth, maxBins=MAX_BINS, seed=seed).fit(d)
 
 
 def tree_nodes(model, path: str) -> "list[dict]":

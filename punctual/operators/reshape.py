@@ -46,13 +46,13 @@ def ranked(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 def hour_weekday_pivot(feat: DataFrame, metric: str = "avg_arr_delay") -> DataFrame:
     """V1: weekday x departure-hour matrix of ``avg_arr_delay`` or ``arr_delay_rate``.
 
-    The 24 hour values are fixed, so ``pivot`` needs no extra job to discover
+    The 25 hour values (2400 is hour 24) are fixed, so ``pivot`` needs no extra job to discover
     them and the whole matrix is one aggregation.
     """
     src = {"avg_arr_delay": F.avg("ArrDelayMinutes"),
            "arr_delay_rate": F.avg(F.col("IsArrDelayed").cast("double"))}[metric]
     f = feat.filter(F.col("DayOfWeekName").isNotNull() & F.col("DepHour").isNotNull())
-    return f.groupBy("DayOfWeekName").pivot("DepHour", list(range(24))).agg(src)
+    return f.groupBy("DayOfWeekName").pivot("DepHour", list(range(25))).agg(src)
 
 
 def calendar_pivot(daily: DataFrame, value: str = "avg_arr_delay") -> DataFrame:

@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 from punctual.functions.features import prepare_features
 from punctual.operators import prep, sampling
 from punctual.schema import TARGET
-from punctual.sources.flights import ROW_KEY, flights
+from punctual.sources.flights import ROW_KEY, fingerprint, flights
 
-SAMPLE_PER_YEAR = 2000
+SAMPLE_PER_YEAR = 100_000
+# Rows given to .fit at most (uniform, seeded); splits, scores and explanations cover all rows.
+MAX_FIT_ROWS = 20_000
 TRAIN_FRACTION = 0.6
 SEED = 42
 SPLIT_SEED = f"{SEED}:split"
 EXTRA_SEED = f"{SEED}:extra"
+FIT_SEED = f"{SEED}:fit"
 
 _CACHE: dict[tuple, DataFrame] = {}
 
@@ -44,7 +47,7 @@ def model_table(spark: SparkSession, sf_dir: str, sampled: bool = True) -> DataF
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: model table with a ``split`` column ('train' / 'test'), checkpointed."""
-    key = ("split", spark.sparkContext.applicationId, sf_dir)
+    key = ("split", spark.sparkContext.applicationId, fingerprint(spark, sf_dir))
     if key not in _CACHE:
         s = sampling.stratified_split(model_table(spark, sf_dir), TARGET, TRAIN_FRACTION,
                                       "FlightKey", ROW_KEY, seed=SPLIT_SEED)
@@ -55,7 +58,7 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def balanced_train(spark: SparkSession, sf_dir: str, exclude_test: bool = True) -> DataFrame:
     """M5: train split + extra delayed rows drawn from all flights; ``source``
     tells 'base' from 'extra' rows."""
-    key = ("balanced", spark.sparkContext.applicationId, sf_dir, exclude_test)
+    key = ("balanced", spark.sparkContext.applicationId, fingerprint(spark, sf_dir), exclude_test)
     if key not in _CACHE:
         s = split(spark, sf_dir)
         train = s.filter(F.col("split") == "train").drop("split").withColumn("source", F.lit("base"))
@@ -66,6 +69,15 @@ def balanced_train(spark: SparkSession, sf_dir: str, exclude_test: bool = True)
     return _CACHE[key]
 
 
+def fit_rows(spark: SparkSession, sf_dir: str, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """At most ``max_fit_rows`` rows of the balanced train set, those with the least hashes."""
+    key = ("fit", spark.sparkContext.applicationId, fingerprint(spark, sf_dir), max_fit_rows)
+    if key not in _CACHE:
+        out = sampling.sample_rows(balanced_train(spark, sf_dir), max_fit_rows, "FlightKey", ROW_KEY, seed=FIT_SEED)
+        _CACHE[key] = out.checkpoint()
+    return _CACHE[key]
+
+
 def test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(spark, sf_dir).filter(F.col("split") == "test").drop("split")
 

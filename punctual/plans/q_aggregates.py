@@ -419,3 +419,76 @@ def kpi_formatted(spark, sf_dir):
                     fx.format_metric("r", "percentage").alias("delay_rate"),
                     fx.format_metric("c", "percentage", 2).alias("cancel_rate"),
                     fx.format_metric("missing", "plain").alias("missing_metric"))
+
+
+# ---------------------------------------------------------------------------
+# The filtered dashboard views (P-1..P-3 before A11, A10, A13), P-10, cohort mix, W2
+# ---------------------------------------------------------------------------
+def _explored(spark, sf_dir):
+    return P.apply_filter(features(spark, sf_dir), P.explore_predicate(**EXPLORE))
+
+
+_KEPT = f"FROM (SELECT * FROM features WHERE {_KEEP})"
+
+
+@register("explore_airlines", q(f"""
+SELECT Airline, {r6('avg(ArrDelayMinutes)', 'avg_arr_delay')}, {r6('avg(IsArrDelayed)', 'arr_delay_rate')},
+       {r6('avg(Cancelled)', 'cancel_rate')}, count(*) AS total_flights {_KEPT} WHERE Airline IS NOT NULL GROUP BY Airline"""))
+def explore_airlines(spark, sf_dir):
+    """Airline view of the filtered dashboard."""
+    return A.airline_performance(_explored(spark, sf_dir), min_flights=1).select(
+        "Airline", "avg_arr_delay", "arr_delay_rate", "cancel_rate", "total_flights")
+
+
+@register("explore_routes", q(f"""
+SELECT Origin, Dest, {r6('avg(ArrDelayMinutes)', 'avg_arr_delay')}, {r6('avg(IsArrDelayed)', 'arr_delay_rate')},
+       {r6('avg(Cancelled)', 'cancel_rate')}, count(*) AS total_flights {_KEPT}
+WHERE Origin IS NOT NULL AND Dest IS NOT NULL GROUP BY Origin, Dest"""))
+def explore_routes(spark, sf_dir):
+    """Route view of the filtered dashboard."""
+    return A.route_performance(_explored(spark, sf_dir), min_flights=1).select(
+        "Origin", "Dest", "avg_arr_delay", "arr_delay_rate", "cancel_rate", "total_flights")
+
+
+@register("explore_hours", q(f"""
+SELECT DayOfWeekName, DepHour, {r6('avg(ArrDelayMinutes)', 'avg_arr_delay')}, count(*) AS total_flights {_KEPT}
+WHERE DayOfWeekName IS NOT NULL AND DepHour IS NOT NULL GROUP BY DayOfWeekName, DepHour"""))
+def explore_hours(spark, sf_dir):
+    """Weekday and hour view of the filtered dashboard."""
+    return A.group(_explored(spark, sf_dir), ["DayOfWeekName", "DepHour"],
+                   {"avg_arr_delay": A.mean("ArrDelayMinutes"), "total_flights": A.size()})
+
+
+@register("category_share_known", q(f"""
+, l AS (SELECT 'arrival' AS delay_type, ArrDelayCategory AS category FROM features
+        UNION ALL SELECT 'departure' AS delay_type, DepDelayCategory AS category FROM features),
+g AS (SELECT delay_type, category, count(*) AS flights FROM l GROUP BY delay_type, category),
+s AS (SELECT delay_type, category, flights, {r6('flights * 100.0 / sum(flights) OVER (PARTITION BY delay_type)', 'pct_of_rows')},
+       CAST(CASE category {_CAT_ORDER} END AS INT) AS category_order FROM g)
+SELECT * FROM s WHERE category <> 'Unknown'""".replace("\n, l AS", ", l AS", 1)))
+def category_share_known(spark, sf_dir):
+    """P-10: category shares of all rows, without the unknown category."""
+    return A.category_share(features(spark, sf_dir), exclude_unknown=True)
+
+
+COHORT_MIN = 500
+
+
+@register("category_dist_cohort", q(
+    "SELECT Airline, " + ", ".join(
+        r6(f"count_if(ArrDelayCategory = '{c}') * 100.0 / count(*)", f'"{c}"') for c in DELAY_CATEGORIES if c != "Unknown")
+    + f" FROM features WHERE Airline IS NOT NULL GROUP BY Airline HAVING count(*) >= {COHORT_MIN}"))
+def category_dist_cohort(spark, sf_dir):
+    """Delay mix of the airlines with enough flights, unknown dropped after the shares are computed."""
+    return A.category_distribution(features(spark, sf_dir), "Airline", drop=("Unknown",), min_rows=COHORT_MIN)
+
+
+@register("average_ranks", q(" UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, CAST(v AS DOUBLE) AS value, cnt,
+        {r6('sum(cnt) OVER (ORDER BY v) - (cnt - 1) / 2.0', 'rank')}
+        FROM (SELECT {c} AS v, count(*) AS cnt FROM features WHERE {c} IS NOT NULL GROUP BY {c})"""
+    for c in ("ArrDelayMinutes", "Distance"))))
+def average_ranks(spark, sf_dir):
+    """Average rank of every distinct value."""
+    from punctual.operators.distribution import average_ranks as ranks
+    return ranks(features(spark, sf_dir), ["ArrDelayMinutes", "Distance"])

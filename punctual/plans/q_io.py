@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 from punctual.operators import aggregates as A
 from punctual.plans.catalog import register
 from punctual.plans.sql import q, r6
-from punctual.session import scratch_path
+from punctual.session import fresh_path
 from punctual.sources import files
 from punctual.sources.flights import flights
-from punctual.streaming.daily import start_daily_stream
+from punctual.streaming.daily import read_daily, start_daily_stream
 
 
 def _yearly_csv(spark, sf_dir) -> str:
     """Write the flights as one CSV folder per year, named like the source files."""
-    root = scratch_path(spark, "csv_inputs")
+    root = fresh_path(spark, "csv_inputs")
     f = flights(spark, sf_dir)
     years = [r[0] for r in f.select("Year").distinct().orderBy("Year").collect()]   # a handful of years
     for y in years:
@@ -49,7 +49,7 @@ FROM flights WHERE Airline IS NOT NULL GROUP BY 1, 2"""))
 def write_roundtrip(spark, sf_dir):
     """Write parquet partitioned by year, read back with a year filter
     (partition pruning) per year."""
-    path = files.write_table(flights(spark, sf_dir), scratch_path(spark, "roundtrip_parquet"))
+    path = files.write_table(flights(spark, sf_dir), fresh_path(spark, "roundtrip_parquet"))
     back = spark.read.parquet(path)
     return A.group(back, ["Year", "Airline"], {"rows": A.size(), "avg_arr_delay": A.mean("ArrDelayMinutes")})
 
@@ -61,12 +61,12 @@ SELECT FlightDate, {r6('avg(ArrDelayMinutes)', 'avg_arr_delay')}, {r6('avg(DepDe
 FROM features GROUP BY FlightDate"""))
 def stream_daily_delays(spark, sf_dir):
     """Daily summary maintained by a streaming query over yearly parquet files."""
-    src = scratch_path(spark, "stream_src")
+    src = fresh_path(spark, "stream_src")
     f = flights(spark, sf_dir)
-    f.write.mode("overwrite").partitionBy("Year").parquet(src)
+    f.hint("rebalance", "Year").write.partitionBy("Year").parquet(src)
     schema = spark.read.parquet(src).schema
-    sink = scratch_path(spark, "stream_sink")
-    ck = scratch_path(spark, f"stream_ckpt_{os.getpid()}_{id(spark)}")
-    qy = start_daily_stream(spark, src, schema, sink, ck, available_now=True)
+    sink = fresh_path(spark, "stream_sink")
+    # a new source has a new stream: source, sink and state belong together
+    qy = start_daily_stream(spark, src, schema, sink, fresh_path(spark, "stream_ckpt"), available_now=True)
     qy.awaitTermination()
-    return spark.read.parquet(sink)
+    return read_daily(spark, sink)

@@ -7,11 +7,13 @@ properties instead (AUC floor, additivity of attributions, round trips).
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import functions as F
 
 from punctual.functions import features as fx
+from punctual.operators import evaluation as E
 from punctual.operators import explain as X
 from punctual.operators import modeling as M
 from punctual.operators import reshape
@@ -19,23 +21,24 @@ from punctual.plans import pipeline as PL
 from punctual.plans.catalog import register
 from punctual.plans.q_sampling import requests
 from punctual.schema import TARGET
-from punctual.session import scratch_path
-from punctual.sources.flights import ROW_KEY, flights
+from punctual.session import fresh_path
+from punctual.sources.flights import ROW_KEY, fingerprint, flights
 
 KEY = list(ROW_KEY)
 _MODELS: dict[tuple, M.TrainedModel] = {}
 
 
-def trained(spark, sf_dir, grid=None) -> M.TrainedModel:
-    """Fit (once per session and input) on the balanced train set."""
-    k = (spark.sparkContext.applicationId, sf_dir)
+def trained(spark, sf_dir, grid=None, max_fit_rows: int = PL.MAX_FIT_ROWS) -> M.TrainedModel:
+    """Fit (once per session, input, grid and bound) on at most ``max_fit_rows`` rows of the balanced train set."""
+    grid = grid or M.SMALL_GRID
+    k = (spark.sparkContext.applicationId, fingerprint(spark, sf_dir), json.dumps(grid, sort_keys=True), max_fit_rows)
     if k not in _MODELS:
-        _MODELS[k] = M.train(PL.balanced_train(spark, sf_dir), grid or M.SMALL_GRID, "FlightKey", KEY)
+        _MODELS[k] = M.train(PL.fit_rows(spark, sf_dir, max_fit_rows), grid, "FlightKey", KEY)
     return _MODELS[k]
 
 
 def _model_dir(spark, name: str) -> str:
-    return scratch_path(spark, f"models/{name}")
+    return fresh_path(spark, f"models/{name}")
 
 
 @register("model_selection")
@@ -67,11 +70,95 @@ def score_requests(spark, sf_dir):
     t = trained(spark, sf_dir)
     s = t.score(request_features(spark, sf_dir))
     risk = F.col("p_delayed") * 100
+    recall_at = operating_threshold(spark, sf_dir)
     return s.select("request_id", "FlightDate", "Airline", "Origin", "Dest", "DepTime", "Distance", "p_delayed",
-                    "predicted",
+                    "predicted", (F.col("p_delayed") >= recall_at).cast("int").alias("predicted_high_recall"),
                     F.when(risk < 20, "Low").when(risk < 40, "Medium").otherwise("High").alias("risk_level"))
 
 
+# ---------------------------------------------------------------------------
+# E1-E11 on the trained model's scores of the test split
+# ---------------------------------------------------------------------------
+_SCORED: dict[tuple, object] = {}
+
+
+def model_scores(spark, sf_dir):
+    """(label, score) of the whole test split, written once."""
+    k = (spark.sparkContext.applicationId, fingerprint(spark, sf_dir))
+    if k not in _SCORED:
+        t = trained(spark, sf_dir)
+        _SCORED[k] = t.score(PL.test_split(spark, sf_dir)).select(
+            F.col(TARGET).alias("label"), F.col("p_delayed").alias("score")).checkpoint()
+    return _SCORED[k]
+
+
+def operating_threshold(spark, sf_dir) -> float:
+    """The model's high-recall operating point."""
+    return float(E.operating_point(E.threshold_sweep(model_scores(spark, sf_dir))).first()["threshold"])
+
+
+@register("model_evaluation")
+def model_evaluation(spark, sf_dir):
+    """Counts, rates and ROC-AUC of the trained model on the test split."""
+    s = model_scores(spark, sf_dir)
+    auc = E.roc_auc(s).first()["roc_auc"]
+    return E.eval_at_threshold(s, 0.5).withColumn("roc_auc", F.lit(auc))
+
+
+@register("model_report")
+def model_report(spark, sf_dir):
+    """Per-class report of the trained model."""
+    return E.classification_report(model_scores(spark, sf_dir), 0.5)
+
+
+@register("model_threshold_sweep")
+def model_threshold_sweep(spark, sf_dir):
+    """The 17 thresholds on the trained model's scores."""
+    return E.threshold_sweep(model_scores(spark, sf_dir))
+
+
+@register("model_roc_curve")
+def model_roc_curve(spark, sf_dir):
+    """ROC points of the trained model."""
+    return E.roc_curve(model_scores(spark, sf_dir))
+
+
+@register("model_summary")
+def model_summary(spark, sf_dir):
+    """One record of the build: sizes, rates, winner, validation and test metrics, operating point,
+    confusion matrix, report, sweep, importances, class names."""
+    t = trained(spark, sf_dir)
+    s = model_scores(spark, sf_dir)
+    fit = PL.fit_rows(spark, sf_dir)
+    both = s.agg(F.count(F.lit(1)).alias("test_rows"), F.avg(F.col("label").cast("double")).alias("test_delay_rate"))
+    train = fit.agg(F.count(F.lit(1)).alias("train_rows"), F.avg(F.col(TARGET).cast("double")).alias("train_delay_rate"))
+    best = t.selection.filter("selected").select(
+        F.col("name").alias("model_name"), F.col("type").alias("model_type"), "val_auc", "val_accuracy",
+        F.col("params").alias("model_params"))
+    at = model_evaluation(spark, sf_dir).select(
+        F.col("accuracy").alias("test_accuracy"), F.col("precision_1").alias("test_precision"),
+        F.col("recall_1").alias("test_recall"), F.col("f1_1").alias("test_f1"), F.col("roc_auc").alias("test_auc"),
+        F.array("tn", "fp", "fn", "tp").alias("confusion_matrix"))
+    point = E.operating_point(model_threshold_sweep(spark, sf_dir)).select(
+        F.col("threshold").alias("high_recall_threshold"), F.col("recall_1").alias("high_recall_recall"))
+
+    def listed(df, name):
+        return df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+    parts = [both, train, best, at, point,
+             listed(E.classification_report(s, 0.5), "report"), listed(model_threshold_sweep(spark, sf_dir), "sweep"),
+             listed(M.feature_importance(t.model, t.pre.features), "importances")]
+    # each part is one row: their columns become scalars of one record
+    out = spark.range(1).select(F.array(F.lit("On-Time"), F.lit("Delayed")).alias("class_names"))
+    return out.select("*", *[p.select(c).scalar().alias(c) for p in parts for c in p.columns])
+
+
+@register("adjustable_features")
+def adjustable_features(spark, sf_dir):
+    """The most important features that a user may change."""
+    t = trained(spark, sf_dir)
+    return X.adjustable_features(M.feature_importance(t.model, t.pre.features), t.pre.features)
+
+
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
     """Importances of the selected model."""
@@ -84,7 +171,7 @@ def surrogate_tree(spark, sf_dir):
     """Depth-3 balanced tree on the training labels, as leaf rules
     with the tree's size statistics."""
     t = trained(spark, sf_dir)
-    vec = t.pre.transform(PL.balanced_train(spark, sf_dir))
+    vec = t.pre.transform(PL.fit_rows(spark, sf_dir))
     tree = M.fit_surrogate(vec)
     st = M.tree_stats(tree)
     rules = M.surrogate_rules(tree, t.pre.features, _model_dir(spark, "surrogate"))
@@ -97,7 +184,7 @@ _ATTR: dict[tuple, object] = {}
 
 def attribution_table(spark, sf_dir):
     """X1 over the whole test split, written once to the checkpoint folder."""
-    k = (spark.sparkContext.applicationId, sf_dir)
+    k = (spark.sparkContext.applicationId, fingerprint(spark, sf_dir))
     if k not in _ATTR:
         t = trained(spark, sf_dir)
         a = X.attributions(t, PL.test_split(spark, sf_dir), KEY, _model_dir(spark, "explained"))
@@ -141,10 +228,16 @@ def attribution_dependence(spark, sf_dir):
         trend.select("intercept").scalar().alias("trend_intercept"))
 
 
-def _scenarios(spark):
-    rows = [(1, "DepHour", "6"), (1, "DepTimeOfDay", "Morning (6-12)"), (2, "Airline", "Brand#11"),
-            (3, "DepHour", "19"), (3, "DepTimeOfDay", "Evening (18-24)"), (3, "Distance", "2500")]
-    return spark.createDataFrame(rows, "scenario_id long, feature string, override_value string")
+def _scenarios(spark, sf_dir):
+    """A scenario for each test row, of one of three kinds by the row's hash."""
+    kinds = [[("DepHour", "6"), ("DepTimeOfDay", "Morning (6-12)")], [("Airline", "Brand#11")],
+             [("DepHour", "19"), ("DepTimeOfDay", "Evening (18-24)"), ("Distance", "2500")]]
+    listed = F.array(*[F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(v).alias("override_value"))
+                                 for f, v in kind]) for kind in kinds])
+    number = F.pmod(F.xxhash64(*KEY), F.lit(len(kinds))).cast("int")
+    return PL.test_split(spark, sf_dir).select(
+        *KEY, (number + 1).cast("long").alias("scenario_id"), F.explode(listed[number]).alias("o")) \
+        .select(*KEY, "scenario_id", "o.feature", "o.override_value")
 
 
 WHAT_IF_FEATURES = ["DepHour", "DepTimeOfDay", "Airline", "Distance"]
@@ -154,7 +247,7 @@ WHAT_IF_FEATURES = ["DepHour", "DepTimeOfDay", "Airline", "Distance"]
 def what_if(spark, sf_dir):
     """Rescored probability per test row and scenario, with the change."""
     t = trained(spark, sf_dir)
-    res, _ = X.what_if(t, PL.test_split(spark, sf_dir), _scenarios(spark), KEY, WHAT_IF_FEATURES)
+    res, _ = X.what_if(t, PL.test_split(spark, sf_dir), _scenarios(spark, sf_dir), KEY, WHAT_IF_FEATURES)
     return res
 
 
@@ -162,7 +255,7 @@ def what_if(spark, sf_dir):
 def what_if_changes(spark, sf_dir):
     """Old -> new value of every overridden feature that actually changes."""
     t = trained(spark, sf_dir)
-    _, ch = X.what_if(t, PL.test_split(spark, sf_dir), _scenarios(spark), KEY, WHAT_IF_FEATURES)
+    _, ch = X.what_if(t, PL.test_split(spark, sf_dir), _scenarios(spark, sf_dir), KEY, WHAT_IF_FEATURES)
     return ch
 
 
@@ -201,5 +294,5 @@ def attribution_feature_corr(spark, sf_dir):
 def surrogate_importance(spark, sf_dir):
     """L17/P-13: split importances of the surrogate tree, positive ones only."""
     t = trained(spark, sf_dir)
-    tree = M.fit_surrogate(t.pre.transform(PL.balanced_train(spark, sf_dir)))
+    tree = M.fit_surrogate(t.pre.transform(PL.fit_rows(spark, sf_dir)))
     return M.feature_importance(tree, t.pre.features).filter(F.col("importance") > 0)

@@ -19,7 +19,7 @@ def _rank_sql(src: str, cols: str, order: str, k: int, tag: str, tag_col: str =
 
 
 @register("hour_weekday_pivot", q("SELECT DayOfWeekName, " + ", ".join(
-    r6(f"avg(CASE WHEN DepHour = {h} THEN ArrDelayMinutes END)", f'"{h}"') for h in range(24))
+    r6(f"avg(CASE WHEN DepHour = {h} THEN ArrDelayMinutes END)", f'"{h}"') for h in range(25))
     + " FROM features WHERE DayOfWeekName IS NOT NULL AND DepHour IS NOT NULL GROUP BY DayOfWeekName"))
 def hour_weekday_pivot(spark, sf_dir):
     return R.hour_weekday_pivot(features(spark, sf_dir))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,8 +50,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (HDFS/object-store) folder there and we only read
-    it.  Only when it is unset -- local tests -- do we create our own scratch
-    folder and register it with the SparkContext.
+    it; a folder given with ``setCheckpointDir`` counts as well.  Only a local
+    session without either gets a scratch folder of its own; on a cluster a
+    machine-local folder would be wrong, so that fails.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None)
@@ -60,8 +62,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover - conf lookup differences
             d = None
     if not d:
-        d = _LOCAL_DIRS.get(sc.applicationId)
+        d = sc.getCheckpointDir() or _LOCAL_DIRS.get(sc.applicationId)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="punctual-ckpt-")
         _LOCAL_DIRS[sc.applicationId] = d
     if sc.getCheckpointDir() is None:
@@ -74,6 +78,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A scratch path that no other call, input or application uses."""
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
 _SHIPPED: set[str] = set()
 
 

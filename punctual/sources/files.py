@@ -78,6 +78,15 @@ def read_flights_csv(spark: SparkSession, paths: list[str] | str, schema: T.Stru
         elif isinstance(types[c], (T.DoubleType, T.FloatType)):
             v = F.col(c).try_cast(types[c])
             cols.append(F.nanvl(v, F.lit(None).cast(types[c])).alias(c))
+        elif isinstance(types[c], T.BooleanType):
+            # flags come as words, or as 0/1 that became 0.0/1.0 beside a missing value
+            number = F.col(c).try_cast("double")
+            cols.append(F.coalesce(F.when(number.isin(0.0, 1.0), number == 1), F.col(c).try_cast("boolean")).alias(c))
+        elif isinstance(types[c], (T.IntegerType, T.LongType)):
+            # an integer column with a missing value is written with decimals (600.0)
+            number = F.col(c).try_cast("double")
+            cols.append(F.coalesce(F.col(c).try_cast(types[c]),
+                                   F.when(number == F.floor(number), number.try_cast(types[c]))).alias(c))
         else:
             cols.append(F.col(c).try_cast(types[c]).alias(c))
     if with_source:

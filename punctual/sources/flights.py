@@ -31,7 +31,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.session import scratch_path
+from punctual.session import fresh_path, scratch_path
 
 STAR_TABLES = ["lineitem", "orders", "customer", "supplier", "part", "nation"]
 # Columns that make a flight row unique at every scale (FlightKey alone is not).
@@ -135,7 +135,7 @@ def flights_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Hash of input paths, sizes and modification times (metadata only)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -143,7 +143,9 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     for t in STAR_TABLES:
         p = jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{t}.parquet"))
         fs = p.getFileSystem(conf)
-        for st in fs.listStatus(p):
+        files = fs.listFiles(p, True)   # nested folders count
+        while files.hasNext():
+            st = files.next()
             parts.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
     return hashlib.sha1("\n".join(sorted(parts)).encode()).hexdigest()[:16]
 
@@ -162,23 +164,30 @@ def flights(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataF
     """
     if not materialize:
         return flights_view(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     with _LOCK:
-        path = _materialise(spark, sf_dir, key)
+        path = _materialise(spark, sf_dir)
     # ``Year`` is the partition column: filters on it prune whole folders.
     return spark.read.parquet(path)
 
 
-def _materialise(spark: SparkSession, sf_dir: str, key) -> str:
+def _materialise(spark: SparkSession, sf_dir: str) -> str:
+    """Write the view unless this input has been written; the fingerprint is taken anew on every call."""
+    mark = fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, mark)
     path = _MATERIALISED.get(key)
     if path is None:
-        path = scratch_path(spark, f"flights-{_fingerprint(spark, sf_dir)}")
+        path = scratch_path(spark, f"flights-{mark}")
         jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        done = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
-        if not done.getFileSystem(conf).exists(done):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))):
+            # one file or more for each year, large years in several; written aside, so two applications
+            # that start together never write into one folder
+            own = fresh_path(spark, f"flights-{mark}")
             (flights_view(spark, sf_dir)
-             .withColumn("Year", F.year("FlightDate"))
-             .write.mode("overwrite").partitionBy("Year").parquet(path))
+             .withColumn("Year", F.year("FlightDate")).hint("rebalance", "Year")
+             .write.partitionBy("Year").parquet(own))
+            if fs.exists(target) or not fs.rename(jvm.org.apache.hadoop.fs.Path(own), target):
+                path = own
         _MATERIALISED[key] = path
     return path

@@ -2,10 +2,11 @@
 
 The reference reads finished files only; this is the same daily summary (A9,
 algebraic measures) maintained incrementally as new parquet files land in a
-folder.  State is one row per calendar day (bounded by the number of days);
-the sink is rewritten from the complete result in each micro-batch, and the
-stream's checkpoint lives in the shared checkpoint folder so a restarted job
-resumes where it stopped.
+folder.  State is one row per calendar day (bounded by the number of days).
+Each micro-batch writes the complete result into a folder of its own below the
+sink; ``read_daily`` takes the newest whole one, so a reader never sees half a
+result.  The caller names the stream's checkpoint: a restarted job that passes
+the same one resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -33,9 +34,21 @@ def start_daily_stream(spark: SparkSession, source_dir: str, schema: T.StructTyp
     src = spark.readStream.schema(schema).parquet(source_dir)
     agg = daily_measures(add_delay_flags(src))
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_path)
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink_path}/version={epoch:012d}")
 
     w = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def read_daily(spark: SparkSession, sink_path: str) -> DataFrame:
+    """The newest whole result below ``sink_path``."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(sink_path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted((st.getPath().getName() for st in fs.listStatus(root)), reverse=True)
+    for name in names:
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{sink_path}/{name}/_SUCCESS")):
+            return spark.read.parquet(f"{sink_path}/{name}")
+    raise FileNotFoundError(f"no finished result in {sink_path}")

@@ -65,3 +65,20 @@ def test_missing_delay_column_fallback(spark):
     df = spark.createDataFrame([("2018-01-01", 900)], "FlightDate string, CRSDepTime int")
     r = fx.prepare_features(df).first()
     assert r.ArrDelayCategory == "Unknown" and r.IsArrDelayed is None
+
+
+def test_hour_24_has_a_column(spark):
+    from punctual.operators.reshape import hour_weekday_pivot
+    df = spark.createDataFrame([("Monday", 24, 7.0, 1), ("Monday", 0, 3.0, 0)],
+                               "DayOfWeekName string, DepHour int, ArrDelayMinutes double, IsArrDelayed int")
+    row = hour_weekday_pivot(df).first()
+    assert row["24"] == 7.0 and row["0"] == 3.0
+
+
+def test_format_metric_rounds_the_exact_value(spark):
+    from punctual.functions.features import format_metric
+    values = [21.45, 2.675, 0.125, 0.25, 0.35, 1234.5, None, float("nan"), -0.05]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(format_metric("v", "percentage", 1)).collect()]
+    assert got[:6] == [f"{v:.1f}%" for v in values[:6]] and got[6:8] == ["N/A", "N/A"]
+    assert df.select(format_metric("v", "count")).collect()[5][0] in ("1,234", "1,235")

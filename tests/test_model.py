@@ -60,8 +60,9 @@ def test_roundtrip(spark, trained):
 
 def test_what_if_identity_and_changes(spark, trained):
     base = PL.test_split(spark, SF_SMALL).limit(30)
-    sc = spark.createDataFrame([(1, "Airline", "Brand#11"), (2, "DepHour", None)],
-                               "scenario_id long, feature string, override_value string")
+    kinds = spark.createDataFrame([(1, "Airline", "Brand#11"), (2, "DepHour", None)],
+                                  "scenario_id long, feature string, override_value string")
+    sc = base.select(*KEY).crossJoin(kinds)
     res, changes = X.what_if(trained, base, sc, KEY, ["Airline", "DepHour"])
     d = {r.scenario_id: r for r in res.groupBy("scenario_id").agg(F.max(F.abs("delta")).alias("m")).collect()}
     assert d[2].m == 0.0                       # no override -> unchanged
@@ -79,4 +80,35 @@ def test_surrogate_rules(spark, trained):
 def test_adjustable_features(spark):
     imp = spark.createDataFrame([(1, "Quarter"), (2, "Month"), (3, "DepHour"), (4, "MonthName"), (5, "Airline")],
                                 "rank int, feature string")
-    assert X.adjustable_features(imp) == ["DepHour", "MonthName", "Airline"]
+    model = ["Quarter", "Month", "MonthName", "DepHour", "Airline"]
+    assert [tuple(r) for r in X.adjustable_features(imp, model).collect()] == [("MonthName", 2), ("DepHour", 3), ("Airline", 5)]
+    # the stand-in is offered only where the model has it
+    assert [r[0] for r in X.adjustable_features(imp, ["Month"]).collect()] == ["Month", "DepHour", "MonthName", "Airline"]
+
+
+def test_too_deep_trees_are_refused():
+    with pytest.raises(ValueError):
+        M.build_estimator({"name": "x", "type": "rf", "numTrees": 1, "maxDepth": 31, "minInstancesPerNode": 1})
+    assert len(M.FULL_GRID) == 8 and {c["maxIter"] for c in M.FULL_GRID if c["type"] == "gbt"} == {300}
+
+
+def test_model_metrics_equal_sql_over_its_scores(spark, tmp_path):
+    """The evaluation of a trained model's scores against SQL over the same scores."""
+    import duckdb
+
+    from punctual.operators import evaluation as E
+    from punctual.plans import q_modeling as Q
+    scores = Q.model_scores(spark, SF_SMALL)
+    path = str(tmp_path / "scores")
+    scores.write.parquet(path)
+    want = duckdb.sql(f"""SELECT count_if(score >= 0.5 AND label = 1), count_if(score >= 0.5 AND label = 0),
+        count_if(score < 0.5 AND label = 1), count_if(score < 0.5 AND label = 0) FROM '{path}/*.parquet'""").fetchall()[0]
+    got = Q.model_evaluation(spark, SF_SMALL).first()
+    assert tuple(got[c] for c in ("tp", "fp", "fn", "tn")) == want
+    auc = duckdb.sql(f"""WITH s AS (SELECT * FROM '{path}/*.parquet') SELECT avg((p.score > n.score)::INT
+        + (p.score = n.score)::INT / 2.0) FROM s p, s n WHERE p.label = 1 AND n.label = 0""").fetchall()[0][0]
+    assert abs(got["roc_auc"] - auc) < 1e-9
+    assert Q.operating_threshold(spark, SF_SMALL) in E.SWEEP
+    summary = Q.model_summary(spark, SF_SMALL).first()
+    assert len(summary) >= 20 and summary["test_rows"] == scores.count() and len(summary["sweep"]) == 17
+    assert PL.test_split(spark, SF_SMALL).count() > 0.3 * 5000   # no cut: the split covers all flights

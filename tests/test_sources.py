@@ -37,3 +37,45 @@ def test_discover_and_lenient_load(spark):
 def test_missing_input_fails_fast(spark):
     with pytest.raises(FileNotFoundError):
         files.load_flight_data(spark, "/nonexistent/sampled.csv")
+
+
+def test_integers_and_flags_written_with_decimals(spark, tmp_path):
+    from punctual.sources.files import read_flights_csv
+    path = tmp_path / "f.csv"
+    path.write_text("FlightDate,CRSDepTime,Cancelled,Diverted\n1996-01-02,600.0,1.0,0\n1996-01-03,2400,0.0,true\n"
+                    "1996-01-04,x,,1\n1996-01-05,6.5,2,False\n")
+    rows = read_flights_csv(spark, str(path)).orderBy("FlightDate").collect()
+    assert [r.CRSDepTime for r in rows] == [600, 2400, None, None]
+    assert [r.Cancelled for r in rows][:3] == [True, False, None]
+    assert [r.Diverted for r in rows] == [False, True, True, False]
+
+
+def test_queries_that_write_can_run_twice_and_for_two_inputs(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    qs = E.queries()
+    other = SF_SMALL.replace("0.001", "0.01")
+    for name, total in (("stream_daily_delays", "total_flights"), ("write_roundtrip", "rows"), ("load_csv", "rows")):
+        first = qs[name](spark, SF_SMALL)
+        big = qs[name](spark, other).agg({total: "sum"}).first()[0]
+        again = qs[name](spark, SF_SMALL).agg({total: "sum"}).first()[0]
+        assert first.agg({total: "sum"}).first()[0] == again < big
+
+
+def test_stream_restart_goes_on_where_it_stopped(spark, tmp_path):
+    from conftest import SF_SMALL
+    from punctual.sources.flights import flights
+    from punctual.streaming.daily import read_daily, start_daily_stream
+    f = flights(spark, SF_SMALL).drop("Year")
+    src, sink, state = (str(tmp_path / n) for n in ("src", "sink", "state"))
+    for half in (0, 1):
+        f.filter(f"pmod(crc32(FlightKey), 2) = {half}").write.mode("append").parquet(src)
+        start_daily_stream(spark, src, f.schema, sink, state).awaitTermination()
+    assert read_daily(spark, sink).agg({"total_flights": "sum"}).first()[0] == f.count()
+
+
+def test_shared_folder_rules(spark, monkeypatch):
+    from punctual import session
+    sc = spark.sparkContext
+    assert session.checkpoint_dir(spark) == sc.getConf().get("spark.checkpoint.dir")
+    assert session.fresh_path(spark, "a") != session.fresh_path(spark, "a")
