@@ -183,37 +183,41 @@ _ATTR: dict[tuple, object] = {}
 
 
 def attribution_table(spark, sf_dir):
-    """X1 over the whole test split, written once to the checkpoint folder."""
+    """X1 over the whole test split, one array per row, written once to the checkpoint folder."""
     k = (spark.sparkContext.applicationId, fingerprint(spark, sf_dir))
     if k not in _ATTR:
         t = trained(spark, sf_dir)
-        a = X.attributions(t, PL.test_split(spark, sf_dir), KEY, _model_dir(spark, "explained"))
+        a = X.attribution_rows(t, PL.test_split(spark, sf_dir), KEY, _model_dir(spark, "explained"))
         _ATTR[k] = a.checkpoint()
     return _ATTR[k]
 
 
+def _feats(spark, sf_dir) -> list[str]:
+    return trained(spark, sf_dir).pre.features
+
+
 @register("attributions")
 def attributions(spark, sf_dir):
     """Per row and feature: model-space value, attribution, base value."""
-    return attribution_table(spark, sf_dir)
+    return X.long_form(attribution_table(spark, sf_dir), KEY, _feats(spark, sf_dir))
 
 
 @register("attribution_global")
 def attribution_global(spark, sf_dir):
     """Mean absolute attribution per feature."""
-    return X.global_importance(attribution_table(spark, sf_dir))
+    return X.global_importance(attributions(spark, sf_dir))
 
 
 @register("attribution_local")
 def attribution_local(spark, sf_dir):
     """Top-15 contributions of every explained row."""
-    return X.local_explanation(attribution_table(spark, sf_dir), KEY)
+    return X.local_explanation(attribution_table(spark, sf_dir), KEY, _feats(spark, sf_dir))
 
 
 @register("attribution_path")
 def attribution_path(spark, sf_dir):
     """Running total from the base value over each row's top 15."""
-    return X.contribution_path(attribution_table(spark, sf_dir), KEY)
+    return X.contribution_path(attribution_table(spark, sf_dir), KEY, _feats(spark, sf_dir))
 
 
 @register("attribution_dependence")
@@ -221,7 +225,7 @@ def attribution_dependence(spark, sf_dir):
     """Dependence series of the most important feature, coloured by the second."""
     t = trained(spark, sf_dir)
     imp = [r["feature"] for r in M.feature_importance(t.model, t.pre.features).orderBy("rank").limit(2).collect()]
-    series, trend = X.dependence(attribution_table(spark, sf_dir), KEY, imp[0], imp[1])
+    series, trend = X.dependence(attribution_table(spark, sf_dir), KEY, t.pre.features, imp[0], imp[1])
     return series.select(
         "*", F.lit(imp[0]).alias("feature"), F.lit(imp[1]).alias("colour_feature"),
         trend.select("slope").scalar().alias("trend_slope"),

@@ -112,3 +112,24 @@ def test_model_metrics_equal_sql_over_its_scores(spark, tmp_path):
     summary = Q.model_summary(spark, SF_SMALL).first()
     assert len(summary) >= 20 and summary["test_rows"] == scores.count() and len(summary["sweep"]) == 17
     assert PL.test_split(spark, SF_SMALL).count() > 0.3 * 5000   # no cut: the split covers all flights
+
+
+def test_attribution_views_of_a_row(spark, trained):
+    rows = PL.test_split(spark, SF_SMALL).limit(20)
+    feats = trained.pre.features
+    attr = X.attribution_rows(trained, rows, KEY, scratch_path(spark, "models/test_views")).checkpoint()
+    want = {tuple(r[k] for k in KEY): sorted(((-abs(p), f, v, p) for f, v, p in zip(feats, r.x, r.phi)))[:15]
+            for r in attr.collect()}
+    base = attr.first().base_value
+    got = {}
+    for r in X.contribution_path(attr, KEY, feats).collect():
+        got.setdefault(tuple(r[k] for k in KEY), []).append((r["rank"], r.feature, r.phi, r.cumulative))
+    for key, top in want.items():
+        total = base
+        for (rank, f, phi, cum), (_, wf, _, wp) in zip(sorted(got[key]), top):
+            total += wp
+            assert f == wf and phi == wp and abs(cum - total) < 1e-9
+    local = X.local_explanation(attr, KEY, feats).collect()
+    assert len(local) == sum(map(len, want.values())) and {r["rank"] for r in local} == set(range(1, min(15, len(feats)) + 1))
+    series, _ = X.dependence(attr, KEY, feats, feats[0], feats[1])
+    assert series.count() == 20 and "Exchange" not in series._jdf.queryExecution().executedPlan().toString()
