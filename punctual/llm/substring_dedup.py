@@ -10,11 +10,13 @@ Method, in three steps.
    hashes are dealt out once more; a window that starts in two documents is a
    confirmed phrase, and its smallest doc_id goes back to the documents that
    hold it.
-3. Location.  Each batch of documents compiles the confirmed phrases that it
-   was told of into Aho-Corasick automata over word numbers (pyahocorasick, at
-   most ``SHARD`` phrases in one) and streams its documents through them.
-   Every occurrence of a phrase whose smallest doc_id is below the
-   document's own is removed.
+3. Location.  Each bundle of documents joins the phrases that it was told of
+   into passages (runs of overlapping phrases, at most ``PASSAGE`` of them in
+   one), compiles these into Aho-Corasick automata over word numbers
+   (pyahocorasick, about ``SHARD`` words in one) and streams its documents
+   through them.  Every occurrence of a passage all of whose phrases start in
+   a document with a smaller doc_id is removed; the passages of a document
+   itself cover all that must go from it.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; windows are judged on the input.
 
@@ -25,7 +27,9 @@ larger than all others; extra columns are ignored.
 Scale: all exchanges carry packed arrays keyed by hash ranges, 8 bytes for
 each anchor or candidate window, so a phrase that a third of all documents
 hold adds 8 bytes for each of them to one range and no pairs.  The number of
-ranges is ``spark.sql.shuffle.partitions``.  Nothing is collected.
+ranges is ``spark.sql.shuffle.partitions``; answers go back by bundles of
+documents (doc_id modulo a prime), together with which the texts are dealt out
+once.  Nothing is collected.
 """
 
 from __future__ import annotations
@@ -40,59 +44,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm import _text
+from punctual.llm._deal import REQUEST, REQUEST_ARROW, head, packed, prime, request_batch, unpack
 from punctual.llm.decontamination import winnow
 from punctual.session import ship_package
 
 WINDOW, ANCHOR = 13, 7
-#: Phrases of one automaton (about 40 MB).
-SHARD = 50_000
+#: Words of all passages of one automaton (about 40 MB), phrases of one passage, documents of a bundle.
+SHARD, PASSAGE, BUNDLE = 500_000, 128, 512
 _LAST = np.iinfo(np.int64).max
 
 
-def _packed(ids: np.ndarray, doc: np.ndarray, hashes: np.ndarray, ranges: int) -> Iterator[tuple]:
-    """(range, blob) of the (document, hash) pairs by hash range, repeats within a document dropped."""
-    part = ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    order = np.lexsort((hashes, doc, part))
-    part, doc, hashes = part[order], doc[order], hashes[order]
-    new = np.ones(len(part), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-    part, doc, hashes = part[new], doc[new], hashes[new]
-    cut = np.flatnonzero(np.diff(part)) + 1
-    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(part)]):
-        if a < b:
-            holders, n = np.unique(doc[a:b], return_counts=True)
-            head = pa.compress(np.concatenate([[len(holders)], ids[holders], n]).astype(np.int64).tobytes(),
-                               codec="zstd", asbytes=True)
-            yield int(part[a]), len(holders), head, hashes[a:b].tobytes()
+_ANSWER = "bundle long, holders int, head binary, hashes binary, least binary"
 
 
-def _request_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()),
-                                       pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
-                                      names=["part", "holders", "head", "hashes"])
-
-
-_REQUEST = "part int, holders int, head binary, hashes binary"
-
-
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(doc_id, hash) pairs of a range."""
-    ids, hashes = [], []
-    for n, head, blob in zip(*(table.column(c).to_pylist() for c in ("holders", "head", "hashes"))):
-        h = np.frombuffer(pa.decompress(head, (2 * n + 1) * 8, codec="zstd", asbytes=True), np.int64)
-        ids.append(np.repeat(h[1:n + 1], h[n + 1:]))
-        hashes.append(np.frombuffer(blob, np.uint64))
-    return np.concatenate(ids), np.concatenate(hashes)
-
-
-def _answer(requests: DataFrame, only_larger: bool) -> DataFrame:
-    """For each document the packed hashes that occur in two documents, with the smallest doc_id of each.
+def _answer(requests: DataFrame, bundles: int, only_larger: bool) -> DataFrame:
+    """By bundle of documents: the packed hashes that occur in two documents, with the smallest doc_id of each.
 
     ``only_larger``: leave out the hashes whose smallest doc_id is the document's own.
     """
     def run(table: pa.Table) -> pa.Table:
-        ids, hashes = _unpack(table)
+        ids, hashes = unpack(table)
         order = np.lexsort((ids, hashes))
         ids, hashes = ids[order], hashes[order]
         begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
@@ -102,16 +73,21 @@ def _answer(requests: DataFrame, only_larger: bool) -> DataFrame:
         if only_larger:
             keep &= least < ids
         ids, hashes, least = ids[keep], hashes[keep], least[keep]
-        order = np.argsort(ids, kind="stable")
-        ids, hashes, least = ids[order], hashes[order], least[order]
-        cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.empty(0, np.int64)
-        step = pa.py_buffer((np.append(cut, len(ids)) * 8).astype(np.int32).tobytes())
-        blobs = [pa.Array.from_buffers(pa.binary(), len(cut), [None, step, pa.py_buffer(x.tobytes())])
-                 for x in (hashes, least)]
-        return pa.table({"holder": pa.array(ids[cut]), "hashes": blobs[0], "least": blobs[1]})
-
-    found = requests.groupBy("part").applyInArrow(run, "holder long, hashes binary, least binary")
-    return found.groupBy("holder").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("least").alias("least"))
+        bundle = ids % bundles
+        order = np.lexsort((hashes, ids, bundle))
+        bundle, ids, hashes, least = bundle[order], ids[order], hashes[order], least[order]
+        cut = np.flatnonzero(np.concatenate([[True], bundle[1:] != bundle[:-1]])) if len(ids) else np.empty(0, int)
+        out = {"bundle": bundle[cut], "holders": [], "head": [], "hashes": [], "least": []}
+        for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]):
+            holders, n = np.unique(ids[x:y], return_counts=True)
+            out["holders"].append(len(holders))
+            out["head"].append(head(holders, n))
+            out["hashes"].append(hashes[x:y].tobytes())
+            out["least"].append(pa.compress(least[x:y].tobytes(), codec="zstd", asbytes=True))
+        return pa.table([pa.array(out["bundle"], pa.int64()), pa.array(out["holders"], pa.int32()),
+                         *[pa.array(out[c], pa.binary()) for c in ("head", "hashes", "least")]], names=list(out))
+
+    return requests.groupBy("part").applyInArrow(run, _ANSWER)
 
 
 def _anchors(texts: pa.Array) -> Iterator[tuple[int, _text.Words, np.ndarray, np.ndarray]]:
@@ -132,19 +108,24 @@ def _anchor_requests(docs: DataFrame, window: int, ranges: int) -> DataFrame:
             for a, words, grams, at in _anchors(batch.column("text")):
                 keep = winnow(grams, at, window - ANCHOR + 1)
                 doc = np.searchsorted(words.first, at[keep], side="right") - 1
-                rows = list(_packed(ids[a:a + len(words.first) - 1], doc, grams[keep], ranges))
+                rows = list(packed(ids[a:a + len(words.first) - 1], doc, grams[keep], ranges))
                 if rows:
-                    yield _request_batch(rows)
+                    yield request_batch(rows)
+
+    return docs.mapInArrow(run, REQUEST)
 
-    return docs.mapInArrow(run, _REQUEST)
 
+def _told(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes that the documents of a bundle were told, sorted, and their smallest doc_ids."""
+    hashes = np.frombuffer(b"".join(answers.column("hashes").to_pylist()), np.uint64)
+    least = [np.frombuffer(pa.decompress(x, len(h), codec="zstd", asbytes=True), np.int64)
+             for x, h in zip(answers.column("least").to_pylist(), answers.column("hashes").to_pylist())]
+    hashes, first = np.unique(hashes, return_index=True)
+    return hashes, np.concatenate(least)[first] if least else np.empty(0, np.int64)
 
-def _told(batch: pa.RecordBatch, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """All hashes that the documents a..b of the batch were told, sorted, and their smallest doc_ids."""
-    hashes, least = (b"".join(x for blobs in batch.column(c).slice(a, b - a).to_pylist() for x in blobs or [])
-                     for c in ("hashes", "least"))
-    hashes, first = np.unique(np.frombuffer(hashes, np.uint64), return_index=True)
-    return hashes, np.frombuffer(least, np.int64)[first]
+
+def _text_of(table: pa.Table) -> pa.Array:
+    return table.column("text").cast(pa.large_string()).combine_chunks()
 
 
 def _member(sorted_set: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -153,91 +134,106 @@ def _member(sorted_set: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_set[np.minimum(np.searchsorted(sorted_set, x), len(sorted_set) - 1)] == x
 
 
-def _window_requests(docs: DataFrame, window: int, ranges: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            ids = _holder_ids(batch.column("holder"))
-            for a, words, grams, at in _anchors(batch.column("text")):
-                anchors, _ = _told(batch, a, a + len(words.first) - 1)
-                runs = window - ANCHOR + 1
+def _window_requests(dealt: DataFrame, anchors: DataFrame, window: int, ranges: int) -> DataFrame:
+    runs = window - ANCHOR + 1
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = []
+        if len(answers) and len(table):
+            ids, (recurring, _) = _holder_ids(table.column("holder")), _told(answers)
+            for a, words, grams, at in _anchors(_text_of(table)):
                 n = len(grams) - runs + 1
                 if n <= 0:
                     continue
                 best = grams[:n].copy()
                 for j in range(1, runs):
                     np.minimum(best, grams[j:j + n], out=best)
-                maybe = _member(anchors, best) & (at[runs - 1:] - at[:n] == runs - 1)
-                start = at[:n][maybe]
+                start = at[:n][_member(recurring, best) & (at[runs - 1:] - at[:n] == runs - 1)]
                 windows, where = _text.ngrams(words, window)
-                pick = np.searchsorted(where, start)
                 doc = np.searchsorted(words.first, start, side="right") - 1
-                rows = list(_packed(ids[a:a + len(words.first) - 1], doc, windows[pick], ranges))
-                if rows:
-                    yield _request_batch(rows)
+                rows += packed(ids[a:a + len(words.first) - 1], doc, windows[np.searchsorted(where, start)], ranges)
+        return pa.Table.from_batches([request_batch(rows)] if rows else [], schema=REQUEST_ARROW)
 
-    return docs.mapInArrow(run, _REQUEST)
+    return dealt.groupBy("bundle").cogroup(anchors.groupBy("bundle")).applyInArrow(run, REQUEST)
 
 
-def _automata(numbers: np.ndarray, starts: np.ndarray, window: int) -> Iterator[ahocorasick.Automaton]:
-    """Automata over word numbers; the value of a phrase is its place in ``starts``."""
-    for a in range(0, len(starts), SHARD):
+def _passages(words: _text.Words, ids: np.ndarray, phrases: np.ndarray, least: np.ndarray, window: int
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of words, document and largest smallest doc_id of each run of phrases to be removed."""
+    windows, at = _text.ngrams(words, window)
+    known = np.flatnonzero(_member(phrases, windows))
+    smallest = least[np.searchsorted(phrases, windows[known])]
+    doc = np.searchsorted(words.first, at[known], side="right") - 1
+    gone = smallest < ids[doc]
+    start, doc, smallest = at[known][gone], doc[gone], smallest[gone]
+    if not len(start):
+        return (np.empty(0, np.int64),) * 4
+    new = np.concatenate([[True], (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1])])
+    first = np.flatnonzero(new)
+    place = np.arange(len(start)) - np.repeat(first, np.diff(np.append(first, len(start))))
+    begin = np.flatnonzero(place % PASSAGE == 0)
+    size = np.diff(np.append(begin, len(start)))
+    return start[begin], size + window - 1, doc[begin], np.maximum.reduceat(smallest, begin)
+
+
+def _automata(numbers: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[ahocorasick.Automaton]:
+    """Automata over word numbers; the value of a passage is its place in ``start``."""
+    shard = np.cumsum(size) // SHARD
+    for k in np.unique(shard):
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        phrases = numbers[starts[a:a + SHARD, None] + np.arange(window)].tolist()
-        for i, phrase in enumerate(phrases):
-            machine.add_word(tuple(phrase), a + i)
+        for i in np.flatnonzero(shard == k).tolist():
+            machine.add_word(tuple(numbers[start[i]:start[i] + size[i]].tolist()), i)
         machine.make_automaton()
         yield machine
 
 
-def _covered(words: _text.Words, ids: np.ndarray, told: list[bool], phrases: np.ndarray, least: np.ndarray,
-             window: int) -> np.ndarray:
+def _covered(words: _text.Words, ids: np.ndarray, phrases: np.ndarray, least: np.ndarray, window: int) -> np.ndarray:
     """Which words lie in an occurrence of a phrase that starts in a smaller document."""
     covered = np.zeros(len(words.hash), bool)
-    windows, at = _text.ngrams(words, window)
-    here = np.flatnonzero(_member(phrases, windows))
-    if not len(here):
+    start, size, holder, largest = _passages(words, ids, phrases, least, window)
+    if not len(start):
         return covered
-    own, first = np.unique(windows[here], return_index=True)
-    smallest = least[np.searchsorted(phrases, own)]
     numbers = np.unique(words.hash, return_inverse=True)[1]
-    for machine in _automata(numbers, at[here][first], window):
-        for d in np.flatnonzero(told):
+    for machine in _automata(numbers, start, size):
+        for d in np.unique(holder).tolist():  # no other document has anything to lose
             a, b = words.first[d], words.first[d + 1]
             hits = list(machine.iter(tuple(numbers[a:b].tolist())))
             if hits:
-                end, phrase = np.array(hits, np.int64).T
-                end = end[smallest[phrase] < ids[d]]
+                end, passage = np.array(hits, np.int64).T
+                ours = largest[passage] < ids[d]
+                end, passage = end[ours], passage[ours]
                 change = np.zeros(b - a + 1, np.int32)
-                np.add.at(change, end - window + 1, 1)
+                np.add.at(change, end - size[passage] + 1, 1)
                 np.add.at(change, end + 1, -1)
                 covered[a:b] |= np.cumsum(change[:-1]) > 0
     return covered
 
 
-def _locate(joined: DataFrame, kind: str, window: int, with_text: bool) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            ids = _holder_ids(batch.column("holder"))
-            told = [x is not None for x in batch.column("hashes").to_pylist()]
-            for a, b, data, offsets in _text.slices(batch.column("text")):
-                words = _text.hash_words(data, offsets, _text.SPACE_EXACT)
-                gone = _covered(words, ids[a:b], told[a:b], *_told(batch, a, b), window)
-                total = np.concatenate([[0], np.cumsum(gone)])
-                removed = total[words.first[1:]] - total[words.first[:-1]]
-                kept = []
-                for d in range(b - a):
-                    parts = data[offsets[d]:offsets[d + 1]].tobytes().split()
-                    if removed[d]:
-                        stay = ~gone[words.first[d]:words.first[d + 1]]
-                        parts = [p for p, s in zip(parts, stay.tolist()) if s]
-                    kept.append(b" ".join(parts))
-                last = pa.array([x.decode() for x in kept], pa.string()) if with_text else pa.array(
-                    [hashlib.sha256(x).hexdigest() for x in kept])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(np.diff(words.first).astype(np.int64)),
-                     pa.array(removed.astype(np.int64)), last], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+def _locate(dealt: DataFrame, phrases: DataFrame, kind: str, window: int, with_text: bool) -> DataFrame:
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, told = _holder_ids(table.column("holder")), _told(answers)
+        n_words, n_removed, kept = [], [], []
+        for a, b, data, offsets in _text.slices(_text_of(table)):
+            words = _text.hash_words(data, offsets, _text.SPACE_EXACT)
+            gone = _covered(words, ids[a:b], *told, window)
+            total = np.concatenate([[0], np.cumsum(gone)])
+            removed = total[words.first[1:]] - total[words.first[:-1]]
+            n_words.append(np.diff(words.first))
+            n_removed.append(removed)
+            for d in range(b - a):
+                parts = data[offsets[d]:offsets[d + 1]].tobytes().split()
+                if removed[d]:
+                    stay = ~gone[words.first[d]:words.first[d + 1]]
+                    parts = [p for p, s in zip(parts, stay.tolist()) if s]
+                line = b" ".join(parts)
+                kept.append(line.decode() if with_text else hashlib.sha256(line).hexdigest())
+        return pa.table({"doc_id": table.column("doc_id"),
+                         "n_words": pa.array(np.concatenate(n_words) if n_words else [], pa.int64()),
+                         "n_removed": pa.array(np.concatenate(n_removed) if n_words else [], pa.int64()),
+                         "kept": pa.array(kept, pa.string())})
+
+    return dealt.groupBy("bundle").cogroup(phrases.groupBy("bundle")).applyInArrow(
+        run, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
@@ -251,11 +247,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Tr
     kind = dict(docs.dtypes)["doc_id"]
     source = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))).alias("holder"),
                          F.col("text").cast("string").alias("text"))
-    anchors = _answer(_anchor_requests(source.select("holder", "text"), window, ranges), False)
-    # the same exchange of the texts serves both joins
-    dealt = source.repartition(ranges, "holder")
-    windows = _window_requests(dealt.join(anchors, "holder").select("holder", "text", "hashes", "least"),
-                               window, ranges)
-    phrases = _answer(windows, True)
-    return _locate(dealt.join(phrases, "holder", "left").select("doc_id", "holder", "text", "hashes", "least"),
-                   kind, window, with_text)
+    bundles = prime(-(-docs.count() // BUNDLE))
+    requests = _anchor_requests(source.select("holder", "text"), window, ranges)
+    # the one exchange of the texts serves both cogroups
+    dealt = source.withColumn("bundle", F.pmod("holder", F.lit(bundles).cast("long"))).repartition(ranges, "bundle")
+    anchors = _answer(requests, bundles, False)
+    windows = _window_requests(dealt, anchors, window, ranges)
+    return _locate(dealt, _answer(windows, bundles, True), kind, window, with_text)

@@ -34,9 +34,26 @@ def test_query_equals_sql(spark):
     assert ok, said
 
 
-@pytest.mark.parametrize("shard", [1, 7, 50_000])
-def test_shared_passages(spark, shard, monkeypatch):
+@pytest.mark.parametrize("shard,passage", [(1, 1), (70, 4), (500_000, 128)])
+def test_covered_words_do_not_depend_on_the_cut(shard, passage, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from punctual.llm import _text
     monkeypatch.setattr(substring_dedup, "SHARD", shard)
+    monkeypatch.setattr(substring_dedup, "PASSAGE", passage)
+    texts = [" ".join(t.split() * 2) for t in random_texts(9, 30, 5, 60)]
+    rows = list(enumerate(texts))
+    words = _text.hash_words(*_text.text_buffer(pa.array(texts)), _text.SPACE_EXACT)
+    grams, at = _text.ngrams(words, 13)
+    doc = np.searchsorted(words.first, at, side="right") - 1
+    phrases, first = np.unique(grams, return_index=True)
+    gone = substring_dedup._covered(words, np.arange(30), phrases, doc[first], 13)
+    total = np.concatenate([[0], np.cumsum(gone)])[words.first]
+    want = {r[0]: r[2] for r in brute(rows)}
+    assert np.diff(total).tolist() == [want[str(i)] for i in range(30)]
+
+
+def test_shared_passages(spark):
     passages = [p for p in random_texts(6, 30, 60, 50) if p]
     own = random_texts(7, 90, 5000, 60)
     rows = [(i * 7 % 91, f"{a} {passages[i % len(passages)]} {passages[i * i % len(passages)]}") for i, a in enumerate(own)]
