@@ -30,9 +30,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from punctual.llm._store import null_safe, stored
+from punctual.llm._store import stored
 
-_KEYS = ["doc_id", "content"]
 _FIELDS = 0x100000001
 
 
@@ -78,63 +77,62 @@ def spelled(fingerprint: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, content (hash of the text), key (hash of both; one plain column, so that one exchange of the texts
+    serves all joins) and text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("content"), text.alias("text"))
+    content = F.xxhash64(text)
+    return docs.select("doc_id", content.alias("content"),
+                       F.xxhash64("doc_id", F.col("doc_id").isNull(), content).alias("key"), text.alias("text"))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """doc_id, content, n_chars of each document and the same of the next and the previous one, by descending
-    doc_id; after the last comes the first."""
-    ids = _keyed(docs).select(*_KEYS, F.length("text").cast("long").alias("n_chars")).distinct()
+    """key, doc_id, n_chars of each document, next_key, and prev_key and prev_chars, by descending doc_id; after the
+    last comes the first."""
+    ids = _keyed(docs).select("key", "doc_id", "content", F.length("text").cast("long").alias("n_chars")).distinct()
     order = [F.col("doc_id").desc_nulls_last(), F.col("content").asc()]
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = stored(ids.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "simhash-ids")
     inside = Window.partitionBy("part").orderBy(*order)
-    me = F.struct("doc_id", "content", "n_chars")
-    row = ranged.select("part", me.alias("me"), F.lead(me).over(inside).alias("next"),
+    me = F.struct("key", "n_chars")
+    row = ranged.select("part", "key", "doc_id", "n_chars", F.lead("key").over(inside).alias("next_key"),
                         F.lag(me).over(inside).alias("prev"))
     # at most one row for each range partition from here on
-    ends = row.groupBy("part").agg(F.first(F.when(F.col("prev").isNull(), F.col("me")), True).alias("first"),
-                                   F.first(F.when(F.col("next").isNull(), F.col("me")), True).alias("last"))
-    ends = stored(ends, "simhash-ends")
+    ends = stored(row.groupBy("part").agg(
+        F.first(F.when(F.col("prev").isNull(), F.col("key")), True).alias("first"),
+        F.first(F.when(F.col("next_key").isNull(), me), True).alias("last")), "simhash-ends")
     around = Window.orderBy("part")
     edge = ends.select("part", F.lead("first").over(around).alias("after"), F.lag("last").over(around).alias("before"))
-    first = ends.agg(F.min_by("first", "part").alias("f"), F.max_by("last", "part").alias("l"))
-    whole = first.first()
-    if whole is None or whole["f"] is None:
-        return row.select("me.*", F.col("next"), F.col("prev"))
-
-    def literal(r):
-        return F.struct(F.lit(r["doc_id"]).cast(ranged.schema["doc_id"].dataType).alias("doc_id"),
-                        F.lit(r["content"]).cast("long").alias("content"),
-                        F.lit(r["n_chars"]).cast("long").alias("n_chars"))
+    whole = ends.agg(F.min_by("first", "part").alias("f"), F.max_by("last", "part").alias("l")).first()
+    first, last = whole["f"], whole["l"] or {"key": None, "n_chars": None}
+    prev = F.coalesce("prev", "before", F.struct(F.lit(last["key"]).cast("long").alias("key"),
+                                                 F.lit(last["n_chars"]).cast("long").alias("n_chars")))
     return row.join(F.broadcast(edge), "part").select(
-        "me.*", F.coalesce("next", "after", literal(whole["f"])).alias("next"),
-        F.coalesce("prev", "before", literal(whole["l"])).alias("prev"))
+        "key", "doc_id", "n_chars", F.coalesce("next_key", "after", F.lit(first).cast("long")).alias("next_key"),
+        prev["key"].alias("prev_key"), prev["n_chars"].alias("prev_chars"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, n_chars, edited (its text with the last half replaced by the beginning
-    of the next document), fingerprint and edited_fingerprint (long), near_edited, near_next."""
+    """One row for each document: doc_id, n_chars, edited_sha256 (of its text with the last half replaced by the
+    beginning of the next document), fingerprint and edited_fingerprint (long), near_edited, near_next."""
     links = stored(neighbours(docs), "simhash-links")
-    here = null_safe(_keyed(docs).dropDuplicates(_KEYS), links, _KEYS, "inner")
-    lead = here.select(F.col("prev.doc_id").alias("doc_id"), F.col("prev.content").alias("content"),
-                       F.expr("substring(text, 1, cast(prev.n_chars div 2 as int))").alias("lead"))
-    both = null_safe(here.select(*_KEYS, "n_chars", "next", "text"), lead, _KEYS, "inner").select(
-        *_KEYS, "n_chars", F.col("next.doc_id").alias("next_id"), F.col("next.content").alias("next_content"), "text",
+    texts = _keyed(docs).select("key", "text").dropDuplicates(["key"])
+    here = texts.join(links, "key")
+    lead = here.select(F.col("prev_key").alias("key"),
+                       F.expr("substring(text, 1, cast(prev_chars div 2 as int))").alias("lead"))
+    both = here.select("key", "doc_id", "n_chars", "next_key", "text").join(lead, "key").select(
+        "key", "doc_id", "n_chars", "next_key", "text",
         F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), F.col("lead")).alias("edited"))
-    texts = both.select(*_KEYS, "n_chars", "next_id", "next_content", F.sha2("edited", 256).alias("edited_sha256"),
-                        F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("text")),
-                                          F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text"))))
-                        .alias("v")).select("*", "v.is_edited", "v.text").drop("v")
-    keys = [*_KEYS, "n_chars", "next_id", "next_content", "edited_sha256"]
-    prints = fingerprints(texts, [*keys, "is_edited"], "text").groupBy(*keys).agg(
+    versions = both.select(
+        "key", "doc_id", "n_chars", "next_key", F.sha2("edited", 256).alias("edited_sha256"),
+        F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("text")),
+                          F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")))).alias("v")) \
+        .select("*", "v.is_edited", "v.text").drop("v")
+    keys = ["key", "doc_id", "n_chars", "next_key", "edited_sha256"]
+    prints = stored(fingerprints(versions, [*keys, "is_edited"], "text").groupBy(*keys).agg(
         F.max(F.when(~F.col("is_edited"), F.col("fingerprint"))).alias("fingerprint"),
-        F.max(F.when(F.col("is_edited"), F.col("fingerprint"))).alias("edited_fingerprint"))
-    prints = stored(prints, "simhash-prints")
-    after = prints.select(F.col("doc_id").alias("next_id"), F.col("content").alias("next_content"),
-                          F.col("fingerprint").alias("next_fingerprint"))
-    return null_safe(prints, after, ["next_id", "next_content"], "inner").select(
+        F.max(F.when(F.col("is_edited"), F.col("fingerprint"))).alias("edited_fingerprint")), "simhash-prints")
+    after = prints.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint"))
+    return prints.join(after, "next_key").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
