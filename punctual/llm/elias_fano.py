@@ -13,7 +13,7 @@ class EliasFano:
 
     The low bits lie packed side by side; the high bits are a unary bit string.
     ``find`` goes to the bucket of a number's high bits (rank in the bit string)
-    and compares low bits from there: constant expected time.
+    and halves it by the low bits: constant expected time.
     """
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
@@ -61,13 +61,17 @@ class EliasFano:
         ask = np.flatnonzero(top < len(self._begin) - 1)
         at, end = self._begin[top[ask]], self._begin[top[ask] + 1]
         low = x[ask] & np.uint64((1 << self.low_bits) - 1)
-        while len(ask):
-            inside = at < end
-            ask, at, end, low = ask[inside], at[inside], end[inside], low[inside]
-            have = self._low_at(at)
-            out[ask[have == low]] = at[have == low]
-            more = have < low
-            ask, at, end, low = ask[more], at[more] + 1, end[more], low[more]
+        # most buckets have an element or two, full ones are halved
+        last, open_ = end.copy(), np.flatnonzero(at < end)
+        while len(open_):
+            mid = (at[open_] + last[open_]) >> 1
+            less = self._low_at(mid) < low[open_]
+            at[open_[less]] = mid[less] + 1
+            last[open_[~less]] = mid[~less]
+            open_ = open_[at[open_] < last[open_]]
+        some = np.flatnonzero(at < end)
+        hit = some[self._low_at(at[some]) == low[some]]
+        out[ask[hit]] = at[hit]
         return out
 
 

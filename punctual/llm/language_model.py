@@ -228,6 +228,14 @@ def build_shard(token: np.ndarray, before: np.ndarray, s: Setting) -> bytes:
 def ask_shard(trie: Trie, token: np.ndarray, before: np.ndarray, s: Setting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(exact unigram log10, model log10, known) of each occurrence; the model's part holds the numerator of the
     token and the denominator of the token as a context (of the begin mark where the token is the end)."""
+    # equal pairs lie side by side and are looked up once
+    new = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (before[1:] != before[:-1])]))
+    again = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(token))))
+    base, model, known = _ask_pairs(trie, token[new], before[new], s)
+    return base[again], model[again], known[again]
+
+
+def _ask_pairs(trie: Trie, token: np.ndarray, before: np.ndarray, s: Setting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place, pair = trie.lookup(token, before)
     count = np.maximum(np.where(place >= 0, trie.count[np.maximum(place, 0)], 0) if len(trie.count) else 0, s.known(token))
     base = s.log_unigram(count)
