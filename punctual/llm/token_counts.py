@@ -63,6 +63,7 @@ def histogram(lengths: DataFrame) -> DataFrame:
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """length, n_docs, docs_from and tokens_from: documents of at least that length, and their tokens."""
+    hist = stored(hist, "length-histogram")  # it is read twice, the texts are not
     cells = hist.withColumn("range", F.floor(F.col("length") / _RANGE)) \
         .withColumn("tokens", F.col("length") * F.col("n_docs"))
     beyond = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
