@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from punctual.session import ship_package
 
 #: Bounds of a worker's tables (memory, not the result): arcs of the machine, remembered pre-tokens and pairs.
-MAX_ARCS, MAX_PIECES, MAX_PAIRS = 60_000, 800_000, 400_000
+MAX_ARCS, MAX_PIECES, MAX_PAIRS = 60_000, 300_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -208,18 +208,22 @@ class Transducer:
 
 
 class _Pieces(dict):
-    """Ids of the pre-tokens met so far."""
+    """Ids of the pre-tokens met lately: when the table is full it becomes the older one, from which pre-tokens
+    that are met again come back."""
 
     def __init__(self, machine: Transducer):
         super().__init__()
-        self.machine = machine
+        self.machine, self.older = machine, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        whole = self.machine.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(self.machine.feed(data))
+        ids = self.older.get(piece)
+        if ids is None:
+            data = piece.encode()
+            whole = self.machine.ranks.get(data)
+            ids = (whole,) if whole is not None else tuple(self.machine.feed(data))
         if len(piece) <= 64:
             if len(self) >= MAX_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
