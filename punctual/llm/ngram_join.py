@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join with a token-group matrix (operator 2).
 
 Method: the set of a document is its distinct k-word shingles.  Equal sets are
-one node.  Nodes are partitioned into groups of similar sets (same minimum
-shingle, similar size, at most about ``GROUP`` nodes); the token-group matrix
+one node.  Nodes are partitioned into groups of similar sets (same most held
+shingle among their first ones, similar size, at most about ``GROUP`` nodes);
+the token-group matrix
 holds, for each shingle, the groups whose union contains it.  A query set can
 only reach the threshold within a group that contains one of the query's
 first ``n - ceil(t n) + 1`` shingles (in any one order of all shingles), so
@@ -11,14 +12,16 @@ is a candidate: there the overlap of each query with the group's whole union
 is bounded, and only groups that can still hold a partner are opened and
 compared set by set.
 
-The order puts shingles with high counts last.  Counts come from a sketch over
-all documents (a fixed number of counters); the order steers work only, any
-order gives the same links.
+The order of the shingles is the exact number of sets that hold them, rarest
+first.  A set that holds that many shingles alone has no partner and leaves at
+this point.
 
-Two rounds: first every group with itself and with the head group of its
-bucket; then, with components known, only between different components:
-cells whose groups all lie in one component are dropped, which is what
-happens to large families of near copies.  No list of partners is cut.
+Three rounds: first every group with itself and with the head group of its
+bucket; then, between any two components that share a cell, the one pair of
+groups that shares most; at last all pairs of groups between components that
+are still different.  Large families of near copies grow together in the first
+two, so that nothing is left to compare inside them.  No list of partners is
+cut.
 
 Words: ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  Fewer than k words:
 the whole sequence is the one shingle.  Shingles and sets are compared by
@@ -41,13 +44,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.llm import _text
+from punctual.llm._deal import REQUEST, packed, prime, request_batch, unpack
 from punctual.llm._store import null_safe, stored
 from punctual.llm.components import connected
 from punctual.session import ship_package
 
 K, PERCENT = 5, 80
-#: Nodes of a group, and counters of the sketch (4 bytes each).
-GROUP, SKETCH = 64, 1 << 21
+#: Nodes of a group, and of a bundle in which cells are picked.
+GROUP, NODES = 64, 4096
 
 
 def _sets(texts: pa.Array, k: int):
@@ -80,92 +84,99 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
+def _keep(n, percent: int):
+    """How many of the first shingles of a set of n must be looked at."""
+    return n + (-percent * n // 100) + 1
+
+
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each document (doc_id, n, node, least) and, with n null, parts of the count sketch."""
+    """doc_id, n and node of each row."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        counts = np.zeros(SKETCH, np.int64)
-        id_type = None
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            n, node, least = [], [], []
-            pending, size = [], 0
-            for s in _sets(batch.column(1), k):
-                n.append(len(s))
-                node.append(_node(s) if len(s) else 0)
-                least.append(s[0] if len(s) else 0)
-                pending.append(s)
-                size += len(s)
-                if size > 1 << 18:
-                    counts += np.bincount(np.concatenate(pending) & np.uint64(SKETCH - 1), minlength=SKETCH)
-                    pending, size = [], 0
-            if size:
-                counts += np.bincount(np.concatenate(pending) & np.uint64(SKETCH - 1), minlength=SKETCH)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(n, np.int64)), pa.array(_signed(node)), pa.array(_signed(least)),
-                 pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
-                names=["doc_id", "n", "node", "least", "part", "counts"])
-        if id_type is not None and counts.any():
-            parts = np.minimum(counts, 0x7FFFFFFF).astype(np.uint32).reshape(32, -1)
-            blobs = [pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in parts]
-            nothing = pa.nulls(32, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(32, id_type), nothing, nothing, nothing, pa.array(np.arange(32, dtype=np.int32)),
-                 pa.array(blobs, pa.binary())], names=["doc_id", "n", "node", "least", "part", "counts"])
+            sets = [(len(s), _node(s)) if len(s) else (0, 0) for s in _sets(batch.column(1), k)]
+            n, node = zip(*sets) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(node))],
+                                             names=["doc_id", "n", "node"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n long, node long, least long, part int, counts binary")
-
-
-def _sketch(profile: DataFrame) -> np.ndarray:
-    """Level of each counter: 0 for counts up to four times the mean, then by powers of two."""
-    width = SKETCH // 32 * 4
-
-    def add(key, table):
-        total = np.zeros(width // 4, np.int64)
-        for blob in table.column("counts").to_pylist():
-            total += np.frombuffer(pa.decompress(blob, width, codec="zstd", asbytes=True), np.uint32)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        run, f"doc_id {kind}, n long, node long")
 
-    parts = profile.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(
-        add, "part int, counts binary").toArrow().to_pylist()
-    counts = np.zeros(SKETCH, np.int64)
-    for p in parts:
-        counts.reshape(32, -1)[p["part"]] = np.frombuffer(p["counts"], np.int64)
-    limit = max(32.0, 4 * counts.mean())
-    return np.where(counts > limit, 1 + np.log2(np.maximum(counts / limit, 1)).astype(np.int64), 0).astype(np.uint8)
 
-
-def _cells(docs: DataFrame, k: int, percent: int, level) -> DataFrame:
-    """(token, node) for the first n - ceil(t n) + 1 shingles of each set."""
+def _requests(docs: DataFrame, k: int, ranges: int) -> DataFrame:
+    """All shingles of all sets, dealt out by hash; the holder of a shingle is its node."""
     def run(batches):
         for batch in batches:
-            tokens, nodes, size = [], [], 0
+            nodes, tokens, size = [], [], 0
+
+            def rows():
+                holder = np.repeat(np.arange(len(nodes)), [len(t) for t in tokens])
+                return list(packed(_signed(nodes), holder, np.concatenate(tokens), ranges))
             for s in _sets(batch.column(0), k):
-                if not len(s):
-                    continue
-                keep = len(s) + (-percent * len(s) // 100) + 1
-                node = _node(s)
-                rank = level.value[s & np.uint64(SKETCH - 1)]
-                if rank.any():
-                    s = s[np.argsort(rank, kind="stable")]  # s is sorted: by level, then by hash
-                first = s[:keep]
-                tokens.append(first)
-                nodes.append(np.full(len(first), node, np.uint64))
-                size += len(first)
-                if size > 1 << 18:
-                    yield _pair_batch(tokens, nodes)
-                    tokens, nodes, size = [], [], 0
+                if len(s):
+                    nodes.append(_node(s))
+                    tokens.append(s)
+                    size += len(s)
+                    if size > 1 << 19:
+                        yield request_batch(rows())
+                        nodes, tokens, size = [], [], 0
             if size:
-                yield _pair_batch(tokens, nodes)
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, node long")
-
-
-def _pair_batch(tokens, nodes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))),
-                                       pa.array(_signed(np.concatenate(nodes)))], names=["token", "node"])
+                yield request_batch(rows())
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, REQUEST)
+
+
+def _shared(requests: DataFrame, bundles: int) -> DataFrame:
+    """By bundle of nodes: shingles that two or more nodes hold, with the number of nodes."""
+    def run(table: pa.Table) -> pa.Table:
+        nodes, tokens = unpack(table)
+        order = np.lexsort((nodes, tokens))
+        nodes, tokens = nodes[order], tokens[order]
+        new = np.ones(len(nodes), bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
+        nodes, tokens = nodes[new], tokens[new]
+        begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, int)
+        size = np.diff(np.append(begin, len(tokens)))
+        held = np.repeat(size, size)
+        nodes, tokens, held = nodes[held > 1], tokens[held > 1], held[held > 1]
+        bundle = nodes % bundles
+        order = np.argsort(bundle, kind="stable")
+        bundle, nodes, tokens, held = bundle[order], nodes[order], tokens[order], held[order]
+        cut = np.searchsorted(bundle, np.arange(bundles + 1))
+        some = np.flatnonzero(np.diff(cut))
+        return pa.table({"bundle": pa.array(some, pa.int64()), **{
+            name: pa.array([pa.compress(x[cut[i]:cut[i + 1]].tobytes(), codec="zstd", asbytes=True) for i in some],
+                           pa.binary()) for name, x in (("nodes", nodes), ("tokens", tokens), ("held", held.astype(np.int64)))},
+            "size": pa.array(np.diff(cut)[some], pa.int64())})
+
+    return requests.groupBy("part").applyInArrow(
+        run, "bundle long, nodes binary, tokens binary, held binary, size long")
+
+
+def _first_cells(nodes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(token, node, held): of the first shingles of each node those that others hold, too, and by how many nodes."""
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        holder, token, held = (np.frombuffer(b"".join(
+            pa.decompress(x, 8 * n, codec="zstd", asbytes=True) for x, n in
+            zip(answers.column(c).to_pylist(), answers.column("size").to_pylist())), t) for c, t in
+            (("nodes", np.int64), ("tokens", np.uint64), ("held", np.int64)))
+        order = np.lexsort((token, held, holder))
+        holder, token, held = holder[order], token[order], held[order]
+        node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
+        order = np.argsort(node)
+        node, n = node[order], n[order]
+        at = np.searchsorted(node, holder)
+        begin = np.searchsorted(holder, node)
+        mine = np.searchsorted(holder, node, side="right") - begin
+        # its own shingles come first: they take up places but join with nothing
+        places = _keep(n, percent) - (n - mine)
+        pick = np.arange(len(holder)) - begin[at] < places[at]
+        return pa.table({"token": pa.array(_signed(token[pick])), "node": pa.array(holder[pick]),
+                         "held": pa.array(held[pick])})
+
+    return nodes.groupBy("bundle").cogroup(shared.groupBy("bundle")).applyInArrow(
+        run, "token long, node long, held long")
 
 
 def _opened(a: list[np.ndarray], b: list[np.ndarray], percent: int):
@@ -252,42 +263,55 @@ def components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select("doc_id", "text")
-    profile = stored(_profile(docs, k), "join-profile")
-    level = spark.sparkContext.broadcast(_sketch(profile))  # SKETCH bytes
-    rows = profile.where("part IS NULL").select("doc_id", "n", "node", "least")
-    cells = stored(_cells(docs, k, percent, level), "join-cells")
-    # a shingle of one node only links nothing
-    shared = cells.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y")
-    size_step = F.floor(F.log("n") / math.log(100 / percent) + 1e-9)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(_profile(docs, k), "join-profile")
     nodes = rows.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("least").alias("least"))
-    cells = stored(cells.join(shared.select("token"), "token", "left_semi").distinct(), "join-shared")
-    live = nodes.join(cells.select("node").distinct(), "node", "left_semi").withColumn("step", size_step)
-    live = stored(live, "join-live")
-    buckets = live.groupBy("least", "step").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("chunks"))
-    live = stored(live.join(buckets, ["least", "step"]).select(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    bundles = prime(-(-rows.count() // NODES))
+    numbered = nodes.select("node", "n").withColumn("bundle", F.pmod("node", F.lit(bundles).cast("long")))
+    cells = stored(_first_cells(numbered, _shared(_requests(docs, k, ranges), bundles), percent), "join-cells")
+    # a shingle of one node only links nothing
+    several = cells.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y")
+    # sizes of linked sets lie at most one step apart
+    size_step = F.floor(F.log("n") / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")
+    cells = stored(cells.join(several.select("token"), "token", "left_semi").distinct(), "join-shared")
+    common = cells.groupBy("node").agg(F.max_by("token", F.struct("held", "token")).alias("common"))
+    live = stored(nodes.join(common, "node").withColumn("step", size_step), "join-live")
+    buckets = live.groupBy("common", "step").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("chunks"))
+    live = stored(live.join(buckets, ["common", "step"]).select(
         "node", "doc_id", "n", "step",
-        F.xxhash64("least", "step", F.pmod("node", "chunks")).alias("group"),
-        F.xxhash64("least", "step", F.lit(0).cast("long")).alias("head")), "join-groups")
+        F.xxhash64("common", "step", F.pmod("node", "chunks")).alias("group"),
+        F.xxhash64("common", "step", F.lit(0).cast("long")).alias("head")), "join-groups")
     sets = stored(_live_sets(docs, live, k), "join-sets")
     counts = live.groupBy("group", "head").agg(F.count(F.lit(1)).alias("c"))
     first = counts.where("c > 1").select(F.col("group").alias("g1"), F.col("group").alias("g2")).union(
         counts.where("group <> head").select(F.col("head").alias("g1"), F.col("group").alias("g2")))
     links = stored(_verify(sets, first, percent), "join-links")
-    joined = connected(links)
-    matrix = (cells.join(live.select("node", "group", "step"), "node")
-              .join(stored(joined, "join-parts"), "node", "left")
-              .select("token", "group", "step", F.coalesce("component", "node").alias("component")).distinct())
-    matrix = stored(matrix, "join-matrix")
+    parts = stored(connected(links), "join-parts")
+    matrix = stored(cells.join(live.select("node", "group", "step"), "node")
+                    .join(parts, "node", "left")
+                    .select("token", "group", "step", F.coalesce("component", "node").alias("component")).distinct(),
+                    "join-matrix")
     across = matrix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     matrix = matrix.join(across.select("token"), "token", "left_semi")
     left = matrix.select("token", *[F.col(c).alias(f"{c}1") for c in ("group", "step", "component")])
     right = matrix.select("token", *[F.col(c).alias(f"{c}2") for c in ("group", "step", "component")])
-    second = left.join(right, "token").where(
-        "group1 < group2 AND component1 <> component2 AND abs(step1 - step2) <= 1").select(
-        F.col("group1").alias("g1"), F.col("group2").alias("g2")).distinct()
-    more = _verify(sets, stored(second, "join-pairs"), percent)
-    final = stored(connected(links.union(more)), "join-components")
+    pairs = stored(left.join(right, "token").where(
+        "group1 < group2 AND component1 <> component2 AND abs(step1 - step2) <= 1").groupBy(
+        F.col("group1").alias("g1"), F.col("group2").alias("g2"),
+        F.least("component1", "component2").alias("c1"), F.greatest("component1", "component2").alias("c2"))
+        .agg(F.count(F.lit(1)).alias("cells")), "join-pairs")
+    # between two components first the pair of groups that shares most cells
+    best = pairs.groupBy("c1", "c2").agg(F.max_by(F.struct("g1", "g2"), F.struct("cells", "g1", "g2")).alias("p")) \
+        .select("p.*").distinct()
+    links = links.union(stored(_verify(sets, best, percent), "join-links"))
+    now = stored(connected(links), "join-parts")
+    one, two = (now.select(F.col("node").alias(f"c{i}"), F.col("component").alias(f"now{i}")) for i in (1, 2))
+    rest = pairs.join(one, "c1", "left").join(two, "c2", "left").where(
+        F.coalesce("now1", "c1") != F.coalesce("now2", "c2")).select("g1", "g2").distinct() \
+        .join(best, ["g1", "g2"], "left_anti")
+    links = links.union(stored(_verify(sets, rest, percent), "join-links"))
+    final = stored(connected(links), "join-components")
     named = nodes.select("node", "doc_id").join(final, "node", "left").select(
         "node", "doc_id", F.coalesce("component", "node").alias("component"))
     named = stored(named, "join-named")
@@ -322,11 +346,12 @@ def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFram
     """``docs`` with one row of each component: the one of the smallest doc_id (of repeated ids, the least text).
     Documents without words stay.  All columns stay."""
     parts = components(docs, k, percent).where("n_shingles > 0").select("doc_id", "component_id").distinct()
-    keep = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct() \
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("__id")
+    keep = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct() \
         .withColumn("__first", F.lit(True))
-    marked = null_safe(docs.withColumn("__words", F.expr(r"text IS NOT NULL AND text RLIKE '[^\\x20\\x09-\\x0D]'")),
-                       keep, ["doc_id"])
-    kept = marked.where("NOT __words OR __first")
-    kept = kept.withColumn("__nth", F.when(F.col("__words"), F.row_number().over(
-        Window.partitionBy("doc_id", "__words").orderBy(F.xxhash64("text")))).otherwise(1))
-    return kept.where("__nth = 1").select(*[f"`{c}`" for c in docs.columns])
+    words = F.col("text").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    # one exchange of the texts, by id, serves the join and the choice among repeated ids
+    kept = docs.select("*", key, words.alias("__words")).join(keep, "__id", "left").where("NOT __words OR __first")
+    nth = F.row_number().over(Window.partitionBy("__id", "__words").orderBy(F.xxhash64("text")))
+    return kept.withColumn("__nth", F.when(F.col("__words"), nth).otherwise(1)).where("__nth = 1") \
+        .select(*[f"`{c}`" for c in docs.columns])

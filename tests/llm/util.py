@@ -19,7 +19,7 @@ def docs(spark, rows, extra=()):
                                   for i, t in rows], schema).repartition(3)
 
 
-CLASHING = ("content", "node", "n", "ids", "__words", "spans", "holder", "kept", "score", "0", "a b")
+CLASHING = ("content", "node", "n", "ids", "spans", "holder", "kept", "score", "0", "a b")
 
 ODD = [(0, None), (1, ""), (2, "  \n\t "), (3, "one"), (4, "a b"), (5, "x" * 30_000), (6, "word " * 20_000),
        (7, "same text here for all of us to see today and more words"),
