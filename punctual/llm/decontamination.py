@@ -76,7 +76,7 @@ def _contexts(words: _text.Words, pos: np.ndarray, doc: np.ndarray, window: int,
     return np.where(inside, words.hash[np.clip(span, 0, max(len(words.hash) - 1, 0))], np.uint64(filler))
 
 
-def _rows(ids: pa.Array, texts: pa.Array, window: int, k: int, short: list[int], bitmap, filler: int,
+def _rows(ids: pa.Array, texts: pa.Array, content: pa.Array, window: int, k: int, short: list[int], bitmap, filler: int,
           whole_items: bool, id_name: str) -> Iterator[pa.RecordBatch]:
     for a, b, data, offsets in _text.slices(texts):
         words = _text.hash_words(data, offsets, _text.ALNUM_FOLDED)
@@ -99,17 +99,13 @@ def _rows(ids: pa.Array, texts: pa.Array, window: int, k: int, short: list[int],
         lists = pa.ListArray.from_arrays(
             pa.array(np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32)), items).cast(_PRINT_TYPE)
         yield pa.RecordBatch.from_arrays(
-            [ids.slice(a, b - a), pa.array(_content(data, offsets)), pa.array(np.diff(words.first).astype(np.int64)),
+            [ids.slice(a, b - a), content.slice(a, b - a), pa.array(np.diff(words.first).astype(np.int64)),
              lists], names=[id_name, "content", "n_words", "prints"])
 
 
-def _content(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _content():
     """A hash of each whole text, which tells apart rows that share an id."""
-    up, down = _text._powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_text.SPACE_EXACT.value[data] * up[:len(data)], out=total[1:])
-    h = (total[offsets[1:]] - total[offsets[:-1]]) * down[offsets[:-1]]
-    return _text.mix(h ^ np.diff(offsets).astype(np.uint64)).view(np.int64)
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _fingerprints(df: DataFrame, id_name: str, window: int, k: int, short: list[int], bitmap=None,
@@ -118,10 +114,10 @@ def _fingerprints(df: DataFrame, id_name: str, window: int, k: int, short: list[
 
     def run(batches):
         for batch in batches:
-            yield from _rows(batch.column(0), batch.column(1), window, k, short,
+            yield from _rows(batch.column(0), batch.column(1), batch.column(2), window, k, short,
                              None if bitmap is None else bitmap.value, filler, whole_items, id_name)
 
-    return df.select(id_name, F.col("text").cast("string").alias("text")).mapInArrow(
+    return df.select(id_name, F.col("text").cast("string").alias("text"), _content().alias("content")).mapInArrow(
         run, f"`{id_name}` {kind}, content long, n_words long, "
              "prints array<struct<fp: long, size: int, pos: int, context: binary>>")
 
@@ -203,5 +199,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """``docs`` without its contaminated rows; all columns stay."""
     ship_package(docs.sparkSession)
-    dirty = decontaminate(docs, benchmark, window, k).where("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti")
+    dirty = decontaminate(docs, benchmark, window, k).where("contaminated").select(
+        F.col("doc_id").alias("__dirty"), F.col("content").alias("__text")).distinct()
+    rows = docs.withColumn("__content", _content())
+    return rows.join(dirty, rows["doc_id"].eqNullSafe(dirty["__dirty"]) & (rows["__content"] == dirty["__text"]),
+                     "left_anti").drop("__content")

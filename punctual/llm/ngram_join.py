@@ -40,7 +40,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm import _text
@@ -90,18 +90,23 @@ def _keep(n, percent: int):
 
 
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n and node of each row."""
+    """doc_id, content (a hash of the text), n and node of each row."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         for batch in batches:
             sets = [(len(s), _node(s)) if len(s) else (0, 0) for s in _sets(batch.column(1), k)]
             n, node = zip(*sets) if sets else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(node))],
-                                             names=["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(_signed(node))],
+                names=["doc_id", "content", "n", "node"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), _content()).mapInArrow(
+        run, f"doc_id {kind}, content long, n long, node long")
+
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n long, node long")
+def _content():
+    return F.xxhash64(F.col("text").cast("string")).alias("content")
 
 
 def _requests(docs: DataFrame, k: int, ranges: int) -> DataFrame:
@@ -257,16 +262,17 @@ def _links(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["a", "b"])
 
 
-def components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``: documents link when
-    100 * |intersection| >= percent * |union| of their shingle sets."""
+def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, named): doc_id, content, n and node of each row; doc_id and content of the first row of each node (of the
+    least doc_id, null ids last, then the least content), and its component."""
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select("doc_id", "text")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(_profile(docs, k), "join-profile")
     nodes = rows.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("row"), F.first("n").alias("n")) \
+        .select("node", "n", "row.doc_id", "row.content")
     bundles = prime(-(-rows.count() // NODES))
     numbered = nodes.select("node", "n").withColumn("bundle", F.pmod("node", F.lit(bundles).cast("long")))
     cells = stored(_first_cells(numbered, _shared(_requests(docs, k, ranges), bundles), percent), "join-cells")
@@ -279,7 +285,7 @@ def components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
     live = stored(nodes.join(common, "node").withColumn("step", size_step), "join-live")
     buckets = live.groupBy("common", "step").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("chunks"))
     live = stored(live.join(buckets, ["common", "step"]).select(
-        "node", "doc_id", "n", "step",
+        "node", "doc_id", "content", "n", "step",
         F.xxhash64("common", "step", F.pmod("node", "chunks")).alias("group"),
         F.xxhash64("common", "step", F.lit(0).cast("long")).alias("head")), "join-groups")
     sets = stored(_live_sets(docs, live, k), "join-sets")
@@ -312,9 +318,15 @@ def components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
         .join(best, ["g1", "g2"], "left_anti")
     links = links.union(stored(_verify(sets, rest, percent), "join-links"))
     final = stored(connected(links), "join-components")
-    named = nodes.select("node", "doc_id").join(final, "node", "left").select(
-        "node", "doc_id", F.coalesce("component", "node").alias("component"))
-    named = stored(named, "join-named")
+    named = nodes.select("node", "doc_id", "content").join(final, "node", "left").select(
+        "node", "doc_id", "content", F.coalesce("component", "node").alias("component"))
+    return rows, stored(named, "join-named")
+
+
+def components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs``: documents link when
+    100 * |intersection| >= percent * |union| of their shingle sets."""
+    rows, named = _classes(docs, k, percent)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = named.join(smallest, "component").select("node", "component_id")
     return rows.join(of_node, "node", "left").select(
@@ -323,16 +335,20 @@ def components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
 
 
 def _live_sets(docs: DataFrame, live: DataFrame, k: int) -> DataFrame:
-    """(group, node, shingles) of the nodes in ``live``, from the text of each node's first document."""
-    want = live.select("doc_id", "node", "group")
-    texts = null_safe(docs, want, ["doc_id"], "inner").select("node", "group", F.col("text").cast("string").alias("text"))
+    """(group, node, shingles) of the nodes in ``live``, from the text of each node's first row."""
+    want = live.select("doc_id", "content", "node", "group")
+    texts = null_safe(docs.select("doc_id", "text", _content()), want, ["doc_id", "content"], "inner") \
+        .select("node", "group", F.col("text").cast("string").alias("text"))
 
     def run(batches):
+        last = None
         for batch in batches:
             nodes = batch.column(0).to_numpy()
             keep, blobs = [], []
             for i, s in enumerate(_sets(batch.column(2), k)):
-                if len(s) and _signed([_node(s)])[0] == nodes[i]:  # else another text under the same doc_id
+                # else a repeated row, or another text of the same hash
+                if nodes[i] != last and len(s) and _signed([_node(s)])[0] == nodes[i]:
+                    last = nodes[i]
                     keep.append(i)
                     blobs.append(s.tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -343,15 +359,17 @@ def _live_sets(docs: DataFrame, live: DataFrame, k: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each component: the one of the smallest doc_id (of repeated ids, the least text).
-    Documents without words stay.  All columns stay."""
-    parts = components(docs, k, percent).where("n_shingles > 0").select("doc_id", "component_id").distinct()
-    key = F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("__id")
-    keep = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct() \
-        .withColumn("__first", F.lit(True))
-    words = F.col("text").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    # one exchange of the texts, by id, serves the join and the choice among repeated ids
-    kept = docs.select("*", key, words.alias("__words")).join(keep, "__id", "left").where("NOT __words OR __first")
-    nth = F.row_number().over(Window.partitionBy("__id", "__words").orderBy(F.xxhash64("text")))
-    return kept.withColumn("__nth", F.when(F.col("__words"), nth).otherwise(1)).where("__nth = 1") \
-        .select(*[f"`{c}`" for c in docs.columns])
+    """``docs`` with one row of each component: the one of the smallest doc_id (null ids last), then of the least hash of
+    the text; of rows equal in both any one.  Different texts of one id, or without an id, are judged apart.  Documents
+    without words stay.  All columns stay."""
+    _, named = _classes(docs, k, percent)
+    text = F.col("text").cast("string")
+    # ids and texts together are dealt out, so rows without an id are spread by their texts
+    first = named.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("row")).select(
+        F.xxhash64("row.doc_id", "row.none", "row.content").alias("__row"))
+    words = text.isNotNull() & text.rlike(r"[^\x20\x09-\x0D]")
+    # repeated rows meet before the exchange of the texts, which then serves the join, too
+    kept = docs.where(words).withColumn("__row", F.xxhash64("doc_id", F.col("doc_id").isNull(), F.xxhash64(text))) \
+        .dropDuplicates(["__row"]).join(first, "__row", "left_semi").drop("__row")
+    return kept.union(docs.where(~words))

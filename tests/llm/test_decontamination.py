@@ -67,3 +67,12 @@ def test_odd_rows_and_empty_tables(spark):
     kept = decontamination.clean(frame, items_frame(spark, items))
     assert kept.columns == frame.columns
     assert kept.count() == sum(not w[4] for w in want)
+
+
+def test_clean_judges_texts_of_one_id_apart(spark):
+    item = " ".join(f"item{i}" for i in range(14))
+    rows = [(None, "before " + item), (None, "a clean text without an id"), (4, item), (4, "another clean text"),
+            (5, "clean, too"), (None, None), (None, "")]
+    kept = decontamination.clean(docs(spark, rows, CLASHING), items_frame(spark, [(1, item)]))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+        [r for r in rows if r[1] is None or item not in r[1]], key=str)

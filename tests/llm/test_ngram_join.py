@@ -72,6 +72,18 @@ def test_one_of_each(spark):
     assert ids == sorted(str(i) for i in [0, 1, 2, 3, 4, 5, 6, 7, 9, 10, 11, None])
 
 
+def test_one_of_each_keeps_different_texts_of_one_id_and_without_id(spark):
+    texts = [f"text number {i} has " + " ".join(f"w{i}x{j}" for j in range(30)) for i in range(8)]
+    rows = [(None, t) for t in texts[:5]] + [(None, texts[0]), (1, texts[4]), (2, texts[5]), (2, texts[6]), (2, texts[6]),
+                                             (None, texts[3] + " end"), (None, None), (None, " "), (3, texts[7])]
+    got = sorted(((str(r["doc_id"]), r["text"]) for r in ngram_join.one_of_each(docs(spark, rows, CLASHING)).collect()),
+                 key=str)
+    near = [r for r in got if r[1] in (texts[3], texts[3] + " end")]
+    assert len(near) == 1 and near[0][0] == "None"
+    want = [("None", t) for t in (*texts[:3], None, " ")] + [("1", texts[4]), ("2", texts[5]), ("2", texts[6]), ("3", texts[7])]
+    assert [r for r in got if r not in near] == sorted(want, key=str)
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(5, 5), (None, 3)]
     out = {r["node"]: r["component"] for r in C.connected(spark.createDataFrame(links, "a long, b long")).collect()}
