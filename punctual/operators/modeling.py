@@ -94,9 +94,9 @@ class Preprocessor:
                    spark.read.parquet(os.path.join(path, "classes")))
 
 
-def with_class_weights(df: DataFrame, label: str = TARGET) -> DataFrame:
-    """Balanced weights n / (2 * n_class) from the two class counts."""
-    c = df.groupBy(label).count().collect()   # two rows
+def with_class_weights(df: DataFrame, label: str = TARGET, of: DataFrame | None = None) -> DataFrame:
+    """Balanced weights n / (2 * n_class) from the two class counts of ``of`` (default: ``df`` itself)."""
+    c = (df if of is None else of).groupBy(label).count().collect()   # two rows
     n = sum(r["count"] for r in c)
     w = {r[label]: n / (2.0 * r["count"]) for r in c}
     expr = F.lit(1.0)
@@ -180,11 +180,14 @@ class TrainedModel:
 
 
 def train(train_rows: DataFrame, grid: list[dict] = SMALL_GRID, key: str = "FlightKey",
-          ties: list[str] | None = None, label: str = TARGET, seed: int = 42) -> TrainedModel:
-    """Preprocess (fit on the full train set), select, refit the winner."""
+          ties: list[str] | None = None, label: str = TARGET, seed: int = 42,
+          fit_rows: DataFrame | None = None) -> TrainedModel:
+    """Preprocess (fit on the full train set, as are the class weights), select, refit the winner.
+
+    Only the estimators are given ``fit_rows`` (default: all of ``train_rows``)."""
     ties = ties or [key]
     pre = Preprocessor.fit(train_rows)
-    vec = with_class_weights(pre.transform(train_rows), label) \
+    vec = with_class_weights(pre.transform(train_rows if fit_rows is None else fit_rows), label, train_rows) \
         .select(*ties, label, WEIGHT_COL, FEATURES_COL).persist(StorageLevel.MEMORY_AND_DISK)
     selection, best = select_model(vec, grid, key, ties, label, seed)
     model = build_estimator(best, label, seed).fit(vec)

@@ -29,11 +29,13 @@ _MODELS: dict[tuple, M.TrainedModel] = {}
 
 
 def trained(spark, sf_dir, grid=None, max_fit_rows: int = PL.MAX_FIT_ROWS) -> M.TrainedModel:
-    """Fit (once per session, input, grid and bound) on at most ``max_fit_rows`` rows of the balanced train set."""
+    """Fit once per session, input, grid and bound: preprocessing and class weights on the whole balanced train set,
+    the estimators on at most ``max_fit_rows`` rows of it."""
     grid = grid or M.SMALL_GRID
     k = (spark.sparkContext.applicationId, fingerprint(spark, sf_dir), json.dumps(grid, sort_keys=True), max_fit_rows)
     if k not in _MODELS:
-        _MODELS[k] = M.train(PL.fit_rows(spark, sf_dir, max_fit_rows), grid, "FlightKey", KEY)
+        _MODELS[k] = M.train(PL.balanced_train(spark, sf_dir), grid, "FlightKey", KEY,
+                             fit_rows=PL.fit_rows(spark, sf_dir, max_fit_rows))
     return _MODELS[k]
 
 
@@ -129,7 +131,7 @@ def model_summary(spark, sf_dir):
     confusion matrix, report, sweep, importances, class names."""
     t = trained(spark, sf_dir)
     s = model_scores(spark, sf_dir)
-    fit = PL.fit_rows(spark, sf_dir)
+    fit = PL.balanced_train(spark, sf_dir)
     both = s.agg(F.count(F.lit(1)).alias("test_rows"), F.avg(F.col("label").cast("double")).alias("test_delay_rate"))
     train = fit.agg(F.count(F.lit(1)).alias("train_rows"), F.avg(F.col(TARGET).cast("double")).alias("train_delay_rate"))
     best = t.selection.filter("selected").select(

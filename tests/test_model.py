@@ -133,3 +133,18 @@ def test_attribution_views_of_a_row(spark, trained):
     assert len(local) == sum(map(len, want.values())) and {r["rank"] for r in local} == set(range(1, min(15, len(feats)) + 1))
     series, _ = X.dependence(attr, KEY, feats, feats[0], feats[1])
     assert series.count() == 20 and "Exchange" not in series._jdf.queryExecution().executedPlan().toString()
+
+
+def test_preprocessing_covers_rows_that_are_not_fitted(spark):
+    from punctual.operators import prep
+    from punctual.plans import q_modeling as Q
+    full = PL.balanced_train(spark, SF_SMALL)
+    t = Q.trained(spark, SF_SMALL, TINY_GRID[1:], max_fit_rows=60)
+    want = M.Preprocessor.fit(full)
+    assert sorted(map(tuple, t.pre.classes.collect())) == sorted(map(tuple, want.classes.collect()))
+    assert sorted(map(tuple, t.pre.params.collect())) == sorted(map(tuple, want.params.collect()))
+    few = prep.fit_label_encoders(PL.fit_rows(spark, SF_SMALL, 60), t.pre.categorical)
+    assert few.count() < t.pre.classes.count()
+    weights = M.with_class_weights(PL.fit_rows(spark, SF_SMALL, 60), of=full).select("IsArrDelayed", "class_weight")
+    n = {r["IsArrDelayed"]: r["count"] for r in full.groupBy("IsArrDelayed").count().collect()}
+    assert all(abs(r.class_weight - sum(n.values()) / 2 / n[r.IsArrDelayed]) < 1e-9 for r in weights.distinct().collect())
