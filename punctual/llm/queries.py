@@ -74,8 +74,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_pii")
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and digest of the base spans, and all spans."""
-    count = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}")
-             for i, k in enumerate(pii.KINDS)]
+    def is_kind(i):
+        return lambda s: s["kind"] == i
+    count = [F.size(F.filter("base", is_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
     return pii.find(table(spark, sf_dir, "documents")).select(
         "doc_id", *count, F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
@@ -119,8 +120,7 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP8_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS g
       FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
 f AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
