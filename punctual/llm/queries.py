@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm import (bpe, decontamination, language_model, ngram_join, pii, quality, simhash,
+from punctual.llm import (bpe, conversation_repair, decontamination, language_model, ngram_join, pii, quality, simhash,
                           substring_dedup, token_counts, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,86 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
     return quality.score(docs, quality.fit(docs, labels)).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
+
+# --- crc32 and base 32 in SQL ---------------------------------------------------------------------------------------
+#: Relation of one row: crc32's table, made by its rule.
+_CRC_TABLE = """(SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS crc_table)"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 bytes of ``text``, beside a column ``crc_table``."""
+    octets = (f"list_transform(range(1, octet_length(encode({text})) + 1), "
+              f"lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)")
+    return (f"xor(4294967295, list_reduce({octets}, lambda c, b: "
+            f"xor(crc_table[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT))")
+
+
+# --- operator 13 ----------------------------------------------------------------------------------------------------
+def _op13_sql() -> str:
+    """A forward search, row by row, over the cheapest and ASCII-least audit of each of the four states.
+
+    A state's value is its cost in nine digits and its audit, so that the least string is the best one."""
+    def plus(state: str, cost: str, letters: str) -> str:
+        return f"lpad((substr({state}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({state}, 10) || '{letters}'"
+
+    def least(*options: str) -> str:
+        return f"least({', '.join(options)})"
+    closed = {0: "s0", 1: "s1",
+              2: least("s2", plus("s0", "2", "I"), plus("s1", "2", "I"), plus("s3", "2", "I")),
+              3: least("s3", plus("s2", "2", "I"), plus("s0", "4", "II"), plus("s1", "4", "II"))}
+    shut = ", ".join(f"{closed[i]} AS c{i}" for i in range(4))
+    keep, rerole = "CASE WHEN kind = 'x' OR initial <> '{r}' THEN NULL ELSE {v} END", "CASE WHEN kind = 'x' THEN NULL ELSE {v} END"
+    into = {0: [], 1: [keep.format(r="s", v=plus("c0", "late", "K"))],
+            2: [x for c in ("c0", "c1", "c3") for x in (keep.format(r="u", v=plus(c, "late", "K")),
+                                                        rerole.format(v=plus(c, "2 + late", "R")))],
+            3: [keep.format(r="a", v=plus("c2", "late", "K")), rerole.format(v=plus("c2", "2 + late", "R"))]}
+    step = ", ".join(f"{least(plus(f'c{i}', '3', 'D'), *into[i])} AS s{i}" for i in range(4))
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k
+  FROM conversations, {_CRC_TABLE}),
+m AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                                   sha256(length(role)::VARCHAR || ':' || role || text)) AS i,
+             regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS t FROM m),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+             lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1:1] AS pair FROM o),
+g AS (SELECT *, role[1:1] AS initial, CASE WHEN t = '' OR again THEN 'x' ELSE 'r' END AS kind,
+             (t[-1:] NOT IN ('.', '!', '?'))::BIGINT AS late FROM f),
+p AS (SELECT conv_id, 0::BIGINT AS i, '000000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3
+      FROM (SELECT DISTINCT conv_id FROM conversations)
+      UNION ALL
+      SELECT conv_id, i, {step} FROM (SELECT p.conv_id, g.i, g.kind, g.initial, g.late, {shut} FROM p
+      JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id AND g.i = p.i + 1)),
+b AS (SELECT conv_id, i AS n, {least("c0", "c3")} AS best FROM (SELECT conv_id, i, {shut} FROM p)
+      QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+a AS (SELECT conv_id, n, substr(best, 1, 9)::BIGINT AS cost, substr(best, 10) AS audit FROM b),
+e AS (SELECT conv_id, q, audit[q:q] AS edit, len(replace(audit[1:q], 'I', '')) AS i,
+             len(replace(audit[1:q], 'D', '')) AS nth
+      FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS q FROM a)),
+k AS (SELECT e.conv_id, e.q, e.nth, CASE WHEN edit = 'K' THEN g.role END AS kept,
+             CASE WHEN edit = 'I' THEN '' ELSE g.text END AS text
+      FROM e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id AND g.i = e.i WHERE edit <> 'D'),
+h AS (SELECT *, max((nth = 1 AND coalesce(kept[1:1] = 's', false))::INT) OVER (PARTITION BY conv_id) AS led FROM k),
+r AS (SELECT conv_id, sha256(string_agg(coalesce(kept, CASE WHEN (nth - led) % 2 = 1 THEN 'user' ELSE 'assistant' END)
+                                        || ':' || text, chr(10) ORDER BY q)) AS digest FROM h GROUP BY conv_id),
+z AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(t = '') AS blank,
+             count_if(t <> '' AND again) AS duplicate, count_if(t <> '' AND NOT again AND late = 1) AS truncated,
+             count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, cost, audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM a LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+@register("op13_conversation_repair", _op13_sql())
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of every damaged conversation."""
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
