@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.llm import (bpe, conversation_repair, decontamination, language_model, ngram_join, pii, quality, simhash,
-                          substring_dedup, token_counts, toxicity)
+                          spelling, substring_dedup, token_counts, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -255,3 +255,33 @@ FROM a LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN r ON r.
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest repair and digest of every damaged conversation."""
     return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+# --- operator 11 ----------------------------------------------------------------------------------------------------
+_OP11_SQL = rf"""
+WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({_FOLD}, '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents),
+g AS (SELECT id, run, count(*) AS c FROM r GROUP BY ALL),
+h AS (SELECT run, c, {_crc32("id || ':' || run")} AS h FROM g, {_CRC_TABLE}),
+s AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+             ELSE run END AS word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM s WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+v AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT x.word AS a, y.word AS b, y.n AS n FROM v x JOIN v y ON x.d = y.d AND x.i = y.i AND x.word <> y.word
+      UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.d = w.word
+      UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.d = w.word),
+q AS (SELECT a, count(*) AS n_near, min({{'k': -n, 'b': b}}) AS best FROM p GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.k >= 2 * n THEN best.b END AS form,
+             CASE WHEN -best.k >= 2 * n THEN -best.k END::BIGINT AS form_n FROM w LEFT JOIN q ON a = word),
+t AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL
+      SELECT t.word, f.form, depth + 1 FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+SELECT f.word, n, n_near, form, form_n, root FROM f JOIN (SELECT word, arg_max(root, depth) AS root FROM t GROUP BY word)
+  USING (word)
+"""
+
+
+@register("op11_spelling", _OP11_SQL)
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their spelling variants' forms and roots."""
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
