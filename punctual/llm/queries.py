@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.llm import (bpe, conversation_repair, decontamination, language_model, ngram_join, pii, quality, simhash,
-                          spelling, substring_dedup, token_counts, toxicity)
+                          spelling, substring_dedup, token_counts, toxicity, warc)
+from punctual.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -285,3 +286,28 @@ SELECT f.word, n, n_near, form, form_n, root FROM f JOIN (SELECT word, arg_max(r
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their spelling variants' forms and roots."""
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+# --- operator 12 ----------------------------------------------------------------------------------------------------
+_OP12_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, row_number() OVER () AS r, coalesce(url, '') AS u FROM pages),
+d AS (SELECT *, sha1(b) AS h, octet_length(b) AS n FROM p),
+e AS (SELECT page_id, n, h, row_number() OVER (PARTITION BY h, n ORDER BY page_id NULLS LAST, u, r) AS nth,
+             first_value(page_id) OVER (PARTITION BY h, n ORDER BY page_id NULLS LAST, u, r) AS least FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(h, (k // 8) * 10 + 1, 10))::BIGINT >> (35 - 5 * (k % 8))) & 31) + 1)::INT, 1)),
+           'string_agg', '') AS payload_digest,
+       CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nth > 1 THEN least END AS refers_to
+FROM e
+"""
+
+
+@register("op12_warc", _OP12_SQL)
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back by their boundary chains."""
+    pages = table(spark, sf_dir, "pages")
+    path = fresh_path(spark, "llm/warc")
+    warc.write_archives(pages, path)
+    return warc.pages_of(warc.read_archives(spark, path), pages.schema["page_id"].dataType.simpleString())
