@@ -1,15 +1,15 @@
-"""Delay classifier training, selection, scoring and model inspection.
+"""Delay classifier training, selection, scoring and model inspection.
 
 * Preprocessing is the exact fit of :mod:`punctual.operators.prep` (median
   impute, population-std scaling, alphabetical label codes); encoded category
   codes are plain numbers (no nominal metadata), as in the reference.
-* Candidates are Spark ML tree ensembles.  The training vectors are persisted
-  once and reused by every candidate; GBT checkpoints its lineage every 10
-  iterations (``spark.checkpoint.dir``).
-* Balanced class weights ``n / (2 n_c)`` come from two counts and are applied
-  as a ``weightCol`` expression.
+* Candidates are the ensembles of :mod:`punctual.operators.trees`: six boosted
+  ones (300 rounds) and two forests (300 and 500 trees, one without a depth
+  limit), all fitted over one packed copy of the rows.
+* Class weights are the trees' own: a positive-class weight for boosting, the
+  balance of every bootstrap draw for forests.
 * Candidate choice: best validation AUC, ties by accuracy, on a stratified
-  80/20 split of the training rows.
+  80/20 split of the training rows.  All candidates are scored in one pass.
 """
 
 from __future__ import annotations
@@ -19,35 +19,34 @@ import os
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.operators import evaluation as E
-from punctual.operators import prep, sampling
+from punctual.operators import prep, sampling, trees
 from punctual.schema import MODEL_FEATURES, TARGET
 
 FEATURES_COL = "features"
 WEIGHT_COL = "class_weight"
 
-#: Default number of bins of a feature: more than any code of the model table has today.
+#: Default number of bins of a feature of the surrogate tree: more than any code of the model table has today.
 MAX_BINS = 256
 
 
-def candidate_grid(rounds: int = 300, trees: tuple[int, int] = (300, 500)) -> list[dict]:
-    """The eight candidates: six boosted ensembles of ``rounds`` trees, two forests of ``trees`` trees."""
+def candidate_grid(rounds: int = 300, sizes: tuple[int, int] = (300, 500)) -> list[dict]:
+    """The eight candidates: six boosted ensembles of ``rounds`` trees, two forests of ``sizes`` trees."""
     boosted = [{"name": f"gbt_d{d}_lr{lr}", "type": "gbt", "maxDepth": d, "stepSize": lr, "maxIter": rounds}
                for d in (4, 6, 8) for lr in (0.1, 0.05)]
-    forests = [{"name": f"rf_d{d}", "type": "rf", "numTrees": n, "maxDepth": d, "minInstancesPerNode": least}
-               for n, d, least in zip(trees, (20, 30), (5, 4))]
+    forests = [{"name": f"rf_{i}", "type": "rf", "numTrees": n, "maxDepth": d, "minSplit": 10, "minInstancesPerNode": least}
+               for i, (n, d, least) in enumerate(zip(sizes, (20, None), (5, 4)), 1)]
     return boosted + forests
 
 
 FULL_GRID = candidate_grid()
-# All eight candidates with fewer rounds and trees, for tests and the registered example queries.
-SMALL_GRID = candidate_grid(rounds=10, trees=(10, 10))
+# All eight candidates with fewer rounds and trees, for tests only.
+SMALL_GRID = candidate_grid(rounds=10, sizes=(10, 10))
 
 
 # ---------------------------------------------------------------------------
@@ -108,59 +107,40 @@ def with_class_weights(df: DataFrame, label: str = TARGET, of: DataFrame | None
 # ---------------------------------------------------------------------------
 # candidates, selection, refit
 # ---------------------------------------------------------------------------
-def build_estimator(cand: dict, label: str = TARGET, seed: int = 42, max_bins: int = MAX_BINS):
-    if cand["maxDepth"] > 30:
-        raise ValueError(f"{cand['name']}: trees deeper than 30 are not supported")
-    if cand["type"] == "gbt":
-        return GBTClassifier(featuresCol=FEATURES_COL, labelCol=label, weightCol=WEIGHT_COL,
-                             maxIter=cand["maxIter"], maxDepth=cand["maxDepth"], stepSize=cand["stepSize"],
-                             subsamplingRate=0.8, featureSubsetStrategy="0.8", maxBins=max_bins,
-                             checkpointInterval=10, seed=seed)
-    if cand["type"] == "rf":
-        return RandomForestClassifier(featuresCol=FEATURES_COL, labelCol=label, weightCol=WEIGHT_COL,
-                                      numTrees=cand["numTrees"], maxDepth=cand["maxDepth"],
-                                      minInstancesPerNode=cand["minInstancesPerNode"], maxBins=max_bins,
-                                      subsamplingRate=1.0, seed=seed)
-    raise ValueError(f"unknown candidate type {cand['type']}")
-
-
-def p_delayed(df: DataFrame) -> DataFrame:
-    """Probability of the delayed class as a plain double column."""
-    return df.withColumn("p_delayed", vector_to_array(F.col("probability"))[1])
-
-
-def score(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """L12 + L13: probability and the thresholded decision."""
-    out = p_delayed(model.transform(df))
+def score(model: trees.Ensemble, df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """L12 + L13: probability of the delayed class and the thresholded decision, from model-space feature columns."""
+    out = df.withColumn("p_delayed", model.probability([F.col(c) for c in model.features]))
     return out.withColumn("predicted", (F.col("p_delayed") >= threshold).cast("int"))
 
 
-def select_model(train: DataFrame, grid: list[dict], key: str, ties: list[str], label: str = TARGET,
-                 seed: int = 42, parallelism: int = 4) -> tuple[DataFrame, dict]:
+def select_model(train: DataFrame, grid: list[dict], features: list[str], key: str, ties: list[str],
+                 label: str = TARGET, seed: int = 42, parallelism: int = 4) -> tuple[DataFrame, dict]:
     """L10 (+M4): fit every candidate on 80 % of ``train`` (stratified), score the
     other 20 %, and pick the best validation AUC (ties: accuracy).
 
-    Candidates are fitted concurrently from ``parallelism`` driver threads (as
-    Spark ML's ``TrainValidationSplit`` does); each fit is its own set of jobs
-    on the shared, persisted split.
+    All candidates are units of work of the same jobs, and one pass scores the
+    validation rows by all of them.  The evaluations run concurrently from
+    ``parallelism`` driver threads (as Spark ML's ``TrainValidationSplit`` does).
     """
     from concurrent.futures import ThreadPoolExecutor
 
     spark = train.sparkSession
     split = sampling.stratified_split(train, label, 0.8, key, ties, seed=f"{seed}:val").persist(
         StorageLevel.MEMORY_AND_DISK)
-    tr = split.filter(F.col("split") == "train")
-    va = split.filter(F.col("split") == "test")
-
-    def evaluate(cand: dict):
-        model = build_estimator(cand, label, seed).fit(tr)
-        sc = score(model, va).select(F.col(label).alias("label"), F.col("p_delayed").alias("score"))
+    models = trees.fit(grid, split.filter(F.col("split") == "train"), features, label, ties, seed)
+    columns = [F.col(c) for c in features]
+    scored = split.filter(F.col("split") == "test").select(
+        F.col(label).alias("label"), *[models[c["name"]].probability(columns).alias(f"s{i}") for i, c in enumerate(grid)]
+    ).checkpoint()
+
+    def evaluate(i: int):
+        cand, sc = grid[i], scored.select("label", F.col(f"s{i}").alias("score"))
         auc = E.roc_auc(sc).first()["roc_auc"]
         acc = E.eval_at_threshold(sc, 0.5).first()["accuracy"]
         return (cand["name"], cand["type"], json.dumps(cand, sort_keys=True), float(auc), float(acc))
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(grid)))) as pool:
-        rows = list(pool.map(evaluate, grid))
+        rows = list(pool.map(evaluate, range(len(grid))))
     split.unpersist()
     metrics = spark.createDataFrame(rows, "name string, type string, params string, val_auc double, val_accuracy double")
     best = sorted(rows, key=lambda r: (-r[3], -r[4], r[0]))[0]
@@ -171,7 +151,7 @@ def select_model(train: DataFrame, grid: list[dict], key: str, ties: list[str],
 @dataclass
 class TrainedModel:
     pre: Preprocessor
-    model: object
+    model: trees.Ensemble
     candidate: dict
     selection: DataFrame
 
@@ -179,19 +159,19 @@ class TrainedModel:
         return score(self.model, self.pre.transform(df), threshold)
 
 
-def train(train_rows: DataFrame, grid: list[dict] = SMALL_GRID, key: str = "FlightKey",
+def train(train_rows: DataFrame, grid: list[dict] = FULL_GRID, key: str = "FlightKey",
           ties: list[str] | None = None, label: str = TARGET, seed: int = 42,
           fit_rows: DataFrame | None = None) -> TrainedModel:
-    """Preprocess (fit on the full train set, as are the class weights), select, refit the winner.
+    """Preprocess (fit on the full train set), select, refit the winner on all fit rows.
 
-    Only the estimators are given ``fit_rows`` (default: all of ``train_rows``)."""
+    Only the ensembles are given ``fit_rows`` (default: all of ``train_rows``)."""
     ties = ties or [key]
     pre = Preprocessor.fit(train_rows)
-    vec = with_class_weights(pre.transform(train_rows if fit_rows is None else fit_rows), label, train_rows) \
-        .select(*ties, label, WEIGHT_COL, FEATURES_COL).persist(StorageLevel.MEMORY_AND_DISK)
-    selection, best = select_model(vec, grid, key, ties, label, seed)
-    model = build_estimator(best, label, seed).fit(vec)
-    vec.unpersist()
+    table = pre.transform(train_rows if fit_rows is None else fit_rows).select(*ties, label, *pre.features) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    selection, best = select_model(table, grid, pre.features, key, ties, label, seed)
+    model = trees.fit([best], table, pre.features, label, ties, seed)[best["name"]]
+    table.unpersist()
     return TrainedModel(pre, model, best, selection)
 
 
@@ -201,9 +181,9 @@ def train(train_rows: DataFrame, grid: list[dict] = SMALL_GRID, key: str = "Flig
 def feature_importance(model, features: list[str]) -> DataFrame:
     """Importances ranked, as percent of total and scaled to the maximum."""
     spark = SparkSession.getActiveSession()
-    imp = model.featureImportances.toArray()
-    total, top = float(imp.sum()) or 1.0, float(imp.max()) or 1.0
-    rows = sorted([(f, float(v)) for f, v in zip(features, imp)], key=lambda r: (-r[1], r[0]))
+    imp = model.importances() if isinstance(model, trees.Ensemble) else dict(zip(features, model.featureImportances.toArray()))
+    total, top = float(sum(imp.values())) or 1.0, float(max(imp.values())) or 1.0
+    rows = sorted([(f, float(imp[f])) for f in features], key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(
         [(i + 1, f, v, 100.0 * v / total, v / top) for i, (f, v) in enumerate(rows)],
         "rank int, feature string, importance double, importance_pct double, importance_scaled double")

@@ -201,83 +201,123 @@ def leaves_of(tree: dict, bins: np.ndarray, start: int = 0) -> np.ndarray:
 
 def grow(rule: Rule, bins: np.ndarray, g: np.ndarray, h: np.ndarray, key: np.uint64, depth: int = 0) -> dict:
     """A (sub)tree over the rows of one task, level by level; all nodes of a level at once."""
-    nodes, n_features = Nodes(), bins.shape[1]
-    width = int(bins.max(initial=0)) + 1
+    nodes = Nodes()
     level = np.array([nodes.add(g.sum(), h.sum())])
     keys, order, starts = np.array([key], np.uint64), np.arange(len(g)), np.array([0])
     sizes = np.array([len(g)])
     gs, hs = np.array([g.sum()]), np.array([h.sum()])
-    columns = np.array(rule.columns)
+    # in real units sums stay exact: steps are powers of two
+    real_g, real_h = g / SCALE, h / SCALE
+    split = _splits_per_node(rule, bins, real_g, real_h) if rule.per_node else _splits(rule, bins, real_g, real_h)
     while True:
         go = np.flatnonzero(rule.may_split(gs, hs, sizes, depth))
         if not len(go):
             return nodes.arrays()
-        order = np.concatenate([order[a:a + n] for a, n in zip(starts[go], sizes[go])])
+        if len(go) < len(sizes):
+            order = np.concatenate([order[a:a + n] for a, n in zip(starts[go].tolist(), sizes[go].tolist())])
         level, keys, sizes, gs, hs = level[go], keys[go], sizes[go], gs[go], hs[go]
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         slot = np.repeat(np.arange(len(go)), sizes)
-        if rule.per_node:
-            here = bins[order]
-            low, high = np.minimum.reduceat(here, starts), np.maximum.reduceat(here, starts)
-            hashed = np.where(low < high, _feature_order(keys, n_features), np.uint64(0xFFFFFFFFFFFFFFFF))
-            chosen = np.sort(np.argsort(hashed, axis=1, kind="stable")[:, :rule.per_node], axis=1)
-        else:
-            chosen = np.broadcast_to(columns, (len(go), len(columns)))
-        k = chosen.shape[1]
-        best_gain, best_j, best_cut = (np.full(len(go), -np.inf), np.zeros(len(go), np.int64), np.zeros(len(go), np.int64))
-        gl, hl = np.zeros(len(go), np.int64), np.zeros(len(go), np.int64)
-        per = max(1, (1 << 19) // (k * width))
-        for a in range(0, len(go), per):
-            b = min(a + per, len(go))
-            part = slice(starts[a], starts[b - 1] + sizes[b - 1])
-            rows, s = order[part], slot[part] - a
-            cells = (b - a) * k * width
-            sums = np.zeros((3, cells))
-            for j in range(k):
-                at = (s * k + j) * width + bins[rows, chosen[a:b][s, j]]
-                sums[0] += np.bincount(at, g[rows], cells)
-                sums[1] += np.bincount(at, h[rows], cells)
-                sums[2] += np.bincount(at, minlength=cells)
-            left = sums.reshape(3, b - a, k, width).cumsum(axis=3)[..., :-1]
-            n = sizes[a:b, None, None]
-            found = _judge(rule, left[0], left[1], left[2], gs[a:b, None, None], hs[a:b, None, None], n)
-            flat = found.reshape(b - a, -1)
-            pick = flat.argmax(axis=1) if flat.shape[1] else np.zeros(b - a, np.int64)
-            if flat.shape[1]:
-                best_gain[a:b] = flat[np.arange(b - a), pick]
-                best_j[a:b], best_cut[a:b] = pick // (width - 1), pick % (width - 1)
-                at = (np.arange(b - a), best_j[a:b], best_cut[a:b])
-                gl[a:b], hl[a:b] = left[0][at].astype(np.int64), left[1][at].astype(np.int64)
+        best_gain, feature, best_cut, gl, hl = split(order, slot, starts, sizes, gs / SCALE, hs / SCALE, keys)
+        gl, hl = (gl * SCALE).astype(np.int64), (hl * SCALE).astype(np.int64)
         done = np.flatnonzero(best_gain > rule.least_gain)
         if not len(done):
             return nodes.arrays()
-        feature = chosen[np.arange(len(go)), best_j]
         children, child_of = [], np.full(len(go), -1)
         for c, i in enumerate(done.tolist()):
-            f = int(feature[i])
-            left = nodes.split(int(level[i]), f, int(best_cut[i]), float(best_gain[i]),
+            left = nodes.split(int(level[i]), int(feature[i]), int(best_cut[i]), float(best_gain[i]),
                                (gl[i], hl[i], gs[i] - gl[i], hs[i] - hl[i]))
             children += [left, left + 1]
             child_of[i] = 2 * c
-        keep = child_of[slot] >= 0
-        rows, s = order[keep], slot[keep]
-        child = child_of[s] + (bins[rows, feature[s]] > best_cut[s])
-        by = np.argsort(child, kind="stable")
-        order = rows[by]
+        if len(done) < len(go):
+            keep = child_of[slot] >= 0
+            order, slot = order[keep], slot[keep]
+        child = child_of[slot] + (bins[order, feature[slot]] > best_cut[slot])
+        order = order[np.argsort(child, kind="stable")]
         sizes = np.bincount(child, minlength=len(children))
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         level, keys, depth = np.array(children), _child_keys(keys[done]), depth + 1
-        gs, hs = np.array([nodes.g[c] for c in children]), np.array([nodes.h[c] for c in children])
+        gs = np.stack([gl[done], gs[done] - gl[done]], axis=1).reshape(-1)
+        hs = np.stack([hl[done], hs[done] - hl[done]], axis=1).reshape(-1)
+
+
+def _splits(rule: Rule, bins: np.ndarray, g: np.ndarray, h: np.ndarray):
+    """Best split of every node where all nodes may use the same columns: the columns' bins lie side by side."""
+    columns = np.array(rule.columns)
+    wide = bins[:, columns].max(axis=0, initial=0).astype(np.int64) + 1
+    first = np.concatenate([[0], np.cumsum(wide)])
+    cell = np.ascontiguousarray(bins[:, columns].T).astype(np.int32) + first[:-1, None].astype(np.int32)
+    width, column_of = int(first[-1]), np.repeat(np.arange(len(columns)), wide)
+    counted = rule.min_leaf > 1 or rule.min_child_weight <= 0
+
+    def split(order, slot, starts, sizes, gs, hs, keys):
+        m = len(sizes)
+        here, base = cell[:, order], (slot * width).astype(np.int64)
+        gr, hr = g[order], h[order]
+        sums = np.zeros((3 if counted else 2, m * width))
+        for j in range(len(columns)):
+            at = base + here[j]
+            sums[0] += np.bincount(at, gr, m * width)
+            sums[1] += np.bincount(at, hr, m * width)
+            if counted:
+                sums[2] += np.bincount(at, minlength=m * width)
+        # every column sums up to the node's sums, so what lies before a column is a multiple of them
+        left = sums.reshape(-1, m, width).cumsum(axis=2)
+        left[0] -= column_of * gs[:, None]
+        left[1] -= column_of * hs[:, None]
+        if counted:
+            left[2] -= column_of * sizes[:, None]
+        found = _judge(rule, left[0], left[1], left[2] if counted else None, gs[:, None], hs[:, None], sizes[:, None])
+        pick = found.argmax(axis=1)
+        rows = np.arange(m)
+        j = column_of[pick]
+        return found[rows, pick], columns[j], pick - first[j], left[0][rows, pick], left[1][rows, pick]
+    return split
+
+
+def _splits_per_node(rule: Rule, bins: np.ndarray, g: np.ndarray, h: np.ndarray):
+    """Best split of every node where each draws ``per_node`` of the columns that vary in it."""
+    width = int(bins.max(initial=0)) + 1
+
+    def split(order, slot, starts, sizes, gs, hs, keys):
+        m, k = len(sizes), rule.per_node
+        here = bins[order]
+        low, high = np.minimum.reduceat(here, starts), np.maximum.reduceat(here, starts)
+        hashed = np.where(low < high, _feature_order(keys, bins.shape[1]), np.uint64(0xFFFFFFFFFFFFFFFF))
+        chosen = np.sort(np.argsort(hashed, axis=1, kind="stable")[:, :k], axis=1)
+        gain, feature, cut, gl, hl = (np.full(m, -np.inf), np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m))
+        per = max(1, (1 << 18) // (k * width))
+        for a in range(0, m, per):
+            b = min(a + per, m)
+            part = slice(starts[a], starts[b - 1] + sizes[b - 1])
+            rows, s = order[part], slot[part] - a
+            gr, hr, cells = g[rows], h[rows], (b - a) * k * width
+            sums = np.zeros((3, cells))
+            for j in range(k):
+                at = (s * k + j) * width + here[part][np.arange(len(s)), chosen[a:b][s, j]]
+                sums[0] += np.bincount(at, gr, cells)
+                sums[1] += np.bincount(at, hr, cells)
+                sums[2] += np.bincount(at, minlength=cells)
+            left = sums.reshape(3, b - a, k, width).cumsum(axis=3)
+            found = _judge(rule, left[0], left[1], left[2], gs[a:b, None, None], hs[a:b, None, None], sizes[a:b, None, None])
+            pick = found.reshape(b - a, -1).argmax(axis=1)
+            j, c, at = pick // width, pick % width, np.arange(b - a)
+            gain[a:b], feature[a:b], cut[a:b] = found[at, j, c], chosen[a + at, j], c
+            gl[a:b], hl[a:b] = left[0][at, j, c], left[1][at, j, c]
+        return gain, feature, cut, gl, hl
+    return split
 
 
 def _judge(rule: Rule, gl, hl, nl, g, h, n) -> np.ndarray:
-    """Gains of splits by their left sums; -inf where a side is too small."""
+    """Gains of splits by their left sums (real units); -inf where a side is too small."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = gains(gl / SCALE, hl / SCALE, g / SCALE, h / SCALE, rule.lam)
-    least = max(rule.min_leaf, 1)
-    ok = (nl >= least) & (n - nl >= least) \
-        & (hl / SCALE >= rule.min_child_weight) & ((h - hl) / SCALE >= rule.min_child_weight)
-    return np.where(ok, gain, -np.inf)
+        gain = gains(gl, hl, g, h, rule.lam)
+    ok = (hl >= rule.min_child_weight) & (h - hl >= rule.min_child_weight)
+    if nl is not None:
+        least = max(rule.min_leaf, 1)
+        ok &= (nl >= least) & (n - nl >= least)
+    gain[~ok] = -np.inf
+    return gain
 
 
 # ---------------------------------------------------------------------------

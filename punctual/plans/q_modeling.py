@@ -25,13 +25,15 @@ from punctual.session import fresh_path
 from punctual.sources.flights import ROW_KEY, fingerprint, flights
 
 KEY = list(ROW_KEY)
+#: Candidates that the registered queries fit (tests put a smaller grid here).
+GRID = M.FULL_GRID
 _MODELS: dict[tuple, M.TrainedModel] = {}
 
 
 def trained(spark, sf_dir, grid=None, max_fit_rows: int = PL.MAX_FIT_ROWS) -> M.TrainedModel:
     """Fit once per session, input, grid and bound: preprocessing and class weights on the whole balanced train set,
     the estimators on at most ``max_fit_rows`` rows of it."""
-    grid = grid or M.SMALL_GRID
+    grid = grid or GRID
     k = (spark.sparkContext.applicationId, fingerprint(spark, sf_dir), json.dumps(grid, sort_keys=True), max_fit_rows)
     if k not in _MODELS:
         _MODELS[k] = M.train(PL.balanced_train(spark, sf_dir), grid, "FlightKey", KEY,
@@ -189,7 +191,7 @@ def attribution_table(spark, sf_dir):
     k = (spark.sparkContext.applicationId, fingerprint(spark, sf_dir))
     if k not in _ATTR:
         t = trained(spark, sf_dir)
-        a = X.attribution_rows(t, PL.test_split(spark, sf_dir), KEY, _model_dir(spark, "explained"))
+        a = X.attribution_rows(t, PL.test_split(spark, sf_dir), KEY)
         _ATTR[k] = a.checkpoint()
     return _ATTR[k]
 

@@ -14,5 +14,8 @@ def spark():
     from punctual.session import build_session
     s = build_session("local[4]", 8, app_name="punctual-tests", extra={
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="punctual-test-ckpt-")})
+    from punctual.operators import modeling
+    from punctual.plans import q_modeling
+    q_modeling.GRID = modeling.SMALL_GRID
     yield s
     s.stop()
