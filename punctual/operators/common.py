@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from punctual.session import fresh_path
+
 # Largest side (rows) we broadcast after counting it.  Callers only pass
 # per-group / per-key summary tables here; the count makes the bound explicit.
 BROADCAST_MAX_ROWS = 2_000_000
@@ -27,7 +29,10 @@ def prefix_sums(df: DataFrame, order: list, values: list[str], group: tuple[str,
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    path = fresh_path(spark, "ranges")
+    cut = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    cut.write.parquet(path)
+    cut = spark.read.schema(cut.schema).parquet(path)
     whole = cut.groupBy("__part", *group).agg(*[F.sum(v).alias(v) for v in values])
     earlier = Window.partitionBy(*(group or (F.lit(0),))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = whole.select("__part", *group, *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__{v}")

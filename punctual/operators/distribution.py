@@ -7,20 +7,22 @@
   that bounded aggregate.
 * Correlation pairs are ``corr`` aggregates (co-moment state merged
   map-side); Pearson matrices use Spark ML's ``Correlation`` (Gramian
-  tree-aggregate); Spearman matrices sum per-batch centred co-moments of
-  ranks (k x k numbers per Arrow batch), with ML's distributed rank sort as
-  the fallback beyond the rank-table bound.
-* Average ranks for a single column are computed on (feature, distinct value)
-  counts -- the window runs per feature over distinct values only.
+  tree-aggregate).
+* Average ranks are computed on (feature, distinct value) counts by ranged
+  prefix sums.  Spearman looks every row's ranks up in that dictionary and sums
+  centred products into one small matrix a task: no row is ever sorted.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.functions.bins import cut
 from punctual.operators.common import prefix_sums
+from punctual.session import fresh_path
 
 
 # ---------------------------------------------------------------------------
@@ -166,9 +168,99 @@ def corr_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> Data
     return _ml_corr(df, cols, "pearson")
 
 
-def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Spearman rank correlation matrix (listwise-complete rows), by Spark ML's distributed rank sort."""
-    return _ml_corr(df, cols, "spearman")
+#: Distinct values, over all columns, whose ranks (16 bytes each) tasks may hold.
+DICTIONARY_ROWS = 1_000_000
+
+
+def _joined_ranks(rows: DataFrame, cols: list[str], dictionary: DataFrame, n: int) -> DataFrame:
+    """``rows`` with the values of ``cols`` replaced by their ranks, joined by value.
+
+    Values that hold more than a task's share of the rows are at most as many as there are tasks; they are looked up by
+    broadcast, and their rows go to the join under a salted key that matches nothing.  So no task receives all rows of
+    a value."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out, heavy = rows, F.col("cnt") > n / tasks
+    for c in cols:
+        own = dictionary.where(F.col("feature") == c)
+        few = own.where(heavy).select(F.col("value").alias("__hv"), F.col("rank").alias("__hk"))
+        many = own.where(~heavy).select(F.col("value").alias("__lv"), F.col("rank").alias("__lk"),
+                                        F.lit(0).cast("long").alias("__ls"))
+        salt = F.when(F.col("__hk").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*rows.columns).bitwiseOR(F.lit(1)))
+        out = out.join(F.broadcast(few), F.col(c) == F.col("__hv"), "left").withColumn("__salt", salt)
+        out = out.join(many, (F.col(c) == F.col("__lv")) & (F.col("__salt") == F.col("__ls")), "left") \
+            .withColumn(c, F.coalesce("__hk", "__lk")).select(*rows.columns)
+    return out
+
+
+def _products(rows: DataFrame, cols: list[str], held: dict[str, tuple], mean: float) -> list[list[float]]:
+    """Sums of products of centred ranks, columns by columns: every task sums its batches into one matrix, and the
+    matrices of the tasks are merged cell by cell.  ``held``: value and rank arrays of the columns still to be looked up."""
+    k, tables = len(cols), rows.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        total = np.zeros((k, k))
+        for batch in batches:
+            x = np.empty((batch.num_rows, k))
+            for i, c in enumerate(cols):
+                v = batch.column(i).to_numpy(zero_copy_only=False)
+                if c in tables.value:
+                    values, ranks = tables.value[c]
+                    v = ranks[np.searchsorted(values, v)]
+                x[:, i] = v - mean
+            total += x.T @ x
+        i, j = np.triu_indices(k)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])],
+                                         names=["i", "j", "s"])
+    found = rows.select(*cols).mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    out = [[0.0] * k for _ in cols]
+    for r in found.collect():                                   # k x k cells
+        out[r["i"]][r["j"]] = out[r["j"]][r["i"]] = r["s"]
+    return out
+
+
+def spearman_matrix(df: DataFrame, cols: list[str], against: str | None = None) -> DataFrame:
+    """Spearman rank correlations (long: feature_x, feature_y, r) over rows with no null in ``cols``; the whole matrix,
+    or only its column ``against``.
+
+    Average ranks have mean (n + 1) / 2, so a correlation is a sum of centred products over the root of two sums of
+    squares: one pass over the rows.  Dictionaries of ``DICTIONARY_ROWS`` values together, smallest first, are held by
+    the tasks; larger ones are joined.
+    """
+    spark = df.sparkSession
+    complete = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna(how="any")
+    path = fresh_path(spark, "ranks")
+    average_ranks(complete, cols).write.parquet(path)
+    dictionary = spark.read.schema("feature string, value double, cnt long, rank double").parquet(path)
+    whole = {r["feature"]: r for r in dictionary.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("values"), F.sum("cnt").alias("n")).collect()}       # a row for each column
+    n, left, small = max((r["n"] for r in whole.values()), default=0), DICTIONARY_ROWS, []
+    for c in sorted(whole, key=lambda c: (whole[c]["values"], c)):
+        if whole[c]["values"] <= left:
+            small.append(c)
+            left -= whole[c]["values"]
+    held: dict[str, tuple] = {}
+    if small:
+        t = dictionary.where(F.col("feature").isin(small)).select("feature", "value", "rank").toPandas()   # counted just before
+        for c, part in t.sort_values(["feature", "value"]).groupby("feature"):
+            held[c] = (part["value"].to_numpy(), part["rank"].to_numpy())
+    rows = _joined_ranks(complete, [c for c in cols if c in whole and c not in held], dictionary, n)
+    s = _products(rows, cols, held, (n + 1) / 2.0)
+    cells = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if against is None or b == against:
+                root = (s[i][i] * s[j][j]) ** 0.5
+                cells.append((a, b, 1.0 if i == j else s[i][j] / root if root else None))
+    return spark.createDataFrame(cells, "feature_x string, feature_y string, r double")
+
+
+def pearson_column(df: DataFrame, cols: list[str], against: str) -> DataFrame:
+    """The column ``against`` of C2, in one aggregation."""
+    complete = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna(how="any")
+    row = complete.agg(*[F.corr(c, against).alias(c) for c in cols if c != against])
+    cells = [F.struct(F.lit(c).alias("feature_x"), F.lit(against).alias("feature_y"),
+                      (F.lit(1.0) if c == against else F.col(c)).alias("r")) for c in cols]
+    return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
