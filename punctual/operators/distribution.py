@@ -6,11 +6,11 @@
   empty bins come back from a generated (series, bin) grid left-joined with
   that bounded aggregate.
 * Correlation pairs are ``corr`` aggregates (co-moment state merged
-  map-side); Pearson matrices use Spark ML's ``Correlation`` (Gramian
-  tree-aggregate).
+  map-side); a matrix is one pass in which every task merges its Arrow batches
+  into one k x k summary.
 * Average ranks are computed on (feature, distinct value) counts by ranged
-  prefix sums.  Spearman looks every row's ranks up in that dictionary and sums
-  centred products into one small matrix a task: no row is ever sorted.
+  prefix sums.  Spearman looks every row's ranks up in that dictionary on the
+  way into the same pass: no row is ever sorted.
 """
 
 from __future__ import annotations
@@ -143,31 +143,6 @@ def corr_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def _ml_corr(df: DataFrame, cols: list[str], method: str) -> DataFrame:
-    """Spark ML ``Correlation`` (Gramian tree-aggregate; distributed rank sort
-    for Spearman)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna(how="any")
-    vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(d).select("__v")
-    m = Correlation.corr(vec, "__v", method).first()[0].toArray()
-    rows = [(a, b, float(m[i][j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return df.sparkSession.createDataFrame(rows, "feature_x string, feature_y string, r double")
-
-
-def corr_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> DataFrame:
-    """Full correlation matrix (long: feature_x, feature_y, r) over rows
-    with no null in ``cols`` (listwise deletion).
-
-    Pearson uses Spark ML's ``Correlation`` (one tree-aggregated Gramian pass); Spearman uses
-    :func:`spearman_matrix`.  The result is |cols| x |cols| rows -- bounded by
-    the column count, not the data.
-    """
-    if method == "spearman":
-        return spearman_matrix(df, cols)
-    return _ml_corr(df, cols, "pearson")
-
-
 #: Distinct values, over all columns, whose ranks (16 bytes each) tasks may hold.
 DICTIONARY_ROWS = 1_000_000
 
@@ -192,75 +167,97 @@ def _joined_ranks(rows: DataFrame, cols: list[str], dictionary: DataFrame, n: in
     return out
 
 
-def _products(rows: DataFrame, cols: list[str], held: dict[str, tuple], mean: float) -> list[list[float]]:
-    """Sums of products of centred ranks, columns by columns: every task sums its batches into one matrix, and the
-    matrices of the tasks are merged cell by cell.  ``held``: value and rank arrays of the columns still to be looked up."""
+def _correlations(rows: DataFrame, cols: list[str], held: dict[str, tuple]) -> np.ndarray:
+    """Pearson matrix of complete rows in one pass: every task merges the counts, means and centred products of its
+    batches into one summary of k x k numbers, and the summaries of the tasks are merged alike.
+
+    ``held``: (values, ranks) of the columns that are replaced by ranks on the way.  NaN where a column is constant."""
     k, tables = len(cols), rows.sparkSession.sparkContext.broadcast(held)
 
+    def merged(a, b):
+        n = a[0] + b[0]
+        if not a[0] or not b[0]:
+            return a if a[0] else b
+        d = b[1] - a[1]
+        return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+    nothing = (0, np.zeros(k), np.zeros((k, k)))
+
     def run(batches):
-        total = np.zeros((k, k))
+        total = nothing
         for batch in batches:
-            x = np.empty((batch.num_rows, k))
-            for i, c in enumerate(cols):
-                v = batch.column(i).to_numpy(zero_copy_only=False)
-                if c in tables.value:
-                    values, ranks = tables.value[c]
-                    v = ranks[np.searchsorted(values, v)]
-                x[:, i] = v - mean
-            total += x.T @ x
-        i, j = np.triu_indices(k)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])],
-                                         names=["i", "j", "s"])
-    found = rows.select(*cols).mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    out = [[0.0] * k for _ in cols]
-    for r in found.collect():                                   # k x k cells
-        out[r["i"]][r["j"]] = out[r["j"]][r["i"]] = r["s"]
+            if batch.num_rows:
+                x = np.empty((batch.num_rows, k))
+                for i, c in enumerate(cols):
+                    v = batch.column(i).to_numpy(zero_copy_only=False)
+                    if c in tables.value:
+                        values, ranks = tables.value[c]
+                        v = ranks[np.searchsorted(values, v)]
+                    x[:, i] = v
+                mean = x.mean(axis=0)
+                x -= mean
+                total = merged(total, (len(x), mean, x.T @ x))
+        yield pa.RecordBatch.from_arrays([pa.array([total[0]], pa.int64()), pa.array([total[1].tobytes()], pa.binary()),
+                                          pa.array([total[2].tobytes()], pa.binary())], names=["n", "mean", "products"])
+    total = nothing
+    for r in rows.select(*cols).mapInArrow(run, "n long, mean binary, products binary").collect():    # a row for each task
+        total = merged(total, (r["n"], np.frombuffer(r["mean"]), np.frombuffer(r["products"]).reshape(k, k)))
+    spread = np.sqrt(np.diag(total[2]))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = total[2] / np.outer(spread, spread)
+    np.fill_diagonal(out, 1.0)
     return out
 
 
+def _cells(df: DataFrame, cols: list[str], r: np.ndarray, against: str | None) -> DataFrame:
+    rows = [(a, b, float(r[i, j]) if np.isfinite(r[i, j]) else None) for i, a in enumerate(cols) for j, b in enumerate(cols)
+            if against is None or b == against]
+    return df.sparkSession.createDataFrame(rows, "feature_x string, feature_y string, r double")
+
+
+def _complete(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna(how="any")
+
+
+def corr_matrix(df: DataFrame, cols: list[str], method: str = "pearson", against: str | None = None) -> DataFrame:
+    """Correlation matrix (long: feature_x, feature_y, r) over rows with no null in ``cols`` (listwise deletion);
+    the whole matrix, or only its column ``against``.  A constant column has null correlations."""
+    if method == "spearman":
+        return spearman_matrix(df, cols, against)
+    return _cells(df, cols, _correlations(_complete(df, cols), cols, {}), against)
+
+
 def spearman_matrix(df: DataFrame, cols: list[str], against: str | None = None) -> DataFrame:
     """Spearman rank correlations (long: feature_x, feature_y, r) over rows with no null in ``cols``; the whole matrix,
     or only its column ``against``.
 
-    Average ranks have mean (n + 1) / 2, so a correlation is a sum of centred products over the root of two sums of
-    squares: one pass over the rows.  Dictionaries of ``DICTIONARY_ROWS`` values together, smallest first, are held by
-    the tasks; larger ones are joined.
+    Ranks come from counts of distinct values.  The smallest dictionaries, ``DICTIONARY_ROWS`` values together, are held
+    by the tasks; the ranks of larger ones are computed by ranged prefix sums and joined.  The rows are read twice.
     """
     spark = df.sparkSession
-    complete = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna(how="any")
-    path = fresh_path(spark, "ranks")
-    average_ranks(complete, cols).write.parquet(path)
-    dictionary = spark.read.schema("feature string, value double, cnt long, rank double").parquet(path)
-    whole = {r["feature"]: r for r in dictionary.groupBy("feature").agg(
+    complete, path = _complete(df, cols), fresh_path(df.sparkSession, "value-counts")
+    value_counts(complete, cols).write.parquet(path)
+    counts = spark.read.schema("feature string, value double, cnt long").parquet(path)
+    sizes = {r["feature"]: r for r in counts.groupBy("feature").agg(
         F.count(F.lit(1)).alias("values"), F.sum("cnt").alias("n")).collect()}       # a row for each column
-    n, left, small = max((r["n"] for r in whole.values()), default=0), DICTIONARY_ROWS, []
-    for c in sorted(whole, key=lambda c: (whole[c]["values"], c)):
-        if whole[c]["values"] <= left:
+    n, left, small = max((r["n"] for r in sizes.values()), default=0), DICTIONARY_ROWS, []
+    for c in sorted(sizes, key=lambda c: (sizes[c]["values"], c)):
+        if sizes[c]["values"] <= left:
             small.append(c)
-            left -= whole[c]["values"]
+            left -= sizes[c]["values"]
     held: dict[str, tuple] = {}
     if small:
-        t = dictionary.where(F.col("feature").isin(small)).select("feature", "value", "rank").toPandas()   # counted just before
-        for c, part in t.sort_values(["feature", "value"]).groupby("feature"):
-            held[c] = (part["value"].to_numpy(), part["rank"].to_numpy())
-    rows = _joined_ranks(complete, [c for c in cols if c in whole and c not in held], dictionary, n)
-    s = _products(rows, cols, held, (n + 1) / 2.0)
-    cells = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if against is None or b == against:
-                root = (s[i][i] * s[j][j]) ** 0.5
-                cells.append((a, b, 1.0 if i == j else s[i][j] / root if root else None))
-    return spark.createDataFrame(cells, "feature_x string, feature_y string, r double")
-
-
-def pearson_column(df: DataFrame, cols: list[str], against: str) -> DataFrame:
-    """The column ``against`` of C2, in one aggregation."""
-    complete = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna(how="any")
-    row = complete.agg(*[F.corr(c, against).alias(c) for c in cols if c != against])
-    cells = [F.struct(F.lit(c).alias("feature_x"), F.lit(against).alias("feature_y"),
-                      (F.lit(1.0) if c == against else F.col(c)).alias("r")) for c in cols]
-    return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+        fetched = counts.where(F.col("feature").isin(small)).toPandas()              # counted just before
+        for c, part in fetched.sort_values(["feature", "value"]).groupby("feature"):
+            cnt = part["cnt"].to_numpy()
+            held[c] = (part["value"].to_numpy(), np.cumsum(cnt) - (cnt - 1) / 2.0)
+    large = [c for c in cols if c in sizes and c not in held]
+    rows = complete
+    if large:
+        ranks = fresh_path(spark, "ranks")
+        _ranks_of(counts.where(F.col("feature").isin(large))).write.parquet(ranks)
+        dictionary = spark.read.schema("feature string, value double, cnt long, rank double").parquet(ranks)
+        rows = _joined_ranks(complete, large, dictionary, n)
+    return _cells(df, cols, _correlations(rows, cols, held), against)
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -270,11 +267,14 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def _ranks_of(counts: DataFrame) -> DataFrame:
+    sums = prefix_sums(counts, ["feature", "value"], ["cnt"], ("feature",))
+    return sums.select("feature", "value", "cnt", (F.col("cum_cnt") - (F.col("cnt") - 1) / 2.0).alias("rank"))
+
+
 def average_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, value, cnt, rank): average rank of every distinct value (ties get the mean of their ranks)."""
-    sums = prefix_sums(value_counts(df, cols).filter(F.col("value").isNotNull()), ["feature", "value"], ["cnt"],
-                       ("feature",))
-    return sums.select("feature", "value", "cnt", (F.col("cum_cnt") - (F.col("cnt") - 1) / 2.0).alias("rank"))
+    return _ranks_of(value_counts(df, cols).filter(F.col("value").isNotNull()))
 
 
 def corr_with_target(matrix: DataFrame, target: str, k: int = 10) -> DataFrame:

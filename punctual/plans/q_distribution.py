@@ -166,7 +166,7 @@ SELECT feature, {r6('r', 'r')}, {r6('abs(r)', 'abs_r')},
        CASE WHEN r > 0 THEN 'positive' WHEN r < 0 THEN 'negative' ELSE 'none' END AS direction, CAST(rk AS INT) AS rank
 FROM (SELECT *, row_number() OVER (ORDER BY abs(r) DESC NULLS LAST, feature) AS rk FROM t) WHERE rk <= 10"""))
 def corr_with_target(spark, sf_dir):
-    return D.corr_with_target(D.pearson_column(corr_table(spark, sf_dir), CORR_FEATURES, TARGET), TARGET)
+    return D.corr_with_target(D.corr_matrix(corr_table(spark, sf_dir), CORR_FEATURES, against=TARGET), TARGET)
 
 
 @register("corr_compare", q(f", {CORR_SQL}, {_SPEARMAN_SRC}, " + f"""
@@ -178,7 +178,7 @@ sa AS (SELECT {', '.join(f"corr({c}, {TARGET}) AS {c}" for c in CORR_FEATURES if
     + f" UNION ALL SELECT '{TARGET}' AS feature, 1.0 AS pearson_abs, 1.0 AS spearman_abs"))
 def corr_compare(spark, sf_dir):
     t = corr_table(spark, sf_dir)
-    return D.corr_compare(D.pearson_column(t, CORR_FEATURES, TARGET), D.spearman_matrix(t, CORR_FEATURES, TARGET), TARGET)
+    return D.corr_compare(D.corr_matrix(t, CORR_FEATURES, against=TARGET), D.spearman_matrix(t, CORR_FEATURES, TARGET), TARGET)
 
 
 @register("airline_indicator_corr", q(f"""

@@ -28,7 +28,7 @@ def test_spearman_equals_plain_ranks(spark, monkeypatch, bound):
             assert abs(got[a, b] - want[i, j]) < 1e-9
     column = {r.feature_x: r.r for r in D.spearman_matrix(df, cols, "c").collect()}
     assert column == {a: got[a, "c"] for a in cols}
-    pearson = {r.feature_x: r.r for r in D.pearson_column(df, cols, "c").collect()}
+    pearson = {r.feature_x: r.r for r in D.corr_matrix(df, cols, against="c").collect()}
     assert all(abs(pearson[a] - np.corrcoef(x.T)[i, 2]) < 1e-9 for i, a in enumerate(cols))
 
 
