@@ -169,3 +169,24 @@ def roc_auc(scored: DataFrame, **kw) -> DataFrame:
     s = t.agg(F.sum(F.col("pos") * (F.lit(float(N)) - F.col("fps") + 0.5 * F.col("neg"))).alias("__s"))
     return s.select(_div0(F.col("__s"), F.lit(float(P) * float(N))).alias("roc_auc"),
                     F.lit(P).cast("long").alias("n_pos"), F.lit(N).cast("long").alias("n_neg"))
+
+
+def roc_at(scored: DataFrame, steps: int = 1000, label: str = "label", score: str = "score") -> DataFrame:
+    """(threshold, fpr, tpr) at ``steps`` + 1 even thresholds from 1 to 0, and the start point (threshold null):
+    exact rates on a grid of fixed size, for records; :func:`roc_curve` has every distinct score."""
+    s = F.col(score).cast("double")
+    k = F.floor(s * steps).cast("int")
+    # the product may round across a step
+    k = k + F.when(s >= (k + 1) / F.lit(float(steps)), 1).otherwise(0) - F.when(s < k / F.lit(float(steps)), 1).otherwise(0)
+    cells = scored.filter(s.isNotNull()).groupBy(F.greatest(F.least(k, F.lit(steps)), F.lit(0)).alias("k")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    grid = scored.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("k"))
+    down = Window.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)        # over the grid only
+    at = grid.join(F.broadcast(cells), "k", "left").fillna(0, ["pos", "neg"]).select(
+        "k", F.sum("pos").over(down).alias("tps"), F.sum("neg").over(down).alias("fps"))
+    whole = Window.partitionBy(F.lit(0))
+    rates = at.select((F.col("k") / F.lit(float(steps))).alias("threshold"),
+                      _div0(F.col("fps"), F.max("fps").over(whole)).alias("fpr"),
+                      _div0(F.col("tps"), F.max("tps").over(whole)).alias("tpr"))
+    start = scored.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
+    return start.unionByName(rates).orderBy(F.col("threshold").desc_nulls_first())

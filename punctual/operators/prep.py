@@ -125,11 +125,26 @@ def apply_label_encoders(df: DataFrame, classes: DataFrame, categorical: list[st
 
 def decode_feature(encoded: DataFrame, params: DataFrame, classes: DataFrame, feature: str,
                    value_col: str = "value") -> DataFrame:
-    """Model-space value back to the raw value (x * std + mean, or class name)."""
-    num = params.filter(F.col("feature") == feature)
-    if num.limit(1).count():
-        r = num.first()
-        return encoded.withColumn(f"{feature}_raw", F.col(value_col) * F.lit(r["std"]) + F.lit(r["mean"]))
-    dim = classes.filter(F.col("feature") == feature).select(
-        F.col("code").alias(value_col), F.col("value").alias(f"{feature}_raw"))
-    return encoded.join(dim, value_col, "left")
+    """Model-space value back to the raw value (x * std + mean, or class name) in ``<feature>_raw``."""
+    numeric = [feature] if params.filter(F.col("feature") == feature).limit(1).count() else []
+    one = encoded.withColumn(feature, F.col(value_col))
+    out = decode_rows(one, params, classes, numeric, [] if numeric else [feature])
+    return out.withColumnRenamed(feature, f"{feature}_raw")
+
+
+def decode_rows(encoded: DataFrame, params: DataFrame, classes: DataFrame, numeric: list[str],
+                categorical: list[str]) -> DataFrame:
+    """X6 for whole rows: scaled numbers back to x * std + mean, codes back to class names.
+
+    A code beyond the classes reads as the first class.  A null stays null."""
+    p = {r["feature"]: r for r in params.collect()}          # one row per feature (<= 16)
+    out = encoded.withColumns({c: F.col(c) * F.lit(p[c]["std"]) + F.lit(p[c]["mean"]) for c in numeric})
+    from punctual.operators.common import checked_broadcast
+    for c in categorical:
+        own = classes.filter(F.col("feature") == c)
+        names = own.select(F.col("code").alias(f"__c_{c}"), F.col("value").alias(f"__v_{c}"))
+        first = own.filter(F.col("code") == 0).select("value").scalar()
+        out = (out.withColumn(f"__c_{c}", F.col(c).cast("int")).join(checked_broadcast(names), f"__c_{c}", "left")
+               .withColumn(c, F.when(F.col(c).isNotNull(), F.coalesce(F.col(f"__v_{c}"), first)))
+               .drop(f"__c_{c}", f"__v_{c}"))
+    return out

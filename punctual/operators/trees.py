@@ -762,15 +762,22 @@ class Ensemble:
             total = np.divide(total, splits, out=np.zeros_like(total), where=splits > 0)
         return dict(zip(self.features, (total / total.sum() if total.sum() > 0 else total).tolist()))
 
+    def about(self) -> dict:
+        """All but the trees, as plain values."""
+        return {"kind": self.kind, "features": self.features, "cuts": self.cuts, "size": self.size}
+
+    @classmethod
+    def of(cls, trees: DataFrame, about: dict) -> "Ensemble":
+        return cls(about["kind"], about["features"], about["cuts"], trees, about["size"])
+
     def save(self, path: str) -> None:
         self.trees.write.mode("overwrite").parquet(f"{path}/trees")
-        meta = json.dumps({"kind": self.kind, "features": self.features, "cuts": self.cuts, "size": self.size})
+        meta = json.dumps(self.about())
         self.trees.sparkSession.createDataFrame([(meta,)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Ensemble":
-        meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
-        return cls(meta["kind"], meta["features"], meta["cuts"], spark.read.parquet(f"{path}/trees"), meta["size"])
+        return cls.of(spark.read.parquet(f"{path}/trees"), json.loads(spark.read.parquet(f"{path}/meta").first()["meta"]))
 
 
 def predict(trees: list[dict], x: np.ndarray) -> np.ndarray:

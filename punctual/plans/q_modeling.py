@@ -8,7 +8,6 @@ properties instead (AUC floor, additivity of attributions, round trips).
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import functions as F
 
@@ -17,11 +16,13 @@ from punctual.operators import evaluation as E
 from punctual.operators import explain as X
 from punctual.operators import modeling as M
 from punctual.operators import reshape
+from punctual.operators import trees as TR
 from punctual.plans import pipeline as PL
 from punctual.plans.catalog import register
 from punctual.plans.q_sampling import requests
 from punctual.schema import TARGET
 from punctual.session import fresh_path
+from punctual.sources import artifacts as AR
 from punctual.sources.flights import ROW_KEY, fingerprint, flights
 
 KEY = list(ROW_KEY)
@@ -129,8 +130,8 @@ def model_roc_curve(spark, sf_dir):
 
 @register("model_summary")
 def model_summary(spark, sf_dir):
-    """One record of the build: sizes, rates, winner, validation and test metrics, operating point,
-    confusion matrix, report, sweep, importances, class names."""
+    """One record of the build: sizes, rates, winner, validation and test metrics, default threshold and operating
+    point, confusion matrix, report, sweep, ROC arrays, importances, class names."""
     t = trained(spark, sf_dir)
     s = model_scores(spark, sf_dir)
     fit = PL.balanced_train(spark, sf_dir)
@@ -142,13 +143,17 @@ def model_summary(spark, sf_dir):
     at = model_evaluation(spark, sf_dir).select(
         F.col("accuracy").alias("test_accuracy"), F.col("precision_1").alias("test_precision"),
         F.col("recall_1").alias("test_recall"), F.col("f1_1").alias("test_f1"), F.col("roc_auc").alias("test_auc"),
-        F.array("tn", "fp", "fn", "tp").alias("confusion_matrix"))
+        F.array("tn", "fp", "fn", "tp").alias("confusion_matrix"), F.col("threshold").alias("default_threshold"))
     point = E.operating_point(model_threshold_sweep(spark, sf_dir)).select(
         F.col("threshold").alias("high_recall_threshold"), F.col("recall_1").alias("high_recall_recall"))
 
     def listed(df, name):
         return df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
-    parts = [both, train, best, at, point,
+    # the curve on a fixed grid of thresholds, highest first; model_roc_curve has every distinct score
+    points = E.roc_at(s).agg(F.sort_array(F.collect_list(F.struct(
+        F.coalesce(-F.col("threshold"), F.lit(-2.0)).alias("by"), "threshold", "fpr", "tpr"))).alias("p"))
+    roc = points.select(F.col("p.fpr").alias("fpr"), F.col("p.tpr").alias("tpr"), F.col("p.threshold").alias("roc_thresholds"))
+    parts = [both, train, best, at, point, roc,
              listed(E.classification_report(s, 0.5), "report"), listed(model_threshold_sweep(spark, sf_dir), "sweep"),
              listed(M.feature_importance(t.model, t.pre.features), "importances")]
     # each part is one row: their columns become scalars of one record
@@ -267,20 +272,40 @@ def what_if_changes(spark, sf_dir):
     return ch
 
 
+def artifacts(spark, sf_dir) -> tuple[dict, dict]:
+    """(tables, plain values) of the build: model, preprocessing, metrics record, selection, surrogate, attributions."""
+    t = trained(spark, sf_dir)
+    tables = {"model": t.model.trees, "imputer_scaler": t.pre.params, "label_encoders": t.pre.classes,
+              "metrics": model_summary(spark, sf_dir), "selection": t.selection,
+              "surrogate": surrogate_tree(spark, sf_dir), "attributions": attribution_table(spark, sf_dir)}
+    return tables, {"model": t.model.about(), "numeric": t.pre.numeric, "categorical": t.pre.categorical,
+                    "candidate": t.candidate}
+
+
+def restored(tables: dict, about: dict) -> M.TrainedModel:
+    """The trained model of a loaded version."""
+    pre = M.Preprocessor(about["numeric"], about["categorical"], tables["imputer_scaler"], tables["label_encoders"])
+    return M.TrainedModel(pre, TR.Ensemble.of(tables["model"], about["model"]), about["candidate"], tables["selection"])
+
+
 @register("model_roundtrip")
 def model_roundtrip(spark, sf_dir):
-    """Save model + preprocessing state, load both back, score again."""
-    t = trained(spark, sf_dir)
-    d = _model_dir(spark, "roundtrip")
-    t.model.write().overwrite().save(os.path.join(d, "model"))
-    t.pre.save(os.path.join(d, "pre"))
-    cls = type(t.model)
-    loaded = M.TrainedModel(M.Preprocessor.load(spark, os.path.join(d, "pre")),
-                            cls.load(os.path.join(d, "model")), t.candidate, t.selection)
-    test = PL.test_split(spark, sf_dir)
-    a = t.score(test).select(*KEY, F.col("p_delayed").alias("p_before"))
+    """Publish every artifact of the build as one version, load it, and compare each with its origin; the last row
+    compares the scores of the restored model on the test split."""
+    tables, about = artifacts(spark, sf_dir)
+    tables = {k: v.checkpoint() for k, v in tables.items()}
+    base = _model_dir(spark, "store")
+    AR.publish(spark, base, tables, about)
+    back, told = AR.load(spark, base)
+    rows = []
+    for name, a in tables.items():
+        b = back[name]
+        rows.append((name, a.count(), b.count(), a.exceptAll(b).count() + b.exceptAll(a).count()))
+    test, loaded = PL.test_split(spark, sf_dir), restored(back, told)
+    a = trained(spark, sf_dir).score(test).select(*KEY, F.col("p_delayed").alias("p_before"))
     b = loaded.score(test).select(*KEY, F.col("p_delayed").alias("p_after"))
-    return a.join(b, KEY)
+    rows.append(("scores", a.count(), b.count(), a.join(b, KEY).filter("abs(p_before - p_after) > 1e-12").count()))
+    return spark.createDataFrame(rows, "artifact string, rows long, rows_loaded long, rows_different long")
 
 
 @register("attribution_feature_corr")
@@ -298,6 +323,17 @@ def attribution_feature_corr(spark, sf_dir):
     return corr_matrix(wide, top)
 
 
+@register("surrogate_on_predictions")
+def surrogate_on_predictions(spark, sf_dir):
+    """The same tree fitted on the model's decisions, with the share of fit rows on which both agree."""
+    t = trained(spark, sf_dir)
+    vec = t.score(PL.fit_rows(spark, sf_dir)).select("predicted", M.FEATURES_COL).checkpoint()
+    tree = M.fit_surrogate(vec, fit_on="prediction")
+    agree = tree.transform(vec).agg(F.avg((F.col("prediction") == F.col("predicted")).cast("double")).alias("a")).first()["a"]
+    rules = M.surrogate_rules(tree, t.pre.features, _model_dir(spark, "surrogate"))
+    return rules.withColumn("agreement", F.lit(agree))
+
+
 @register("surrogate_importance")
 def surrogate_importance(spark, sf_dir):
     """L17/P-13: split importances of the surrogate tree, positive ones only."""

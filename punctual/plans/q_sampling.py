@@ -150,6 +150,61 @@ def label_encode(spark, sf_dir):
     return prep.fit_label_encoders(PL.balanced_train(spark, sf_dir), CATEGORICAL)
 
 
+# ---------------------------------------------------------------------------
+# L5/L7/F29 and X6 on whole rows: the test split through the preprocessing and back
+# ---------------------------------------------------------------------------
+_MEDIANS = ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in NUMERIC)
+_FILLED = ", ".join(f"coalesce(CAST(bt.{c} AS DOUBLE), md.{c}) AS {c}" for c in NUMERIC)
+_PREP_SQL = f""", md AS (SELECT {_MEDIANS} FROM bt), fl AS (SELECT {_FILLED} FROM bt, md),
+mu AS (SELECT {', '.join(f"avg({c}) AS {c}" for c in NUMERIC)} FROM fl),
+sd AS (SELECT {', '.join(f"CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1 ELSE stddev_pop({c}) END AS {c}" for c in NUMERIC)} FROM fl),
+cl AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS code FROM (
+       {" UNION ".join(f"SELECT '{c}' AS feature, coalesce(CAST({c} AS VARCHAR), 'Unknown') AS value FROM bt" for c in CATEGORICAL)}))
+"""
+
+
+def _class_joins() -> str:
+    return " ".join(f"LEFT JOIN cl AS c_{c} ON c_{c}.feature = '{c}' AND c_{c}.value = coalesce(CAST(te.{c} AS VARCHAR), 'Unknown')"
+                    for c in CATEGORICAL)
+
+
+def _fitted(spark, sf_dir):
+    bt = PL.balanced_train(spark, sf_dir)
+    return prep.fit_impute_scale(bt, NUMERIC), prep.fit_label_encoders(bt, CATEGORICAL).checkpoint()
+
+
+_KEYS = ", ".join(f"te.{k} AS key_{k}" for k in KEY_COLS)
+
+
+@register("encode_rows", pq(_PREP_SQL + f"""
+SELECT {_KEYS}, {', '.join(r6(f'(coalesce(CAST(te.{c} AS DOUBLE), md.{c}) - mu.{c}) / sd.{c}', f'x_{c}') for c in NUMERIC)},
+       {', '.join(f'CAST(coalesce(c_{c}.code, 0) AS INT) AS x_{c}' for c in CATEGORICAL)}
+FROM te CROSS JOIN md CROSS JOIN mu CROSS JOIN sd {_class_joins()}"""))
+def encode_rows(spark, sf_dir):
+    """Every row of the test split, imputed, scaled and encoded by what the train set taught."""
+    params, classes = _fitted(spark, sf_dir)
+    return _prefixed(spark, sf_dir, lambda df: prep.apply_impute_scale(
+        prep.apply_label_encoders(df, classes, CATEGORICAL), params, NUMERIC))
+
+
+@register("decode_rows", pq(_PREP_SQL + f"""
+SELECT {_KEYS}, {', '.join(r6(f'coalesce(CAST(te.{c} AS DOUBLE), md.{c})', f'x_{c}') for c in NUMERIC)},
+       {', '.join(f"coalesce(c_{c}.value, (SELECT value FROM cl WHERE feature = '{c}' AND code = 0)) AS x_{c}" for c in CATEGORICAL)}
+FROM te CROSS JOIN md {_class_joins()}"""))
+def decode_rows(spark, sf_dir):
+    """The encoded rows of the test split back in raw values."""
+    params, classes = _fitted(spark, sf_dir)
+    return _prefixed(spark, sf_dir, lambda df: prep.decode_rows(prep.apply_impute_scale(
+        prep.apply_label_encoders(df, classes, CATEGORICAL), params, NUMERIC), params, classes, NUMERIC, CATEGORICAL))
+
+
+def _prefixed(spark, sf_dir, change):
+    """The test split with ``key_`` columns as they are and its features, changed, as ``x_`` columns."""
+    rows = PL.test_split(spark, sf_dir)
+    rows = rows.select(*[F.col(k).alias(f"key_{k}") for k in KEY_COLS], *MODEL_FEATURES)
+    return change(rows).select(*[f"key_{k}" for k in KEY_COLS], *[F.col(c).alias(f"x_{c}") for c in MODEL_FEATURES])
+
+
 # ---------------------------------------------------------------------------
 # Score requests and their route distance
 # ---------------------------------------------------------------------------
