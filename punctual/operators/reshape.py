@@ -137,24 +137,3 @@ def best_worst_categories(feat: DataFrame, min_flights: int, k: int = 5) -> Data
         "worst": ranked(per_airline, [F.col("arr_delay_rate").desc_nulls_last(), F.col("Airline")], k),
         "best": ranked(per_airline, [F.col("arr_delay_rate").asc_nulls_last(), F.col("Airline")], k),
     }, tag="side")
-
-
-# ---------------------------------------------------------------------------
-# J5 / A27 route distance lookup
-# ---------------------------------------------------------------------------
-def route_median_distance(flights: DataFrame) -> DataFrame:
-    """Median distance per (Origin, Dest)."""
-    return A.group(flights, ["Origin", "Dest"], {"route_distance": F.median("Distance")})
-
-
-def fill_request_distance(requests: DataFrame, flights: DataFrame, default: float = 1000.0) -> DataFrame:
-    """A request without a distance takes its route median, else ``default``.
-
-    Only the routes named by the requests are aggregated (semi join first).
-    """
-    wanted = requests.select("Origin", "Dest").distinct()
-    med = route_median_distance(flights.join(wanted, ["Origin", "Dest"], "left_semi"))
-    return (requests.join(med, ["Origin", "Dest"], "left")
-                    .withColumn("Distance", F.coalesce(F.col("Distance").cast("double"),
-                                                       F.col("route_distance"), F.lit(default)))
-                    .drop("route_distance"))

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.functions.features import prepare_features
-from punctual.operators import prep, sampling
+from punctual.operators import prep, routes, sampling
 from punctual.schema import TARGET
+from punctual.session import fresh_path
 from punctual.sources.flights import ROW_KEY, fingerprint, flights
 
 SAMPLE_PER_YEAR = 100_000
@@ -28,7 +29,17 @@ SPLIT_SEED = f"{SEED}:split"
 EXTRA_SEED = f"{SEED}:extra"
 FIT_SEED = f"{SEED}:fit"
 
-_CACHE: dict[tuple, DataFrame] = {}
+_CACHE: dict[tuple, DataFrame | str] = {}
+
+
+def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The route-distance store of this input, filled once for each session and input."""
+    key = ("routes", spark.sparkContext.applicationId, fingerprint(spark, sf_dir))
+    if key not in _CACHE:
+        path = fresh_path(spark, "route-counts")
+        routes.add_batch(flights(spark, sf_dir), path, "all")
+        _CACHE[key] = path
+    return routes.read_counts(spark, _CACHE[key])
 
 
 def sampled_flights(spark: SparkSession, sf_dir: str, k: int = SAMPLE_PER_YEAR) -> DataFrame:

@@ -15,7 +15,7 @@ from punctual.functions import features as fx
 from punctual.operators import evaluation as E
 from punctual.operators import explain as X
 from punctual.operators import modeling as M
-from punctual.operators import reshape
+from punctual.operators import routes
 from punctual.operators import trees as TR
 from punctual.plans import pipeline as PL
 from punctual.plans.catalog import register
@@ -23,7 +23,7 @@ from punctual.plans.q_sampling import requests
 from punctual.schema import TARGET
 from punctual.session import fresh_path
 from punctual.sources import artifacts as AR
-from punctual.sources.flights import ROW_KEY, fingerprint, flights
+from punctual.sources.flights import ROW_KEY, fingerprint
 
 KEY = list(ROW_KEY)
 #: Candidates that the registered queries fit (tests put a smaller grid here).
@@ -61,7 +61,7 @@ def score_batch(spark, sf_dir):
 
 def request_features(spark, sf_dir):
     """Request table -> model columns (date parts, hour, blocks, distance)."""
-    r = reshape.fill_request_distance(requests(spark, sf_dir), flights(spark, sf_dir))
+    r = routes.fill_distance(requests(spark, sf_dir), PL.route_counts(spark, sf_dir))
     hhmm = (F.split("DepTime", ":")[0].cast("int") * 100 + F.split("DepTime", ":")[1].cast("int"))
     r = r.withColumn("CRSDepTime", hhmm.cast("int"))
     r = fx.add_clock(fx.add_temporal(r))

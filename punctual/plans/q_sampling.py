@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from punctual.operators import prep, reshape, sampling
+from punctual.operators import prep, routes, sampling
 from punctual.plans import pipeline as PL
 from punctual.plans.catalog import features, register
 from punctual.plans.sql import q, r6
@@ -236,4 +236,21 @@ SELECT rq.Origin, rq.Dest, request_id, {r6('coalesce(rq.Distance, med.route_dist
 FROM rq LEFT JOIN med ON rq.Origin = med.Origin AND rq.Dest = med.Dest""".replace("\n, r AS", ", r AS", 1)))
 def route_distance_lookup(spark, sf_dir):
     req = requests(spark, sf_dir).select("request_id", "Origin", "Dest", "Distance")
-    return reshape.fill_request_distance(req, flights(spark, sf_dir))
+    return routes.fill_distance(req, PL.route_counts(spark, sf_dir))
+
+
+@register("route_distance_flights", q(f"""
+, med AS (SELECT Origin, Dest, quantile_cont(Distance, 0.5) AS route_distance FROM flights
+          WHERE Origin IS NOT NULL AND Dest IS NOT NULL GROUP BY Origin, Dest),
+rq AS (SELECT Origin, Dest, CASE WHEN FlightNumber % 2 = 0 THEN CAST(Distance AS DOUBLE) END AS Distance FROM flights)
+SELECT Origin, Dest, count(*) AS requests, CAST(count_if(Distance IS NULL) AS BIGINT) AS filled,
+       {r6('avg(coalesce(Distance, route_distance, 1000.0))', 'avg_distance')}
+FROM rq LEFT JOIN med USING (Origin, Dest) GROUP BY ALL""".replace("\n, med AS", ", med AS", 1)))
+def route_distance_flights(spark, sf_dir):
+    """J5/A27 with every flight as a request; half of them leave their distance empty."""
+    f = flights(spark, sf_dir)
+    req = f.select("Origin", "Dest", F.when(F.col("FlightNumber") % 2 == 0, F.col("Distance").cast("double")).alias("Distance"),
+                   (F.col("FlightNumber") % 2 != 0).alias("empty"))
+    out = routes.fill_distance(req, PL.route_counts(spark, sf_dir))
+    return out.groupBy("Origin", "Dest").agg(F.count(F.lit(1)).alias("requests"), F.count_if("empty").alias("filled"),
+                                             F.avg("Distance").alias("avg_distance"))
