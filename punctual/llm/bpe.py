@@ -18,7 +18,8 @@ pre-token that is itself a vocabulary entry is that token.
 
 Defined results: a null text is an empty one, with no ids; repeated rows give
 equal rows; an unknown id fails; bytes that are not UTF-8 decode to U+FFFD in
-``text`` and stay as they are in ``bytes``; extra columns are kept.
+``text`` and stay as they are in ``bytes``; a vocabulary that lacks a byte of the
+text fails; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -73,6 +74,11 @@ class Transducer:
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=1)
         self.starts = {t[:i] for t in ranks for i in range(1, len(t))}
+        #: Length of the longest token that begins with these three bytes.
+        self.reach: dict[bytes, int] = {}
+        for t in ranks:
+            if len(t) > self.reach.get(t[:3], 2):
+                self.reach[t[:3]] = len(t)
         self.halves: dict[bytes, tuple[bytes, bytes]] = {}
         self._reset()
 
@@ -169,24 +175,30 @@ class Transducer:
         """Ids of the pending bytes and ``more``, the end of the pre-token: longest tokens first, one step back
         where no compatible token follows.  A place that led nowhere is not tried again, as only one sequence of
         compatible tokens leads to it."""
-        text, ranks, prev = s.pending + more, self.ranks, s.prev
-        end, at, path, dead = len(text), 0, [], set()
-        stop = min(end, self.longest)
+        text, ranks, pairs, reach = s.pending + more, self.ranks, self.pairs, self.reach
+        end, at, path, dead, left = len(text), 0, [], set(), s.prev
+        stop = min(end, reach.get(text[:3], 2))
         while at < end:
-            left = path[-1] if path else prev
             while stop > at:
                 token = text[at:stop]
-                if token in ranks and stop not in dead and (left is None or self._pair(left, token)):
-                    break
+                if token in ranks and stop not in dead:
+                    if left is None:
+                        break
+                    ok = pairs.get((left, token))
+                    if self._pair(left, token) if ok is None else ok:
+                        break
                 stop -= 1
             if stop > at:
                 path.append(token)
-                at = stop
-                stop = min(end, at + self.longest)
+                left, at = token, stop
+                stop = min(end, at + reach.get(text[at:at + 3], 2))
             else:
+                if not path:
+                    raise ValueError("the vocabulary lacks a byte of the text")
                 dead.add(at)
                 stop = at - 1
                 at -= len(path.pop())
+                left = path[-1] if path else s.prev
         return [ranks[t] for t in path]
 
     def feed(self, data: bytes) -> list[int]:
@@ -353,8 +365,8 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
             n.append(len(ids))
             a.append(hashlib.sha256(" ".join(map(number, ids)).encode()).hexdigest())
             h = hashlib.sha256()
-            for part in codec.decode_stream(ids, 1 << 16):
-                h.update(part.encode())
+            for at in range(0, len(ids), 1 << 16):
+                h.update(codec.decode_bytes(ids[at:at + (1 << 16)]))
             b.append(h.hexdigest())
         return [pa.array(n, pa.int64()), pa.array(a), pa.array(b)]
     add.out = ["n_tokens", "ids_sha256", "decoded_sha256"]
