@@ -44,8 +44,9 @@ _DIGIT = re.compile(r"[0-9]")
 _DOUBLED = [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
 
 # Identifier-like strings: an address without a full domain, or at least five digits with few separators.
-_CANDIDATE = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9][A-Za-z0-9.-]*"
-                        r"|\(?[0-9](?:[ ().-]{0,2}[0-9]){4,}+")
+_AT = re.compile(r"@|\(at\)|\[at\]")
+_HOST = re.compile(r" ?[A-Za-z0-9][A-Za-z0-9.-]*")
+_NUMBER = re.compile(r"\(?[0-9](?:[ ().-]{0,2}[0-9]){4,}+")
 
 
 def _emails(text: str):
@@ -102,10 +103,44 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
+def _addresses(text: str):
+    """(start, end) of local part, marker (``@``, ``(at)``, ``[at]``; a space may stand beside it) and host; a local part
+    is walked back from its marker and never past the marker before."""
+    behind = 0
+    for m in _AT.finditer(text):
+        host = _HOST.match(text, m.end())
+        at = m.start() - (m.start() > 0 and text[m.start() - 1] == " ")
+        start = at
+        while start > behind and text[start - 1] in _LOCAL:
+            start -= 1
+        if host and start < at:
+            yield start, at, host.end()
+        behind = m.end()
+
+
+def _loose(text: str):
+    """Identifier-like strings, leftmost first and apart; of two that begin together the address."""
+    end, number = 0, _NUMBER.search(text)
+    for start, local_end, stop in _addresses(text):
+        start = max(start, end)
+        while number and number.start() < start:
+            yield number.span()
+            end = number.end()
+            start = max(start, end)
+            number = _NUMBER.search(text, end)
+        if start < local_end:
+            yield start, stop
+            end = stop
+            if number and number.start() < end:
+                number = _NUMBER.search(text, end)
+    while number:
+        yield number.span()
+        number = _NUMBER.search(text, number.end())
+
+
 def _candidates(text: str, taken: list[tuple[int, int, int]]):
     busy, i = sorted((a, b) for _, a, b in taken), 0
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
+    for a, b in _loose(text):
         while text[b - 1] in ".-":
             b -= 1
         while i < len(busy) and busy[i][1] <= a:

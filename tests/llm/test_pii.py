@@ -39,6 +39,27 @@ def test_base_spans_equal_the_expressions():
         pii.base_spans(text)
 
 
+def test_identifier_like_strings_in_linear_time():
+    """The same strings as one backtracking expression finds, also where it would be quadratic."""
+    import time
+    plain = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9][A-Za-z0-9.-]*"
+                       r"|\(?[0-9](?:[ ().-]{0,2}[0-9]){4,}+")
+    r = random.Random(4)
+    parts = ["a", "b.", "@", " @ ", "(at)", "[at]", " ", "x1", "12", "345 ", "(", ")", "-", ".", "é", "55555", "\n", "at"]
+    for _ in range(30_000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 16)))
+        assert list(pii._loose(text)) == [m.span() for m in plain.finditer(text)], text
+    for text in ("x1" * 500_000, "1@" * 300_000, "a" * 10 ** 6 + "@", "12 " * 300_000, "(1" * 300_000):
+        start = time.time()
+        list(pii._loose(text))
+        assert time.time() - start < 5
+
+
+def test_two_kinds_are_counted_apart(spark):
+    found = pii.find(docs(spark, [(1, "a@b.com and c@d.org from 1.2.3.4")])).select("base").first().base
+    assert [s.kind for s in found] == [0, 0, 1]
+
+
 def test_query_digests(spark):
     rows = {r["doc_id"]: r for r in QUERIES["op1_pii"](spark, SF).collect()}
     texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
