@@ -70,8 +70,8 @@ class _State:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most_pairs: int = MAX_PAIRS):
+        self.ranks, self.most_pairs = ranks, most_pairs
         self.longest = max(map(len, ranks), default=1)
         self.starts = {t[:i] for t in ranks for i in range(1, len(t))}
         #: Length of the longest token that begins with these three bytes.
@@ -203,7 +203,7 @@ class Transducer:
 
     def feed(self, data: bytes) -> list[int]:
         """Ids of one pre-token; each arc carries those that its byte makes certain."""
-        if len(self.pairs) > MAX_PAIRS:
+        if len(self.pairs) > self.most_pairs:
             self.pairs.clear()
         s, out = self.start, []
         for i, byte in enumerate(data):
@@ -223,9 +223,9 @@ class _Pieces(dict):
     """Ids of the pre-tokens met lately: when the table is full it becomes the older one, from which pre-tokens
     that are met again come back."""
 
-    def __init__(self, machine: Transducer):
+    def __init__(self, machine: Transducer, most: int = MAX_PIECES):
         super().__init__()
-        self.machine, self.older = machine, {}
+        self.machine, self.most, self.older = machine, most, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.older.get(piece)
@@ -234,7 +234,7 @@ class _Pieces(dict):
             whole = self.machine.ranks.get(data)
             ids = (whole,) if whole is not None else tuple(self.machine.feed(data))
         if len(piece) <= 64:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[piece] = ids
@@ -273,9 +273,9 @@ class Utf8Stream:
 class Codec:
     """Encoder and decoder of one vocabulary; made once in each Python worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pieces: int = MAX_PIECES):
         self.split = regex.compile(pattern)
-        self.pieces = _Pieces(Transducer(ranks))
+        self.pieces = _Pieces(Transducer(ranks, MAX_PAIRS * pieces // MAX_PIECES), pieces)
         self.token = {i: t for t, i in ranks.items()}
 
     def encode(self, text: str | None) -> list[int]:
@@ -294,16 +294,16 @@ class Codec:
         yield stream.close()
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple[str, int], Codec] = {}
 
 
-def _codec(key: str, ranks, pattern: str) -> Codec:
-    if key not in _CODECS:
-        _CODECS[key] = Codec(ranks.value, pattern)
-    return _CODECS[key]
+def _codec(key: str, ranks, pattern: str, pieces: int) -> Codec:
+    if (key, pieces) not in _CODECS:
+        _CODECS[key, pieces] = Codec(ranks.value, pattern, pieces)
+    return _CODECS[key, pieces]
 
 
-def _mapper(docs: DataFrame, ranks: dict[bytes, int], pattern: str, add):
+def _mapper(docs: DataFrame, ranks: dict[bytes, int], pattern: str, add, pieces: int = MAX_PIECES):
     """mapInArrow function that appends ``add(codec, batch)`` to the columns of a batch."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -311,7 +311,7 @@ def _mapper(docs: DataFrame, ranks: dict[bytes, int], pattern: str, add):
     key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
 
     def run(batches):
-        codec = _codec(key, shared, pattern)
+        codec = _codec(key, shared, pattern, pieces)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -331,14 +331,15 @@ def _extend(docs: DataFrame, run, added: list[T.StructField], lead: list) -> Dat
     return out.toDF(*[f.name for f in kept], *[f.name for f in added])
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """``docs`` with ``ids`` (array of int) and ``n_tokens`` of its text."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, pieces: int = MAX_PIECES // 4) -> DataFrame:
+    """``docs`` with ``ids`` (array of int) and ``n_tokens`` of its text; a worker remembers ``pieces`` pre-tokens
+    (twice: memory and time, not the result)."""
     def add(codec: Codec, batch: pa.RecordBatch):
         ids = [codec.encode(t) for t in batch.column(0).to_pylist()]
         return [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())]
     add.out = ["ids", "n_tokens"]
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
-    return _extend(docs, _mapper(docs, ranks, pattern, add), fields, [F.col("text").cast("string")])
+    return _extend(docs, _mapper(docs, ranks, pattern, add, pieces), fields, [F.col("text").cast("string")])
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str = ".") -> DataFrame:
