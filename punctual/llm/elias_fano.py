@@ -8,28 +8,37 @@ import tempfile
 import numpy as np
 
 
-class EliasFano:
-    """A non-decreasing sequence of n numbers below 2^63 in about n * (2 + log2(u / n)) bits.
+#: Ones in each byte, and the place of its r-th one (8 where there is none).
+_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.uint8)
+_PLACE = np.full((256, 8), 8, np.uint8)
+for _byte in range(256):
+    _PLACE[_byte, :_ONES[_byte]] = [i for i in range(8) if _byte >> i & 1]
+
 
-    The low bits lie packed side by side; the high bits are a unary bit string.
-    ``find`` goes to the bucket of a number's high bits (rank in the bit string)
-    and halves it by the low bits: constant expected time.
+class EliasFano:
+    """A non-decreasing sequence of n numbers below 2^63 in about n * (3 + log2(u / n)) bits.
+
+    The low bits lie packed side by side; the high bits are a unary bit string
+    with a directory of the ones before each 64 bits.  All three stay as they
+    are mapped: an element is found by selecting its one in the bit string, a
+    bucket by selecting the zeros around it.  ``find`` goes to the bucket of a
+    number's high bits and halves it by the low bits: constant expected time
+    but for the search in the directory.
     """
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.flatnonzero(np.unpackbits(high, bitorder="little"))
-        self._upper = ones - np.arange(n)  # high bits of each element
-        buckets = int(self._upper[-1]) + 1 if n else 0
-        self._begin = np.searchsorted(self._upper, np.arange(buckets + 1)).astype(np.int64)
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
+        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high.reshape(-1, 8)
+        self._ones = ones.view(np.uint32)
+        self._zeros = (np.arange(len(self._ones)) * 64 - self._ones).astype(np.uint32)
         self._words = np.ndarray((max(len(low) - 7, 0),), dtype="<u8", buffer=low, strides=(1,)) if len(low) > 7 else None
+        self._buckets = int(self._upper(np.array([n - 1]))[0]) + 1 if n else 0
 
     @staticmethod
-    def encode(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
-        """(n, low_bits, low bytes, high bytes) of a non-decreasing uint64 array."""
+    def encode(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+        """(n, low_bits, low bytes, high bytes, directory bytes) of a non-decreasing uint64 array."""
         n = len(values)
         if not n:
-            return 0, 0, np.zeros(8, np.uint8), np.zeros(0, np.uint8)
+            return 0, 0, np.zeros(8, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
         bits = min(56, max(0, (int(values[-1]) // n).bit_length() - 1))
         low = np.zeros((n * bits + 7) // 8 + 8, np.uint8)
         chunk = 1 << 16  # a multiple of 8 elements fills whole bytes
@@ -39,9 +48,32 @@ class EliasFano:
             packed = np.packbits(flat, bitorder="little")
             low[a * bits // 8:a * bits // 8 + len(packed)] = packed
         upper = (values >> np.uint64(bits)).astype(np.int64)
-        marks = np.zeros(int(upper[-1]) + n + 1, np.uint8)
+        # the last bucket ends with a zero of its own; whole words of 64 bits
+        marks = np.zeros(-(-(int(upper[-1]) + n + 1) // 64) * 64, np.uint8)
         marks[upper + np.arange(n)] = 1
-        return n, bits, low, np.packbits(marks, bitorder="little")
+        high = np.packbits(marks, bitorder="little")
+        held = _ONES[high].reshape(-1, 8).sum(axis=1)
+        return n, bits, low, high, (np.cumsum(held) - held).astype(np.uint32).view(np.uint8)
+
+    def _select(self, r: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
+        """Place of the r-th bit of one kind; ``before``: such bits before each word."""
+        word = np.searchsorted(before, r.astype(np.uint32), side="right") - 1
+        octets = self.high[word] ^ np.uint8(flip)
+        upto = np.cumsum(_ONES[octets], axis=1, dtype=np.uint8)
+        rest = (r - before[word]).astype(np.int64)
+        octet = (upto <= rest[:, None]).sum(axis=1)
+        row = np.arange(len(r))
+        byte = octets[row, octet]
+        rest -= upto[row, octet].astype(np.int64) - _ONES[byte]
+        return word * 64 + octet * 8 + _PLACE[byte, rest]
+
+    def _upper(self, i: np.ndarray) -> np.ndarray:
+        """High bits of elements."""
+        return self._select(i, self._ones, 0) - i
+
+    def _ends(self, bucket: np.ndarray) -> np.ndarray:
+        """Number of elements up to and with each bucket (0 for bucket -1)."""
+        return np.where(bucket < 0, 0, self._select(np.maximum(bucket, 0), self._zeros, 255) - bucket)
 
     def _low_at(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -50,7 +82,9 @@ class EliasFano:
         return (self._words[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        return (self._upper[i].astype(np.uint64) << np.uint64(self.low_bits)) | self._low_at(i)
+        if not len(i):
+            return np.empty(0, np.uint64)
+        return (self._upper(i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low_at(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Place of each number, -1 where it is absent."""
@@ -58,8 +92,8 @@ class EliasFano:
         if not self.n:
             return out
         top = (x >> np.uint64(self.low_bits)).astype(np.int64)
-        ask = np.flatnonzero(top < len(self._begin) - 1)
-        at, end = self._begin[top[ask]], self._begin[top[ask] + 1]
+        ask = np.flatnonzero(top < self._buckets)
+        at, end = self._ends(top[ask] - 1), self._ends(top[ask])
         low = x[ask] & np.uint64((1 << self.low_bits) - 1)
         # most buckets have an element or two, full ones are halved
         last, open_ = end.copy(), np.flatnonzero(at < end)
@@ -91,15 +125,12 @@ class Trie:
     def __init__(self, blob):
         head = np.frombuffer(blob, np.int64, 32)
         at, parts = 256, []
-        for size in head[12:12 + 11]:
+        for size in head[8:8 + 15]:
             parts.append(np.frombuffer(blob, np.uint8, int(size), at))
-            at += int(size)
-        ef = [EliasFano(int(head[2 * i]), int(head[2 * i + 1]), parts[2 * i], parts[2 * i + 1]) for i in range(4)]
+            at += int(size) + -int(size) % 8
+        ef = [EliasFano(int(head[2 * i]), int(head[2 * i + 1]), *parts[3 * i:3 * i + 3]) for i in range(4)]
         self.words, self.contexts, self.pointers, self.runs = ef
-        self.count, self.q1, self.q2 = (parts[8].view(np.int64), parts[9].view(np.int16), parts[10].view(np.int16))
-        last = self.pointers.get(np.arange(1, self.words.n + 1)).astype(np.int64) - 1 if self.words.n else np.empty(0, np.int64)
-        ends = self.runs.get(last) + np.uint64(1) if len(last) else np.empty(0, np.uint64)
-        self.base = np.concatenate([[np.uint64(0)], ends[:-1]]).astype(np.uint64)
+        self.count, self.q1, self.q2 = (parts[12].view(np.int64), parts[13].view(np.int16), parts[14].view(np.int16))
 
     @classmethod
     def build(cls, word: np.ndarray, context: np.ndarray, count: np.ndarray, log_word, log_pair) -> bytes:
@@ -119,13 +150,13 @@ class Trie:
         q2 = cls._quantised(log_pair(run, context, count, q1[run] * cls.STEP)) if len(word) else np.empty(0, np.int16)
         encoded = [EliasFano.encode(x) for x in
                    (words, table, np.append(begin, len(word)).astype(np.uint64), sequence)]
-        arrays = [a for n, bits, low, high in encoded for a in (low, high)]
+        arrays = [a for _, _, *parts in encoded for a in parts]
         arrays += [totals.astype(np.int64).view(np.uint8), q1.view(np.uint8), q2.view(np.uint8)]
         head = np.zeros(32, np.int64)
-        for i, (n, bits, _, _) in enumerate(encoded):
+        for i, (n, bits, *_) in enumerate(encoded):
             head[2 * i:2 * i + 2] = n, bits
+        head[8:8 + len(arrays)] = [len(a) for a in arrays]
         arrays = [np.concatenate([a, np.zeros(-len(a) % 8, np.uint8)]) for a in arrays]
-        head[12:12 + len(arrays)] = [len(a) for a in arrays]
         return head.tobytes() + b"".join(a.tobytes() for a in arrays)
 
     @classmethod
@@ -146,10 +177,14 @@ class Trie:
         number = self.contexts.find(context)
         pair = np.full(len(word), -1, np.int64)
         ask = np.flatnonzero((place >= 0) & (number >= 0))
-        at = self.runs.find(self.base[place[ask]] + number[ask].astype(np.uint64))
-        # the run of the word: what lies beyond its end belongs to the next one
         begin = self.pointers.get(place[ask]).astype(np.int64)
         end = self.pointers.get(place[ask] + 1).astype(np.int64)
+        # a run counts on from the end of the one before
+        base = np.zeros(len(ask), np.uint64)
+        later = np.flatnonzero(begin > 0)
+        base[later] = self.runs.get(begin[later] - 1) + np.uint64(1)
+        at = self.runs.find(base + number[ask].astype(np.uint64))
+        # the run of the word: what lies beyond its end belongs to the next one
         ok = (at >= begin) & (at < end)
         pair[ask[ok]] = at[ok]
         return place, pair

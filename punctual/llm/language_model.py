@@ -5,12 +5,12 @@ Tokens: words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end toke
 Model, learned from the training documents only:
 
     p1(w)   = (c(w) + 1) / (N + V + 1)
-    p(w | h) = (c(h, w) + m(h) * p1(w)) / (c(h) + m(h))
+    p(w | h) = (c(h, w) + ``MASS`` * p1(w)) / (c(h) + ``MASS``)
 
-with h the token before (a begin mark for the first).  The mass m(h) is c(h)
-for contexts that are frequent (more than N / ``FREQUENT`` tokens) and
-N / (4 * FREQUENT), at least 1, for all others; both give a proper
-distribution, with one type set aside for all unknown words.
+with h the token before (a begin mark for the first).  The mass is the same
+for every context and every size of the corpus: what was counted after a
+context weighs against ``MASS`` tokens of the unigram model and nothing else.
+It is a proper distribution, with one type set aside for all unknown words.
 
 The tries are sharded by the hash of the predicted word, so they grow with the
 corpus and no task or driver holds them whole.  Each shard is built from all
@@ -21,8 +21,8 @@ denominators depend on the context alone and are added where its own shard
 is.  ``base_score`` uses the exact counts.
 
 Words whose count exceeds a shard's share are dealt out further by their
-context; only those and the frequent contexts (at most ``FREQUENT`` each, by
-arithmetic) are broadcast.
+context; only the counts of frequent words (more than N / ``FREQUENT`` tokens,
+so fewer than ``FREQUENT`` of them) are broadcast, and they change no result.
 
 Defined results: a null or empty text is the end token alone; repeated rows
 score alike and train as often as they occur; a null doc_id is a training
@@ -46,8 +46,10 @@ from punctual.llm._store import stored
 from punctual.llm.elias_fano import Trie
 from punctual.session import ship_package
 
-#: Most frequent contexts that may be broadcast (16 bytes each); tokens of one shard.
+#: Most frequent words whose counts may be broadcast (16 bytes each); tokens of one shard.
 FREQUENT, SHARD_TOKENS = 1 << 16, 3_000_000
+#: Tokens that the unigram model counts for in each context.
+MASS = 256.0
 _END, _BEGIN = np.uint64(0xE17D), np.uint64(0xBE61)
 
 
@@ -121,16 +123,11 @@ class Setting:
     mass: float
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
-        """Count of frequent tokens and of the begin mark, 0 for all others."""
-        out = np.zeros(len(hashes), np.int64)
-        if len(self.table):
-            at = np.minimum(np.searchsorted(self.table, hashes), len(self.table) - 1)
-            out = np.where(self.table[at] == hashes, self.counts[at], 0)
-        return np.where(hashes == _BEGIN, self.n_docs, out)
-
-    def mass_of(self, contexts: np.ndarray) -> np.ndarray:
-        n = self.known(contexts)
-        return np.where(n > 0, n, self.mass)
+        """Count of frequent tokens, 0 for all others."""
+        if not len(self.table):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.table, hashes), len(self.table) - 1)
+        return np.where(self.table[at] == hashes, self.counts[at], 0)
 
     def log_unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.n + self.v + 1))
@@ -141,7 +138,7 @@ class Setting:
         return _part(np.where(heavy, _text.mix(token ^ _text.mix(before)), token), self.shards)
 
 
-def setting(docs: DataFrame) -> Setting:
+def setting(docs: DataFrame, mass: float) -> Setting:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = stored(count_tokens(docs, parts), "lm-words")
@@ -152,8 +149,7 @@ def setting(docs: DataFrame) -> Setting:
     words = often.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
     return Setting(int(total["n"]), int(total["v"]), int(total["docs"]), max(4, -(-int(total["n"]) // SHARD_TOKENS)),
-                   words[order], often.column("n").to_numpy()[order],
-                   max(1.0, int(total["n"]) / (4 * FREQUENT)))
+                   words[order], often.column("n").to_numpy()[order], mass)
 
 
 _REQUEST = "part int, slice long, token binary, run binary, before binary, doc binary"
@@ -221,7 +217,7 @@ def build_shard(token: np.ndarray, before: np.ndarray, s: Setting) -> bytes:
         return s.log_unigram(np.maximum(totals, s.known(words)))
 
     def log_pair(_, contexts, counts, log10_word):
-        return np.log10(counts + s.mass_of(contexts) * 10.0 ** log10_word)
+        return np.log10(counts + s.mass * 10.0 ** log10_word)
     return Trie.build(token[first], before[first], count, log_word, log_pair)
 
 
@@ -241,23 +237,23 @@ def _ask_pairs(trie: Trie, token: np.ndarray, before: np.ndarray, s: Setting) ->
     base = s.log_unigram(count)
     word = Trie._quantised(base) * Trie.STEP
     top = np.where(pair >= 0, trie.q2[np.maximum(pair, 0)] * Trie.STEP if len(trie.q2) else 0.0,
-                   np.log10(s.mass_of(before)) + word)
-    ends = token == _END
-    bottom = np.where(ends, s.n_docs + (s.n_docs or s.mass), count + s.mass_of(token))
+                   np.log10(s.mass) + word)
+    bottom = np.where(token == _END, s.n_docs, count) + s.mass
     return base, top - np.log10(bottom), count > 0
 
 
-def score(docs: DataFrame, held_out) -> DataFrame:
+def score(docs: DataFrame, held_out, mass: float = MASS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
 
-    ``held_out``: condition on the columns of ``docs`` that keeps a row out of training.
+    ``held_out``: condition on the columns of ``docs`` that keeps a row out of training.  ``mass`` > 0: tokens that the
+    unigram model counts for in each context.
     """
     spark = docs.sparkSession
     ship_package(spark)
     kind = dict(docs.dtypes)["doc_id"]
     source = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"),
                          F.col("text").cast("string").alias("text"))
-    about = setting(source)
+    about = setting(source, mass)
     shared = spark.sparkContext.broadcast(about)
 
     def serve(table: pa.Table) -> pa.Table:
