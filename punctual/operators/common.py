@@ -19,6 +19,13 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once into the shared folder and read back.  (``checkpoint()`` computes its input twice.)"""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prefix_sums(df: DataFrame, order: list, values: list[str], group: tuple[str, ...] = (),
                 parts: int | None = None) -> DataFrame:
     """``df`` with ``cum_<value>``: running sums (the row itself included) in ``order`` within ``group``.
@@ -29,10 +36,7 @@ def prefix_sums(df: DataFrame, order: list, values: list[str], group: tuple[str,
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = fresh_path(spark, "ranges")
-    cut = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    cut.write.parquet(path)
-    cut = spark.read.schema(cut.schema).parquet(path)
+    cut = written(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     whole = cut.groupBy("__part", *group).agg(*[F.sum(v).alias(v) for v in values])
     earlier = Window.partitionBy(*(group or (F.lit(0),))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = whole.select("__part", *group, *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__{v}")

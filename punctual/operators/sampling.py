@@ -4,20 +4,25 @@ Every sampler here is "take the k rows with the smallest seeded hash", which is
 a uniform sample without replacement that both Spark and plain SQL reproduce
 exactly (``md5(key || ':' || seed)``, ties broken by the row key).
 
-Scale design (the core primitive is :func:`hash_cut`):
+Scale design (the core primitive is :func:`smallest_by_hash`):
 
 * A naive ``row_number() OVER (PARTITION BY group ORDER BY hash)`` sends a whole
   group to one task; a group (year, class) can hold a third of 100 TB.
-* Instead the k-th smallest hash of every group is located with hash-prefix
-  histograms: count rows per (group, first 3 hex digits) -- a partial
-  aggregation with at most 4096 buckets per group -- and find the bucket where
-  the running count crosses k.  Only rows inside that boundary bucket matter;
-  if it is still large the next 3 hex digits refine it.  Once the boundary
-  bucket holds at most ``MAX_BOUNDARY_ROWS`` rows they are ranked exactly.
+* Instead one scan counts rows per (group, first 3 hex digits of the hash): a
+  partial aggregation with at most 4096 counters per group.  The counts give
+  both the group sizes and the boundary bucket, where the running count
+  crosses k.
+* A second scan writes the candidates.  A sample keeps the rows up to and with
+  the boundary bucket (about k + n / 4096 rows); a split, which returns all
+  rows, keeps the hash and ties of the boundary bucket alone.  All that follows
+  reads the candidates: a boundary bucket of more than ``MAX_BOUNDARY_ROWS``
+  rows is cut by the next 3 hex digits, a smaller one is ranked exactly.
 * The result is one cut tuple (hash, tie keys) per group, and the sample or the
   split is a row-wise predicate ``(hash, ties) <= cut``: no join of the data
   with itself, no window over the data, no sort of the data.
-* The per-group cut / boundary tables are tiny; they are checkpointed (lineage
+* A bounded heap of k rows per task would need one scan, but it would shuffle
+  up to k rows of every task: at k = 100,000 a group that is nearly the table.
+* The per-group cut / boundary tables are tiny; they are written (lineage
   cut, survives executor loss) and broadcast only after their row count has
   been checked.
 """
@@ -27,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from punctual.operators.common import BROADCAST_MAX_ROWS
+from punctual.operators.common import BROADCAST_MAX_ROWS, written
 from punctual.session import checkpoint_dir
 
 MAX_BOUNDARY_ROWS = 1_000_000
@@ -53,59 +58,41 @@ def _attach(df: DataFrame, small: DataFrame, groups: list[str], n_small: int, ho
     return df.select("*", *[small.select(c).scalar().alias(c) for c in small.columns])
 
 
-def hash_cut(df: DataFrame, hx: str, ties: list[str], groups: list[str], targets: DataFrame) -> DataFrame:
-    """Per group, the (hash, ties) tuple of the k-th smallest row.
+def _boundary(hist: DataFrame, needs: DataFrame, groups: list[str], n_groups: int) -> DataFrame:
+    """Per group the bucket of ``hist`` (groups, bucket, cnt) that holds the ``need``-th row: group columns, the place
+    of that row in the bucket (``need``), ``prefix`` and ``size`` of the bucket."""
+    w = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    hist = _attach(hist, needs, groups, n_groups).withColumn("cum", F.sum("cnt").over(w))
+    first = (hist.filter(F.col("cum") >= F.col("need")).groupBy(*groups)
+                 .agg(F.min_by(F.struct("bucket", "cnt", "cum", "need"), F.col("bucket")).alias("b")))
+    if not groups:  # an aggregate without keys has a row even where nothing is needed
+        first = first.filter(F.col("b").isNotNull())
+    return written(first.select(*groups, (F.col("b.need") - (F.col("b.cum") - F.col("b.cnt"))).alias("need"),
+                                F.col("b.bucket").alias("prefix"), F.col("b.cnt").alias("size")), "sample-bound")
 
-    ``targets`` has the group columns, ``k`` (rows wanted) and ``n`` (rows in
-    the group).  Returns group columns + ``__all`` (take every row) +
-    ``__cut`` (struct of hash and ties; rows ``<=`` it are in the sample).
-    Groups with k <= 0 are absent (nothing selected).
-    """
-    spark = df.sparkSession
-    slim = df.select(*groups, hx, *ties)
-    todo = targets.filter((F.col("k") > 0) & (F.col("k") < F.col("n"))) \
-                  .select(*groups, F.col("k").alias("need"), F.lit("").alias("prefix"),
-                          F.col("n").alias("size"))
-    everything = targets.filter(F.col("k") >= F.col("n")).select(*groups)
-    bound = todo.checkpoint()
-    width = 0
+
+def _sizes(bound: DataFrame) -> tuple[int, int]:
+    """Open groups, and rows of the largest boundary bucket."""
+    st = bound.agg(F.count(F.lit(1)).alias("g"), F.max("size").alias("m")).first()
+    return st["g"], st["m"] or 0
+
+
+def hash_cut(rows: DataFrame, hx: str, ties: list[str], groups: list[str], bound: DataFrame) -> DataFrame:
+    """Per group of ``bound`` the ``__cut`` struct (hash, ties) of the row wanted; ``rows`` has at least the rows of
+    the boundary buckets.  Rows ``<=`` the cut are in the sample."""
+    width = HEX_STEP
+    slim = rows.select(*groups, hx, *ties)
     while True:
-        # one small job per level: how many groups are still open, and the
-        # largest boundary bucket among them
-        st = bound.agg(F.count(F.lit(1)).alias("g"), F.max("size").alias("m")).first()
-        if st["g"] == 0:
-            cut = None
-            break
-        # ``bound`` has one row per open group; its size was just counted
-        if st["m"] <= MAX_BOUNDARY_ROWS or width + HEX_STEP > 32:
+        g, largest = _sizes(bound)
+        inside = _attach(slim, bound, groups, g).filter(F.substring(hx, 1, width) == F.col("prefix"))
+        if largest <= MAX_BOUNDARY_ROWS or width + HEX_STEP > 32:
             # exact rank inside the (small) boundary bucket of every group
-            rows = _attach(slim, bound, groups, st["g"]).filter(F.substring(hx, 1, width) == F.col("prefix"))
             w = Window.partitionBy(*groups).orderBy(hx, *ties)
-            cut = (rows.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == F.col("need"))
-                       .select(*groups, F.struct(F.col(hx), *[F.col(t) for t in ties]).alias("__cut")))
-            break
+            return (inside.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == F.col("need"))
+                          .select(*groups, F.struct(F.col(hx), *[F.col(t) for t in ties]).alias("__cut")))
         width += HEX_STEP
-        rows = _attach(slim, bound, groups, st["g"]).filter(F.substring(hx, 1, width - HEX_STEP) == F.col("prefix"))
-        hist = rows.groupBy(*groups, F.substring(hx, 1, width).alias("bucket")) \
-                   .agg(F.count(F.lit(1)).alias("cnt"))
-        hist = _attach(hist, bound.select(*groups, "need"), groups, st["g"])
-        wc = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("cum", F.sum("cnt").over(wc))
-        first = (hist.filter(F.col("cum") >= F.col("need"))
-                     .groupBy(*groups)
-                     .agg(F.min_by(F.struct("bucket", "cnt", "cum", "need"), F.col("bucket")).alias("b")))
-        bound = first.select(*groups, (F.col("b.need") - (F.col("b.cum") - F.col("b.cnt"))).alias("need"),
-                             F.col("b.bucket").alias("prefix"), F.col("b.cnt").alias("size")).checkpoint()
-    parts = [everything.select(*groups, F.lit(True).alias("__all"),
-                               F.lit(None).cast(_cut_type(df, hx, ties)).alias("__cut"))]
-    if cut is not None:
-        parts.append(cut.select(*groups, F.lit(False).alias("__all"), "__cut"))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.checkpoint()
-
-
-def _cut_type(df: DataFrame, hx: str, ties: list[str]):
-    return df.select(F.struct(F.col(hx), *[F.col(t) for t in ties])).schema.fields[0].dataType
+        hist = inside.groupBy(*groups, F.substring(hx, 1, width).alias("bucket")).agg(F.count(F.lit(1)).alias("cnt"))
+        bound = _boundary(hist, bound.select(*groups, "need"), groups, g)
 
 
 def smallest_by_hash(df: DataFrame, key: str, ties: list[str], k: int | None = None,
@@ -121,11 +108,32 @@ def smallest_by_hash(df: DataFrame, key: str, ties: list[str], k: int | None = N
     groups = list(groups or [])
     hx = "__hx"
     d = df.withColumn(hx, hash_hex(key, seed))
-    counts = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    hist = written(d.groupBy(*groups, F.substring(hx, 1, HEX_STEP).alias("bucket"))
+                   .agg(F.count(F.lit(1)).alias("cnt")), "sample-counts")
     kcol = F.lit(int(k)) if k is not None else F.round(F.col("n") * F.lit(float(fraction))).cast("long")
-    targets = counts.select(*groups, "n", F.least(kcol, F.col("n")).alias("k")).checkpoint()
-    cut = hash_cut(d, hx, ties, groups, targets)
-    j = _attach(d, cut, groups, cut.count(), "left")
+    targets = hist.groupBy(*groups).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")) \
+        .select(*groups, "n", F.least(kcol, F.col("n")).alias("k"))
+    whole = targets.filter(F.col("k") >= F.col("n")).select(*groups, F.lit(True).alias("__all"))
+    some = targets.filter((F.col("k") > 0) & (F.col("k") < F.col("n"))).select(*groups, F.col("k").alias("need"))
+    n_targets = targets.count()
+    bound = _boundary(hist, some, groups, n_targets)
+    cut = None
+    if _sizes(bound)[0]:
+        near = whole.withColumn("__prefix", F.lit(None).cast("string")).unionByName(
+            bound.select(*groups, F.lit(False).alias("__all"), F.col("prefix").alias("__prefix")))
+        source = d.select(*groups, hx, *ties) if flag else d
+        held = _attach(source, near, groups, n_targets)
+        bucket = F.substring(hx, 1, HEX_STEP)
+        keep = bucket == F.col("__prefix") if flag else F.col("__all") | (bucket <= F.col("__prefix"))
+        held = written(held.filter(keep).drop("__all", "__prefix"), "sample-candidates")
+        d = d if flag else held
+        cut = hash_cut(held, hx, ties, groups, bound)
+    none = F.lit(None).cast(d.select(F.struct(F.col(hx), *[F.col(t) for t in ties])).schema.fields[0].dataType)
+    cuts = whole.withColumn("__cut", none)
+    if cut is not None:
+        cuts = cuts.unionByName(cut.withColumn("__all", F.lit(False)))
+    cuts = written(cuts, "sample-cuts")
+    j = _attach(d, cuts, groups, n_targets, "left")
     inside = F.coalesce(F.col("__all"), F.lit(False)) | \
         F.coalesce(F.struct(F.col(hx), *[F.col(t) for t in ties]) <= F.col("__cut"), F.lit(False))
     if flag:

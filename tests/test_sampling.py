@@ -60,3 +60,27 @@ def test_class_balance_adds_positives(spark):
     out = S.balance_classes(train, pool, "y", "k", ["t"])
     c = {r.y: r["count"] for r in out.groupBy("y").count().collect()}
     assert c == {0: 80, 1: 80}
+
+
+@pytest.mark.parametrize("groups,flag,scans", [(["g"], None, 2), ([], None, 2), (["g"], "in", 3)])
+def test_scans_of_the_input(spark, data, groups, flag, scans):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+    S.smallest_by_hash(data.mapInArrow(count, data.schema), "k", ["t"], k=40, groups=groups, flag=flag).collect()
+    assert read.value == scans * 5000
+
+
+@pytest.mark.parametrize("k", [0, 1, 5000, 9000])
+def test_bounds_of_k(spark, data, k):
+    assert S.sample_rows(data, k, "k", ["t"]).count() == min(k, 5000)
+    assert S.sample_rows(data.limit(0), k, "k", ["t"]).count() == 0
+    assert S.smallest_by_hash(data.limit(0), "k", ["t"], k=k, groups=["g"]).count() == 0
+
+
+def test_equal_keys_are_cut_by_their_ties(spark):
+    rows = spark.range(3000).select(F.lit("same").alias("k"), F.col("id").alias("t"))
+    assert {r.t for r in S.sample_rows(rows, 70, "k", ["t"]).collect()} == set(range(70))
