@@ -22,9 +22,9 @@ Scale design (the core primitive is :func:`smallest_by_hash`):
   with itself, no window over the data, no sort of the data.
 * A bounded heap of k rows per task would need one scan, but it would shuffle
   up to k rows of every task: at k = 100,000 a group that is nearly the table.
-* The per-group cut / boundary tables are tiny; they are written (lineage
-  cut, survives executor loss) and broadcast only after their row count has
-  been checked.
+* The boundary tables have a row for each group; they are written (lineage
+  cut, survives executor loss), counted, and broadcast only if that count is
+  within bounds.
 """
 
 from __future__ import annotations
@@ -58,41 +58,52 @@ def _attach(df: DataFrame, small: DataFrame, groups: list[str], n_small: int, ho
     return df.select("*", *[small.select(c).scalar().alias(c) for c in small.columns])
 
 
-def _boundary(hist: DataFrame, needs: DataFrame, groups: list[str], n_groups: int) -> DataFrame:
-    """Per group the bucket of ``hist`` (groups, bucket, cnt) that holds the ``need``-th row: group columns, the place
-    of that row in the bucket (``need``), ``prefix`` and ``size`` of the bucket."""
-    w = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    hist = _attach(hist, needs, groups, n_groups).withColumn("cum", F.sum("cnt").over(w))
-    first = (hist.filter(F.col("cum") >= F.col("need")).groupBy(*groups)
-                 .agg(F.min_by(F.struct("bucket", "cnt", "cum", "need"), F.col("bucket")).alias("b")))
-    if not groups:  # an aggregate without keys has a row even where nothing is needed
-        first = first.filter(F.col("b").isNotNull())
-    return written(first.select(*groups, (F.col("b.need") - (F.col("b.cum") - F.col("b.cnt"))).alias("need"),
-                                F.col("b.bucket").alias("prefix"), F.col("b.cnt").alias("size")), "sample-bound")
-
-
-def _sizes(bound: DataFrame) -> tuple[int, int]:
-    """Open groups, and rows of the largest boundary bucket."""
-    st = bound.agg(F.count(F.lit(1)).alias("g"), F.max("size").alias("m")).first()
-    return st["g"], st["m"] or 0
-
-
-def hash_cut(rows: DataFrame, hx: str, ties: list[str], groups: list[str], bound: DataFrame) -> DataFrame:
-    """Per group of ``bound`` the ``__cut`` struct (hash, ties) of the row wanted; ``rows`` has at least the rows of
-    the boundary buckets.  Rows ``<=`` the cut are in the sample."""
+def _boundary(hist: DataFrame, groups: list[str], need: Column, whole: bool) -> DataFrame:
+    """Per group the bucket of ``hist`` (groups, bucket, cnt) that holds the ``need``-th of its n rows: group columns,
+    ``__all`` (every row is wanted; only with ``whole``), the place of that row in the bucket (``need``), ``prefix`` and
+    ``size`` of the bucket.  Groups of which nothing is wanted are absent."""
+    every = Window.partitionBy(*groups)
+    running = every.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    h = hist.withColumn("n", F.sum("cnt").over(every)).withColumn("k", F.least(need, F.col("n"))) \
+            .withColumn("cum", F.sum("cnt").over(running))
+    first = h.groupBy(*groups).agg(
+        F.first("k").alias("k"), (F.first("k") >= F.first("n")).alias("every"),
+        F.min_by(F.struct("bucket", "cnt", "cum"), F.when(F.col("cum") >= F.col("k"), F.col("bucket"))).alias("b"))
+    return written(first.filter(F.col("k") > 0).select(
+        *groups, (F.lit(whole) & F.col("every")).alias("__all"),
+        (F.col("k") - (F.col("b.cum") - F.col("b.cnt"))).alias("need"), F.col("b.bucket").alias("prefix"),
+        F.col("b.cnt").alias("size")), "sample-bound")
+
+
+def _sizes(bound: DataFrame) -> tuple[int, int, int]:
+    """Groups, open groups (not every row wanted), and rows of the largest boundary bucket of these."""
+    st = bound.agg(F.count(F.lit(1)).alias("g"), F.count_if(~F.col("__all")).alias("o"),
+                   F.max(F.when(~F.col("__all"), F.col("size"))).alias("m")).first()
+    return st["g"], st["o"], st["m"] or 0
+
+
+def hash_cut(rows: DataFrame, hx: str, ties: list[str], groups: list[str], bound: DataFrame,
+             n_groups: int, largest: int) -> DataFrame:
+    """Per group of ``bound`` the ``__cut`` struct (hash, ties) of the row wanted; rows ``<=`` it are in the sample.
+
+    ``rows`` has at least the rows of the boundary buckets; ``n_groups`` counts the groups, ``largest`` the rows of the
+    largest bucket.
+    """
     width = HEX_STEP
     slim = rows.select(*groups, hx, *ties)
     while True:
-        g, largest = _sizes(bound)
-        inside = _attach(slim, bound, groups, g).filter(F.substring(hx, 1, width) == F.col("prefix"))
+        inside = _attach(slim, bound.select(*groups, "need", "prefix"), groups, n_groups) \
+            .filter(F.substring(hx, 1, width) == F.col("prefix"))
         if largest <= MAX_BOUNDARY_ROWS or width + HEX_STEP > 32:
             # exact rank inside the (small) boundary bucket of every group
             w = Window.partitionBy(*groups).orderBy(hx, *ties)
             return (inside.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == F.col("need"))
                           .select(*groups, F.struct(F.col(hx), *[F.col(t) for t in ties]).alias("__cut")))
         width += HEX_STEP
-        hist = inside.groupBy(*groups, F.substring(hx, 1, width).alias("bucket")).agg(F.count(F.lit(1)).alias("cnt"))
-        bound = _boundary(hist, bound.select(*groups, "need"), groups, g)
+        hist = inside.groupBy(*groups, F.substring(hx, 1, width).alias("bucket")) \
+                     .agg(F.count(F.lit(1)).alias("cnt"), F.first("need").alias("need"))
+        bound = _boundary(hist, groups, F.col("need"), False)
+        largest = _sizes(bound)[2]
 
 
 def smallest_by_hash(df: DataFrame, key: str, ties: list[str], k: int | None = None,
@@ -110,30 +121,22 @@ def smallest_by_hash(df: DataFrame, key: str, ties: list[str], k: int | None = N
     d = df.withColumn(hx, hash_hex(key, seed))
     hist = written(d.groupBy(*groups, F.substring(hx, 1, HEX_STEP).alias("bucket"))
                    .agg(F.count(F.lit(1)).alias("cnt")), "sample-counts")
-    kcol = F.lit(int(k)) if k is not None else F.round(F.col("n") * F.lit(float(fraction))).cast("long")
-    targets = hist.groupBy(*groups).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")) \
-        .select(*groups, "n", F.least(kcol, F.col("n")).alias("k"))
-    whole = targets.filter(F.col("k") >= F.col("n")).select(*groups, F.lit(True).alias("__all"))
-    some = targets.filter((F.col("k") > 0) & (F.col("k") < F.col("n"))).select(*groups, F.col("k").alias("need"))
-    n_targets = targets.count()
-    bound = _boundary(hist, some, groups, n_targets)
-    cut = None
-    if _sizes(bound)[0]:
-        near = whole.withColumn("__prefix", F.lit(None).cast("string")).unionByName(
-            bound.select(*groups, F.lit(False).alias("__all"), F.col("prefix").alias("__prefix")))
-        source = d.select(*groups, hx, *ties) if flag else d
-        held = _attach(source, near, groups, n_targets)
+    wanted = F.lit(int(k)).cast("long") if k is not None else F.round(F.col("n") * F.lit(float(fraction))).cast("long")
+    bound = _boundary(hist, groups, wanted, True)
+    n_groups, n_open, largest = _sizes(bound)
+    none = F.lit(None).cast(d.select(F.struct(F.col(hx), *[F.col(t) for t in ties])).schema.fields[0].dataType)
+    cuts = bound.filter("__all").select(*groups, "__all", none.alias("__cut"))
+    if n_open:
+        near = bound.select(*groups, "__all", F.col("prefix").alias("__prefix"))
+        held = _attach(d.select(*groups, hx, *ties) if flag else d, near, groups, n_groups)
         bucket = F.substring(hx, 1, HEX_STEP)
-        keep = bucket == F.col("__prefix") if flag else F.col("__all") | (bucket <= F.col("__prefix"))
+        keep = ~F.col("__all") & (bucket == F.col("__prefix")) if flag \
+            else F.col("__all") | (bucket <= F.col("__prefix"))
         held = written(held.filter(keep).drop("__all", "__prefix"), "sample-candidates")
         d = d if flag else held
-        cut = hash_cut(held, hx, ties, groups, bound)
-    none = F.lit(None).cast(d.select(F.struct(F.col(hx), *[F.col(t) for t in ties])).schema.fields[0].dataType)
-    cuts = whole.withColumn("__cut", none)
-    if cut is not None:
-        cuts = cuts.unionByName(cut.withColumn("__all", F.lit(False)))
-    cuts = written(cuts, "sample-cuts")
-    j = _attach(d, cuts, groups, n_targets, "left")
+        cut = hash_cut(held, hx, ties, groups, bound.filter("NOT __all"), n_open, largest)
+        cuts = cuts.unionByName(cut.select(*groups, F.lit(False).alias("__all"), "__cut"))
+    j = _attach(d, cuts, groups, n_groups, "left")
     inside = F.coalesce(F.col("__all"), F.lit(False)) | \
         F.coalesce(F.struct(F.col(hx), *[F.col(t) for t in ties]) <= F.col("__cut"), F.lit(False))
     if flag:
