@@ -86,6 +86,37 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(len(found[i]["spans"]) == 1 for i, _ in seeds)
 
 
+def test_hidden_identifiers_are_found(spark):
+    """A tenth of the identifiers is written so that no base expression takes it; their contexts find them."""
+    import random
+    r = random.Random(8)
+    words = "stone river lamp cloud paper green window market silver garden".split()
+    forms = {0: ("send it to mailbox {} before", "{}@mail.example.org", "{} (at) mail"),
+             1: ("login from the host {} was", "10.{}.1.2", "10.300.{}.2"),
+             2: ("charged to credit card {} on", "411111111111{}", "511111111111{}"),
+             3: ("please ring the hotline {} at", "+1 377 55{}", "377 55{}")}
+
+    def card(prefix, i):
+        body = prefix.format(f"{i:03d}")
+        return next(body + str(d) for d in range(10) if pii.luhn(body + str(d)) == prefix.startswith("4"))
+    rows, hidden = [], {}
+    for i in range(800):
+        kind, n = i % 4, i // 4
+        context, base, loose = forms[kind]
+        hide = n % 10 == 3
+        value = card(loose if hide else base, n) if kind == 2 else (loose if hide else base).format(
+            f"user{n}" if kind == 0 else n if kind == 1 else 10000 + n)
+        fill = [" ".join(r.choices(words, k=6)) for _ in range(2)]
+        rows.append((i, f"{fill[0]} {context.format(value)} {fill[1]}"))
+        if hide:
+            hidden[i] = kind
+    found = {x["doc_id"]: x for x in pii.find(docs(spark, rows)).collect()}
+    assert not any(found[i]["base"] for i in hidden)
+    right = sum([s["kind"] for s in found[i]["spans"]] == [k] for i, k in hidden.items())
+    assert right >= 0.9 * len(hidden) == 72
+    assert all(len(found[i]["spans"]) == 1 for i, _ in rows if i not in hidden)
+
+
 def test_redact_and_odd_rows(spark):
     rows = ODD + [(20, "mail a@b.com and 1.2.3.4 é"), (20, "mail c@d.com"), (None, "x 1.2.3.4")]
     frame = docs(spark, rows, CLASHING)
