@@ -151,10 +151,8 @@ def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document after deobfuscation."""
-    docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(docs, toxic_labels(spark, sf_dir))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return toxicity.score(docs, model).select(
+    return toxicity.fit_score(table(spark, sf_dir, "documents"), toxic_labels(spark, sf_dir)).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 

@@ -4,16 +4,18 @@ Method: a noisy channel.  The writer's word went through a channel that
 replaces letters by look-alikes, repeats letters, and puts signs or spaces
 between them.  A suspicious string becomes a lattice of the letters that may
 stand behind each of its characters; Viterbi search finds its most probable
-path under a character trigram model learned from the words of all documents
-and the frequencies of known words (from the rows that fit); gaps and signs are
-dropped or end a word.  Strings of any length are decoded.
+path under a character trigram model and the frequencies of known words, both
+counted over the words of all documents; gaps and signs are dropped or end a
+word.  Strings of any length are decoded.
 The restored text is what gets scored.
 
 Scoring: whole words and word beginnings that are much more frequent in toxic
 than in other documents form a lexicon (log odds); a logistic regression on a
 document's lexicon hits, fitted on labelled rows that the lexicon has not
-seen, gives a probability.  Both use at most ``max_fit_rows`` labelled rows,
-those with the least hash of doc_id.
+seen, gives a probability.  Both use every labelled row: three fifths of the
+ids count for the lexicon, two fifths for the regression, whose Newton steps
+are sums over the stored hits.  Only the model itself is bounded: its known
+words and lexicon entries.
 
 Defined results: null, empty and wordless texts get the score of a text
 without hits; repeated rows score alike; a null doc_id or label never trains;
@@ -38,8 +40,10 @@ from punctual.llm import _text
 from punctual.llm._store import stored
 from punctual.session import ship_package
 
-#: Bounds of what is fitted: labelled rows, lexicon entries, known words.
-MAX_FIT_ROWS, MAX_LEXICON, MAX_WORDS = 20_000, 8_000, 20_000
+#: Bounds of the model: lexicon entries, known words.
+MAX_LEXICON, MAX_WORDS = 8_000, 20_000
+#: Distinct words, and features, that a task counts before it hands them on.
+_WORDS_HELD, _FEATURES_HELD = 250_000, 1 << 20
 _PREFIXES = (3, 4, 5, 6, 7)
 
 # ---- character model ---------------------------------------------------------------------------------------------
@@ -63,36 +67,79 @@ _JOIN, _SPLIT, _BREAK, _KEPT = -0.1, -0.8, -0.8, -2.5
 _BEAM = 48
 
 
-def _word_trigrams(words: Counter) -> np.ndarray:
-    counts = np.zeros(_SIZE ** 3, np.int64)
-    for word, n in words.items():
-        codes = [_INDEX.get(c) for c in word.strip(".,;:!?|\"'()")]
-        if codes and None not in codes:
-            a = b = 0
-            for c in [*codes, 0]:
-                counts[(a * _SIZE + b) * _SIZE + c] += n
-                a, b = b, c
-    return counts
+_CODES = np.full(0x200, 255, np.uint8)
+for _c, _i in _INDEX.items():
+    _CODES[ord(_c)] = _i
+_CODES[ord("\n")] = 0
 
 
-def character_model(docs: DataFrame) -> np.ndarray:
-    """log10 trigram probabilities of the letters of all words; its size does not depend on the input."""
+def _spelt(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of all words, each with a boundary behind it; where each begins; which hold letters only)."""
+    points = np.frombuffer("".join(f"{w}\n" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _CODES[np.minimum(points, 0x1FF)]
+    begin = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words[:-1]], dtype=np.int64)])
+    sizes = np.diff(np.append(begin, len(codes)))
+    return codes, begin, (sizes > 1) & (np.maximum.reduceat(codes, begin) < 255)
+
+
+def _word_trigrams(words: Counter) -> np.ndarray:
+    if not words:
+        return np.zeros(_SIZE ** 3, np.int64)
+    codes, begin, plain = _spelt([w.strip(".,;:!?|\"'()") for w in words])
+    sizes = np.diff(np.append(begin, len(codes)))
+    keep = np.repeat(plain, sizes)
+    c = codes.astype(np.int64)
+    b = np.concatenate([[0], c[:-1]])  # a boundary stands before every word
+    a = np.concatenate([[0], b[:-1]])
+    a[begin] = 0
+    n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes)
+    return np.bincount(((a * _SIZE + b) * _SIZE + c)[keep], n[keep], _SIZE ** 3).astype(np.int64)
+
+
+def _plain_words(words: Counter) -> Counter:
+    """The words of letters alone, without the signs around them."""
+    out: Counter = Counter()
+    for w, n in words.items():
+        out[w.strip(_EDGES + "!")] += n
+    spellings = list(out)
+    plain = _spelt(spellings)[2] if spellings else []
+    return Counter({w: out[w] for w, ok in zip(spellings, plain) if ok})
+
+
+def _word_counts(docs: DataFrame, known: bool = True) -> DataFrame:
+    """Counts over the words of all texts, of two kinds of rows: letter trigrams (``gram``), whose number does not depend
+    on the input, and with ``known`` the plain words (``word``)."""
     def count(batches):
+        def grams():
+            at = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), pa.string()), pa.array(total[at])],
+                                              names=["gram", "word", "n"])
+
+        def flushed():
+            nonlocal total
+            total += _word_trigrams(words)
+            plain = _plain_words(words) if known else {}
+            words.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.nulls(len(plain), pa.int64()), pa.array(list(plain), pa.string()),
+                 pa.array(list(plain.values()), pa.int64())], names=["gram", "word", "n"])
         total = np.zeros(_SIZE ** 3, np.int64)
+        words: Counter = Counter()
         for batch in batches:
-            words: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 if text:
                     words.update(text.lower().split())
-                    if len(words) > 250_000:
-                        total += _word_trigrams(words)
-                        words.clear()
-            total += _word_trigrams(words)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
+                    if len(words) > _WORDS_HELD:
+                        yield flushed()
+        yield flushed()
+        yield grams()
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(count, "gram long, word string, n long") \
+        .groupBy("gram", "word").agg(F.sum("n").alias("n"))
 
-    found = docs.select(F.col("text").cast("string")).mapInArrow(count, "gram long, n long") \
-        .groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+
+def _trigram_model(counts: DataFrame) -> np.ndarray:
+    found = counts.where("gram IS NOT NULL").select("gram", "n").toArrow()
     counts = np.zeros(_SIZE ** 3)
     counts[found.column("gram").to_numpy()] = found.column("n").to_numpy()
     counts = counts.reshape(_SIZE, _SIZE, _SIZE)
@@ -102,6 +149,11 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log10((counts + 10 * mid) / (counts.sum(axis=2, keepdims=True) + 10))
 
 
+def character_model(docs: DataFrame) -> np.ndarray:
+    """log10 trigram probabilities of the letters of all words; its size does not depend on the input."""
+    return _trigram_model(_word_counts(docs, known=False))
+
+
 # ---- lattice -----------------------------------------------------------------------------------------------------
 
 def _runs(token: str) -> list[int]:
@@ -200,21 +252,13 @@ def decode(token: str, model, words: dict[str, float] | None = None) -> str:
     return _spelled(max(ends, key=lambda x: x[0])[1]) if ends else token
 
 
-def known_words(texts: DataFrame, characters: np.ndarray) -> dict[str, float]:
-    """The ``MAX_WORDS`` most frequent words of ``text``, with what their frequency adds to their trigrams (log10)."""
-    def count(batches):
-        for batch in batches:
-            words: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                words.update(w.strip(_EDGES + "!") for w in (text or "").lower().split())
-            plain = [(w, n) for w, n in words.items() if w and all(c in _INDEX for c in w)]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in plain], pa.string()),
-                                              pa.array([n for _, n in plain], pa.int64())], names=["word", "n"])
-
-    counts = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def known_words(counts: DataFrame, characters: np.ndarray) -> dict[str, float]:
+    """The ``MAX_WORDS`` most frequent words of ``_word_counts``, with what their frequency adds to their trigrams
+    (log10)."""
+    counts = counts.where("word IS NOT NULL")
     total = counts.agg(F.sum("n")).first()[0]
     model, out = characters.tolist(), {}
-    for word, n in counts.where("n >= 3").orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect():
+    for word, n in counts.where("n >= 3").select("word", "n").orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect():
         p, a, b = 0.0, 0, 0
         for c in [*word, ""]:
             k = _INDEX.get(c, 0)
@@ -225,6 +269,13 @@ def known_words(texts: DataFrame, characters: np.ndarray) -> dict[str, float]:
     return out
 
 
+def vocabulary(docs: DataFrame) -> tuple[np.ndarray, dict[str, float]]:
+    """Character model and known words of all texts, from one pass over them."""
+    counts = stored(_word_counts(docs), "toxicity-words")
+    characters = _trigram_model(counts)
+    return characters, known_words(counts, characters)
+
+
 # A string is suspicious that has signs or digits before a letter, within the string or a look-alike at its start, or
 # look-alikes after a letter, or a letter three times; so are single characters with gaps between them.
 _SIGNS = re.compile(r"[0-9@$!|+(<€£¡*#_.~^'-]+(?=[a-zß-öø-ÿœ])|(?<=[a-zß-öø-ÿœ])[0-9@$!|+€£¡]+")
@@ -395,15 +446,27 @@ def _evidence(restorer: Restorer, lexicon: Lexicon, texts: list[str | None]) ->
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights (the last is the constant) of a ridge logistic regression, by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    ridge = np.diag([penalty * len(x)] * (x.shape[1] - 1) + [1e-6]) if len(x) else np.eye(x.shape[1])
-    ridge[:-1, :-1] /= max(len(x), 1) / 10
+def _logistic(seen: DataFrame, columns: tuple[str, ...] = ("a", "b", "c"), rounds: int = 50) -> np.ndarray:
+    """Weights (the last is the constant) of a ridge logistic regression of ``label``, by Newton steps.  Each step sums
+    gradient and Hessian over all rows, as decimals, so that no order of the rows changes them."""
+    x = [F.col(c) for c in columns] + [F.lit(1.0)]
+    k = len(x)
+    ridge = np.diag([0.1] * (k - 1) + [1e-6])
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    w = np.zeros(k)
+
+    def total(e):
+        return F.sum(e.cast("decimal(38,12)"))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        at = sum((v * float(b) for v, b in zip(x, w)), F.lit(0.0))
+        p = seen.select(*columns, "label", (1 / (1 + F.exp(-F.greatest(F.least(at, F.lit(30.0)), F.lit(-30.0))))).alias("p"))
+        row = p.agg(*[total(v * (F.col("label") - F.col("p"))) for v in x],
+                    *[total(x[i] * x[j] * F.col("p") * (1 - F.col("p"))) for i, j in upper]).first()
+        sums = [float(v) for v in row]
+        hessian = np.zeros((k, k))
+        for (i, j), v in zip(upper, sums[k:]):
+            hessian[i, j] = hessian[j, i] = v
+        step = np.linalg.solve(hessian + ridge, np.array(sums[:k]) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -418,26 +481,36 @@ class Model:
     weights: np.ndarray
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
-    """Model from ``docs`` and the rows of ``labels`` (doc_id, label 0 or 1)."""
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts (feature, toxic, n) with one entry for each feature."""
+    kinds, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return kinds, *(np.bincount(where, np.concatenate([p[i] for p in parts]), len(kinds)).astype(np.int64) for i in (1, 2))
+
+
+def _calibrates():
+    """The ids whose labels the regression learns from; the lexicon learns from the others."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(5)) < 2
+
+
+def _one_label(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id IS NOT NULL AND label IS NOT NULL") \
+        .groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
+
+
+def _lexicon(docs: DataFrame, rows: DataFrame, characters: np.ndarray, known: dict[str, float]) -> tuple[Lexicon, int, int]:
+    """Lexicon from the labelled rows that do not calibrate, and how many of these are toxic and are not."""
     spark = docs.sparkSession
-    ship_package(spark)
-    characters = character_model(docs)
-    rows = (labels.where("doc_id IS NOT NULL AND label IS NOT NULL")
-            .groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows))
-    fold = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(5)) < 2
-    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")) \
-        .join(F.broadcast(rows), "doc_id").select("text", "label", fold.alias("calibrate"))  # at most max_fit_rows rows
-    picked = stored(picked, "toxicity-fit")
-    known = known_words(picked, characters)
+    calibrate = _calibrates()
     shared = spark.sparkContext.broadcast((characters, known))
-    split = picked.groupBy("calibrate", "label").count().collect()
-    n = {(r["calibrate"], r["label"]): r["count"] for r in split}
-    n_toxic, n_other = n.get((False, 1), 0), n.get((False, 0), 0)
+    split = docs.select("doc_id").where(~calibrate).join(rows, "doc_id").groupBy("label").count().collect()
+    n = {r["label"]: r["count"] for r in split}
+    n_toxic, n_other = n.get(1, 0), n.get(0, 0)
 
     def count(batches):
-        restorer = Restorer(*shared.value)
+        def record(kinds, toxic, total):
+            return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(toxic), pa.array(total)],
+                                              names=["feature", "toxic", "n"])
+        restorer, parts, held = Restorer(*shared.value), [], 0
         for batch in batches:
             label = batch.column(1).to_numpy()
             for at, _, words, h, place in _features(restorer, batch.column(0).to_pylist()):
@@ -448,36 +521,75 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) ->
                 kinds, where = np.unique(h[new], return_inverse=True)
                 toxic = np.bincount(where, label[at + doc[new]], len(kinds)).astype(np.int64)
                 total = np.bincount(where, minlength=len(kinds))
-                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(toxic), pa.array(total)],
-                                                 names=["feature", "toxic", "n"])
+                parts.append((kinds, toxic, total))
+                held += len(kinds)
+                if held > _FEATURES_HELD:
+                    parts = [_merged(parts)]
+                    held = len(parts[0][0])
+                    if held > _FEATURES_HELD // 2:
+                        yield record(*parts[0])
+                        parts, held = [], 0
+        if parts:
+            yield record(*_merged(parts))
 
     odds = (F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0))
             - F.log((F.col("n") - F.col("toxic") + 0.5) / (n_other + 1.0)))
-    best = (picked.where("NOT calibrate").select("text", "label")
+    # labels grow with the texts; their side of a partition is small, so texts are dealt out but not sorted
+    best = (docs.select("doc_id", F.col("text").cast("string").alias("text")).where(~calibrate)
+            .join(rows.hint("shuffle_hash"), "doc_id").select("text", "label")
             .mapInArrow(count, "feature long, toxic long, n long")
             .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where("toxic >= 3")
             .select("feature", odds.alias("weight"), (odds * F.col("toxic")).alias("gain")).where("weight > 1.5")
             .orderBy(F.desc("gain"), "feature").limit(MAX_LEXICON).toArrow())
-    lexicon = Lexicon.of(best.column("feature").to_numpy().view(np.uint64), best.column("weight").to_numpy())
-    words = spark.sparkContext.broadcast(lexicon)
+    return Lexicon.of(best.column("feature").to_numpy().view(np.uint64), best.column("weight").to_numpy()), n_toxic, n_other
+
+
+def _hits(docs: DataFrame, characters: np.ndarray, known: dict[str, float], lexicon: Lexicon) -> DataFrame:
+    """doc_id and the evidence (a, b, c) of each row."""
+    shared = docs.sparkSession.sparkContext.broadcast((characters, known, lexicon))
 
     def evidence(batches):
-        restorer = Restorer(*shared.value)
+        *of, words = shared.value
+        restorer = Restorer(*of)
         for batch in batches:
-            x = _evidence(restorer, words.value, batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in x.T.copy()], batch.column(1)],
-                                             names=["a", "b", "c", "label"])
-
-    seen = picked.where("calibrate").select("text", "label").mapInArrow(
-        evidence, "a double, b double, c double, label int").orderBy("a", "b", "c", "label").toArrow()
-    x = np.column_stack([seen.column(c).to_numpy() for c in ("a", "b", "c")])
-    y = seen.column("label").to_numpy().astype(float)
-    if len(y) and 0 < y.sum() < len(y):
-        weights = _logistic(x, y)
+            x = _evidence(restorer, words, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in x.T.copy()]],
+                                             names=["doc_id", "a", "b", "c"])
+
+    return stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+        evidence, f"doc_id {dict(docs.dtypes)['doc_id']}, a double, b double, c double"), "toxicity-evidence")
+
+
+def _learn(docs: DataFrame, labels: DataFrame, every: bool) -> tuple[Model, DataFrame]:
+    """The model, and the evidence of the rows that calibrate it (with ``every``: of all rows)."""
+    ship_package(docs.sparkSession)
+    rows = _one_label(labels)
+    characters, known = vocabulary(docs)
+    lexicon, n_toxic, n_other = _lexicon(docs, rows, characters, known)
+    hits = _hits(docs if every else docs.where(_calibrates()), characters, known, lexicon)
+    seen = stored(hits.where(_calibrates()).join(rows, "doc_id").select("a", "b", "c", "label"), "toxicity-calibration")
+    kinds = {r["label"]: r["count"] for r in seen.groupBy("label").count().collect()}
+    ones, others = kinds.get(1, 0), kinds.get(0, 0)
+    if ones and others:
+        weights = _logistic(seen)
     else:
-        share = (n_toxic + y.sum()) / max(n_toxic + n_other + len(y), 1)
+        share = (n_toxic + ones) / max(n_toxic + n_other + ones + others, 1)
         weights = np.array([0, 0, 0, math.log((share + 1e-6) / (1 - share + 1e-6))])
-    return Model(characters, known, lexicon, weights)
+    return Model(characters, known, lexicon, weights), hits
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Model from ``docs`` and all rows of ``labels`` (doc_id, label 0 or 1)."""
+    return _learn(docs, labels, every=False)[0]
+
+
+def fit_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """What ``score(docs, fit(docs, labels))`` returns; the evidence of every row is found once and serves both."""
+    model, hits = _learn(docs, labels, every=True)
+    a, b, c, constant = (float(w) for w in model.weights)
+    at = F.col("a") * a + F.col("b") * b + F.col("c") * c + constant
+    p = 1 / (1 + F.exp(-F.greatest(F.least(at, F.lit(30.0)), F.lit(-30.0))))
+    return hits.select("doc_id", p.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -83,3 +83,46 @@ def test_labels_of_one_kind_or_none(spark):
     assert {r["predicted"] for r in toxicity.score(frame, toxicity.fit(frame, none)).collect()} == {0}
     ones = spark.createDataFrame([(3, 1), (4, 1), (None, 0), (5, None), (7, 1), (8, 1), (9, 1)], "doc_id long, label int")
     assert {r["predicted"] for r in toxicity.score(frame, toxicity.fit(frame, ones)).collect()} == {1}
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    """All toxic rows come after 20,000 others in the order of the ids' hashes."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    ids = spark.range(22_000).withColumnRenamed("id", "doc_id")
+    rank = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    labels = ids.withColumn("label", (rank > 21_000).cast("int")).localCheckpoint()
+    frame = labels.select("doc_id", F.when(F.col("label") == 1, "calm vilest river").otherwise("calm gentle river").alias("text"))
+    scores = toxicity.score(frame, toxicity.fit(frame, labels)).join(labels, "doc_id")
+    seen = {r["label"]: (r["lo"], r["hi"]) for r in
+            scores.groupBy("label").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).collect()}
+    assert seen[1][0] > 0.5 > seen[0][1]
+
+
+def test_fit_score_is_score_of_fit(spark, documents, labels, model):
+    from collections import Counter
+    one = Counter((r["doc_id"], round(r["score"], 9), r["predicted"]) for r in toxicity.score(documents, model).collect())
+    two = Counter((r["doc_id"], round(r["score"], 9), r["predicted"]) for r in toxicity.fit_score(documents, labels).collect())
+    assert one == two
+    assert toxicity.fit_score(docs(spark, ODD), labels).count() == len(ODD)
+
+
+def test_known_words_are_counted_in_all_documents(spark):
+    frame = docs(spark, [(i, "Elphinstonian, harbour" if i >= 20 else "quiet harbour") for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, label int")
+    assert "elphinstonian" in toxicity.fit(frame, labels).words
+
+
+def test_trigrams_and_plain_words_of_a_count():
+    from collections import Counter
+    words = Counter({"(abba)": 2, "\u00e9t\u00e9!": 3, "a1": 5, "\u65e5\u672c": 7, "...": 1, "b": 4, "\U0001F600": 1})
+    want = np.zeros(toxicity._SIZE ** 3, np.int64)
+    for word, n in words.items():
+        codes = [toxicity._INDEX.get(c) for c in word.strip(".,;:!?|\"'()")]
+        if codes and None not in codes:
+            a = b = 0
+            for c in [*codes, 0]:
+                want[(a * toxicity._SIZE + b) * toxicity._SIZE + c] += n
+                a, b = b, c
+    assert (toxicity._word_trigrams(words) == want).all()
+    assert toxicity._plain_words(words) == {"abba": 2, "\u00e9t\u00e9": 3, "b": 4}
