@@ -79,3 +79,18 @@ def test_shared_folder_rules(spark, monkeypatch):
     sc = spark.sparkContext
     assert session.checkpoint_dir(spark) == sc.getConf().get("spark.checkpoint.dir")
     assert session.fresh_path(spark, "a") != session.fresh_path(spark, "a")
+
+
+def test_flights_are_written_by_year_without_exchange_or_sort(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from punctual.sources.flights import _write_years
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    rows = spark.range(0, 60, 1, 2).withColumn("Year", (1992 + F.col("id") % 3).cast("int"))
+    _write_years(rows, str(tmp_path / "f"))
+    for year in (1992, 1993, 1994):
+        files = [f for f in os.listdir(tmp_path / "f" / f"Year={year}") if f.endswith(".parquet")]
+        assert len(files) == 2                      # one of each task
+    back = spark.read.parquet(str(tmp_path / "f"))
+    assert sorted(map(tuple, back.select("id", "Year").collect())) == [(i, 1992 + i % 3) for i in range(60)]
+    assert spark.conf.get(name) == before
