@@ -180,6 +180,27 @@ def class_balance(df: DataFrame, label: str, by: list[str] | None = None) -> Dat
                          F.try_divide(neg, pos).cast("double").alias("neg_per_pos"))
 
 
+def _least_without(cand: DataFrame, exclude: DataFrame, label: str, k: int, key: str, ties: list[str],
+                   seed: int) -> DataFrame:
+    """Rows of ``cand`` that do not occur in ``exclude``: more than the ``k`` of least hash, or all.
+
+    One scan counts the rows of each bucket of the hash.  Only the rows of the least buckets, about k and as many as are
+    excluded, meet ``exclude`` in a join; should too few be left, twice as many do.
+    """
+    bucket = F.substring(hash_hex(key, seed), 1, HEX_STEP)
+    hist = written(cand.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("cnt")), "balance-counts")
+    running = hist.withColumn("cum", F.sum("cnt").over(   # at most 4097 rows
+        Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    need = k + 1 + exclude.filter(F.col(label) == 1).count()
+    while True:
+        last = running.filter(F.col("cum") >= need).agg(F.min("bucket")).first()[0]
+        near = cand if last is None else cand.filter((bucket <= last) | bucket.isNull())
+        left = written(near.join(exclude.select(*ties), ties, "left_anti"), "balance-candidates")
+        if last is None or left.count() > k:
+            return left
+        need *= 2
+
+
 def balance_classes(train: DataFrame, pool: DataFrame, label: str, key: str, ties: list[str],
                     exclude: DataFrame | None = None, seed: int = 42) -> DataFrame:
     """Add ``max(0, negatives - positives)`` extra positive rows from ``pool``.
@@ -197,7 +218,7 @@ def balance_classes(train: DataFrame, pool: DataFrame, label: str, key: str, tie
         return train
     cand = pool.filter(F.col(label) == 1)
     if exclude is not None:
-        cand = cand.join(exclude.select(*ties), ties, "left_anti")
+        cand = _least_without(cand, exclude, label, extra, key, ties, seed)
     cols = [c for c in train.columns if c in cand.columns]
     add = smallest_by_hash(cand.select(*cols), key, ties, k=extra, seed=seed)
     return train.unionByName(add, allowMissingColumns=True)

@@ -84,3 +84,19 @@ def test_bounds_of_k(spark, data, k):
 def test_equal_keys_are_cut_by_their_ties(spark):
     rows = spark.range(3000).select(F.lit("same").alias("k"), F.col("id").alias("t"))
     assert {r.t for r in S.sample_rows(rows, 70, "k", ["t"]).collect()} == set(range(70))
+
+
+def test_balancing_pool_is_narrowed_before_the_join_with_the_test_rows(spark):
+    from pyspark.sql import functions as F
+    from punctual.operators import sampling
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("t"), F.lit(1).alias("y"))
+    exclude = rows.filter("t % 3 = 0")
+    near = sampling._least_without(rows, exclude, "y", 50, "k", ["t"], 7)
+    assert 50 < near.count() < 10_000 and near.filter("t % 3 = 0").count() == 0
+    want = sampling.smallest_by_hash(rows.join(exclude.select("t"), "t", "left_anti"), "k", ["t"], k=50, seed=7)
+    got = sampling.smallest_by_hash(near, "k", ["t"], k=50, seed=7)
+    assert {r["k"] for r in got.collect()} == {r["k"] for r in want.collect()}
+    # the excluded rows are the least ones, and none may be left
+    least = sampling.smallest_by_hash(rows, "k", ["t"], k=15_000, seed=7)
+    assert sampling._least_without(rows, least.withColumn("y", F.lit(0)), "y", 50, "k", ["t"], 7).count() > 50
+    assert sampling._least_without(rows, rows, "y", 50, "k", ["t"], 7).count() == 0
