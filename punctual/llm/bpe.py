@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from punctual.llm._kept import kept
 from punctual.session import ship_package
 
 #: Bounds of a worker's tables (memory, not the result): arcs of the machine, remembered pre-tokens and pairs.
@@ -294,13 +295,8 @@ class Codec:
         yield stream.close()
 
 
-_CODECS: dict[tuple[str, int], Codec] = {}
-
-
 def _codec(key: str, ranks, pattern: str, pieces: int) -> Codec:
-    if (key, pieces) not in _CODECS:
-        _CODECS[key, pieces] = Codec(ranks.value, pattern, pieces)
-    return _CODECS[key, pieces]
+    return kept((key, pieces), lambda: Codec(ranks.value, pattern, pieces))
 
 
 def _mapper(docs: DataFrame, ranks: dict[bytes, int], pattern: str, add, pieces: int = MAX_PIECES):

@@ -36,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm import _text
+from punctual.llm import _kept, _text
 from punctual.llm._store import stored
 from punctual.session import ship_package
 
 #: Bounds of the model: lexicon entries, known words.
 MAX_LEXICON, MAX_WORDS = 8_000, 20_000
+#: Rows of a batch that a task turns into Python texts at once.
+_ROWS = 512
 #: Distinct words, and features, that a task counts before it hands them on.
 _WORDS_HELD, _FEATURES_HELD = 250_000, 1 << 20
 _PREFIXES = (3, 4, 5, 6, 7)
@@ -106,10 +108,19 @@ def _plain_words(words: Counter) -> Counter:
     return Counter({w: out[w] for w, ok in zip(spellings, plain) if ok})
 
 
+def _parts(batches):
+    """The rows of ``batches``, a few at a time: what a task makes of them is freed before the next ones."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 def _word_counts(docs: DataFrame, known: bool = True) -> DataFrame:
     """Counts over the words of all texts, of two kinds of rows: letter trigrams (``gram``), whose number does not depend
     on the input, and with ``known`` the plain words (``word``)."""
     def count(batches):
+        _kept.release()
+
         def grams():
             at = np.flatnonzero(total)
             return pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), pa.string()), pa.array(total[at])],
@@ -125,7 +136,7 @@ def _word_counts(docs: DataFrame, known: bool = True) -> DataFrame:
                  pa.array(list(plain.values()), pa.int64())], names=["gram", "word", "n"])
         total = np.zeros(_SIZE ** 3, np.int64)
         words: Counter = Counter()
-        for batch in batches:
+        for batch in _parts(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     words.update(text.lower().split())
@@ -358,6 +369,7 @@ def restore(docs: DataFrame, model: np.ndarray | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(character_model(docs) if model is None else model)
 
     def run(batches):
+        _kept.release()
         restorer = Restorer(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
@@ -510,8 +522,9 @@ def _lexicon(docs: DataFrame, rows: DataFrame, characters: np.ndarray, known: di
         def record(kinds, toxic, total):
             return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(toxic), pa.array(total)],
                                               names=["feature", "toxic", "n"])
+        _kept.release()
         restorer, parts, held = Restorer(*shared.value), [], 0
-        for batch in batches:
+        for batch in _parts(batches):
             label = batch.column(1).to_numpy()
             for at, _, words, h, place in _features(restorer, batch.column(0).to_pylist()):
                 doc = np.searchsorted(words.first, place, side="right") - 1
@@ -549,9 +562,10 @@ def _hits(docs: DataFrame, characters: np.ndarray, known: dict[str, float], lexi
     shared = docs.sparkSession.sparkContext.broadcast((characters, known, lexicon))
 
     def evidence(batches):
+        _kept.release()
         *of, words = shared.value
         restorer = Restorer(*of)
-        for batch in batches:
+        for batch in _parts(batches):
             x = _evidence(restorer, words, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in x.T.copy()]],
                                              names=["doc_id", "a", "b", "c"])
@@ -599,9 +613,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
+        _kept.release()
         m: Model = shared.value
         restorer = Restorer(m.characters, m.words)
-        for batch in batches:
+        for batch in _parts(batches):
             x = _evidence(restorer, m.lexicon, batch.column(1).to_pylist())
             p = 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
@@ -616,15 +631,18 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     names = docs.columns
     shared = spark.sparkContext.broadcast(model)
-    plain = docs.select(F.col("text").cast("string"), *[docs[f"`{c}`"] for c in names]).toDF(
-        *[str(i) for i in range(len(names) + 1)])
+    # a text that is a string already is sent once
+    lead = [] if dict(docs.dtypes).get("text") == "string" else [F.col("text").cast("string")]
+    at = 0 if lead else names.index("text")
+    plain = docs.select(*lead, *[docs[f"`{c}`"] for c in names]).toDF(*[str(i) for i in range(len(names) + len(lead))])
 
     def run(batches):
+        _kept.release()
         m: Model = shared.value
         restorer = Restorer(m.characters, m.words)
-        for batch in batches:
-            x = _evidence(restorer, m.lexicon, batch.column(0).to_pylist())
+        for batch in _parts(batches):
+            x = _evidence(restorer, m.lexicon, batch.column(at).to_pylist())
             yield batch.filter(pa.array(x @ m.weights[:-1] + m.weights[-1] < 0))
 
     ship_package(spark)
-    return plain.mapInArrow(run, plain.schema).drop("0").toDF(*names)
+    return plain.mapInArrow(run, plain.schema).select(*plain.columns[len(lead):]).toDF(*names)
