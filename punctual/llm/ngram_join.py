@@ -7,21 +7,23 @@ the token-group matrix
 holds, for each shingle, the groups whose union contains it.  A query set can
 only reach the threshold within a group that contains one of the query's
 first ``n - ceil(t n) + 1`` shingles (in any one order of all shingles), so
-only those cells of the matrix are stored.  A pair of groups that share a cell
-is a candidate: there the overlap of each query with the group's whole union
-is bounded, and only groups that can still hold a partner are opened and
-compared set by set.
+only those cells of the matrix are stored.  A cell is one row of a shingle and
+a group, whatever number of the group's nodes it stands for, with their least
+size and their greatest reach: the number of a node's shingles from this one
+on.  Two sets whose first common shingle this is share no more than the lesser
+reach, so a pair of groups is a candidate only if a common cell's reach is
+enough for the sizes.  A group is shipped as its union with one bit for each
+shingle and node: there the overlap of each set with the other group's whole
+union is bounded, and only sets that can still hold a partner are opened and
+compared.
 
 The order of the shingles is the exact number of sets that hold them, rarest
 first.  A set that holds that many shingles alone has no partner and leaves at
 this point.
 
-Three rounds: first every group with itself and with the head group of its
-bucket; then, between any two components that share a cell, the one pair of
-groups that shares most; at last all pairs of groups between components that
-are still different.  Large families of near copies grow together in the first
-two, so that nothing is left to compare inside them.  No list of partners is
-cut.
+Two rounds: first every group with itself and with the head group of its
+bucket, then all pairs of groups that share a cell whose nodes are not yet in
+one component.  No list of partners is cut.
 
 Words: ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  Fewer than k words:
 the whole sequence is the one shingle.  Shingles and sets are compared by
@@ -160,7 +162,8 @@ def _shared(requests: DataFrame, bundles: int) -> DataFrame:
 
 
 def _first_cells(nodes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """(token, node, held): of the first shingles of each node those that others hold, too, and by how many nodes."""
+    """(token, node, held, reach): of the first shingles of each node those that others hold, too, by how many nodes, and
+    how many of the node's shingles do not come before."""
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         holder, token, held = (np.frombuffer(b"".join(
             pa.decompress(x, 8 * n, codec="zstd", asbytes=True) for x, n in
@@ -176,85 +179,105 @@ def _first_cells(nodes: DataFrame, shared: DataFrame, percent: int) -> DataFrame
         mine = np.searchsorted(holder, node, side="right") - begin
         # its own shingles come first: they take up places but join with nothing
         places = _keep(n, percent) - (n - mine)
-        pick = np.arange(len(holder)) - begin[at] < places[at]
+        rank = np.arange(len(holder)) - begin[at]
+        pick = rank < places[at]
         return pa.table({"token": pa.array(_signed(token[pick])), "node": pa.array(holder[pick]),
-                         "held": pa.array(held[pick])})
+                         "held": pa.array(held[pick]), "reach": pa.array((mine[at] - rank)[pick])})
 
     return nodes.groupBy("bundle").cogroup(shared.groupBy("bundle")).applyInArrow(
-        run, "token long, node long, held long")
-
-
-def _opened(a: list[np.ndarray], b: list[np.ndarray], percent: int):
-    """(i, j) of all qualifying sets a[i], b[j]: bound by the union of b first, then each set of b at once."""
-    sizes = np.array([len(s) for s in b])
-    union, place = np.unique(np.concatenate(b), return_inverse=True)
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    for i, s in enumerate(a):
-        at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-        hit = at[union[at] == s]
-        if 100 * len(hit) < percent * max(len(s), sizes.min()):
+        run, "token long, node long, held long, reach long")
+
+
+def _packed(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple:
+    """A group: its nodes, the union of their sets and, node by node, one bit for each shingle of the union."""
+    union = np.unique(np.concatenate(sets))
+    bits = []
+    for s in sets:
+        mark = np.zeros(len(union), bool)
+        mark[np.searchsorted(union, s)] = True
+        bits.append(np.packbits(mark).tobytes())
+    return nodes.tobytes(), union.tobytes(), pa.compress(b"".join(bits), codec="zstd", asbytes=True)
+
+
+class _Group:
+    """A group as ``_packed`` wrote it: ``place`` has the places in ``union`` of the shingles of each node in turn."""
+
+    def __init__(self, nodes: bytes, union: bytes, bits: bytes):
+        self.nodes, self.union = np.frombuffer(nodes, np.int64).tolist(), np.frombuffer(union, np.uint64)
+        width = (len(self.union) + 7) // 8
+        bits = np.frombuffer(pa.decompress(bits, width * len(self.nodes), codec="zstd", asbytes=True), np.uint8)
+        place = [np.flatnonzero(np.unpackbits(x, count=len(self.union))) for x in bits.reshape(len(self.nodes), width)]
+        self.sizes = np.array([len(x) for x in place])
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.place = np.concatenate(place)
+
+
+def _opened(a: _Group, b: _Group, percent: int):
+    """(i, j) of all qualifying sets of a and b: bound by the union of b first, then each set of b at once."""
+    at = np.minimum(np.searchsorted(b.union, a.union), len(b.union) - 1)
+    known = b.union[at] == a.union
+    least = b.sizes.min()
+    if (100 + percent) * np.count_nonzero(known) < percent * (a.sizes.min() + least):
+        return  # the unions have too little in common
+    for i, n in enumerate(a.sizes):
+        mine = a.place[a.begin[i]:a.begin[i + 1]]
+        hit = at[mine[known[mine]]]
+        if 100 * len(hit) < percent * max(n, least):
             continue  # no set of this group can qualify
-        mark = np.zeros(len(union), np.int64)
+        mark = np.zeros(len(b.union), np.int64)
         mark[hit] = 1
-        common = np.add.reduceat(mark[place], begin)
-        yield from ((i, int(j)) for j in np.flatnonzero(100 * common >= percent * (len(s) + sizes - common)))
+        common = np.add.reduceat(mark[b.place], b.begin[:-1])
+        yield from ((i, int(j)) for j in np.flatnonzero(100 * common >= percent * (n + b.sizes - common)))
 
 
-def _compare(rows: dict, percent: int):
+def _compare(a: _Group, b: _Group, percent: int):
     """Spanning links between the nodes of one pair of groups (or inside one group)."""
-    unique = {}
-    for node, side, blob in zip(rows["node"], rows["side"], rows["shingles"]):
-        unique[node] = (side, np.frombuffer(blob, np.uint64))
-    a = [n for n, (s, _) in unique.items() if s == 0]
-    b = [n for n, (s, _) in unique.items() if s == 1] or a
-    if not a or not b:
-        return
-    parent = {n: n for n in unique}
+    parent = {n: n for n in (*a.nodes, *b.nodes)}
 
     def root(n):
         while parent[n] != n:
             parent[n] = parent[parent[n]]
             n = parent[n]
         return n
-    for i, j in _opened([unique[n][1] for n in a], [unique[n][1] for n in b], percent):
-        x, y = root(a[i]), root(b[j])
+    for i, j in _opened(a, b, percent):
+        x, y = root(a.nodes[i]), root(b.nodes[j])
         if x != y:
             parent[max(x, y)] = min(x, y)
             yield x, y
 
 
-def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+_PACKED = ("nodes", "union", "bits")
+
+
+def _inside(groups: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found inside each group."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c) for c in _PACKED)):
+                group = _Group(*(x.as_py() for x in row))
+                out += _compare(group, group, percent)
+            yield _links(out)
+
+    return groups.where("c > 1").select(*_PACKED).mapInArrow(run, "a long, b long")
+
+
+def _verify(groups: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) found in the given pairs (g1, g2) of groups."""
-    first = pairs.join(sets.withColumnRenamed("group", "g1"), "g1").select(
-        "g1", "g2", F.lit(0).alias("side"), "node", "shingles")
-    second = pairs.where("g1 <> g2").join(sets.withColumnRenamed("group", "g2"), "g2").select(
-        "g1", "g2", F.lit(1).alias("side"), "node", "shingles")
-    # a group pair is small by construction, so partitions are cut by pairs, never by one pair
-    both = first.union(second).repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+    both = pairs
+    for i in (1, 2):
+        both = both.join(groups.select(F.col("group").alias(f"g{i}"), *[F.col(c).alias(f"{c}{i}") for c in _PACKED]),
+                         f"g{i}")
 
     def run(batches):
-        key, rows = None, {"node": [], "side": [], "shingles": []}
-        out = []
         for batch in batches:
-            g1, g2 = batch.column("g1").to_numpy(), batch.column("g2").to_numpy()
-            cols = {c: batch.column(c).to_pylist() for c in rows}
-            edge = np.flatnonzero((g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])) + 1
-            for x, y in zip([0, *edge.tolist()], [*edge.tolist(), len(g1)]):
-                if x == y:
-                    continue
-                if (g1[x], g2[x]) != key:
-                    out += _compare(rows, percent)
-                    key, rows = (g1[x], g2[x]), {c: [] for c in rows}
-                for c in rows:
-                    rows[c] += cols[c][x:y]
-            if out:
-                yield _links(out)
-                out = []
-        out += _compare(rows, percent)
-        if out:
+            out = []
+            for row in zip(*(batch.column(c) for c in range(6))):
+                row = [x.as_py() for x in row]
+                out += _compare(_Group(*row[:3]), _Group(*row[3:]), percent)
             yield _links(out)
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.select(*[f"{c}{i}" for i in (1, 2) for c in _PACKED]).mapInArrow(run, "a long, b long")
 
 
 def _links(pairs) -> pa.RecordBatch:
@@ -280,7 +303,7 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     several = cells.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y")
     # sizes of linked sets lie at most one step apart
     size_step = F.floor(F.log("n") / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")
-    cells = stored(cells.join(several.select("token"), "token", "left_semi").distinct(), "join-shared")
+    cells = stored(cells.join(several.select("token"), "token", "left_semi"), "join-shared")
     common = cells.groupBy("node").agg(F.max_by("token", F.struct("held", "token")).alias("common"))
     live = stored(nodes.join(common, "node").withColumn("step", size_step), "join-live")
     buckets = live.groupBy("common", "step").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("chunks"))
@@ -288,35 +311,27 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
         "node", "doc_id", "content", "n", "step",
         F.xxhash64("common", "step", F.pmod("node", "chunks")).alias("group"),
         F.xxhash64("common", "step", F.lit(0).cast("long")).alias("head")), "join-groups")
-    sets = stored(_live_sets(docs, live, k), "join-sets")
-    counts = live.groupBy("group", "head").agg(F.count(F.lit(1)).alias("c"))
-    first = counts.where("c > 1").select(F.col("group").alias("g1"), F.col("group").alias("g2")).union(
-        counts.where("group <> head").select(F.col("head").alias("g1"), F.col("group").alias("g2")))
-    links = stored(_verify(sets, first, percent), "join-links")
+    groups = stored(_groups(docs, live, k), "join-sets")
+    heads = live.where("group <> head").select(
+        F.least("group", "head").alias("g1"), F.greatest("group", "head").alias("g2")).distinct()
+    links = stored(_inside(groups, percent).union(_verify(groups, heads, percent)), "join-links")
     parts = stored(connected(links), "join-parts")
-    matrix = stored(cells.join(live.select("node", "group", "step"), "node")
-                    .join(parts, "node", "left")
-                    .select("token", "group", "step", F.coalesce("component", "node").alias("component")).distinct(),
-                    "join-matrix")
-    across = matrix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    component = F.coalesce("component", "node")
+    matrix = stored(cells.join(live.select("node", "group", "step", "n"), "node").join(parts, "node", "left")
+                    .groupBy("token", "group", "step").agg(
+                        F.min(component).alias("least"), F.max(component).alias("most"),
+                        F.max("reach").alias("reach"), F.min("n").alias("n")), "join-matrix")
+    across = matrix.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y"),
+                                         F.min("least").alias("least"), F.max("most").alias("most")) \
+        .where("x <> y AND least <> most")
     matrix = matrix.join(across.select("token"), "token", "left_semi")
-    left = matrix.select("token", *[F.col(c).alias(f"{c}1") for c in ("group", "step", "component")])
-    right = matrix.select("token", *[F.col(c).alias(f"{c}2") for c in ("group", "step", "component")])
-    pairs = stored(left.join(right, "token").where(
-        "group1 < group2 AND component1 <> component2 AND abs(step1 - step2) <= 1").groupBy(
-        F.col("group1").alias("g1"), F.col("group2").alias("g2"),
-        F.least("component1", "component2").alias("c1"), F.greatest("component1", "component2").alias("c2"))
-        .agg(F.count(F.lit(1)).alias("cells")), "join-pairs")
-    # between two components first the pair of groups that shares most cells
-    best = pairs.groupBy("c1", "c2").agg(F.max_by(F.struct("g1", "g2"), F.struct("cells", "g1", "g2")).alias("p")) \
-        .select("p.*").distinct()
-    links = links.union(stored(_verify(sets, best, percent), "join-links"))
-    now = stored(connected(links), "join-parts")
-    one, two = (now.select(F.col("node").alias(f"c{i}"), F.col("component").alias(f"now{i}")) for i in (1, 2))
-    rest = pairs.join(one, "c1", "left").join(two, "c2", "left").where(
-        F.coalesce("now1", "c1") != F.coalesce("now2", "c2")).select("g1", "g2").distinct() \
-        .join(best, ["g1", "g2"], "left_anti")
-    links = links.union(stored(_verify(sets, rest, percent), "join-links"))
+    left, right = (matrix.select("token", *[F.col(c).alias(f"{c}{i}") for c in matrix.columns[1:]]) for i in (1, 2))
+    pairs = left.join(right, "token").where(
+        "group1 < group2 AND abs(step1 - step2) <= 1 AND least(least1, least2) <> greatest(most1, most2)"
+        f" AND {100 + percent} * least(reach1, reach2) >= {percent} * (n1 + n2)") \
+        .select(F.col("group1").alias("g1"), F.col("group2").alias("g2")).distinct() \
+        .join(heads, ["g1", "g2"], "left_anti")
+    links = links.union(stored(_verify(groups, stored(pairs, "join-pairs"), percent), "join-links"))
     final = stored(connected(links), "join-components")
     named = nodes.select("node", "doc_id", "content").join(final, "node", "left").select(
         "node", "doc_id", "content", F.coalesce("component", "node").alias("component"))
@@ -334,8 +349,8 @@ def components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _live_sets(docs: DataFrame, live: DataFrame, k: int) -> DataFrame:
-    """(group, node, shingles) of the nodes in ``live``, from the text of each node's first row."""
+def _groups(docs: DataFrame, live: DataFrame, k: int) -> DataFrame:
+    """(group, c, nodes, union, bits): the c sets of each group in ``live``, from the text of each node's first row."""
     want = live.select("doc_id", "content", "node", "group")
     texts = null_safe(docs.select("doc_id", "text", _content()), want, ["doc_id", "content"], "inner") \
         .select("node", "group", F.col("text").cast("string").alias("text"))
@@ -355,7 +370,15 @@ def _live_sets(docs: DataFrame, live: DataFrame, k: int) -> DataFrame:
                 [batch.column(1).take(pa.array(keep, pa.int64())), batch.column(0).take(pa.array(keep, pa.int64())),
                  pa.array(blobs, pa.binary())], names=["group", "node", "shingles"])
 
-    return texts.mapInArrow(run, "group long, node long, shingles binary")
+    def pack(table: pa.Table) -> pa.Table:
+        # a repeated row may give its node again
+        sets = dict(zip(table.column("node").to_pylist(), table.column("shingles")))
+        row = _packed(np.array(list(sets), np.int64), [np.frombuffer(x.as_py(), np.uint64) for x in sets.values()])
+        return pa.table({"group": table.column("group")[:1], "c": pa.array([len(sets)], pa.int64()),
+                         **{c: pa.array([x], pa.binary()) for c, x in zip(_PACKED, row)}})
+
+    return texts.mapInArrow(run, "group long, node long, shingles binary").groupBy("group").applyInArrow(
+        pack, "group long, c long, nodes binary, union binary, bits binary")
 
 
 def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
