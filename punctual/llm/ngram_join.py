@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from punctual.llm import _text
 from punctual.llm._deal import REQUEST, packed, prime, request_batch, unpack
-from punctual.llm._store import null_safe, stored
+from punctual.llm._store import bitmap_bits, in_bitmap, membership_bitmap, stored
 from punctual.llm.components import connected
 from punctual.session import ship_package
 
@@ -351,24 +351,27 @@ def components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
 
 def _groups(docs: DataFrame, live: DataFrame, k: int) -> DataFrame:
     """(group, c, nodes, union, bits): the c sets of each group in ``live``, from the text of each node's first row."""
-    want = live.select("doc_id", "content", "node", "group")
-    texts = null_safe(docs.select("doc_id", "text", _content()), want, ["doc_id", "content"], "inner") \
-        .select("node", "group", F.col("text").cast("string").alias("text"))
+    # the rows go through a bitmap first, so that an exchange takes the sets of these alone and not all texts
+    row = F.xxhash64("doc_id", "content").alias("row")
+    bitmap = docs.sparkSession.sparkContext.broadcast(
+        membership_bitmap(live.select(row), "row", bitmap_bits(live.count())))
 
     def run(batches):
         last = None
         for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            keep, blobs = [], []
-            for i, s in enumerate(_sets(batch.column(2), k)):
-                # else a repeated row, or another text of the same hash
-                if nodes[i] != last and len(s) and _signed([_node(s)])[0] == nodes[i]:
-                    last = nodes[i]
-                    keep.append(i)
+            some = pa.array(in_bitmap(bitmap.value, batch.column(0).to_numpy().view(np.uint64)))
+            nodes, blobs = [], []
+            for s in _sets(batch.column(1).filter(some), k):
+                node = int(_signed([_node(s)])[0]) if len(s) else last
+                if node != last:  # else a repeated row
+                    last = node
+                    nodes.append(node)
                     blobs.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1).take(pa.array(keep, pa.int64())), batch.column(0).take(pa.array(keep, pa.int64())),
-                 pa.array(blobs, pa.binary())], names=["group", "node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())],
+                                             names=["node", "shingles"])
+
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), _content()).select(row, "text")
+    sets = texts.mapInArrow(run, "node long, shingles binary").join(live.select("node", "group"), "node")
 
     def pack(table: pa.Table) -> pa.Table:
         # a repeated row may give its node again
@@ -377,7 +380,7 @@ def _groups(docs: DataFrame, live: DataFrame, k: int) -> DataFrame:
         return pa.table({"group": table.column("group")[:1], "c": pa.array([len(sets)], pa.int64()),
                          **{c: pa.array([x], pa.binary()) for c, x in zip(_PACKED, row)}})
 
-    return texts.mapInArrow(run, "group long, node long, shingles binary").groupBy("group").applyInArrow(
+    return sets.groupBy("group").applyInArrow(
         pack, "group long, c long, nodes binary, union binary, bits binary")
 
 

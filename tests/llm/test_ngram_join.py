@@ -89,3 +89,39 @@ def test_components_of_a_path_and_a_star(spark):
     out = {r["node"]: r["component"] for r in C.connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}}
     assert C.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_family_that_does_not_link_leaves_few_pairs(spark, monkeypatch):
+    """Every copy differs from the common text in places of its own, so that no two link and no components grow."""
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for j in range(5):
+            w[(i * 7 + j * 61) % 300] = f"own{i}x{j}"
+        rows.append((i, " ".join(w)))
+    counts = {}
+
+    def counted(df, name, stored=ngram_join.stored):
+        out = stored(df, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    assert got(ngram_join.components(docs(spark, rows), 3, 90)) == brute(rows, 3, 90)
+    groups, = counts["join-sets"]
+    assert groups < 60
+    assert max(counts["join-pairs"]) <= groups * groups / 2  # pairs of groups, not of the components in them
+
+
+def test_packed_groups_open_to_all_qualifying_pairs():
+    import numpy as np
+    r = np.random.default_rng(5)
+    base = np.unique(r.integers(0, 1 << 63, 200, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([np.delete(base, r.choice(len(base), d, replace=False)),
+                                      r.integers(0, 1 << 63, d, dtype=np.uint64)])) for d in r.integers(0, 25, 30)]
+    sets.append(base[:1])
+    group = [ngram_join._Group(*ngram_join._packed(np.arange(len(s), dtype=np.int64), s)) for s in (sets[:14], sets[14:])]
+    for percent in (80, 90, 100):
+        want = [(i, j) for i, a in enumerate(sets[:14]) for j, b in enumerate(sets[14:])
+                if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))]
+        assert sorted(ngram_join._opened(*group, percent)) == want
