@@ -45,6 +45,15 @@ def hash_hex(key: str | Column, seed: int = 42) -> Column:
     return F.md5(F.concat(k.cast("string"), F.lit(f":{seed}")))
 
 
+#: No hash reaches this bound.
+ALL_HASHES = "g"
+
+
+def hash_bound(share: float) -> str:
+    """The bound below which the hashes of about a ``share`` of all keys lie."""
+    return format(int(share * 16 ** 12), "012x") if share < 1 else ALL_HASHES
+
+
 def _attach(df: DataFrame, small: DataFrame, groups: list[str], n_small: int, how: str = "inner") -> DataFrame:
     """Attach a small per-group table to ``df``.
 

@@ -28,7 +28,7 @@ import hashlib
 import os
 import threading
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.session import fresh_path, scratch_path
@@ -58,10 +58,20 @@ def _broadcast_threshold(spark: SparkSession) -> int:
     return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
 
-def flights_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lazy flights view over the star schema (no materialisation)."""
+def flights_view(spark: SparkSession, sf_dir: str, marks: dict[str, Column] | None = None) -> DataFrame:
+    """Lazy flights view over the star schema (no materialisation).
+
+    ``marks`` are conditions on FlightKey, FlightDate and Year by name: a line item that meets none is dropped before the
+    joins, and each is found once and added to the view as a column."""
+    marks = marks or {}
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate")
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in
+                             ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]])
+    day = F.col("l_shipdate").cast("date")
+    if marks:
+        li = li.withColumns({"FlightKey": key, "FlightDate": day, "Year": F.year(day)}).withColumns(marks) \
+            .filter(" OR ".join(marks)).drop("FlightKey", "FlightDate", "Year")
     # A fact file stored as one unsplittable row group scans as a single task,
     # which would run the whole star join serially.  Only then spread it out;
     # a large fact table already has at least as many splits as task slots.
@@ -95,9 +105,8 @@ def flights_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     dep_min = (F.col("l_orderkey") * 13 + F.col("l_linenumber") * 101) % 1440
     distance = (F.lit(100) + (F.col("s_nationkey") * 977 + F.col("c_nationkey") * 613) % 2900).cast("int")
     b = j.select(
-        F.concat_ws("-", *[F.col(c).cast("string") for c in
-                           ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]]).alias("FlightKey"),
-        F.col("l_shipdate").cast("date").alias("FlightDate"),
+        key.alias("FlightKey"),
+        day.alias("FlightDate"),
         F.col("p_brand").alias("Airline"),
         "Origin", "Dest",
         (F.lit(10000) + F.col("s_nationkey")).cast("int").alias("OriginAirportID"),
@@ -107,6 +116,7 @@ def flights_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         h.alias("h"), dep_min.alias("dep_min"), distance.alias("Distance"),
         F.col("l_quantity").cast("int").alias("TaxiOut"),
         (F.col("l_linenumber") * 2).cast("int").alias("TaxiIn"),
+        *marks,
     )
     c = b.select(
         "*",
@@ -135,9 +145,17 @@ def flights_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(cancelled, None).otherwise(_hhmm((F.col("dep_min") + pos) % 1440)).alias("DepTime"),
         F.when(gone, None).otherwise(_hhmm((F.col("arr_min") + pos) % 1440)).alias("ArrTime"),
         (F.least(F.lit(999), F.floor(sc * 6 / 10) + (h_ * 389) % 400).cast("double") / 1000).alias("Score"),
+        *marks,
     )
 
 
+def line_items_by_year(spark: SparkSession, sf_dir: str) -> dict[int, int]:
+    """Line items by year of shipment (one column read, a row for each year): about the flights of that year, which lack
+    line items without partners."""
+    years = read_table(spark, sf_dir, "lineitem").groupBy(F.year(F.col("l_shipdate").cast("date")).alias("y")).count()
+    return {r["y"]: r["count"] for r in years.collect() if r["y"] is not None}
+
+
 def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Hash of input paths, sizes and modification times (metadata only)."""
     jvm = spark.sparkContext._jvm
