@@ -22,9 +22,10 @@ Arrow batch a block.  A node of more than ``task_rows`` rows is split by a
 Spark job: tasks emit sums by (tree, node, feature, bin), partial aggregation
 merges them, running sums over a feature's bins give the best split, and the
 driver sees one row for each (node, feature).  A node of at most ``task_rows``
-rows is sent whole to a task, which finishes its subtree; so is a whole run of
-boosting rounds, whose root is such a node.  Results are equal for every
-``task_rows`` (tested).
+rows is sent whole to a task, which finishes its subtree.  Where the root is
+such a node, the packed rows are broadcast, and a run of boosting rounds or a
+few trees of a forest is one task.  Results are equal for every ``task_rows``
+(tested).
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ from punctual.session import fresh_path, ship_package
 #: Bins of a feature (one byte each).
 BINS = 256
 #: Rows of a node that one task finishes.
-TASK_ROWS = 65_536
+TASK_ROWS = 1 << 20
 #: Fixed-point steps of g and h.
 SCALE = float(1 << 30)
 #: Bytes of trees that one broadcast holds; a larger ensemble is scored by several.
@@ -200,112 +201,208 @@ def leaves_of(tree: dict, bins: np.ndarray, start: int = 0) -> np.ndarray:
 
 
 def grow(rule: Rule, bins: np.ndarray, g: np.ndarray, h: np.ndarray, key: np.uint64, depth: int = 0) -> dict:
-    """A (sub)tree over the rows of one task, level by level; all nodes of a level at once."""
-    nodes = Nodes()
-    level = np.array([nodes.add(g.sum(), h.sum())])
-    keys, order, starts = np.array([key], np.uint64), np.arange(len(g)), np.array([0])
-    sizes = np.array([len(g)])
-    gs, hs = np.array([g.sum()]), np.array([h.sum()])
+    """A (sub)tree over the rows of one task, level by level; all nodes of a level at once.  ``at``: each row's leaf
+    (boosting only)."""
     # in real units sums stay exact: steps are powers of two
-    real_g, real_h = g / SCALE, h / SCALE
-    split = _splits_per_node(rule, bins, real_g, real_h) if rule.per_node else _splits(rule, bins, real_g, real_h)
+    rows = (_DrawnColumns if rule.per_node else _SummedRows)(rule, bins, g / SCALE, h / SCALE)
+    levels, count = [], 1
+    keys, sizes = np.array([key], np.uint64), np.array([len(g)])
+    gs, hs = np.array([g.sum()]), np.array([h.sum()])
     while True:
+        m = len(sizes)
+        level = {"feature": np.full(m, -1, np.int8), "cut": np.zeros(m, np.uint8), "left": np.zeros(m, np.int32),
+                 "g": gs.astype(np.int64), "h": hs.astype(np.int64), "gain": np.zeros(m)}
+        levels.append(level)
         go = np.flatnonzero(rule.may_split(gs, hs, sizes, depth))
         if not len(go):
-            return nodes.arrays()
-        if len(go) < len(sizes):
-            order = np.concatenate([order[a:a + n] for a, n in zip(starts[go].tolist(), sizes[go].tolist())])
-        level, keys, sizes, gs, hs = level[go], keys[go], sizes[go], gs[go], hs[go]
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        slot = np.repeat(np.arange(len(go)), sizes)
-        best_gain, feature, best_cut, gl, hl = split(order, slot, starts, sizes, gs / SCALE, hs / SCALE, keys)
-        gl, hl = (gl * SCALE).astype(np.int64), (hl * SCALE).astype(np.int64)
-        done = np.flatnonzero(best_gain > rule.least_gain)
+            break
+        gain, feature, cut, gl, hl = rows.best(go, gs[go] / SCALE, hs[go] / SCALE, keys[go])
+        done = np.flatnonzero(gain > rule.least_gain)
         if not len(done):
-            return nodes.arrays()
-        children, child_of = [], np.full(len(go), -1)
-        for c, i in enumerate(done.tolist()):
-            left = nodes.split(int(level[i]), int(feature[i]), int(best_cut[i]), float(best_gain[i]),
-                               (gl[i], hl[i], gs[i] - gl[i], hs[i] - hl[i]))
-            children += [left, left + 1]
-            child_of[i] = 2 * c
-        if len(done) < len(go):
-            keep = child_of[slot] >= 0
-            order, slot = order[keep], slot[keep]
-        child = child_of[slot] + (bins[order, feature[slot]] > best_cut[slot])
-        order = order[np.argsort(child, kind="stable")]
-        sizes = np.bincount(child, minlength=len(children))
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        level, keys, depth = np.array(children), _child_keys(keys[done]), depth + 1
-        gs = np.stack([gl[done], gs[done] - gl[done]], axis=1).reshape(-1)
-        hs = np.stack([hl[done], hs[done] - hl[done]], axis=1).reshape(-1)
-
-
-def _splits(rule: Rule, bins: np.ndarray, g: np.ndarray, h: np.ndarray):
-    """Best split of every node where all nodes may use the same columns: the columns' bins lie side by side."""
-    columns = np.array(rule.columns)
-    wide = bins[:, columns].max(axis=0, initial=0).astype(np.int64) + 1
-    first = np.concatenate([[0], np.cumsum(wide)])
-    cell = np.ascontiguousarray(bins[:, columns].T).astype(np.int32) + first[:-1, None].astype(np.int32)
-    width, column_of = int(first[-1]), np.repeat(np.arange(len(columns)), wide)
-    counted = rule.min_leaf > 1 or rule.min_child_weight <= 0
-
-    def split(order, slot, starts, sizes, gs, hs, keys):
-        m = len(sizes)
-        here, base = cell[:, order], (slot * width).astype(np.int64)
-        gr, hr = g[order], h[order]
-        sums = np.zeros((3 if counted else 2, m * width))
-        for j in range(len(columns)):
-            at = base + here[j]
-            sums[0] += np.bincount(at, gr, m * width)
-            sums[1] += np.bincount(at, hr, m * width)
-            if counted:
-                sums[2] += np.bincount(at, minlength=m * width)
-        # every column sums up to the node's sums, so what lies before a column is a multiple of them
-        left = sums.reshape(-1, m, width).cumsum(axis=2)
-        left[0] -= column_of * gs[:, None]
-        left[1] -= column_of * hs[:, None]
-        if counted:
-            left[2] -= column_of * sizes[:, None]
-        found = _judge(rule, left[0], left[1], left[2] if counted else None, gs[:, None], hs[:, None], sizes[:, None])
-        pick = found.argmax(axis=1)
-        rows = np.arange(m)
-        j = column_of[pick]
-        return found[rows, pick], columns[j], pick - first[j], left[0][rows, pick], left[1][rows, pick]
-    return split
-
-
-def _splits_per_node(rule: Rule, bins: np.ndarray, g: np.ndarray, h: np.ndarray):
-    """Best split of every node where each draws ``per_node`` of the columns that vary in it."""
-    width = int(bins.max(initial=0)) + 1
-
-    def split(order, slot, starts, sizes, gs, hs, keys):
-        m, k = len(sizes), rule.per_node
-        here = bins[order]
-        low, high = np.minimum.reduceat(here, starts), np.maximum.reduceat(here, starts)
-        hashed = np.where(low < high, _feature_order(keys, bins.shape[1]), np.uint64(0xFFFFFFFFFFFFFFFF))
-        chosen = np.sort(np.argsort(hashed, axis=1, kind="stable")[:, :k], axis=1)
+            break
+        gl, hl = (gl[done] * SCALE).astype(np.int64), (hl[done] * SCALE).astype(np.int64)
+        split = go[done]
+        level["feature"][split], level["cut"][split], level["gain"][split] = feature[done], cut[done], gain[done]
+        level["left"][split] = count + 2 * np.arange(len(split))
+        sizes = rows.divide(done, feature[done], cut[done], count)
+        count += 2 * len(split)
+        gs, hs = (np.stack([left, whole[split] - left], axis=1).reshape(-1) for left, whole in ((gl, gs), (hl, hs)))
+        keys, depth = _child_keys(keys[split]), depth + 1
+    tree = {c: np.concatenate([level[c] for level in levels]) for c in levels[0]}
+    return {**tree, "at": rows.at}
+
+
+class _SummedRows:
+    """Rows of a tree all of whose nodes may use the same columns: sums by (node, column, bin), columns side by side.
+
+    Of two children only the one of fewer rows is summed; the other's sums are the parent's less these (exact)."""
+
+    def __init__(self, rule: Rule, bins: np.ndarray, g: np.ndarray, h: np.ndarray):
+        self.rule, self.columns = rule, np.array(rule.columns)
+        self.flat, self.n_features = np.ascontiguousarray(bins).reshape(-1), bins.shape[1]
+        self.column = np.ascontiguousarray(bins[:, self.columns].T)
+        wide = self.column.max(axis=1, initial=0).astype(np.int64) + 1
+        self.first, self.column_of = np.concatenate([[0], np.cumsum(wide)]), np.repeat(np.arange(len(wide)), wide)
+        self.g, self.h = g, h
+        self.counted = rule.min_leaf > 1 or rule.min_child_weight <= 0
+        self.rows, self.slot, self.sizes = np.arange(len(g)), np.zeros(len(g), np.int64), np.array([len(g)])
+        self.at, self.sums, self.parent = np.zeros(len(g), np.int64), None, None
+
+    def _summed(self, rows: np.ndarray, slot: np.ndarray, m: int) -> np.ndarray:
+        out = np.empty((3 if self.counted else 2, m, self.first[-1]))
+        whole = len(rows) == len(self.g)
+        g, h = (self.g, self.h) if whole else (self.g[rows], self.h[rows])
+        for j, (a, b) in enumerate(zip(self.first[:-1].tolist(), self.first[1:].tolist())):
+            cell = slot * (b - a) + (self.column[j] if whole else self.column[j][rows])
+            out[0, :, a:b] = np.bincount(cell, g, m * (b - a)).reshape(m, -1)
+            out[1, :, a:b] = np.bincount(cell, h, m * (b - a)).reshape(m, -1)
+            if self.counted:
+                out[2, :, a:b] = np.bincount(cell, minlength=m * (b - a)).reshape(m, -1)
+        return out
+
+    def best(self, go, gs, hs, keys):
+        m = len(self.sizes)
+        if self.parent is None:
+            self.sums = self._summed(self.rows, self.slot, m)
+        else:
+            pairs = self.sizes.reshape(-1, 2)
+            fewer = (pairs[:, 1] < pairs[:, 0]).astype(np.int64)         # which child of each pair
+            pair = self.slot >> 1
+            here = np.flatnonzero((self.slot & 1) == fewer[pair])
+            less = self._summed(self.rows[here], pair[here], len(pairs))
+            self.sums = np.empty((len(less), m, less.shape[2]))
+            at = 2 * np.arange(len(pairs)) + fewer
+            self.sums[:, at], self.sums[:, at ^ 1] = less, self.parent - less
+        self.sums = self.sums[:, go]
+        left = np.empty_like(self.sums)
+        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist()):
+            np.cumsum(self.sums[:, :, a:b], axis=2, out=left[:, :, a:b])
+        found = _judge(self.rule, left[0], left[1], left[2] if self.counted else None, gs[:, None], hs[:, None],
+                       self.sizes[go][:, None])
+        self.go = go
+        pick, rows = found.argmax(axis=1), np.arange(len(go))
+        j = self.column_of[pick]
+        return found[rows, pick], self.columns[j], pick - self.first[j], left[0][rows, pick], left[1][rows, pick]
+
+    def divide(self, done, feature, cut, count: int) -> np.ndarray:
+        """Rows of each child of the nodes ``go[done]``; children are numbered from ``count``."""
+        place = np.full(len(self.sizes), -1)
+        place[self.go[done]] = np.arange(len(done))
+        slot = place[self.slot]
+        if len(done) < len(self.sizes):
+            keep = np.flatnonzero(slot >= 0)
+            self.rows, slot = self.rows[keep], slot[keep]
+        self.slot = 2 * slot + (self.flat[self.rows * self.n_features + feature[slot]] > cut[slot])
+        self.at[self.rows] = count + self.slot
+        self.parent = self.sums[:, done]
+        self.sizes = np.bincount(self.slot, minlength=2 * len(done))
+        return self.sizes
+
+
+class _DrawnColumns:
+    """Rows of a tree whose nodes draw ``per_node`` of the columns that vary in them; they lie in the order of the nodes.
+
+    Each node tries columns in the order of their hashes until enough of them vary.  While nodes hold more rows than
+    their columns have bins, sums are taken by (node, bin); after that rows are sorted by them, so that the work is that
+    of the rows, not of the bins."""
+
+    at = None
+
+    def __init__(self, rule: Rule, bins: np.ndarray, g: np.ndarray, h: np.ndarray):
+        if len(g) >> 28:
+            raise ValueError("a task holds less than 2^28 rows")
+        self.rule, self.bins, self.g, self.h, self.sizes = rule, np.ascontiguousarray(bins), g, h, np.array([len(g)])
+        self.wide = bins.max(axis=0, initial=0).astype(np.int64) + 1
+
+    def _take(self, rows: np.ndarray) -> None:
+        self.bins, self.g, self.h = self.bins[rows], self.g[rows], self.h[rows]
+
+    def _values(self, feature: np.ndarray, slot: np.ndarray, rows: np.ndarray | None) -> np.ndarray:
+        start = np.arange(len(self.g)) if rows is None else rows
+        return self.bins.reshape(-1)[start * self.bins.shape[1] + feature[slot]]
+
+    def _tried(self, feature: np.ndarray, sizes: np.ndarray, rows: np.ndarray | None):
+        """The cuts of nodes by one column each, in the order of (node, bin): node, bin, left sums of g, h and rows; and
+        which nodes it varies in.  Bins may be empty, but a cut next to an empty one never comes first."""
+        slot = np.repeat(np.arange(len(feature)), sizes)
+        value = self._values(feature, slot, rows)
+        g, h = (self.g, self.h) if rows is None else (self.g[rows], self.h[rows])
+        wide = self.wide[feature]
+        starts = np.cumsum(wide) - wide
+        if (cells := int(wide.sum())) <= len(slot):
+            cell = starts[slot] + value
+            n = np.bincount(cell, minlength=cells)
+            varies = np.add.reduceat((n > 0).astype(np.int64), starts) > 1
+            sums = [np.cumsum(v) for v in (np.bincount(cell, g, cells), np.bincount(cell, h, cells), n)]
+            s = np.repeat(np.arange(len(feature)), wide)
+            gl, hl, nl = (v - np.concatenate([[0], v[starts[1:] - 1]])[s] for v in sums)
+            return s, np.arange(cells) - starts[s], gl, hl, nl, varies
+        key = (((slot << 8) | value) << 28 | np.arange(len(slot))).view(np.uint64)
+        key.sort()
+        cell, order = (key >> np.uint64(28)).view(np.int64), (key & np.uint64((1 << 28) - 1)).view(np.int64)
+        last = np.flatnonzero(cell[1:] != cell[:-1])                 # the last row of each bin
+        s = cell[last] >> 8
+        inside = np.flatnonzero(s == cell[last + 1] >> 8)            # but of a node's last bin
+        last, s = last[inside], s[inside]
+        ends = np.cumsum(sizes)
+        gl, hl = (v[last] - np.concatenate([[0.0], v[ends[:-1] - 1]])[s] for v in (np.cumsum(g[order]), np.cumsum(h[order])))
+        varies = np.zeros(len(feature), bool)
+        varies[s] = True
+        return s, cell[last] & 255, gl, hl, last + 1 - (ends - sizes)[s], varies
+
+    def best(self, go, gs, hs, keys):
+        if len(go) < len(self.sizes):
+            goes = np.zeros(len(self.sizes), bool)
+            goes[go] = True
+            self._take(np.flatnonzero(np.repeat(goes, self.sizes)))
+            self.sizes = self.sizes[go]
+        m, n_features = len(go), self.bins.shape[1]
+        order = np.argsort(_feature_order(keys, n_features), axis=1, kind="stable")
         gain, feature, cut, gl, hl = (np.full(m, -np.inf), np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m))
-        per = max(1, (1 << 18) // (k * width))
-        for a in range(0, m, per):
-            b = min(a + per, m)
-            part = slice(starts[a], starts[b - 1] + sizes[b - 1])
-            rows, s = order[part], slot[part] - a
-            gr, hr, cells = g[rows], h[rows], (b - a) * k * width
-            sums = np.zeros((3, cells))
-            for j in range(k):
-                at = (s * k + j) * width + here[part][np.arange(len(s)), chosen[a:b][s, j]]
-                sums[0] += np.bincount(at, gr, cells)
-                sums[1] += np.bincount(at, hr, cells)
-                sums[2] += np.bincount(at, minlength=cells)
-            left = sums.reshape(3, b - a, k, width).cumsum(axis=3)
-            found = _judge(rule, left[0], left[1], left[2], gs[a:b, None, None], hs[a:b, None, None], sizes[a:b, None, None])
-            pick = found.reshape(b - a, -1).argmax(axis=1)
-            j, c, at = pick // width, pick % width, np.arange(b - a)
-            gain[a:b], feature[a:b], cut[a:b] = found[at, j, c], chosen[a + at, j], c
-            gl[a:b], hl[a:b] = left[0][at, j, c], left[1][at, j, c]
+        need, varied = np.arange(m), np.zeros(m, np.int64)
+        for p in range(n_features):
+            rows = None
+            if len(need) < m:
+                needs = np.zeros(m, bool)
+                needs[need] = True
+                rows = np.flatnonzero(np.repeat(needs, self.sizes))
+            tried = order[need, p]
+            s, bin_, *left, varies = self._tried(tried, self.sizes[need], rows)
+            if len(s):
+                node = need[s]
+                found = _judge(self.rule, *left, gs[node], hs[node], self.sizes[node])
+                first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                top = np.maximum.reduceat(found, first)
+                most = np.flatnonzero(found == np.repeat(top, np.diff(np.append(first, len(s)))))
+                most = most[np.concatenate([[True], s[most][1:] != s[most][:-1]])]     # the lowest cut of equal ones
+                node, f = node[first], tried[s[first]]
+                better = np.flatnonzero((top > gain[node]) | ((top == gain[node]) & (f < feature[node])))
+                node, most = node[better], most[better]
+                gain[node], feature[node], cut[node] = top[better], f[better], bin_[most]
+                gl[node], hl[node] = left[0][most], left[1][most]
+            varied[need] += varies
+            need = need[varied[need] < self.rule.per_node]
+            if not len(need):
+                break
         return gain, feature, cut, gl, hl
-    return split
+
+    def divide(self, done, feature, cut, count: int) -> np.ndarray:
+        """Rows of each child of the nodes ``go[done]``; brings the rows into the order of the children."""
+        if len(done) < len(self.sizes):
+            split = np.zeros(len(self.sizes), bool)
+            split[done] = True
+            self._take(np.flatnonzero(np.repeat(split, self.sizes)))
+        sizes = self.sizes[done]
+        slot = np.repeat(np.arange(len(done)), sizes)
+        right = self._values(feature, slot, None) > cut[slot]
+        n_right = np.bincount(slot[right], minlength=len(done))
+        n_left = sizes - n_right
+        to = np.empty(len(slot), np.int64)
+        for goes, earlier in ((np.flatnonzero(~right), np.cumsum(n_right) - n_right), (np.flatnonzero(right), np.cumsum(n_left))):
+            to[np.arange(len(goes)) + earlier[slot[goes]]] = goes
+        self._take(to)
+        self.sizes = np.stack([n_left, n_right], axis=1).reshape(-1)
+        return self.sizes
 
 
 def _judge(rule: Rule, gl, hl, nl, g, h, n) -> np.ndarray:
@@ -431,7 +528,12 @@ def run_here(rules_: list[Rule], bins: np.ndarray, y: np.ndarray, ids: np.ndarra
         tree = grow(rule, bins[rows], g, h, _root_key(rule.seed, rule.tree))
         out = _finished(rule, tree)
         if rule.kind == "gbt":
-            margin = margin + out["value"][leaves_of(tree, bins)]
+            outside = np.ones(len(y), bool)
+            outside[rows] = False
+            outside = np.flatnonzero(outside)
+            moved = np.empty(len(y))
+            moved[rows], moved[outside] = out["value"][tree["at"]], out["value"][leaves_of(tree, bins[outside])]
+            margin = margin + moved
         yield out
 
 
@@ -475,31 +577,23 @@ def fit(cands: list[dict], rows: DataFrame, features: list[str], label: str, key
 
 
 def _whole_units(blocks: DataFrame, plans: dict[str, list[Rule]], n_features: int) -> DataFrame:
-    units = []
+    spark, units = blocks.sparkSession, []
     for name, plan in plans.items():
         step = len(plan) if plan and plan[0].kind == "gbt" else _TREES_A_TASK
         units += [(name, plan[a:a + step]) for a in range(0, len(plan), step)]
+    parts = [_unpacked(r.asDict(), n_features)[:3] for r in blocks.collect()]    # at most task_rows rows, a few bytes each
+    if not parts or not units:
+        return spark.createDataFrame([], _TREE_DDL)
+    held = spark.sparkContext.broadcast(tuple(np.concatenate(p) for p in zip(*parts)))
 
     def train(batches):
-        unit, held = None, []
-
-        def done():
-            name, plan = units[unit]
-            parts = [_unpacked(r, n_features) for r in held]
-            bins, y, ids, margin = (np.concatenate(p) for p in zip(*parts))
-            for t in run_here(plan, bins, y, ids, margin):
-                yield _tree_batch(name, [t])
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["work"] != unit and held:
-                    yield from done()
-                    held = []
-                unit = r["work"]
-                held.append(r)
-        if held:
-            yield from done()
-    work = blocks.withColumn("work", F.explode(F.sequence(F.lit(0), F.lit(len(units) - 1))))
-    return work.repartitionByRange(len(units), "work").sortWithinPartitions("work").mapInArrow(train, _TREE_DDL)
+            for unit in batch.column(0).to_pylist():
+                name, plan = units[unit]
+                bins, y, ids = held.value
+                for t in run_here(plan, bins, y, ids, np.zeros(len(y))):
+                    yield _tree_batch(name, [t])
+    return spark.range(0, len(units), 1, len(units)).mapInArrow(train, _TREE_DDL)
 
 
 # ---------------------------------------------------------------------------
@@ -730,16 +824,18 @@ class Ensemble:
         """Margin (boosting) or probability (forest) from the feature columns, in the order of ``features``."""
         spark = self.trees.sparkSession
         ship_package(spark)
-        total = None
-        for group in self.groups():
-            held = spark.sparkContext.broadcast(group)
-
-            @F.pandas_udf("double")
-            def part(*xs: pd.Series) -> pd.Series:
-                x = np.stack([v.to_numpy(dtype=float) for v in xs], axis=1) if len(xs[0]) else np.zeros((0, len(xs)))
-                return pd.Series(predict(held.value, x))
-            total = part(*columns) if total is None else total + part(*columns)
-        total = F.lit(0.0) if total is None else total
+        held = [spark.sparkContext.broadcast(group) for group in self.groups()]
+
+        @F.pandas_udf("double")
+        def sums(*xs: pd.Series) -> pd.Series:
+            x = np.stack([v.to_numpy(dtype=float) for v in xs], axis=1) if len(xs[0]) else np.zeros((0, len(xs)))
+            out = np.zeros(len(x))
+            for group in held:
+                out += predict(group.value, x)
+                if len(held) > 1:
+                    forget(group)
+            return pd.Series(out)
+        total = sums(*columns) if held else F.lit(0.0)
         return total if self.kind == "gbt" else total / F.lit(float(self.size))
 
     def probability(self, columns: list[Column]) -> Column:
@@ -780,6 +876,12 @@ class Ensemble:
         return cls.of(spark.read.parquet(f"{path}/trees"), json.loads(spark.read.parquet(f"{path}/meta").first()["meta"]))
 
 
+def forget(held) -> None:
+    """Drops a broadcast value from this worker's memory; it is read again from its file when it is needed."""
+    if getattr(held, "_path", None):
+        vars(held).pop("_value", None)
+
+
 def predict(trees: list[dict], x: np.ndarray) -> np.ndarray:
     """Sum of the trees' values for each row."""
     out = np.zeros(len(x))

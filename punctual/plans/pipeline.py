@@ -27,8 +27,6 @@ from punctual.session import fresh_path
 from punctual.sources.flights import ROW_KEY, fingerprint, flights, flights_view, line_items_by_year
 
 SAMPLE_PER_YEAR = 100_000
-# Rows given to .fit at most (uniform, seeded); splits, scores and explanations cover all rows.
-MAX_FIT_ROWS = 20_000
 TRAIN_FRACTION = 0.6
 # Flights, as a multiple of the sample, whose extra-row hash is looked at first.
 POOL_FACTOR = 6
@@ -126,8 +124,10 @@ def balanced_train(spark: SparkSession, sf_dir: str, exclude_test: bool = True)
     return _CACHE[key]
 
 
-def fit_rows(spark: SparkSession, sf_dir: str, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """At most ``max_fit_rows`` rows of the balanced train set, those with the least hashes."""
+def fit_rows(spark: SparkSession, sf_dir: str, max_fit_rows: int | None = None) -> DataFrame:
+    """The rows that models are fitted on: the whole balanced train set, or the ``max_fit_rows`` with the least hashes."""
+    if max_fit_rows is None:
+        return balanced_train(spark, sf_dir)
     key = ("fit", spark.sparkContext.applicationId, fingerprint(spark, sf_dir), max_fit_rows)
     if key not in _CACHE:
         out = sampling.sample_rows(balanced_train(spark, sf_dir), max_fit_rows, "FlightKey", ROW_KEY, seed=FIT_SEED)

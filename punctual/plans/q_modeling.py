@@ -31,9 +31,9 @@ GRID = M.FULL_GRID
 _MODELS: dict[tuple, M.TrainedModel] = {}
 
 
-def trained(spark, sf_dir, grid=None, max_fit_rows: int = PL.MAX_FIT_ROWS) -> M.TrainedModel:
-    """Fit once per session, input, grid and bound: preprocessing and class weights on the whole balanced train set,
-    the estimators on at most ``max_fit_rows`` rows of it."""
+def trained(spark, sf_dir, grid=None, max_fit_rows: int | None = None) -> M.TrainedModel:
+    """Fit once per session, input, grid and bound: preprocessing, selection and estimators on the whole balanced train
+    set.  Only a caller that gives ``max_fit_rows`` has the estimators see that many rows of it."""
     grid = grid or GRID
     k = (spark.sparkContext.applicationId, fingerprint(spark, sf_dir), json.dumps(grid, sort_keys=True), max_fit_rows)
     if k not in _MODELS:
