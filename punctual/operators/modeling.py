@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ from punctual.schema import MODEL_FEATURES, TARGET
 FEATURES_COL = "features"
 WEIGHT_COL = "class_weight"
 
-#: Default number of bins of a feature of the surrogate tree: more than any code of the model table has today.
+#: Least number of bins of a feature of the surrogate tree: more than any code of the model table has today.
 MAX_BINS = 256
 
 
@@ -190,11 +191,14 @@ def feature_importance(model, features: list[str]) -> DataFrame:
 
 
 def fit_surrogate(vec: DataFrame, label: str = TARGET, fit_on: str = "label", max_depth: int = 3, seed: int = 42):
-    """Shallow balanced tree; ``fit_on='prediction'`` fits the model's decisions instead of labels."""
+    """Shallow balanced tree; ``fit_on='prediction'`` fits the model's decisions instead of labels.
+
+    Spark takes the thresholds it tries from a sample of maxBins^2 rows, so there are as many bins as make that all rows."""
     target = label if fit_on == "label" else "predicted"
     d = with_class_weights(vec.withColumn("__y", F.col(target).cast("double")), "__y")
+    bins = max(MAX_BINS, math.isqrt(d.count()) + 1)
     return DecisionTreeClassifier(featuresCol=FEATURES_COL, labelCol="__y", weightCol=WEIGHT_COL,
-                                  maxDepth=max_depth, maxBins=MAX_BINS, seed=seed).fit(d)
+                                  maxDepth=max_depth, maxBins=bins, seed=seed).fit(d)
 
 
 def tree_nodes(model, path: str) -> "list[dict]":

@@ -2,12 +2,15 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from punctual.operators import modeling as M
 from punctual.operators import trees as TR
 from punctual.plans import pipeline as PL
 from punctual.plans import q_modeling as Q
+from punctual.session import scratch_path
 
 ROWS = 30_000
 ONE_TREE = [{"name": "one", "type": "rf", "numTrees": 1, "maxDepth": 4, "minSplit": 10, "minInstancesPerNode": 5}]
@@ -51,6 +54,17 @@ def test_surrogate_tree_sees_every_row(spark, many_rows):
     assert sum(r.samples for r in Q.surrogate_on_predictions(spark, SF_SMALL).collect()) == ROWS
 
 
+def test_surrogate_thresholds_come_from_every_row(spark):
+    """Beyond 256^2 rows there is still a threshold between any two values, also where each comes once."""
+    rows = spark.range(90_000).selectExpr("if(id % 4000 = 7, 100 + id div 4000, id % 50) as a", "0 as b").checkpoint()
+    assembler = VectorAssembler(inputCols=["a", "b"], outputCol=M.FEATURES_COL)
+    for least in (105, 109, 110):
+        tree = M.fit_surrogate(assembler.transform(rows.withColumn("IsArrDelayed", (F.col("a") >= least).cast("int"))))
+        rules = M.surrogate_rules(tree, ["a", "b"], scratch_path(spark, "models/test_thresholds")).collect()
+        assert sorted((r.rule, r.samples, r.delayed_share) for r in rules) == [
+            (f"a <= {least - 0.5:.4f}", 90_000 - (123 - least), 0.0), (f"a > {least - 0.5:.4f}", 123 - least, 1.0)]
+
+
 def test_scores_of_an_ensemble_in_many_groups(spark, monkeypatch):
     """Groups are read one after another by the same function; the scores are those of all trees."""
     rows = spark.range(500).selectExpr("id", "cast(id % 31 as double) as a", "cast(id % 7 as double) as b",
